@@ -41,6 +41,11 @@ def sample(docs: DataFrame, per_language: int = 300, longest: int = 20_000) -> D
         docs.where("lang is not null and text is not null and doc_id is not null").where(crc_fold() != 2)
         .where(F.length("text") <= longest).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
     )
+    # only ids under a hash that four times the wanted rows of their language fall below compete
+    size = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.join(size, "lang").where(share * F.col("rows") <= 4.0 * per_language).drop("rows")
+    rows = rows.withColumn("hash", F.pmod("hash", F.lit(1 << 30)))
     # bounded top-k without sorting a language in one task: each task keeps its own smallest, then they merge
     k = per_language
 
