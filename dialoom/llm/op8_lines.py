@@ -8,8 +8,9 @@ met in ``LEAST`` documents, each bringing a new pair of neighbouring lines: so l
 because whole documents were copied don't count as boilerplate. Lines of recurring templates are dropped.
 
 All groups are pre-aggregated before they are shuffled: counts by leaf, by leaf, position and token, and
-by template and neighbours. Tokens are exploded for distinct masked lines of leaves with enough documents
-only. A document's text is not shuffled by line: hashes are, and the dropped positions return to it.
+by template and neighbours. Leaves of fewer than ``LEAST`` lines can't recur, so only lines of the others
+go on, as 64-bit hashes; tokens are exploded for their distinct masked lines. The dropped positions
+return to the documents.
 
 Defined cases: null text counts as no line and stays null; blank lines are kept and never counted; an
 empty text stays empty; equal lines within a document are judged alike; null ids are one document;
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import saved, table
 
 LEAST, SIMILAR, LEADING = 10, 0.8, 2
 
@@ -32,11 +33,9 @@ def mask(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, masked, n_tokens, lead, around): the lines that are not blank, by position."""
+    """(doc_id, pos, masked, n_tokens, leaf, line, around): the lines that are not blank; the last three are hashes."""
     raw = F.split("text", "\n", -1)
-    one = lambda x, i: F.struct(
-        i.alias("pos"), mask(F.trim(x)).alias("masked"),
-    )
+    one = lambda x, i: F.struct(i.alias("pos"), mask(F.trim(x)).alias("masked"))
     rows = docs.select("doc_id", F.transform(raw, one).alias("a")).select(
         "doc_id",
         F.explode(F.transform("a", lambda x, i: F.struct(
@@ -44,29 +43,29 @@ def lines(docs: DataFrame) -> DataFrame:
             F.xxhash64(F.get("a", i - 1)["masked"], F.get("a", i + 1)["masked"]).alias("around"),
         ))).alias("x"),
     ).select("doc_id", "x.*").where("masked <> ''")
-    return rows.withColumn("n_tokens", F.size(F.split("masked", " "))).withColumn("lead", F.substring_index("masked", " ", LEADING))
+    rows = rows.withColumn("n_tokens", F.size(F.split("masked", " ")))
+    return rows.withColumns({"leaf": F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING)), "line": F.xxhash64("masked")})
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, gone: positions of the lines to drop, n_gone)."""
     rows = lines(docs)
-    leaf = ["n_tokens", "lead"]
-    # leaves that may hold a recurring template, with their distinct masked lines
-    kinds = rows.groupBy(*leaf, "masked").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"))
-    kinds = kinds.withColumn("in_leaf", F.sum("d").over(_by(*leaf))).where(F.col("in_leaf") >= least)
-    tokens = kinds.select(*leaf, "n", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy(*leaf, "at", "token").agg(F.sum("n").alias("n"))
-    total = kinds.groupBy(*leaf).agg(F.sum("n").alias("total"))
+    leaves = saved(rows.select("leaf").groupBy("leaf").agg(F.count("*").alias("total")).where(F.col("total") >= least), "leaves")
+    # a fixed number of hash buckets (2**20 rows at most) sifts the lines before their texts are shuffled
+    slot = F.pmod("leaf", F.lit(1 << 20)).alias("slot")
+    rows = rows.withColumn("slot", slot).join(F.broadcast(leaves.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    kinds = rows.groupBy("leaf", "line", "n_tokens").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
+    kinds = saved(kinds.join(leaves, "leaf"), "kinds")
+    tokens = kinds.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
     constant = (
-        tokens.groupBy(*leaf, "at").agg(F.max(F.struct("n", "token")).alias("top")).join(total, leaf).where(F.col("top.n") * 2 >= F.col("total"))
-        .groupBy(*leaf).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", F.col("top.token").alias("token"))))).alias("shape"))
+        tokens.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top")).join(leaves, "leaf").where(F.col("top.n") * 2 >= F.col("total"))
+        .groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("top.token").alias("token")))).alias("shape"))
     )
     agreed = F.size(F.filter(F.split("masked", " "), lambda t, i: F.coalesce(F.try_element_at("shape", i) == t, F.lit(False))))
-    named = kinds.join(constant, leaf, "left").select(
-        *leaf, "masked",
-        F.when(F.coalesce(agreed, F.lit(0)) >= similar * F.col("n_tokens"), F.lit("")).otherwise(F.col("masked")).alias("template"),
-    )
-    judged = rows.join(named, [*leaf, "masked"])
-    key = [*leaf, "template"]
+    template = F.when(F.coalesce(agreed, F.lit(0)) >= similar * F.col("n_tokens"), F.lit(0)).otherwise(F.col("line")).alias("template")
+    named = kinds.join(constant, "leaf", "left").select("leaf", "line", template)
+    judged = saved(rows.select("doc_id", "pos", "leaf", "line", "around").join(named, ["leaf", "line"]), "judged")
+    key = ["leaf", "template"]
     recurs = (
         judged.groupBy(*key, "around").agg(F.min("doc_id").alias("doc")).groupBy(*key).agg(F.count_distinct("doc").alias("docs"))
         .where(F.col("docs") >= least)
@@ -75,12 +74,6 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR)
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
-def _by(*names):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*names)
-
-
 def dedup(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """The input with text without recurring lines, and n_lines and n_dropped (lines that are not blank)."""
     gone = dropped_lines(docs, least, similar).withColumnRenamed("doc_id", "gone_id")

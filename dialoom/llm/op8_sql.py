@@ -12,8 +12,8 @@ with raw as (
   from (select doc_id, m, unnest(generate_series(1, len(m))) as i from masked) where m[i] <> ''
 ), kinds as (
   select * from (
-    select *, sum(d) over (partition by n_tokens, lead) as in_leaf from (
-      select n_tokens, lead, masked, count(*) as n, count(distinct doc_id) as d from lines group by all
+    select *, sum(n) over (partition by n_tokens, lead) as in_leaf from (
+      select n_tokens, lead, masked, count(*) as n from lines group by all
     )
   ) where in_leaf >= 10
 ), tokens as (

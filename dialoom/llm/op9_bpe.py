@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
 Pre-tokens of whole texts are found with vectorised character classes. A partition's texts are cut into
-blocks of bounded size; each block sends every distinct pre-token once, keyed by the pre-token, so equal
+blocks of bounded size; each block sends every distinct pre-token once, packed by hash bucket, so equal
 words of all blocks meet in one place, where each distinct word is merged once by the rank table. The ids
 go back to their blocks, where texts (sent there once, compressed) are reassembled by position. Decoding
 joins the token-byte table: ids index its bytes. A hot word costs one row a block, not one an occurrence.
 
-Rows that meet are grouped by (block), bounded by ``block_bytes``, and by word in bounded salts; a text
-longer than a block is a block of its own. The input must be re-readable in the same order (a table
+Rows that meet are grouped by block, bounded by ``block_bytes``; buckets stream. A text longer
+than a block is a block of its own. The input must be re-readable in the same order (a table
 scan): both branches derive block numbers from partition and position.
 
 Defined cases: a null or empty text has no ids; repeated rows and null ids are encoded one by one;
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .store import table
 from .words import mix, powers
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -88,10 +88,10 @@ def split(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Distinct pre-tokens of some texts: hash of each, one place where it stands, and its sequence a text."""
+    """Distinct pre-tokens of some texts in the order (bucket, hash), and each text's sequence of them."""
 
-    def __init__(self, texts: list[str]):
-        self.texts, hashes, self.sizes, where = texts, [], [], []
+    def __init__(self, texts: list[str], buckets: int, sequence: bool):
+        self.texts, hashes, where, self.sizes = texts, [], [], []
         for i, text in enumerate(texts):
             points, start = split(text)
             if len(start):
@@ -100,14 +100,42 @@ class Words:
                 np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=prefix[1:])
                 end = np.r_[start[1:], len(points)]
                 hashes.append(mix((prefix[end] - prefix[start]) * inverse[start]))
-                where.append(np.stack([np.full(len(start), i), start, end], 1).astype(np.int32))
+                if not sequence:
+                    where.append(np.stack([np.full(len(start), i), start, end], 1).astype(np.int32))
             self.sizes.append(len(start))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.hash, first, self.index = np.unique(h, return_index=True, return_inverse=True)
-        self.where = np.concatenate(where)[first] if where else np.zeros((0, 3), np.int32)
-
-    def strings(self) -> list[str]:
-        return [self.texts[i][s:e] for i, s, e in self.where]
+        del hashes
+        if sequence:
+            own, index = np.unique(h, return_inverse=True)
+        else:
+            own, first = np.unique(h, return_index=True)
+        bucket = ((own >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[order]
+        if sequence:
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            self.index = place[index]
+        else:
+            self.where = np.concatenate(where)[first[order]] if where else np.zeros((0, 3), np.int32)
+
+    def by_bucket(self):
+        """(bucket, words)."""
+        edge = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1], True]) if len(self.bucket) else []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            yield int(self.bucket[lo]), [self.texts[i][s:e].encode("utf-8", "surrogatepass") for i, s, e in self.where[lo:hi]]
+
+
+def _pack(parts: list[bytes]) -> bytes:
+    sizes = np.array([len(p) for p in parts], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(parts).to_bytes(4, "little") + sizes + b"".join(parts))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """(sizes, joined parts)."""
+    raw = zstandard.ZstdDecompressor().decompressobj().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 + 4 * n :]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -170,81 +198,82 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BY
     base = docs.select(*keep, "text")
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: fixed size
 
+    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = np.uint16 if len(ranks) <= 1 << 16 else np.uint32
+
     def words(batches):
         def out(block, texts):
-            w = Words(texts)
-            return pd.DataFrame({"block": block, "h": w.hash.view(np.int64), "word": w.strings()})
+            got = [(bucket, block, _pack(words)) for bucket, words in Words(texts, buckets, False).by_bucket()]
+            return pd.DataFrame(got, columns=["bucket", "block", "blob"])
 
-        got, now, size = [], None, 0
+        now, got = None, []
         for block, x in _numbered(batches, "text", block_bytes):
-            if now is not None and block != now or size > 8 << 20:
+            if now is not None and block != now:
                 yield out(now, got)
-                got, size = [], 0
+                got = []
             now = block
-            new = [t for t in x.text if isinstance(t, str)]
-            got += new
-            size += sum(map(len, new))
+            got += [t for t in x.text if isinstance(t, str)]
         if got:
             yield out(now, got)
 
     def encoded(batches):
-        known: dict[str, bytes] = {}
+        known: dict[bytes, bytes] = {}
         for x in batches:
-            ids = []
-            for w in x.word:
-                if (b := known.get(w)) is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    b = known[w] = np.array(merge(w.encode("utf-8", "surrogatepass"), held.value), np.uint16 if len(held.value) <= 1 << 16 else np.uint32).tobytes()
-                ids.append(b)
-            yield pd.DataFrame({"block": x.block, "h": x.h, "ids": ids})
+            blobs = []
+            for blob in x.blob:
+                sizes, raw = _unpack(blob)
+                ends, ids, at = np.cumsum(sizes).tolist(), [], 0
+                for end in ends:
+                    w = raw[at:end]
+                    at = end
+                    if (b := known.get(w)) is None:
+                        if len(known) > 100_000:
+                            known.clear()
+                        b = known[w] = np.array(merge(w, held.value), width).tobytes()
+                    ids.append(b)
+                blobs.append(_pack(ids))
+            yield pd.DataFrame({"block": x.block, "bucket": x.bucket, "blob": blobs})
 
     def packed(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for block, x in _numbered(batches, "text", block_bytes):
             whole = [t if isinstance(t, str) else "" for t in x.text]
-            for i in range(0, len(x), 64):  # groups of texts compress better than single ones
-                part = whole[i : i + 64]
+            for i in range(0, len(x), 128):  # groups of texts compress better than single ones
+                part = whole[i : i + 128]
                 raw = [t.encode("utf-8", "surrogatepass") for t in part]
-                rest = x.iloc[i : i + 64][keep]
+                rest = x.iloc[i : i + 128][keep]
                 yield pd.DataFrame({"block": [block], "rows": [[tuple(r) for r in rest.itertuples(index=False)]], "sizes": [[len(r) for r in raw]], "blob": [press.compress(b"".join(raw))]})
 
     row = T.StructType([base.schema[k] for k in keep])
-    by_word = base.select("text").mapInPandas(words, "block long, h long, word string")
-    # equal words meet and stand together, so that each is merged once
-    by_word = by_word.repartition("h").sortWithinPartitions("h").mapInPandas(encoded, "block long, h long, ids binary")
+    by_word = base.select("text").mapInPandas(words, "bucket int, block long, blob binary")
+    # equal words of all blocks meet in their bucket, so that each is merged once
+    by_word = by_word.repartition("bucket").mapInPandas(encoded, "block long, bucket int, blob binary")
     by_block = base.mapInPandas(packed, T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("blob", T.BinaryType())]))
 
     def assemble(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        width = np.uint16 if len(held.value) <= 1 << 16 else np.uint32
-        known = known.drop_duplicates("h")
-        h = known.h.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(h)
-        h, blobs = h[order], known.ids.to_numpy()[order]
-        sizes = np.array([len(b) for b in blobs], np.int64) // width().itemsize
-        flat = np.frombuffer(b"".join(blobs), width)
-        begin = np.cumsum(sizes) - sizes
-        rows, out = [], []
+        rows, part = [], []
         unpress = zstandard.ZstdDecompressor()
         for r in texts.itertuples(index=False):
-            raw, cut, part = unpress.decompress(r.blob, max_output_size=max(1, int(sum(r.sizes)))) if sum(r.sizes) else b"", 0, []
+            total, cut = int(sum(r.sizes)), 0
+            raw = unpress.decompress(r.blob, max_output_size=total) if total else b""
             for s in r.sizes:
                 part.append(raw[cut : cut + s].decode("utf-8", "surrogatepass"))
                 cut += s
-            w = Words(part)
-            at = np.searchsorted(h, w.hash)
-            if len(w.hash) and (not len(h) or (h[np.minimum(at, len(h) - 1)] != w.hash).any()):
-                raise ValueError("a word of a block came back without ids: the input was not read alike twice")
-            seq, cut = at[w.index], 0
-            for n in w.sizes:
-                k = seq[cut : cut + n]
-                cut += n
-                many = sizes[k]
-                total = int(many.sum())
-                pos = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[k], many)
-                out.append(flat[pos].astype(np.int32))
-            rows += [dict(x) if isinstance(x, dict) else x for x in r.rows]
-        return pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in rows], columns=keep).assign(ids=out)
+            rows += [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in r.rows]
+        w = Words(part, buckets, True)
+        got = [_unpack(b) for b in known.sort_values("bucket").blob]
+        sizes = np.concatenate([g[0] for g in got]) // width().itemsize if got else np.zeros(0, np.int64)
+        if len(sizes) != len(w.bucket):
+            raise ValueError("words of a block came back without ids: the input was not read alike twice")
+        flat = np.frombuffer(b"".join(g[1] for g in got), width)
+        begin, out, cut = np.cumsum(sizes) - sizes, [], 0
+        for n in w.sizes:
+            k = w.index[cut : cut + n]
+            cut += n
+            many = sizes[k]
+            pos = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - begin[k], many)
+            out.append(flat[pos].astype(np.int32))
+        return pd.DataFrame(rows, columns=keep).assign(ids=out)
 
     schema = T.StructType([*row.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return by_block.groupBy("block").cogroup(by_word.groupBy("block")).applyInPandas(assemble, schema)
