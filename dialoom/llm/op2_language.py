@@ -71,7 +71,7 @@ def count(texts: DataFrame, order: int = ORDER) -> pd.DataFrame:
             for lang, group in x.groupby("lang", sort=False):
                 out = []
                 data = np.frombuffer(b"\x00".join([b"", *_bytes(group.text), b""]), np.uint8).astype(np.uint64)
-                for k in range(order + 1):
+                for k in range(min(order + 1, len(data))):
                     gram = np.zeros(len(data) - k, np.uint64)
                     for j in range(k + 1):
                         gram = gram << np.uint64(8) | data[j : len(data) - k + j]
