@@ -15,7 +15,8 @@ STAGES = [
     ("bpe_encode", op9_bpe.stage),
 ]
 
-#: The trees, the exact join and the encoder can't be told in SQL; tests hold run() against brute force.
+#: The trees, the exact join and the encoder can't be told in SQL. Open: a test of run() against brute force; so far only
+#: the join and the encoder are tested so.
 ORACLE_SQL = None
 
 
