@@ -134,3 +134,27 @@ def test_passages(spark):
 def test_lines_are_native(odd):
     plan = op8_lines.dedup(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_window_keys_against_all_subsequences():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((1, 3), (9, 3), (40, 2), (40, 1), (60, 1000)):
+        a, b = (rng.integers(0, kinds, n).astype(np.uint64) for _ in "ab")
+        lo, hi = np.array([0]), np.array([n])
+        trees = [op7_passages.compact_windows(v, lo, hi, 5) for v in (a, b)]
+        _, got = op7_passages.band_keys(*trees, a, b, 0, 5)
+        want = {(a[i:j].min(), b[i:j].min()) for i in range(n) for j in range(i + 5, n + 1)}
+        assert set(got.tolist()) == {int(op7_passages.mix(op7_passages.mix(x + np.uint64(0)) + y)) for x, y in want}
+
+
+def test_passages_among_short_lines(spark):
+    line = " ".join(f"line{i}" for i in range(34))
+    passage = [f"p{i}" for i in range(52)]
+    docs = []
+    for i in range(60):
+        w = [f"a{i}_{k}" for k in range(30 + i)] + line.split() + (passage if i % 20 == 7 else []) + [f"z{i}_{k}" for k in range(70)]
+        docs.append((i, " ".join(w)))
+    got = op7_passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {7, 27, 47}
+    # the line stands right before the passage, so both are one stretch
+    assert all(r.end - r.start == 86 and r.similarity == 1.0 for r in got)
