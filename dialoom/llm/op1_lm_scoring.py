@@ -1,133 +1,167 @@
 """LM scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary: the ``vocabulary`` most frequent words of
-the whole corpus, all others being one unknown word. Background counts come from every document, target
-counts from documents labelled good and not toxic (at most ``target_rows`` of them, smallest id hashes:
-their ids are broadcast). Both are Dirichlet-smoothed with their unigrams. A document's score is the mean
-over its tokens of -log2 p_target + log2 p_background: the lower, the more like the target.
+A target and a background bigram model share one vocabulary: every word of the corpus. Background counts
+come from every document, target counts from every document labelled good and not toxic. Both are
+Dirichlet-smoothed with their unigrams. A document's score is the mean over its tokens of
+-log2 p_target + log2 p_background: the lower, the more like the target.
 
-Counts are summed in the tasks and then by key in Spark, so what is gathered grows with the corpus;
-the finished table holds vocabulary**2 loss differences at most (16 MB), whatever the corpus, and is
-what the scoring tasks share.
+Documents are written once as compressed blocks. A block sends each distinct word and pair once,
+as a 64-bit hash with its counts, packed by hash bucket; a bucket sums the counts of all blocks and
+sends the sums back to the blocks that asked, where the texts are read again and scored. So a frequent pair
+costs a row a block, buckets grow in number with the blocks and not in size, and no table of the models is
+gathered in one place. Target documents are marked by a join of the blocks' ids.
 
 Words are maximal runs of letters, digits and non-ASCII bytes, ASCII-lower-cased.
 
 Defined cases: null, empty and word-less texts have 0 tokens and score 0; without target documents the
-target model is its prior; ties at the vocabulary's end go to the smaller hash; repeated rows and null
-ids count and score like others; an empty table gives an empty result; extra columns are ignored.
+target model is its prior; repeated rows and null ids count and score like others; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table
-from .words import Block, blocks
+from .store import saved, table
+from .words import Block, blocks, mix
 
 _OUT = np.ones(256, bool)
 _OUT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-START, UNKNOWN = 0, 1
+START = np.uint64(0)
+WORD, BEGIN, PAIR = range(3)
+#: At least 2**LEAST_BITS buckets, and one for each BLOCKS_A_BUCKET blocks.
+LEAST_BITS, BLOCKS_A_BUCKET = 6, 2
 
 
-def vocabulary_of(docs: DataFrame, vocabulary: int) -> np.ndarray:
-    """Sorted hashes of the most frequent words."""
+def packed(docs: DataFrame) -> DataFrame:
+    """(block, ids: as text, sizes, blob): the documents in blocks."""
 
     def run(batches):
+        packer, k = zstandard.ZstdCompressor(), TaskContext.get().partitionId() << 32
         for x in batches:
-            h = [Block(block, lower=True, separators=_OUT).h for _, block in blocks(x.text)]
-            if h:
-                key, n = np.unique(np.concatenate(h), return_counts=True)
-                yield pd.DataFrame({"h": key.view(np.int64), "n": n})
+            ids = [None if pd.isna(i) else i for i in x.doc_id]
+            for first, block in blocks(x.text, 1 << 22):
+                yield pd.DataFrame({"block": [k], "ids": [ids[first : first + len(block)]], "sizes": [[len(t) for t in block]], "blob": [packer.compress(b"".join(block))]})
+                k += 1
 
-    counts = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(vocabulary - 2).toPandas()
-    return np.sort(top.h.to_numpy(np.int64).view(np.uint64))
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "block long, ids array<string>, sizes array<int>, blob binary")
 
 
-def pair_ids(b: Block, known: np.ndarray) -> np.ndarray:
-    """Code of (previous word, word) for each word."""
-    if not len(known):
-        ids = np.full(len(b.h), UNKNOWN, np.int64)
-    else:
-        at = np.minimum(np.searchsorted(known, b.h), len(known) - 1)
-        ids = np.where(known[at] == b.h, at + 2, UNKNOWN)
-    before = np.r_[START, ids[:-1]] if len(ids) else ids
-    before[b.word_start[b.word_end > b.word_start]] = START
-    return before * (len(known) + 2) + ids
+def unpacked(sizes, blob: bytes) -> Block:
+    total = int(sum(sizes))
+    raw = zstandard.decompress(blob, max_output_size=total) if total else b""
+    end = np.cumsum(sizes)
+    return Block([raw[e - s : e] for s, e in zip(sizes, end, strict=True)], lower=True, separators=_OUT)
 
 
-def bigrams(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """(pair, background, target) of documents (text, target: boolean)."""
-    held = docs.sparkSession.sparkContext.broadcast(known)
+def press(values: np.ndarray) -> bytes:
+    """64-bit values, compressed by byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i8", copy=False)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
-    def run(batches):
-        for x in batches:
-            parts = []
-            for first, block in blocks(x.text):
-                b = Block(block, lower=True, separators=_OUT)
-                flag = x.target.to_numpy(bool)[first : first + b.n][b.doc]
-                parts.append(np.stack([pair_ids(b, held.value), flag]))
-            if parts:
-                pair, flag = np.concatenate(parts, 1)
-                key, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-                yield pd.DataFrame({"pair": key, "background": n, "target": np.bincount(back, flag, len(key)).astype(np.int64)})
-
-    return docs.select("text", "target").mapInPandas(run, "pair long, background long, target long").groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def loss_differences(counts: DataFrame, size: int, prior: float) -> np.ndarray:
-    """[before, word] -log2 p_target + log2 p_background."""
-    by_word = counts.groupBy((F.col("pair") % size).cast("int").alias("w")).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).toPandas()
-    by_context = counts.groupBy(F.floor(F.col("pair") / size).cast("int").alias("w")).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).toPandas()
-    uni, context = np.zeros((2, size)), np.zeros((2, size))
-    for k, c in enumerate("bt"):
-        uni[k, by_word.w], context[k, by_context.w] = by_word[c], by_context[c]
-    uni = (uni + 1) / (uni.sum(1, keepdims=True) + size)
-    out = np.empty((size, size), np.float32)
-    for w in range(size):  # what unseen pairs cost, a row at a time
-        out[w] = np.log2(prior * uni[0] / (context[0, w] + prior)) - np.log2(prior * uni[1] / (context[1, w] + prior))
-    held = counts.sparkSession.sparkContext.broadcast((uni, context))
-
-    def seen(batches):
-        for x in batches:
-            u, c = held.value
-            before, word = x["pair"].to_numpy() // size, x["pair"].to_numpy() % size
-            p = [(n + prior * u[k, word]) / (c[k, before] + prior) for k, n in enumerate((x.background.to_numpy(float), x.target.to_numpy(float)))]
-            yield pd.DataFrame({"pair": x["pair"].astype(np.int32), "d": (np.log2(p[0]) - np.log2(p[1])).astype(np.float32)})
 
-    pairs = counts.mapInPandas(seen, "pair int, d float").toPandas()  # at most vocabulary**2 rows of 8 bytes
-    out.flat[pairs["pair"].to_numpy()] = pairs.d
-    return out
+def unpress(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def score(docs: DataFrame, labels: DataFrame, vocabulary: int = 2048, target_rows: int = 20_000, prior: float = 50.0) -> DataFrame:
-    """doc_id, n_tokens, score: mean cross-entropy difference in bits a token."""
-    from .store import saved
+def keys(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the block's words, start and pairs (the kind in the last two bits), and each word's, context's and pair's place."""
+    if not len(b.h):
+        return b.h, *[np.zeros(0, np.int64)] * 3
+    m, first = len(b.h), b.word_start[b.word_end > b.word_start]
+    before = np.r_[START, b.h[:-1]]
+    before[first] = START
+    of = lambda kind, x: (mix(x) & ~np.uint64(3)) | np.uint64(kind)
+    key, back = np.unique(np.concatenate([of(WORD, b.h), of(BEGIN, np.array([START])), of(PAIR, mix(before + np.uint64(1)) + b.h)]), return_inverse=True)
+    context = np.r_[back[m], back[: m - 1]]
+    context[first] = back[m]
+    return key, back[:m], context, back[m + 1 :]
 
-    known = vocabulary_of(docs, vocabulary)
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0")
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).select(F.col("doc_id").alias("good_id"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").withColumn("target", F.col("good_id").isNotNull())
-    size = len(known) + 2
-    counts = saved(bigrams(marked, known), "bigrams")
-    held = docs.sparkSession.sparkContext.broadcast((known, loss_differences(counts, size, prior)))
+
+def tallies(marked: DataFrame, bits: int) -> DataFrame:
+    """(bucket, block, keys, counts) of blocks with the places of their target documents.
+
+    Counts are four to a key: background and target, and how often of these the word ends a document and is no context.
+    """
 
     def run(batches):
         for x in batches:
-            n, total = [], []
-            for _, block in blocks(x.text):
-                b = Block(block, lower=True, separators=_OUT)
-                d = held.value[1].ravel()[pair_ids(b, held.value[0])]
-                n.append(b.word_end - b.word_start)
-                total.append(np.bincount(b.doc, d, b.n))
-            n, total = (np.concatenate(v) if v else np.zeros(0) for v in (n, total))
-            yield pd.DataFrame({"doc_id": x.doc_id, "n_tokens": n.astype(np.int64), "score": total / np.maximum(1, n)})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, score double")
+            for r in x.itertuples(index=False):
+                b = unpacked(r.sizes, r.blob)
+                key, word, context, pair = keys(b)
+                flag = np.zeros(b.n, bool)
+                if r.good is not None:
+                    flag[np.asarray(r.good, np.int64)] = True
+                full = b.word_end > b.word_start
+                at = np.r_[word, pair, context[b.word_start[full]]]
+                target = np.r_[flag[b.doc], flag[b.doc], flag[full]]
+                last = word[b.word_end[full] - 1]
+                n = np.stack([np.bincount(i, w, len(key)) for i, w in ((at, None), (at, target), (last, None), (last, flag[full]))]).astype(np.int64)
+                bucket, edge = np.unique(key >> np.uint64(64 - bits), return_index=True)
+                edge = np.r_[edge, len(key)]
+                out = [
+                    (int(k), r.block, press(np.r_[key[i : i + 1], np.diff(key[i:j])].view(np.int64)), press(n[:, i:j].ravel()))
+                    for k, i, j in zip(bucket, edge[:-1], edge[1:], strict=True)
+                ]
+                yield pd.DataFrame(out, columns=["bucket", "block", "keys", "counts"])
+
+    return marked.select("block", "sizes", "blob", "good").mapInPandas(run, "bucket int, block long, keys binary, counts binary")
+
+
+def summed(tally: DataFrame) -> DataFrame:
+    """(bucket, block, sums, words, background, target): each block's keys in all blocks; the last three tell of a bucket's words, once."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        own = [np.cumsum(unpress(k).view(np.uint64)) for k in x["keys"]]
+        counts = [unpress(c).reshape(4, -1) for c in x.counts]
+        key, back = np.unique(np.concatenate(own), return_inverse=True)
+        n = np.stack([np.bincount(back, c, len(key)) for c in np.concatenate(counts, 1)]).astype(np.int64)
+        word = (key & np.uint64(3)) == WORD
+        edge = np.cumsum([0, *map(len, own)])
+        told = np.zeros((3, len(x)), np.int64)
+        told[:, 0] = word.sum(), *n[:2, word].sum(1)
+        sums = [press(n[:, back[i:j]].ravel()) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame({"bucket": x.bucket, "block": x.block, "sums": sums, "words": told[0], "background": told[1], "target": told[2]})
+
+    return tally.groupBy("bucket").applyInPandas(run, "bucket int, block long, sums binary, words long, background long, target long")
+
+
+def score(docs: DataFrame, labels: DataFrame, prior: float = 50.0) -> DataFrame:
+    """doc_id, n_tokens, score: mean cross-entropy difference in bits a token."""
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and t = 0")
+    good = good.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).cast("string").alias("id"))
+    parts = saved(packed(docs), "blocks")
+    places = parts.select("block", F.posexplode("ids").alias("at", "id")).join(good, "id").groupBy("block").agg(F.collect_list("at").alias("good"))
+    places = saved(places, "places")  # with its size known, the texts move only if it is large
+    bits = max(LEAST_BITS, (parts.count() // BLOCKS_A_BUCKET).bit_length())
+    sums = saved(summed(tallies(parts.join(places, "block", "left"), bits)), "sums")
+    told = sums.agg(F.sum("words"), F.sum("background"), F.sum("target")).first()
+    words, *total = (x or 0 for x in told)
+
+    def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            raise ValueError("sums of a block without texts")
+        ids, sizes, blob = texts[["ids", "sizes", "blob"]].iloc[0]
+        b = unpacked(sizes, blob)
+        key, word, context, pair = keys(b)
+        got = [unpress(x).reshape(4, -1) for x in known.sort_values("bucket").sums]
+        n = np.concatenate(got, 1).astype(float) if got else np.zeros((4, 0))
+        if n.shape[1] != len(key):
+            raise ValueError("keys of a block came back without sums")
+        p = []
+        for k in range(2):
+            unigram = (n[k, word] + 1) / (total[k] + words)
+            p.append((n[k, pair] + prior * unigram) / ((n[k] - n[k + 2])[context] + prior))
+        count = b.word_end - b.word_start
+        mean = np.bincount(b.doc, np.log2(p[0]) - np.log2(p[1]), b.n) / np.maximum(1, count)
+        return pd.DataFrame({"doc_id": list(ids), "n_tokens": count.astype(np.int64), "score": mean})
+
+    out = parts.groupBy("block").cogroup(sums.select("bucket", "block", "sums").groupBy("block")).applyInPandas(run, "doc_id string, n_tokens long, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,31 @@ def test_passages_among_short_lines(spark):
     assert {r.doc_id for r in got} == {7, 27, 47}
     # the line stands right before the passage, so both are one stretch
     assert all(r.end - r.start == 86 and r.similarity == 1.0 for r in got)
+
+
+def test_scores_against_counts_of_all_words(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(7)
+    docs = [(i, " ".join(f"w{int(rnd.paretovariate(0.25)) % 6000}" for _ in range(rnd.randrange(60, 120)))) for i in range(150)] + [(None, "w1 w2 rare"), (150, None)]
+    good = set(range(0, 150, 3))
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    uni, ctx, pair = ([Counter(), Counter()] for _ in range(3))
+    for i, t in docs:
+        w = (t or "").split()
+        for k in (0, 1) if i in good else (0,):
+            uni[k].update(w)
+            ctx[k].update([None, *w][: len(w)])
+            pair[k].update(zip([None, *w], w))  # noqa: B905
+    assert len(uni[0]) > 2048
+    want = {}
+    for i, t in docs:
+        w, total = (t or "").split(), 0.0
+        for c, x in zip([None, *w], w):  # noqa: B905
+            p = [(pair[k][c, x] + 50 * (uni[k][x] + 1) / (uni[k].total() + len(uni[0]))) / (ctx[k][c] + 50) for k in (0, 1)]
+            total += np.log2(p[0]) - np.log2(p[1])
+        want[i] = (len(w), total / max(1, len(w)))
+    got = {r.doc_id: (r.n_tokens, r.score) for r in op1_lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
