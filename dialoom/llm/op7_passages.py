@@ -14,8 +14,8 @@ short line, are grouped anew by further hashes of the stretches around the key's
 tokens that holds the place holds one of a few stretches of nearly that length whole, so verbatim passages
 stay together and short lines part. Stretches lengthen for two rounds; what is still together then is compared
 with twice the representatives each round, until no group has two documents left. So a passage shared by a
-third of all documents costs a few rows each, and none is skipped. Verification aligns shared shingles and
-takes passages of at least ``WORDS`` words whose shingle sets have a Jaccard similarity of ``SIMILAR``.
+third of all documents costs a few rows each, and none is skipped. Verification chains the runs
+of shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a Jaccard similarity of ``SIMILAR``.
 
 Defined cases: null, empty and short texts have no passages; null ids are ignored; rows of a repeated id
 count as one document (its smallest text); an empty table gives an empty result; extra columns are ignored.
@@ -153,38 +153,84 @@ def refined(rest: DataFrame, texts: DataFrame, step: int) -> DataFrame:
     return wanted.join(texts, "doc_id").select("doc_id", "roots", "text").mapInPandas(run, "key long, root long, doc_id long")
 
 
+def diagonals(s: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """(start in s, start in r, length) of all longest runs of equal tokens, ordered by the first."""
+    order = np.argsort(r, kind="stable")
+    low, high = np.searchsorted(r, s, sorter=order), np.searchsorted(r, s, "right", sorter=order)
+    many = high - low
+    first, last = [], []
+    # so many matches at a time, that memory holds no more than the runs
+    edges = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(many) // PAIRS]))
+    for lo, hi in zip(edges, [*edges[1:], len(s)], strict=True):
+        n = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[lo:hi], n)]
+        opens = (i == 0) | (j == 0) | (s[i - 1] != r[j - 1])
+        closes = (i == len(s) - 1) | (j == len(r) - 1) | (s[np.minimum(i + 1, len(s) - 1)] != r[np.minimum(j + 1, len(r) - 1)])
+        first.append(np.stack([i[opens], j[opens]], 1))
+        last.append(np.stack([i[closes], j[closes]], 1))
+    first, last = np.concatenate(first), np.concatenate(last)
+    # on a diagonal the k-th start belongs to the k-th end
+    first, last = (x[np.lexsort((x[:, 0], x[:, 1] - x[:, 0]))] for x in (first, last))
+    runs = np.c_[first, last[:, 0] - first[:, 0] + 1]
+    return runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+
+
+def chains(runs: np.ndarray, most: int = 4 * SHINGLE) -> list[np.ndarray]:
+    """Runs that follow each other in both sequences within ``most`` tokens, as lists of row numbers; each run is in one, the heaviest it has."""
+    i, j, n = runs.T
+    weight, before, used = n.copy(), np.full(len(n), -1), np.zeros(len(n), bool)
+    for k in range(1, len(n)):
+        ok = (i[k] - i[:k] - n[:k] <= most) & (np.abs(j[k] - j[:k] - n[:k]) <= most) & (i[:k] + n[:k] < i[k] + n[k]) & (j[:k] < j[k]) & (j[:k] + n[:k] < j[k] + n[k])
+        at = np.flatnonzero(ok)
+        if len(at):
+            gain = weight[at] + np.minimum(n[k], np.minimum(i[k] + n[k] - i[at] - n[at], j[k] + n[k] - j[at] - n[at]))
+            best = gain.argmax()
+            if gain[best] > n[k]:
+                weight[k], before[k] = gain[best], at[best]
+    out = []
+    for k in np.argsort(-weight, kind="stable"):
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append(k)
+            k = before[k]
+        if chain:
+            out.append(np.array(chain[::-1]))
+    return out
+
+
 def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
-    """Passages (start, end, start, end, similarity) in words of two shingle sequences."""
+    """Passages (start, end, start, end, similarity) in words of two shingle sequences.
+
+    Every place of a shared shingle counts, by its run; a passage is given if it covers words of either text that none
+    of more shingles covers.
+    """
     if not len(s) or not len(r):
         return []
-    order = np.argsort(r, kind="stable")
-    low, high = np.searchsorted(r, s, sorter=order), np.searchsorted(r, s, "right", sorter=order)
-    hit = np.flatnonzero(high > low)
-    if not len(hit):
+    runs = diagonals(s, r)
+    if not len(runs):
         return []
-    # the k-th time a shingle is met maps to its k-th place, or its last
-    by = np.argsort(s, kind="stable")
-    nth = np.empty(len(s), np.int64)
-    new = np.r_[True, s[by][1:] != s[by][:-1]]
-    nth[by] = np.arange(len(s)) - np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-    place = order[np.minimum(low[hit] + nth[hit], high[hit] - 1)]
-    # shingles between neighbouring matches that only one side has; a run is cut at the widest until it is similar
-    gap = np.maximum(np.diff(hit) - 1, np.abs(np.diff(place) - 1))
-    out, open_runs = [], [run for run in np.split(np.arange(len(hit)), np.flatnonzero(gap > 4 * SHINGLE) + 1)]
-    while open_runs:
-        run = open_runs.pop()
-        i, j = hit[run[0]], hit[run[-1]] + 1
-        if j - i + SHINGLE - 1 < words:
-            continue
-        p, q = place[run].min(), place[run].max() + 1
-        x, y = np.unique(s[i:j]), np.unique(r[p:q])
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        score = both / (len(x) + len(y) - both)
-        if score >= similar and q - p + SHINGLE - 1 >= words:
-            out.append((int(i), int(j) + SHINGLE - 1, int(p), int(q) + SHINGLE - 1, float(score)))
-        elif len(run) > 1 and (wide := gap[run[:-1]]).max() > 0:
-            cut = int(wide.argmax()) + 1
-            open_runs += [run[:cut], run[cut:]]
+    out, seen, seen_rep = [], np.zeros(len(s), bool), np.zeros(len(r), bool)
+    # a chain is cut where its gap is widest until it is similar
+    for chain in chains(runs):
+        open_chains = [chain]
+        while open_chains:
+            rows = open_chains.pop()
+            x = runs[rows]
+            i, j, p, q = x[0, 0], x[-1, :].take([0, 2]).sum(), x[0, 1], x[-1, 1:].sum()
+            if min(j - i, q - p) + SHINGLE - 1 < words or (seen[i:j].all() and seen_rep[p:q].all()):
+                continue
+            one, two = np.unique(s[i:j]), np.unique(r[p:q])
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            score = both / (len(one) + len(two) - both)
+            if score >= similar:
+                seen[i:j] = seen_rep[p:q] = True
+                out.append((int(i), int(j) + SHINGLE - 1, int(p), int(q) + SHINGLE - 1, float(score)))
+            elif len(x) > 1:
+                gap = np.maximum(x[1:, 0] - x[:-1, 0], x[1:, 1] - x[:-1, 1]) - x[:-1, 2]
+                cut = int(gap.argmax()) + 1
+                open_chains += [rows[:cut], rows[cut:]]
     return sorted(out)
 
 

@@ -186,3 +186,15 @@ def test_scores_against_counts_of_all_words(spark):
     got = {r.doc_id: (r.n_tokens, r.score) for r in op1_lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels).collect()}
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_passage_after_its_own_fragment():
+    word = lambda text: np.array([hash(tuple(text[k : k + 5])) & (1 << 63) - 1 for k in range(len(text) - 4)], np.uint64)
+    a = [f"a{k}" for k in range(60)]
+    rep = a[:30] + [f"x{k}" for k in range(100)] + a
+    assert op7_passages.align(word(a), word(rep)) == [(0, 60, 130, 190, 1.0)]
+    assert op7_passages.align(word(rep), word(a)) == [(130, 190, 0, 60, 1.0)]
+    changed = a[:40] + ["new"] + a[40:]
+    assert [p[:4] for p in op7_passages.align(word(a * 2), word(rep[:90] + changed * 2), similar=0.7)] == [(0, 120, 90, 212)]
+    same = ["b"] * 3000
+    assert op7_passages.align(word(same), word(same)) == [(0, 3000, 0, 3000, 1.0)]
