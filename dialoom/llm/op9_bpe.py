@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
 Pre-tokens of whole texts are found with vectorised character classes. A partition's texts are cut into
-blocks of bounded size; each block sends every distinct pre-token once, packed by hash bucket, so equal
-words of all blocks meet in one place, where each distinct word is merged once by the rank table. The ids
-go back to their blocks, where texts (sent there once, compressed) are reassembled by position. Decoding
-joins the token-byte table: ids index its bytes. A hot word costs one row a block, not one an occurrence.
-
-Rows that meet are grouped by block, bounded by ``block_bytes``; buckets stream. A text longer
-than a block is a block of its own. The input must be re-readable in the same order (a table
-scan): both branches derive block numbers from partition and position.
-
-Defined cases: a null or empty text has no ids; repeated rows and null ids are encoded one by one;
-an empty table gives an empty result; lone surrogates cannot occur in Spark strings.
+blocks of bounded size; each block sends every distinct pre-token once, packed by hash bucket. A bucket
+gathers its words from all blocks and merges each distinct word once by the rank table; buckets grow in
+number with the blocks, so a bucket holds no more words than ``BLOCKS_A_BUCKET`` blocks bring. The ids are
+joined back to their blocks, where texts (sent there once, compressed) are reassembled by position. Decoding
+joins ids with the broadcast token-byte table. A hot word costs one entry a block, not one an occurrence.
+
+Rows that meet are grouped by block, bounded by ``block_chars``. A text longer than a block is a block of
+its own. The input must be re-readable in the same order (a table scan): both branches derive block numbers
+from partition and position; if they differ, the job fails and gives no wrong ids.
+
+Defined cases: a null or empty text has no ids; a very long text is encoded whole, as one block; repeated
+rows and null ids are encoded one by one; an empty table gives an empty result; columns that are not asked
+for are ignored; lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import types as T
 from .store import table
 from .words import mix, powers
 
-BLOCK_BYTES = 16 << 20
+#: Characters of a block; blocks whose words meet in one bucket; the least number of buckets.
+BLOCK_CHARS, BLOCKS_A_BUCKET, LEAST_BUCKETS = 4 << 20, 32, 64
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 
 
@@ -192,13 +195,29 @@ def _numbered(batches, column: str, limit: int):
             block, size, at = block + 1, 0, stop
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (and ``extra`` columns), ids array<int> of every document."""
-    keep = ["doc_id", *extra]
-    base = docs.select(*keep, "text")
-    held = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: fixed size
+def _bytes_by_id(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table as (bytes, start, size), indexed by id."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for b, i in ranks.items():
+        table[i] = b
+    size = np.array([len(b) for b in table], np.int64)
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs [start, start + size) of flat, one after the other."""
+    return flat[np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)]
+
 
-    buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _from_blocks(docs: DataFrame, ranks: dict[bytes, int], block_chars: int, keep: list[str], fields: list[T.StructField], finish) -> DataFrame:
+    """``keep`` columns and what ``finish`` (ids of some texts to columns) gives of every document."""
+    spark = docs.sparkSession
+    # ids pass pandas as text: beside a null, pandas would make floating point of them
+    base = docs.select(*(F.col(f"`{k}`").cast("string").alias(k) for k in keep), "text")
+    held = spark.sparkContext.broadcast(ranks)  # a vocabulary file: fixed size
+    # buckets grow with the blocks, so that a bucket's words are those of BLOCKS_A_BUCKET blocks
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, int(chars) // block_chars // BLOCKS_A_BUCKET)
     width = np.uint16 if len(ranks) <= 1 << 16 else np.uint32
 
     def words(batches):
@@ -207,7 +226,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BY
             return pd.DataFrame(got, columns=["bucket", "block", "blob"])
 
         now, got = None, []
-        for block, x in _numbered(batches, "text", block_bytes):
+        for block, x in _numbered(batches, "text", block_chars):
             if now is not None and block != now:
                 yield out(now, got)
                 got = []
@@ -216,39 +235,35 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BY
         if got:
             yield out(now, got)
 
-    def encoded(batches):
+    def encoded(x: pd.DataFrame) -> pd.DataFrame:
         known: dict[bytes, bytes] = {}
-        for x in batches:
-            blobs = []
-            for blob in x.blob:
-                sizes, raw = _unpack(blob)
-                ends, ids, at = np.cumsum(sizes).tolist(), [], 0
-                for end in ends:
-                    w = raw[at:end]
-                    at = end
-                    if (b := known.get(w)) is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        b = known[w] = np.array(merge(w, held.value), width).tobytes()
-                    ids.append(b)
-                blobs.append(_pack(ids))
-            yield pd.DataFrame({"block": x.block, "bucket": x.bucket, "blob": blobs})
+        blobs = []
+        for blob in x.blob:
+            sizes, raw = _unpack(blob)
+            ids, at = [], 0
+            for end in np.cumsum(sizes).tolist():
+                w = raw[at:end]
+                at = end
+                if (b := known.get(w)) is None:
+                    b = known[w] = np.array(merge(w, held.value), width).tobytes()
+                ids.append(b)
+            blobs.append(_pack(ids))
+        return pd.DataFrame({"block": x.block, "bucket": x.bucket, "blob": blobs})
 
     def packed(batches):
         press = zstandard.ZstdCompressor(level=6)
-        for block, x in _numbered(batches, "text", block_bytes):
+        for block, x in _numbered(batches, "text", block_chars):
             whole = [t if isinstance(t, str) else "" for t in x.text]
             for i in range(0, len(x), 128):  # groups of texts compress better than single ones
-                part = whole[i : i + 128]
-                raw = [t.encode("utf-8", "surrogatepass") for t in part]
-                rest = x.iloc[i : i + 128][keep]
-                yield pd.DataFrame({"block": [block], "rows": [[tuple(r) for r in rest.itertuples(index=False)]], "sizes": [[len(r) for r in raw]], "blob": [press.compress(b"".join(raw))]})
+                raw = [t.encode("utf-8", "surrogatepass") for t in whole[i : i + 128]]
+                rest = x.iloc[i : i + 128][keep].astype(object)
+                rows = [[None if pd.isna(v) else v for v in r] for r in rest.itertuples(index=False)]
+                yield pd.DataFrame({"block": [block], "rows": [rows], "sizes": [[len(r) for r in raw]], "blob": [press.compress(b"".join(raw))]})
 
-    row = T.StructType([base.schema[k] for k in keep])
     by_word = base.select("text").mapInPandas(words, "bucket int, block long, blob binary")
-    # equal words of all blocks meet in their bucket, so that each is merged once
-    by_word = by_word.repartition("bucket").mapInPandas(encoded, "block long, bucket int, blob binary")
-    by_block = base.mapInPandas(packed, T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("blob", T.BinaryType())]))
+    # equal words of all blocks meet in their bucket, so that each distinct word is merged once
+    by_word = by_word.groupBy("bucket").applyInPandas(encoded, "block long, bucket int, blob binary")
+    by_block = base.mapInPandas(packed, "block long, rows array<array<string>>, sizes array<int>, blob binary")
 
     def assemble(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows, part = [], []
@@ -259,7 +274,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BY
             for s in r.sizes:
                 part.append(raw[cut : cut + s].decode("utf-8", "surrogatepass"))
                 cut += s
-            rows += [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in r.rows]
+            rows += [list(x) for x in r.rows]
         w = Words(part, buckets, True)
         got = [_unpack(b) for b in known.sort_values("bucket").blob]
         sizes = np.concatenate([g[0] for g in got]) // width().itemsize if got else np.zeros(0, np.int64)
@@ -270,49 +285,48 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], block_bytes: int = BLOCK_BY
         for n in w.sizes:
             k = w.index[cut : cut + n]
             cut += n
-            many = sizes[k]
-            pos = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - begin[k], many)
-            out.append(flat[pos].astype(np.int32))
-        return pd.DataFrame(rows, columns=keep).assign(ids=out)
+            out.append(_gather(flat, begin[k], sizes[k]).astype(np.int32))
+        return pd.DataFrame(rows, columns=keep).assign(**finish(out))
 
-    schema = T.StructType([*row.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return by_block.groupBy("block").cogroup(by_word.groupBy("block")).applyInPandas(assemble, schema)
+    row = [T.StructField(k, T.StringType()) for k in keep]
+    out = by_block.groupBy("block").cogroup(by_word.groupBy("block")).applyInPandas(assemble, T.StructType([*row, *fields]))
+    return out.withColumns({k: F.col(f"`{k}`").cast(docs.schema[k].dataType) for k in keep})
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK_CHARS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id (and ``extra`` columns of plain types), ids array<int> of every document."""
+    return _from_blocks(docs, ranks, block_chars, ["doc_id", *extra], [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda ids: {"ids": ids})
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The input with decoded (binary): bytes of the ids by the token-byte table."""
+    """The input with decoded (binary): the ids joined with the broadcast token-byte table, in their order."""
     held = encoded.sparkSession.sparkContext.broadcast(ranks)
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
-    def run(batches):
-        by_id = [b""] * (max(held.value.values()) + 1)
-        for b, i in held.value.items():
-            by_id[i] = b
-        for x in batches:
-            yield x.assign(decoded=[b"".join(map(by_id.__getitem__, ids)) for ids in x.ids])
+    @F.pandas_udf("binary")
+    def joined(ids: pd.Series) -> pd.Series:
+        flat, start, size = _bytes_by_id(held.value)
+        return ids.map(lambda k: _gather(flat, start[k], size[k]).tobytes(), na_action="ignore")
 
-    return encoded.mapInPandas(run, schema)
+    return encoded.withColumn("decoded", joined("ids"))
 
 
-def digest(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256; ids and bytes stay in the task that made them."""
-    held = encoded.sparkSession.sparkContext.broadcast(ranks)
-    kept = [f for f in encoded.schema.fields if f.name != "ids"]
-    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digest(docs: DataFrame, ranks: dict[bytes, int], block_chars: int = BLOCK_CHARS, extra: tuple[str, ...] = (), ids: bool = False) -> DataFrame:
+    """doc_id, ``extra`` columns, n_tokens, ids_sha256 and decoded_sha256 (and ids): digests are made in the task that joins a block."""
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
-    def run(batches):
-        by_id = [b""] * (max(held.value.values()) + 1)
-        for b, i in held.value.items():
-            by_id[i] = b
-        for x in batches:
-            n, a, b = [], [], []
-            for ids in x.ids:
-                n.append(len(ids))
-                a.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
-                b.append(hashlib.sha256(b"".join(map(by_id.__getitem__, ids))).hexdigest())
-            yield x.drop(columns="ids").assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
+    def finish(all_ids):
+        flat, start, size = _bytes_by_id(held.value)
+        out = {
+            "n_tokens": [len(k) for k in all_ids],
+            "ids_sha256": [hashlib.sha256(k.astype("<u4").tobytes()).hexdigest() for k in all_ids],
+            "decoded_sha256": [hashlib.sha256(_gather(flat, start[k], size[k]).tobytes()).hexdigest() for k in all_ids],
+        }
+        return out | ({"ids": all_ids} if ids else {})
 
-    return encoded.mapInPandas(run, schema)
+    return _from_blocks(docs, ranks, block_chars, ["doc_id", *extra], fields, finish)
 
 
 def vocabulary() -> dict[bytes, int]:
@@ -322,11 +336,12 @@ def vocabulary() -> dict[bytes, int]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary()
-    return digest(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    return digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as training input: doc_id, lang, source, ids, n_tokens."""
-    ranks = vocabulary()
-    return encode(docs, ranks, extra=("lang", "source")).withColumn("n_tokens", F.size("ids").cast("long"))
+    """The corpus as training input: doc_id, lang, source, n_tokens, ids, and the digests of ids and of their decoded bytes.
+
+    A null text has no ids; repeated rows and null ids are encoded one by one; other columns of docs are left out.
+    """
+    return digest(docs, vocabulary(), extra=("lang", "source"), ids=True)

@@ -39,7 +39,7 @@ def runs(docs, labels, items):
     return {
         1: op1_lm_scoring.score(docs, labels), 2: op2_language.predict(docs, op2_language.fit(docs)), 3: op3_pii.extract(docs),
         4: op4_decontaminate.contaminated(docs, items), 5: op5_jaccard.join(docs), 6: op6_quality.score(docs, op6_quality.fit(docs, labels)),
-        7: op7_passages.passages(docs), 8: op8_lines.dedup(docs), 9: op9_bpe.digest(op9_bpe.encode(docs, ranks), ranks),
+        7: op7_passages.passages(docs), 8: op8_lines.dedup(docs), 9: op9_bpe.digest(docs, ranks),
         10: op10_toxicity.score(docs, op10_toxicity.fit(docs, labels)),
     }
 
@@ -83,7 +83,7 @@ def test_encoding_as_tiktoken(odd):
 
     ranks = op9_bpe.vocabulary()
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = sorted((r.ids_sha256, r.decoded_sha256) for r in op9_bpe.digest(op9_bpe.encode(odd, ranks), ranks).collect())
+    got = sorted((r.ids_sha256, r.decoded_sha256) for r in op9_bpe.digest(odd, ranks).collect())
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert got == sorted((sha(np.array(enc.encode_ordinary(r[1] or ""), "<u4").tobytes()), sha((r[1] or "").encode())) for r in ROWS)
 
