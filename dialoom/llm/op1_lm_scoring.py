@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved, table
+from .store import press, saved, table, unpress
 from .words import Block, blocks, mix
 
 _OUT = np.ones(256, bool)
@@ -59,15 +59,6 @@ def unpacked(sizes, blob: bytes) -> Block:
     return Block([raw[e - s : e] for s, e in zip(sizes, end, strict=True)], lower=True, separators=_OUT)
 
 
-def press(values: np.ndarray) -> bytes:
-    """64-bit values, compressed by byte planes."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<i8", copy=False)).view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpress(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel()
-
-
 def keys(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the block's words, start and pairs (the kind in the last two bits), and each word's, context's and pair's place."""
     if not len(b.h):

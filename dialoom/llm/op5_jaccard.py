@@ -1,142 +1,69 @@
-"""N-gram Jaccard join in metric space: pivots, regions, triangle-inequality windows, exact recursion.
-
-Documents are sets of hashed word shingles under the Jaccard distance. On shingles of natural text
-nearly all distances to any fixed pivot lie just under 1, so regions cut on whole sets would replicate
-every document everywhere. The space is therefore cut first into sub-universes of shingles: if two sets
-of sizes a and b are within the radius, at most k = (a+b)(1-t)/(1+t) shingles differ, so among k+1
-sub-universes they agree wholly in one. There, documents at distance 0 form a region. Sizes a radius
-apart can't link (the triangle inequality against the empty set), so sub-universes are laid out by size
-class, and a document near the upper end of its class is replicated into the next.
-
-In each region the document with the most company is its pivot; documents that share regions with a
-pivot are its Voronoi cell. All distances to the pivot are computed exactly, which links the near ones.
-Two documents of a cell that are both near their pivot are already connected. The others are joined
-recursively: each document is re-expressed by its difference from the pivot; a link needs these
-differences to overlap, by the triangle inequality at least in |difference| minus the radius, so a
-prefix-filtered join on the differences' elements finds every remaining candidate, and an exact check
-ends it. Equal sets are collapsed before any pair is formed.
-
-A region's rows are ids and hashes; a count over them streams and spills, and texts move only for cells.
-No group is gathered in Python. Results are exact up to collisions of 64-bit hashes.
-
-Defined cases: null or word-less texts have no shingles, link with nothing and are their own component;
-a text with fewer words than a shingle is one shingle; null ids are dropped from links but returned;
-repeated ids count as one node; an empty table gives an empty result; extra columns are ignored.
+"""N-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows, exact recursion.
+
+Documents are sets of hashed word shingles under the Jaccard distance; two link within the radius r = 1 - t. Equal sets
+are one class from the start. On natural text nearly all distances are 1, so most documents can have no link at all:
+one must find t of its shingles in other classes. A shuffle of packed shingle hashes counts that for each document
+without any pair; the rest, mostly families of near copies, enter the metric join.
+
+Each round of the join takes pivots (of a group of documents that share a rare shingle of their prefixes, the one of
+most company). All distances of at most 2r to a pivot are computed. A document within r of a pivot belongs to the
+Voronoi region of its nearest one; by the triangle inequality all that it links with lies within 2r of that pivot, so
+documents in this window are replicated into the region. Documents without a pivot within r go on, among themselves,
+to the next round, with new pivots, until none share a prefix shingle.
+
+In a region every document is its symmetric difference from the centre (the pivot, moved to what most of the region
+holds). Where two differences together are small enough for a link by the triangle inequality, links are counted by a
+running sum over sizes and no pair is formed; other pairs are met on common elements of their differences, whose number
+gives the exact distance. A document probes in its own region only, so each link is counted once for each side.
+
+No group is gathered in one task: rows are ids, hashes and single sets. Results are exact up to collisions of 64-bit hashes.
+
+Defined cases: null or word-less texts have no shingles, link with nothing and are their own component; a text with
+fewer words than a shingle is one shingle; very long texts are sets like others; null ids are dropped from links but
+returned; repeated ids count as one node, with all their sets; an empty table gives an empty result; extra columns are
+ignored. The similarity must be over 1/2.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import components, saved, table
+from .store import components, press, saved, table, unpress
 from .words import Block, blocks, distinct, mix
 
-#: More sub-universes than differences need: linked sets agree in SLACK + 1 of them at least, and sets with no more
-#: empty ones than SLACK needn't tell those.
-SLACK = 8
-
-
-class Layout:
-    """Size classes and their numbers of sub-universes for a similarity of at least num/den."""
-
-    def __init__(self, num: int, den: int, largest: int = 1 << 40):
-        self.num, self.den = num, den
-        edges = [1]
-        while edges[-1] < largest:
-            edges.append(max(edges[-1] + 1, ceil(edges[-1] * max(1.25, den / num))))
-        self.edge = np.array(edges, np.int64)
-
-    def of(self, size: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edge, size, "right") - 1
+#: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
+HASH_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 2_000_000, 64
+#: Rounds that take few pivots; after them the leaders of all groups, after as many again a growing number of each.
+CALM_ROUNDS = 3
 
-    def parts(self, c: np.ndarray) -> np.ndarray:
-        most = 2 * (self.edge[c + 1] - 1)
-        return most * (self.den - self.num) // (self.den + self.num) + 1 + SLACK
 
-    def reaches_next(self, size: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return size * self.den >= self.edge[c + 1] * self.num
-
-
-def signatures(doc: np.ndarray, key: np.ndarray, n_docs: int, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, signature, tag) of each region of each document; (doc, key) are distinct and ordered by doc.
-
-    tag: twice the number of empty sub-universes that are not told, and 1 if this is the next class's layout.
-    """
-    size = np.bincount(doc, minlength=n_docs).astype(np.int64)
-    c = layout.of(np.maximum(size, 1))
-    out_doc, out_sig, out_tag = [], [], []
-    for up in (0, 1):
-        chosen = (size > 0) if not up else (size > 0) & layout.reaches_next(size, c)
-        if not chosen.any():
-            continue
-        cls = c + up
-        m = layout.parts(cls)
-        sel = chosen[doc]
-        d, k = doc[sel], key[sel]
-        seed = mix(cls[d].astype(np.uint64) + np.uint64(77))
-        # the high half of the product spreads a hash evenly over m parts
-        part = (((mix(k ^ seed) >> np.uint64(32)) * m[d].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        begin = np.zeros(n_docs + 1, np.int64)
-        np.cumsum(np.where(chosen, m, 0), out=begin[1:])
-        slot = begin[d] + part
-        order = np.argsort(slot, kind="stable")
-        slot, k = slot[order], k[order]
-        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        total = np.add.reduceat(mix(k + np.uint64(12345)), first)
-        slot = slot[first]
-        owner = np.searchsorted(begin, slot, "right") - 1
-        sig = mix(total + mix((slot - begin[owner]).astype(np.uint64) * np.uint64(1 << 20) + cls[owner].astype(np.uint64)))
-        out_doc.append(owner)
-        out_sig.append(sig)
-        empty = np.where(chosen, m, 0) - np.bincount(owner, minlength=n_docs)
-        tag = 2 * np.where(empty > SLACK, 0, empty) + up
-        out_tag.append(tag[owner])
-        for i in np.flatnonzero(empty > SLACK):
-            gone = np.setdiff1d(np.arange(m[i]), slot[owner == i] - begin[i])
-            out_doc.append(np.full(len(gone), i))
-            out_tag.append(np.full(len(gone), up))
-            out_sig.append(mix(mix(gone.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(cls[i]))))
-    if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_doc), np.concatenate(out_sig), np.concatenate(out_tag)
+def _fingerprints(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
+    f1, f2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    np.add.at(f1, doc, mix(h + np.uint64(1)))
+    np.add.at(f2, doc, mix(h ^ np.uint64(0xA5A5A5A5)))
+    return mix(f1 ^ mix(f2)).view(np.int64), f2.view(np.int64)
 
 
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint of the set)."""
+    """doc_id, n_shingles, c, f2 (fingerprints of the set)."""
 
     def run(batches):
         for x in batches:
             for first, block in blocks(x.text):
                 b = Block(block, lower=True)
                 doc, h = distinct(*b.shingles(shingle)[::2])
-                f1, f2 = np.zeros(b.n, np.uint64), np.zeros(b.n, np.uint64)
-                np.add.at(f1, doc, mix(h + np.uint64(1)))
-                np.add.at(f2, doc, mix(h ^ np.uint64(0xA5A5A5A5)))
-                yield pd.DataFrame({
-                    "doc_id": x.doc_id.to_numpy()[first : first + b.n], "n_shingles": np.bincount(doc, minlength=b.n).astype(np.int64),
-                    "f1": f1.view(np.int64), "f2": f2.view(np.int64),
-                })
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long")
+                c, f2 = _fingerprints(doc, h, b.n)
+                ids = x.doc_id.iloc[first : first + b.n]
+                yield pd.DataFrame({"doc_id": ids.to_numpy(), "n_shingles": np.bincount(doc, minlength=b.n).astype(np.int64), "c": c, "f2": f2})
 
-
-def spots(docs: DataFrame, shingle: int, layout: Layout) -> DataFrame:
-    """(doc_id, sig, tag): the regions of each document."""
-
-    def run(batches):
-        for x in batches:
-            for first, block in blocks(x.text, 1 << 20):
-                b = Block(block, lower=True)
-                d, sig, tag = signatures(*distinct(*b.shingles(shingle)[::2]), b.n, layout)
-                yield pd.DataFrame({"doc_id": x.doc_id.to_numpy()[first : first + b.n][d], "sig": sig.view(np.int64), "tag": tag.astype(np.int8)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sig long, tag byte")
+    # ids pass as text: beside a null, pandas would make floating point of them
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n_shingles long, c long, f2 long")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -148,150 +75,215 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return clear.union(docs.join(sift, "slot", "left_semi").join(ids, "doc_id", "left_anti").select(clear.columns)).drop("slot")
 
 
-def _sets(texts: pd.Series, shingle: int) -> list[np.ndarray]:
-    """Sorted distinct shingles of each text."""
-    out: list[np.ndarray] = []
-    for _, block in blocks(texts):
-        b = Block(block, lower=True)
-        doc, h = distinct(*b.shingles(shingle)[::2])
-        out += np.split(h, np.searchsorted(doc, np.arange(1, b.n)))
-    return out
-
-
-def differences(pairs: DataFrame, shingle: int, layout: Layout) -> DataFrame:
-    """(pivot, doc, pivot_text, text) to (pivot, doc, near, size, gap, element, place).
+def met_enough(single: DataFrame, total: int, shingle: int, num: int, den: int) -> DataFrame:
+    """(doc_id) of the documents that have num/den of their shingles in common with others; single is a written table."""
+    shift, bits = np.uint64(64 - HASH_BITS), max(LEAST_BUCKETS, total // BUCKET_SHINGLES).bit_length()
+    kind = single.schema["doc_id"].dataType.simpleString()
 
-    near: within the radius of the pivot; gap: size of the difference. Rows: one with place -1 for each pair;
-    and one for each element that the recursive join may have to meet at, in the cell's order of elements.
-    """
-    num, den = layout.num, layout.den
+    def send(batches):
+        k = TaskContext.get().partitionId() << 32
+        for x in batches:
+            for first, block in blocks(x.text, 1 << 22):
+                b = Block(block, lower=True)
+                doc, h = distinct(*b.shingles(shingle)[::2])
+                order = np.argsort(h, kind="stable")
+                h, doc = h[order] >> shift, doc[order]
+                edge = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
+                full = np.flatnonzero(np.diff(edge))
+                rows = [(int(i), k, b.n, press(np.diff(h[edge[i] : edge[i + 1]], prepend=np.uint64(0)).view(np.int64)), press(doc[edge[i] : edge[i + 1]])) for i in full]
+                out = pd.DataFrame(rows, columns=["bucket", "block", "many", "hashes", "docs"])
+                # one row of a block brings its ids and sizes
+                out["ids"] = [x.doc_id.to_numpy()[first : first + b.n], *[None] * (len(out) - 1)][: len(out)]
+                out["sizes"] = [np.bincount(doc, minlength=b.n), *[None] * (len(out) - 1)][: len(out)]
+                yield out
+                k += 1
+
+    def count(x: pd.DataFrame) -> pd.DataFrame:
+        own = [np.cumsum(unpress(v).view(np.uint64)) for v in x.hashes]
+        _, back, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        met, edge = n[back] > 1, np.cumsum([0, *map(len, own)])
+        got = [press(np.bincount(unpress(d)[met[i:j]], minlength=m)) for d, m, i, j in zip(x.docs, x.many, edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame({"block": x.block, "ids": x.ids, "sizes": x.sizes, "met": got})
+
+    def choose(x: pd.DataFrame) -> pd.DataFrame:
+        met = sum(unpress(m) for m in x.met)
+        head = x[x.ids.notna()]
+        size = np.asarray(head["sizes"].iloc[0])
+        return pd.DataFrame({"doc_id": np.asarray(head["ids"].iloc[0])[(size > 0) & (met * den >= size * num)]})
+
+    sent = single.select("doc_id", "text").mapInPandas(send, f"bucket int, block long, many int, hashes binary, docs binary, ids array<{kind}>, sizes array<long>")
+    told = sent.groupBy("bucket").applyInPandas(count, f"block long, ids array<{kind}>, sizes array<long>, met binary")
+    return told.groupBy("block").applyInPandas(choose, f"doc_id {kind}")
+
+
+def as_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(c, n, items): the sets of the documents, once each."""
 
     def run(batches):
         for x in batches:
-            for i in range(0, len(x), 256):
-                part = x.iloc[i : i + 256]
-                back, pivots = pd.factorize(part["pivot"])
-                one = part.drop_duplicates("pivot").set_index("pivot").pivot_text
-                own = _sets([one[p] for p in pivots], shingle)
-                rows = []
-                for j, s in enumerate(_sets(part.text, shingle)):
-                    p = own[back[j]]
-                    both = len(np.intersect1d(s, p, assume_unique=True))
-                    gap = len(s) + len(p) - 2 * both
-                    near = den * both >= num * (len(s) + len(p) - both)
-                    # most differences from any set that may link
-                    reach = (len(s) * den // num + len(s)) * (den - num) // (den + num)
-                    new = np.setdiff1d(s, p, assume_unique=True)
-                    old = np.setdiff1d(p, s, assume_unique=True)
-                    d = np.r_[new, old].view(np.int64)[: (reach + 1 if gap > reach else gap)]
-                    place = np.arange(len(d))
-                    if gap <= reach and not near:  # may link a set so near the pivot that they share no element
-                        d, place = np.r_[d, np.arange(reach - gap + 1)], np.r_[place, np.full(reach - gap + 1, -2)]
-                    if len(s) > len(p) and gap <= reach:
-                        d, place = np.r_[d, gap], np.r_[place, -3]
-                    rows.append((near, len(s), gap, np.r_[0, d], np.r_[-1, place]))
-                many = [len(r[3]) for r in rows]
-                yield pd.DataFrame({
-                    "pivot": part["pivot"].repeat(many), "doc": part["doc"].repeat(many), "near": np.repeat([r[0] for r in rows], many),
-                    "size": np.repeat([r[1] for r in rows], many), "gap": np.repeat([r[2] for r in rows], many),
-                    "element": np.concatenate([r[3] for r in rows]), "place": np.concatenate([r[4] for r in rows]),
-                })
-
-    return pairs.mapInPandas(run, "pivot long, doc long, near boolean, size long, gap long, element long, place long")
-
-
-def links(docs: DataFrame, base: DataFrame, shingle: int, layout: Layout) -> DataFrame:
-    """(a, b, kind): links that connect all linked documents; base is the saved result of ``describe``."""
-    num, den = layout.num, layout.den
-    nodes = base.where("doc_id is not null and n_shingles > 0")
-    classes = saved(nodes.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    member = saved(nodes.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "members")
-    same = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-
-    copies = member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("is_rep")).where("not is_rep").select("doc_id")
-    single = without(docs.where("doc_id is not null").select("doc_id", "text"), copies)
-    # regions of two documents at least; counted where their rows meet, by one shuffle of ids and hashes
-    by_sig, by_doc = Window.partitionBy("sig"), Window.partitionBy("doc_id", "tag")
-    region = spots(single, shingle, layout).withColumn("n", F.count("*").over(by_sig)).where("n > 1")
-    # linked sets agree in more than SLACK sub-universes of a layout: a document with fewer company there has no link
-    for _ in range(2):
-        region = region.withColumn("n", F.count("*").over(by_doc)).where(F.col("n") + F.floor(F.col("tag") / 2) > SLACK)
-        region = region.withColumn("n", F.count("*").over(by_sig)).where("n > 1")
-    # so of a document's regions the SLACK most crowded may go: two that agree in more share one of the others
-    order = F.row_number().over(by_doc.orderBy(F.desc("n"), F.desc("sig")))
-    region = region.withColumn("place", order).where(F.col("place") + F.floor(F.col("tag") / 2) > SLACK)
-    region = region.withColumn("n", F.count("*").over(by_sig)).where("n > 1")
-    region = saved(region.select("doc_id", "sig", "n"), "regions")
-    company = region.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    rank = F.struct("company", -F.col("doc_id"))
-    pivot = region.join(company, "doc_id").groupBy("sig").agg(F.max_by("doc_id", rank).alias("pivot"), F.max(rank).alias("rank"))
-    met = saved(region.select("sig", F.col("doc_id").alias("doc")).join(pivot, "sig"), "met")
-    # a document's main pivot is the one of most company; a region is served by the one that most of its documents
-    # have, so that a family of copies is one cell and not one for each of its regions. Any pivot is right for a
-    # region, as all its documents enter the pivot's cell.
-    main = met.groupBy("doc").agg(F.max_by("pivot", "rank").alias("main"))
-    for turn in range(2):
-        votes = met.join(main, "doc").groupBy("sig", "main").agg(F.count("*").alias("n"))
-        chosen = votes.groupBy("sig").agg(F.max_by("main", F.struct("n", -F.col("main"))).alias("pivot"))
-        placed = saved(met.select("sig", "doc").join(chosen, "sig").groupBy("doc", "pivot").agg(F.count("*").alias("n")), "placed")
-        # the pivot that serves most of a document's regions is its main one in the next turn
-        main = placed.groupBy("doc").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("main"))
-    cell = placed.where("doc <> pivot").select("pivot", "doc")
-    cell = saved(cell, "cells")
-    # a repeated id brings one of its texts
-    need = cell.select("doc").union(cell.select(F.col("pivot").alias("doc"))).distinct()
-    # a fixed number of hash buckets (2**20 rows at most) sifts the texts before they are shuffled
-    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << 20)).alias("slot")
-    sift = F.broadcast(need.select(slot).distinct())
-    texts = texts.withColumn("slot", slot).join(sift, "slot", "left_semi").drop("slot")
-    known = saved(texts.join(need, "doc").groupBy("doc").agg(F.min("text").alias("text")), "texts")
-    with_texts = cell.join(known, "doc").join(known.select(F.col("doc").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    diff = saved(differences(with_texts, shingle, layout), "differences")
-    near = diff.where("place = -1 and near").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
-
-    far = diff.where("not near and place <> -1").select("pivot", "element", F.col("place").alias("px"), F.col("doc").alias("x"), F.col("size").alias("sx"), F.col("gap").alias("gx"))
-    other = diff.where("place <> -1").select("pivot", "element", F.col("place").alias("py"), F.col("doc").alias("y"), F.col("size").alias("sy"), F.col("gap").alias("gy"), F.col("near").alias("ny"))
-    most = F.floor((F.col("sx") + F.col("sy")) * (den - num) / (den + num) + 1e-9)
-    meets = (
-        (F.col("px") >= 0) & (F.col("py") >= 0)
-        # the elements still to come on both sides must suffice for the overlap that a link needs
-        & (2 * (1 + F.least(F.col("gx") - F.col("px") - 1, F.col("gy") - F.col("py") - 1)) >= F.col("gx") + F.col("gy") - most)
-    ) | ((F.col("px") == -2) & (F.col("py") == -3) & (F.col("gx") + F.col("gy") <= most))
-    sizes = (F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num)
-    pair = (
-        far.join(other, ["pivot", "element"]).where((F.col("ny") & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))) & sizes & meets)
-        .select(F.least("x", "y").alias("doc"), F.greatest("x", "y").alias("pivot")).distinct()
+            for _, block in blocks(x.text):
+                b = Block(block, lower=True)
+                doc, h = distinct(*b.shingles(shingle)[::2])
+                c, _ = _fingerprints(doc, h, b.n)
+                items = np.split(h.view(np.int64), np.searchsorted(doc, np.arange(1, b.n)))
+                out = pd.DataFrame({"c": c, "n": [len(i) for i in items], "items": items})
+                yield out[out.n > 0]
+
+    return docs.select("text").mapInPandas(run, "c long, n long, items array<long>").dropDuplicates(["c"])
+
+
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, c, n, pos, short): shingles of a set that others share, rare ones first, as far as a set within 2r must share one; short: within r."""
+    rows = sets.select("c", "n", F.explode("items").alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(often, "h")
+    of = Window.partitionBy("c")
+    # shingles of no one else come first in the order and need no row
+    pos = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "h")) - 1
+    reach = lambda p, q: F.col("pos") <= F.col("n") - F.ceil(F.col("n") * p / F.lit(q) - 1e-9)
+    return rows.withColumn("pos", pos).where(reach(2 * num - den, den)).select("h", "c", "n", F.col("pos").cast("long").alias("pos"), reach(num, den).alias("short"))
+
+
+def pivots(active: DataFrame, turn: int) -> DataFrame:
+    """(c) of new pivots among the rows of ``prefixes``; empty if no two documents share a short prefix's shingle."""
+    short = active.where("short").select("h", "c")
+    group = short.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
+    short = short.join(group, "h")
+    short = short.join(short.groupBy("c").agg(F.sum("many").alias("company")), "c")
+    rank = F.struct("company", "c")
+    if turn < CALM_ROUNDS:  # the leaders of all their groups
+        top = short.groupBy("h").agg(F.max(rank).alias("top"))
+        return short.join(top, "h").groupBy("c").agg(F.min(F.col("top.c") == F.col("c")).alias("first")).where("first").select("c")
+    salt = F.pmod(F.xxhash64("c"), F.lit(1 << min(30, max(0, turn - 2 * CALM_ROUNDS))))
+    return short.groupBy("h", salt.alias("salt")).agg(F.max(rank).alias("top")).select(F.col("top.c").alias("c")).distinct()
+
+
+def regions(active: DataFrame, pivot: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, x, n, gap, near, distance, delta) of all documents within 2r of a pivot."""
+    wide = 2 * num - den
+    a = active.select("h", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    b = active.join(pivot, "c").select("h", F.col("c").alias("p"), F.col("n").alias("np"), F.col("pos").alias("pp"))
+    fits = (
+        (F.col("nx") * den >= F.col("np") * wide) & (F.col("np") * den >= F.col("nx") * wide)
+        # what is left of both prefixes must suffice for the overlap
+        & ((1 + F.least(F.col("nx") - F.col("px"), F.col("np") - F.col("pp")) - 1) * 2 * num >= wide * (F.col("nx") + F.col("np")))
     )
-    checked = saved(pair, "candidates")
-    rest = checked.join(known, "doc").join(known.select(F.col("doc").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-
-    def exact(batches):
-        for x in batches:
-            for i in range(0, len(x), 512):
-                part = x.iloc[i : i + 512]
-                ok = []
-                for s, p in zip(_sets(part.text, shingle), _sets(part.pivot_text, shingle), strict=True):
-                    both = len(np.intersect1d(s, p, assume_unique=True))
-                    ok.append(den * both >= num * (len(s) + len(p) - both))
-                yield part.loc[ok, ["doc", "pivot"]].set_axis(["a", "b"], axis=1)
+    pair = a.join(b, "h").where(fits).select("x", "p").distinct()
+    sides = pair.join(sets.select(F.col("c").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("c").alias("p"), F.col("items").alias("ps")), "p")
 
-    found = rest.mapInPandas(exact, "a long, b long")
-    return same.union(near).union(found)
+    def run(batches):
+        for t in batches:
+            out = []
+            for p, x, xs, ps in zip(t["p"], t["x"], t["xs"], t["ps"], strict=True):
+                delta = np.setxor1d(xs, ps, assume_unique=True)
+                both = (len(xs) + len(ps) - len(delta)) // 2
+                union = both + len(delta)
+                if both * den >= union * wide:
+                    out.append((p, x, len(xs), len(delta), both * den >= union * num, len(delta) / union, delta))
+            yield pd.DataFrame(out, columns=["p", "x", "n", "gap", "near", "distance", "delta"])
+
+    return sides.select("p", "x", "xs", "ps").mapInPandas(run, "p long, x long, n long, gap long, near boolean, distance double, delta array<long>")
+
+
+def centred(cell: DataFrame) -> DataFrame:
+    """cell with differences from a centre: the pivot, but for elements in which most of its own documents differ from it."""
+    own = cell.where("kind = 'home'").select("p", "x", "delta")
+    many = own.groupBy("p").agg(F.count("*").alias("members"))
+    common = own.select("p", F.explode("delta").alias("e")).groupBy("p", "e").agg(F.count("*").alias("k")).where("k > 1").join(many, "p").where("2 * k > members")
+    moved = common.groupBy("p").agg(F.sort_array(F.collect_list("e")).alias("moved"))  # no more than two texts have
+    new = F.array_union(F.array_except("delta", "moved"), F.array_except("moved", "delta"))
+    cell = cell.join(moved, "p", "left").withColumn("delta", F.when(F.col("moved").isNull(), F.col("delta")).otherwise(new)).drop("moved")
+    return cell.withColumn("gap", F.size("delta").cast("long"))
+
+
+def region_links(cell: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of a saved cell table (p, x, w: copies, kind, near, v, delta): (a, b) that connect all linked, and (c, links) numbers.
+
+    v is what a set's size allows less what its difference takes: two sets whose v add up to 0 at least are linked.
+    """
+    home, outer = F.col("kind") == "home", F.col("kind") == "outer"
+    # numbers of sure links: how much weight has v of at least -v, by a running sum over the values of a region
+    value = cell.groupBy("p", "v").agg(F.sum("w").alias("all"), F.sum(F.when(home, F.col("w")).otherwise(0)).alias("own"))
+    ask = cell.where("kind <> 'other'").select("p", "v").distinct()
+    zero = F.lit(0).cast("long")
+    line = value.select("p", F.col("v").alias("key"), F.lit(0).alias("late"), "all", "own", F.lit(None).cast("long").alias("v")).union(
+        ask.select("p", (-F.col("v")).alias("key"), F.lit(1), zero, zero, "v")
+    )
+    upto = Window.partitionBy("p").orderBy(F.desc("key"), "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = line.withColumns({"sure": F.sum("all").over(upto), "sure_own": F.sum("own").over(upto)}).where("v is not null").select("p", "v", "sure", "sure_own")
+    itself = F.when(F.col("v") >= 0, F.col("w")).otherwise(0)
+    sure = cell.where("kind <> 'other'").select("p", "x", "w", "kind", "v").join(sums, ["p", "v"]).select(
+        F.col("x").alias("c"), F.when(home, F.col("sure") - itself).otherwise(F.col("sure_own")).alias("links")
+    )
+    best = cell.where(home).groupBy("p").agg(F.max(F.struct("v", "x")).alias("top"), F.min("v").alias("low_own"))
+    ends = cell.groupBy("p").agg(F.min("v").alias("low"))
+    chain = cell.where("near and p <> x").select(F.col("x").alias("a"), F.col("p").alias("b")).union(
+        cell.where("kind <> 'home'").join(best, "p").where("v + top.v >= 0").select("x", "top.x")
+    )
+    # the others meet on common elements of their differences; only where a region has a pair that isn't sure
+    left = cell.where(home).join(ends, "p").where("v + low < 0").select("p", F.explode("delta").alias("e"), F.col("x").alias("a"), F.col("v").alias("va"), F.col("w").alias("wa"))
+    right = cell.join(best, "p").where("v + low_own < 0").select("p", F.explode("delta").alias("e"), F.col("x").alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb"), "kind")
+    found = (
+        left.join(right, ["p", "e"]).where("va + vb < 0 and (kind <> 'home' or a < b)").groupBy("p", "a", "b", "va", "vb", "wa", "wb", "kind").agg(F.count("*").alias("both"))
+        .where(-(F.col("va") + F.col("vb")) <= 2 * (den + num) * F.col("both"))
+    )
+    found = saved(found.select("a", "b", "wa", "wb", "kind"), "met")
+    numbers = sure.union(found.select("a", "wb")).union(found.where("kind <> 'other'").select("b", "wa"))
+    return chain.union(found.select("a", "b")), numbers.groupBy("c").agg(F.sum("links").alias("links"))
+
+
+def class_links(sets: DataFrame, weight: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that connect all linked sets, and (c, links): the weight of the sets each one is linked with."""
+    spark = sets.sparkSession
+    edges, numbers = [], []
+    active, turn = saved(prefixes(sets, num, den), "prefixes"), 0
+    while True:
+        pivot = saved(pivots(active, turn), "pivots")
+        if pivot.isEmpty():
+            break
+        cell = saved(regions(active, pivot, sets, num, den), "regions")
+        home = saved(cell.where("near").groupBy("x").agg(F.min(F.struct("distance", "p")).alias("at")).select("x", F.col("at.p").alias("home")), "homes")
+        kind = F.when(F.col("home").isNull(), "outer").when(F.col("home") == F.col("p"), "home").otherwise("other")
+        full = cell.groupBy("p").agg(F.count("*").alias("many")).where("many > 1").select("p")
+        cell = cell.join(full, "p").join(home, "x", "left").withColumn("kind", kind).join(weight, F.col("x") == F.col("c"))
+        v = F.col("n") * (den - num) - F.col("gap") * (den + num)
+        cell = saved(centred(cell.select("p", "x", "n", "w", "kind", "near", "delta")).select("p", "x", "w", "kind", "near", v.alias("v"), "delta"), "cells")
+        chain, many = region_links(cell, num, den)
+        edges.append(saved(chain, "edges"))
+        numbers.append(saved(many, "numbers"))
+        active = saved(active.join(home.select(F.col("x").alias("c")), "c", "left_anti"), "active")
+        turn += 1
+    if not edges:
+        return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "c long, links long")
+    for more in edges[1:]:
+        edges[0] = edges[0].union(more)
+    for more in numbers[1:]:
+        numbers[0] = numbers[0].union(more)
+    return edges[0], numbers[0].groupBy("c").agg(F.sum("links").alias("links"))
 
 
 def join(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (links of the spanning set that touch the document)."""
-    layout = Layout(num, den)
+    """doc_id, n_shingles, component_id (smallest id reached by links), n_links (other documents that it is linked with)."""
     base = saved(describe(docs, shingle), "shingles")
-    edges = saved(links(docs, base, shingle, layout), "links")
-    found = components(edges)
-    degree = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    return (
-        base.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left").drop("id")
-        .join(degree, F.col("doc_id") == F.col("id"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    nodes = base.where("doc_id is not null and n_shingles > 0").select("doc_id", "c", "f2", "n_shingles").distinct()
+    classes = saved(nodes.groupBy("c").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n_shingles").alias("n")), "classes")
+    member = saved(nodes.select("doc_id", "c").join(classes.select("c", "rep", "w"), "c"), "members")
+    copies = member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("is_rep")).where("not is_rep").select("doc_id")
+    single = saved(without(docs.where("doc_id is not null").select("doc_id", "text"), copies), "single")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    alive = saved(met_enough(single, total, shingle, num, den), "alive")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("slot")
+    near = single.withColumn("slot", slot).join(F.broadcast(alive.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    sets = saved(as_sets(near.join(alive, "doc_id", "left_semi"), shingle), "sets")
+    edges, numbers = class_links(sets, classes.select("c", "w"), num, den)
+    rep = classes.select("c", "rep")
+    linked = edges.join(rep.select(F.col("c").alias("a"), F.col("rep").alias("u")), "a").join(rep.select(F.col("c").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+    same = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    found = components(same.union(linked), "u", "v")
+    # a repeated id has the links of all its sets
+    links = member.join(numbers, "c", "left").groupBy("doc_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    out = base.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(links, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +291,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of smallest id; of repeated ids, all rows of that id stay."""
-    gone = join(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group stays, the one of smallest id.
+
+    Of repeated ids all rows of that id stay or go; rows with a null id or without words stay; an empty table stays
+    empty; the columns of docs, whatever their names, are kept.
+    """
+    gone = join(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
