@@ -22,13 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import press, saved, table, unpress
-from .words import Block, blocks, mix
+from .store import packed, press, saved, table, unpacked, unpress
+from .words import Block, mix
 
 _OUT = np.ones(256, bool)
 _OUT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -38,27 +36,6 @@ WORD, BEGIN, PAIR = range(3)
 LEAST_BITS, BLOCKS_A_BUCKET = 6, 2
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(block, ids: as text, sizes, blob): the documents in blocks."""
-
-    def run(batches):
-        packer, k = zstandard.ZstdCompressor(), TaskContext.get().partitionId() << 32
-        for x in batches:
-            ids = [None if pd.isna(i) else i for i in x.doc_id]
-            for first, block in blocks(x.text, 1 << 22):
-                yield pd.DataFrame({"block": [k], "ids": [ids[first : first + len(block)]], "sizes": [[len(t) for t in block]], "blob": [packer.compress(b"".join(block))]})
-                k += 1
-
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "block long, ids array<string>, sizes array<int>, blob binary")
-
-
-def unpacked(sizes, blob: bytes) -> Block:
-    total = int(sum(sizes))
-    raw = zstandard.decompress(blob, max_output_size=total) if total else b""
-    end = np.cumsum(sizes)
-    return Block([raw[e - s : e] for s, e in zip(sizes, end, strict=True)], lower=True, separators=_OUT)
-
-
 def keys(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes of the block's words, start and pairs (the kind in the last two bits), and each word's, context's and pair's place."""
     if not len(b.h):
@@ -82,7 +59,7 @@ def tallies(marked: DataFrame, bits: int) -> DataFrame:
     def run(batches):
         for x in batches:
             for r in x.itertuples(index=False):
-                b = unpacked(r.sizes, r.blob)
+                b = Block(unpacked(r.sizes, r.blob), lower=True, separators=_OUT)
                 key, word, context, pair = keys(b)
                 flag = np.zeros(b.n, bool)
                 if r.good is not None:
@@ -137,7 +114,7 @@ def score(docs: DataFrame, labels: DataFrame, prior: float = 50.0) -> DataFrame:
         if not len(texts):
             raise ValueError("sums of a block without texts")
         ids, sizes, blob = texts[["ids", "sizes", "blob"]].iloc[0]
-        b = unpacked(sizes, blob)
+        b = Block(unpacked(sizes, blob), lower=True, separators=_OUT)
         key, word, context, pair = keys(b)
         got = [unpress(x).reshape(4, -1) for x in known.sort_values("bucket").sums]
         n = np.concatenate(got, 1).astype(float) if got else np.zeros((4, 0))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import components, press, saved, table, unpress
+from .store import components, press, saved, table, unpress, without
 from .words import Block, blocks, distinct, mix
 
 #: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
@@ -66,15 +66,6 @@ def describe(docs: DataFrame, shingle: int) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those of ids (doc_id); a fixed number of hash buckets (2**20 rows at most) spares most texts the shuffle."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("slot")
-    sift = F.broadcast(ids.select(slot).distinct())
-    docs = docs.withColumn("slot", slot)
-    clear = docs.join(sift, "slot", "left_anti")
-    return clear.union(docs.join(sift, "slot", "left_semi").join(ids, "doc_id", "left_anti").select(clear.columns)).drop("slot")
-
-
 def met_enough(single: DataFrame, total: int, shingle: int, num: int, den: int) -> DataFrame:
     """(doc_id) of the documents that have num/den of their shingles in common with others; single is a written table."""
     shift, bits = np.uint64(64 - HASH_BITS), max(LEAST_BUCKETS, total // BUCKET_SHINGLES).bit_length()

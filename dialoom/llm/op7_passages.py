@@ -1,24 +1,26 @@
 """Near-duplicate passages by compact windows.
 
-The tokens of a text are its five-word shingles. For each of ``HASHES`` hash functions the Cartesian tree
-of the token hashes groups all subsequences of at least ``LEAST`` tokens by the token of smallest hash: a
-node [l, r) with minimum c stands for every [i, j) with l <= i <= c < j <= r. Trees of a whole block are
-built level by level in numpy. In each band of two functions an interval join pairs the windows of a text
-that hold a common subsequence of ``LEAST`` tokens; the pair of minima is the band's key. A passage of
-similarity s meets its copy in a band with s**2 at least, so three bands find 95 % of the pairs at 0.8
-and all verbatim ones.
-
-Keys and ids alone are shuffled. In a group of a key, documents are compared with a representative (the
-smallest id), not with each other; verified ones leave. The rest, which may share no more than a frequent
-short line, are grouped anew by further hashes of the stretches around the key's place: a passage of ``LEAST``
-tokens that holds the place holds one of a few stretches of nearly that length whole, so verbatim passages
-stay together and short lines part. Stretches lengthen for two rounds; what is still together then is compared
-with twice the representatives each round, until no group has two documents left. So a passage shared by a
-third of all documents costs a few rows each, and none is skipped. Verification chains the runs
-of shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a Jaccard similarity of ``SIMILAR``.
-
-Defined cases: null, empty and short texts have no passages; null ids are ignored; rows of a repeated id
-count as one document (its smallest text); an empty table gives an empty result; extra columns are ignored.
+The tokens of a text are its five-word shingles. Copies of whole texts are one class and enter by its smallest id. A
+shuffle of packed shingle hashes tells which shingles other texts have, too; a passage that is similar to another lies
+where windows of ``LEAST`` tokens are mostly such shingles, so only these stretches of the texts, whole, go on.
+
+For each of ``HASHES`` hash functions the Cartesian tree of a stretch's token hashes groups all subsequences of at
+least ``LEAST`` tokens by the token of smallest hash: a node [l, r) with minimum c stands for every [i, j) with
+l <= i <= c < j <= r. Trees of a whole block are built level by level in numpy. In each band of two functions an
+interval join pairs the windows of a stretch that hold a common subsequence of ``LEAST`` tokens; the pair of minima is
+the band's key. A passage of similarity s meets its copy in a band with about s**2 at least, so four bands find 98 % of
+the pairs at 0.8, and all verbatim ones.
+
+In a group of a key, stretches are compared with a representative (the one of most company in all its groups), not
+with each other. A place of a key is done with where a verified passage with the representative covers it; the others
+stay in the group and meet twice as many representatives each round, until no group has two documents left. So a
+passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
+shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a
+Jaccard similarity of ``SIMILAR``.
+
+Defined cases: null, empty and short texts have no passages; very long texts are cut to stretches like others; null ids
+are ignored; rows of a repeated id count as one document, so no passage between them is given; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved, table
+from .store import packed, press, saved, table, unpacked, unpress, without
 from .words import Block, blocks, distinct, mix
 
-SHINGLE, WORDS, SIMILAR, HASHES = 5, 50, 0.8, 6
+SHINGLE, WORDS, SIMILAR, HASHES = 5, 50, 0.8, 8
 LEAST = WORDS - SHINGLE + 1
 PAIRS = 1 << 16
+#: Share of a window's tokens that others must have, with a margin for repeats; the widest gap that a passage bridges.
+DENSE, GAP = 0.7, 4 * SHINGLE
+#: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
+HASH_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 2_000_000, 64
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1) for k in range(HASHES)]
 
 
@@ -95,62 +101,90 @@ def placed_keys(block: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray, np.n
     return b, doc, h, np.concatenate(at), np.concatenate(key)
 
 
-def keys(docs: DataFrame) -> DataFrame:
-    """(key, doc_id): distinct keys of each document."""
+def describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, c): c is a fingerprint of the sequence of words; docs without null ids."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for x in batches:
-            for first, block in blocks(x.text, 1 << 18):
-                b, doc, _, at, key = placed_keys(block)
-                d, key = distinct(doc[at], key)
-                ids = x.doc_id.to_numpy()[first : first + b.n]
-                if len(d):
-                    yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[d]})
+            for first, block in blocks(x.text):
+                b = Block(block, lower=True)
+                c = np.zeros(b.n, np.uint64)
+                np.add.at(c, b.doc, mix(b.h ^ mix((np.arange(len(b.h)) - b.word_start[b.doc]).astype(np.uint64))))
+                yield pd.DataFrame({"doc_id": x.doc_id.to_numpy()[first : first + b.n], "n_words": b.word_end - b.word_start, "c": c.view(np.int64)})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "key long, doc_id long")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, c long")
 
 
-def stretch_minima(h: np.ndarray, size: int, salt: int) -> np.ndarray:
-    """The smallest hash of each stretch of ``size`` tokens, by doubling."""
-    low, have = mix(h + np.uint64(salt)), 1
-    while have < size:
-        step = min(have, size - have)
-        low = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0]
-        have += step
-    return low
+def _tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return b.shingles(SHINGLE, whole_if_short=False)
 
 
-def refined(rest: DataFrame, texts: DataFrame, step: int) -> DataFrame:
-    """(key, root, doc_id) of groups (root, doc_id), split by the minima of two hashes over stretches around the key's place.
+def stretches(parts: DataFrame, total: int) -> DataFrame:
+    """(sid, doc_id: as text, start, text): parts of texts, by words, that may hold a similar passage; parts is a written table of blocks."""
+    shift, bits = np.uint64(64 - HASH_BITS), max(LEAST_BUCKETS, total // BUCKET_SHINGLES).bit_length()
 
-    A stretch has ``LEAST - step + 1`` tokens and starts a multiple of ``step`` before the place: any ``LEAST`` tokens
-    that hold the place hold one of them. The stretches of a document are gathered in its row, no more than its tokens.
-    """
-    size = LEAST - step + 1
+    def send(batches):
+        for x in batches:
+            for r in x.itertuples(index=False):
+                doc, _, h = _tokens(Block(unpacked(r.sizes, r.blob), lower=True))
+                key, n = np.unique(distinct(doc, h)[1] >> shift, return_counts=True)
+                edge = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
+                full = np.flatnonzero(np.diff(edge))
+                rows = [(int(i), r.block, press(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0)).view(np.int64)), press(n[edge[i] : edge[i + 1]])) for i in full]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "hashes", "counts"])
+
+    def count(x: pd.DataFrame) -> pd.DataFrame:
+        own = [np.cumsum(unpress(v).view(np.uint64)) for v in x.hashes]
+        _, back = np.unique(np.concatenate(own), return_inverse=True)
+        met = np.bincount(back, np.concatenate([unpress(v) for v in x.counts]))[back] > 1
+        edge = np.cumsum([0, *map(len, own)])
+        return pd.DataFrame({"bucket": x.bucket, "block": x.block, "many": np.diff(edge), "met": [np.packbits(met[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]})
+
+    def cut(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = {"sid": [], "doc_id": [], "start": [], "text": []}
+        if len(texts) and len(told):
+            ids, sizes, blob, block = texts[["ids", "sizes", "blob", "block"]].iloc[0]
+            b = Block(unpacked(sizes, blob), lower=True)
+            raw = b.buf.tobytes()
+            doc, first, h = _tokens(b)
+            told = told.sort_values("bucket")
+            met = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(told.met, told.many, strict=True)])
+            met = met[np.unique(h >> shift, return_inverse=True)[1]]
+            total = np.r_[0, np.cumsum(met, dtype=np.int64)]
+            m = max(0, len(h) - LEAST + 1)
+            begin = np.flatnonzero((total[LEAST : LEAST + m] - total[:m] >= DENSE * LEAST) & (doc[:m] == doc[LEAST - 1 : LEAST - 1 + m]))
+            if len(begin):
+                apart = np.flatnonzero((np.diff(begin) > LEAST + GAP) | (doc[begin[1:]] != doc[begin[:-1]])) + 1
+                low, high = begin[np.r_[0, apart]], begin[np.r_[apart, len(begin)] - 1] + LEAST
+                out["sid"] = mix(mix(np.array([block], np.int64).view(np.uint64)) + np.arange(len(low), dtype=np.uint64)).view(np.int64)
+                for i, j in zip(low, high, strict=True):
+                    w, z = first[i], first[j - 1] + SHINGLE - 1
+                    out["doc_id"].append(ids[doc[i]])
+                    out["start"].append(int(w - b.word_start[doc[i]]))
+                    out["text"].append(raw[b.start[w] : b.end[z]].decode("utf-8", "surrogatepass"))
+        return pd.DataFrame(out)
+
+    told = parts.select("block", "sizes", "blob").mapInPandas(send, "bucket int, block long, hashes binary, counts binary")
+    told = told.groupBy("bucket").applyInPandas(count, "bucket int, block long, many int, met binary")
+    return parts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(cut, "sid long, doc_id string, start long, text string")
+
+
+def keys(pieces: DataFrame) -> DataFrame:
+    """(key, sid, doc_id, at): distinct keys of each stretch and the tokens where they are."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for x in batches:
             for first, block in blocks(x.text, 1 << 18):
-                b, doc, h, at, key = placed_keys(block)
-                wanted = x.roots.iloc[first : first + b.n]
-                owner = np.repeat(np.arange(b.n), [len(r) for r in wanted])
-                asked = np.concatenate(wanted.tolist()).astype(np.int64).view(np.uint64)
-                # (document, key) as one hash: both sides are distinct pairs
-                hit = np.isin(mix(key + mix(doc[at].astype(np.uint64))), mix(asked + mix(owner.astype(np.uint64))))
-                at, key = at[hit], key[hit]
-                one, two = stretch_minima(h, size, 2 * step + 1), stretch_minima(h, size, 1000 + 2 * step)
-                ids, out = x.doc_id.to_numpy()[first : first + b.n], []
-                for k in range(0, size, step):
-                    start = at - k
-                    ok = (start >= 0) & (start < len(one))
-                    ok[ok] = (doc[start[ok]] == doc[at[ok]]) & (doc[start[ok] + size - 1] == doc[at[ok]])
-                    p = start[ok]
-                    new = mix(key[ok] + mix(one[p] + mix(two[p] + np.uint64(k))))
-                    out.append(pd.DataFrame({"key": new.view(np.int64), "root": key[ok].view(np.int64), "doc_id": ids[doc[p]]}))
-                yield pd.concat(out).drop_duplicates()
-
-    wanted = rest.groupBy("doc_id").agg(F.collect_set("root").alias("roots"))
-    return wanted.join(texts, "doc_id").select("doc_id", "roots", "text").mapInPandas(run, "key long, root long, doc_id long")
+                _, doc, _, at, key = placed_keys(block)
+                at, key = distinct(at, key)
+                d = doc[at] + first
+                if len(d):
+                    begin = np.searchsorted(doc, doc[at])
+                    yield pd.DataFrame({"key": key.view(np.int64), "sid": x.sid.to_numpy()[d], "doc_id": x.doc_id.to_numpy()[d], "at": at - begin})
+
+    return pieces.select("sid", "doc_id", "text").mapInPandas(run, f"key long, sid long, doc_id {kind}, at long")
 
 
 def diagonals(s: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -176,7 +210,7 @@ def diagonals(s: np.ndarray, r: np.ndarray) -> np.ndarray:
     return runs[np.lexsort((runs[:, 1], runs[:, 0]))]
 
 
-def chains(runs: np.ndarray, most: int = 4 * SHINGLE) -> list[np.ndarray]:
+def chains(runs: np.ndarray, most: int = GAP) -> list[np.ndarray]:
     """Runs that follow each other in both sequences within ``most`` tokens, as lists of row numbers; each run is in one, the heaviest it has."""
     i, j, n = runs.T
     weight, before, used = n.copy(), np.full(len(n), -1), np.zeros(len(n), bool)
@@ -234,15 +268,16 @@ def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIM
     return sorted(out)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, rep, start, end, rep_start, rep_end, similarity) of the passages of candidate pairs (doc_id, rep)."""
-    rows = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("rep"), F.col("text").alias("rep_text")), "rep")
+def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(sid, rep, start, end, rep_start, rep_end, similarity) of the passages of candidate pairs (sid, rep), in words of the stretches."""
+    texts = pieces.select("sid", "text")
+    rows = pairs.join(texts, "sid").join(texts.select(F.col("sid").alias("rep"), F.col("text").alias("rep_text")), "rep")
 
     def sequences(values):
         out = []
         for _, block in blocks(values):
             b = Block(block, lower=True)
-            doc, _, h = b.shingles(SHINGLE, whole_if_short=False)
+            doc, _, h = _tokens(b)
             out += np.split(h, np.searchsorted(doc, np.arange(1, b.n)))
         return out
 
@@ -252,54 +287,69 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 part = x.iloc[i : i + 256]
                 found = [
                     (d, r, *p)
-                    for d, r, s, t in zip(part.doc_id, part.rep, sequences(part.text), sequences(part.rep_text), strict=True)
+                    for d, r, s, t in zip(part.sid, part.rep, sequences(part.text), sequences(part.rep_text), strict=True)
                     for p in align(s, t)
                 ]
-                yield pd.DataFrame(found, columns=["doc_id", "rep", "start", "end", "rep_start", "rep_end", "similarity"])
+                yield pd.DataFrame(found, columns=["sid", "rep", "start", "end", "rep_start", "rep_end", "similarity"])
 
-    return rows.mapInPandas(run, "doc_id long, rep long, start long, end long, rep_start long, rep_end long, similarity double")
+    return rows.mapInPandas(run, "sid long, rep long, start long, end long, rep_start long, rep_end long, similarity double")
 
 
 def together(rows: DataFrame) -> DataFrame:
     """Rows of keys that two documents have at least."""
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return saved(rows.join(shared, "key"), "groups")
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("many")).where("low < high")
+    return saved(rows.join(shared.select("key", "many"), "key"), "groups")
 
 
-def passages(docs: DataFrame, steps: tuple[int, ...] = (15, 5)) -> DataFrame:
-    """(doc_id, start, end, other_id, other_start, other_end, similarity), offsets in words; both directions of a pair."""
-    rest = together(saved(keys(docs), "windows").withColumn("root", F.col("key"))).distinct()
-    need = rest.select("doc_id").distinct()
-    # a fixed number of hash buckets (2**20 rows at most) sifts the texts before they are shuffled
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("slot")
-    sift = F.broadcast(need.select(slot).distinct())
-    texts = docs.select("doc_id", "text").withColumn("slot", slot).join(sift, "slot", "left_semi").drop("slot")
-    texts = saved(texts.join(need, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+def piece_passages(pieces: DataFrame) -> DataFrame | None:
+    """Passages between stretches, as ``verify`` gives them; None if there are none to compare."""
+    rest = together(saved(keys(pieces), "windows"))
+    company = saved(rest.groupBy("sid").agg(F.sum("many").alias("company")), "company")
     found = tried = None
-    salts, steps = 1, list(steps)
+    turn = 0
     while not rest.isEmpty():
-        rep = rest.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.min("doc_id").alias("rep")).select("key", "rep")
-        met = saved(rest.join(rep, "key").where("doc_id <> rep").select("key", "doc_id", "rep"), "met")
-        pairs = met.select(F.greatest("doc_id", "rep").alias("doc_id"), F.least("doc_id", "rep").alias("rep")).distinct()
-        fresh = pairs if tried is None else pairs.join(tried, ["doc_id", "rep"], "left_anti")
-        fresh = saved(fresh, "fresh")
+        rank = rest.join(company, "sid").select("key", "sid", "doc_id", F.struct("company", "sid", "doc_id").alias("rank"))
+        rep = rank.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(1 << min(turn, 30))).alias("salt")).agg(F.max("rank").alias("top"))
+        rep = saved(rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc")), "representatives")
+        met = saved(rest.join(rep, "key").where("doc_id <> rep_doc").select("key", "sid", "at", "rep"), "met")
+        fresh = met.select(F.greatest("sid", "rep").alias("sid"), F.least("sid", "rep").alias("rep")).distinct()
+        fresh = saved(fresh if tried is None else fresh.join(tried, ["sid", "rep"], "left_anti"), "fresh")
         tried = fresh if tried is None else tried.union(fresh)
-        new = saved(verify(fresh, texts), "passages")
+        new = saved(verify(fresh, pieces), "passages")
         found = new if found is None else found.union(new)
-        linked = found.select("doc_id", "rep").distinct()
-        linked = linked.union(linked.select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("rep")))
-        # what is a representative, or has found one in this group, is done with in this group
-        done = met.join(linked, ["doc_id", "rep"]).select("key", "doc_id").union(rep.select("key", F.col("rep").alias("doc_id"))).distinct()
-        rest = together(rest.join(done, ["key", "doc_id"], "left_anti"))
-        if steps:
-            if not rest.isEmpty():
-                rest = together(refined(rest, texts, steps.pop(0)).distinct())
-        else:
-            salts *= 2
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, rep long, start long, end long, rep_start long, rep_end long, similarity double")
-    one = found.select("doc_id", "start", "end", F.col("rep").alias("other_id"), F.col("rep_start").alias("other_start"), F.col("rep_end").alias("other_end"), "similarity")
-    return one.union(found.select(F.col("rep"), "rep_start", "rep_end", "doc_id", "start", "end", "similarity"))
+        spans = found.select("sid", "rep", "start", "end").union(found.select("rep", "sid", "rep_start", "rep_end"))
+        # a place in a passage with a representative of its group is done with; so is a representative, which has met all
+        covered = met.join(spans, ["sid", "rep"]).where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)).select("key", "sid", "at").distinct()
+        rest = rest.select("key", "sid", "doc_id", "at").join(covered, ["key", "sid", "at"], "left_anti")
+        rest = together(rest.join(rep.select("key", F.col("rep").alias("sid")).distinct(), ["key", "sid"], "left_anti"))
+        turn += 1
+    return found
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, other_id, other_start, other_end, similarity), offsets in words; both directions of a pair."""
+    kind = docs.schema["doc_id"].dataType
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    base = saved(describe(docs), "described").where(F.col("n_words") >= WORDS)
+    classes = base.groupBy("c").agg(F.min("doc_id").alias("rep"))
+    member = saved(base.join(classes, "c").distinct(), "members")
+    copies = member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("is_rep")).where("not is_rep").select("doc_id")
+    whole = member.where("doc_id <> rep").select(
+        "doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("rep").alias("other_id"), F.lit(0).cast("long").alias("other_start"),
+        F.col("n_words").alias("other_end"), F.lit(1.0).alias("similarity"),
+    )
+    parts = saved(packed(without(docs, copies)), "blocks")
+    total = base.agg(F.sum("n_words")).first()[0] or 0
+    pieces = saved(stretches(parts, total).withColumn("doc_id", F.col("doc_id").cast(kind)), "stretches")
+    found = piece_passages(pieces)
+    if found is not None:
+        place = pieces.select("sid", "doc_id", F.col("start").alias("base"))
+        found = found.join(place, "sid").join(place.select(F.col("sid").alias("rep"), F.col("doc_id").alias("other_id"), F.col("base").alias("other_base")), "rep")
+        whole = whole.union(found.select(
+            "doc_id", F.col("start") + F.col("base"), F.col("end") + F.col("base"), "other_id",
+            F.col("rep_start") + F.col("other_base"), F.col("rep_end") + F.col("other_base"), "similarity",
+        ))
+    return whole.union(whole.select("other_id", "other_start", "other_end", "doc_id", "start", "end", "similarity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

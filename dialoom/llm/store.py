@@ -6,10 +6,14 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import blocks
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +47,36 @@ def unpress(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those of ids (doc_id); a fixed number of hash buckets (2**20 rows at most) spares most texts the shuffle."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("slot")
+    sift = F.broadcast(ids.select(slot).distinct())
+    docs = docs.withColumn("slot", slot)
+    clear = docs.join(sift, "slot", "left_anti")
+    return clear.union(docs.join(sift, "slot", "left_semi").join(ids, "doc_id", "left_anti").select(clear.columns)).drop("slot")
+
+
+def packed(docs: DataFrame, limit: int = 1 << 22) -> DataFrame:
+    """(block, ids: as text, sizes, blob): the documents in compressed blocks of about ``limit`` bytes."""
+
+    def run(batches):
+        packer, k = zstandard.ZstdCompressor(), TaskContext.get().partitionId() << 32
+        for x in batches:
+            ids = [None if pd.isna(i) else i for i in x.doc_id]
+            for first, block in blocks(x.text, limit):
+                yield pd.DataFrame({"block": [k], "ids": [ids[first : first + len(block)]], "sizes": [[len(t) for t in block]], "blob": [packer.compress(b"".join(block))]})
+                k += 1
+
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "block long, ids array<string>, sizes array<int>, blob binary")
+
+
+def unpacked(sizes, blob: bytes) -> list[bytes]:
+    total = int(sum(sizes))
+    raw = zstandard.decompress(blob, max_output_size=total) if total else b""
+    end = np.cumsum(sizes)
+    return [raw[e - s : e] for s, e in zip(sizes, end, strict=True)]
+
+
 def no_letters(text: str = "text"):
     return ~F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}")
 
