@@ -3,18 +3,21 @@
 Lines are parsed as in a fixed-depth tree: the token count chooses the first node, the leading tokens
 (digits masked) the next ones. In a leaf, a position is constant if one token holds at least half of its
 lines there, else variable; a line that agrees with the leaf's constant tokens at ``SIMILAR`` of all its
-positions takes the generalised template, another keeps its own masked text. A template recurs if it is
-met in ``LEAST`` documents, each bringing a new pair of neighbouring lines: so lines that only recur
-because whole documents were copied don't count as boilerplate. Lines of recurring templates are dropped.
+positions takes the generalised template, another keeps its own masked text. A template recurs if ``LEAST``
+documents hold it whose other lines differ, told by the smallest hash of a document's other lines, and if these
+are at least ``OWN`` of its documents: so lines that recur because whole documents were copied, exactly or
+nearly, don't count as boilerplate, and blocks of several recurring lines do. Lines of recurring templates are dropped.
 
 All groups are pre-aggregated before they are shuffled: counts by leaf, by leaf, position and token, and
-by template and neighbours. Leaves of fewer than ``LEAST`` lines can't recur, so only lines of the others
+by template and fingerprint; the last join is salted. Leaves of fewer than ``LEAST`` lines can't recur, so only lines of the others
 go on, as 64-bit hashes; tokens are exploded for their distinct masked lines. The dropped positions
 return to the documents.
 
 Defined cases: null text counts as no line and stays null; blank lines are kept and never counted; an
 empty text stays empty; equal lines within a document are judged alike; null ids are one document;
-repeated ids are judged line by line as one document and all returned; extra columns are kept.
+repeated ids are judged line by line as one document and all returned; a very long text is split whole, in
+its row; of equally frequent tokens at a position the greatest is the constant one; extra columns are kept, whatever
+their names, but for n_lines and n_dropped, which ``dedup`` replaces.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved, table
+from .store import saved, table, unused
 
-LEAST, SIMILAR, LEADING = 10, 0.8, 2
+LEAST, SIMILAR, LEADING, OWN, SALTS = 10, 0.8, 2, 0.25, 32
 
 
 def mask(line: Column) -> Column:
@@ -33,17 +36,14 @@ def mask(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, masked, n_tokens, leaf, line, around): the lines that are not blank; the last three are hashes."""
+    """(doc_id, pos, masked, n_tokens, leaf, line, rest): the lines that are not blank; leaf and line are hashes, rest tells of the other lines."""
     raw = F.split("text", "\n", -1)
     one = lambda x, i: F.struct(i.alias("pos"), mask(F.trim(x)).alias("masked"))
-    rows = docs.select("doc_id", F.transform(raw, one).alias("a")).select(
-        "doc_id",
-        F.explode(F.transform("a", lambda x, i: F.struct(
-            x["pos"].alias("pos"), x["masked"].alias("masked"),
-            F.xxhash64(F.get("a", i - 1)["masked"], F.get("a", i + 1)["masked"]).alias("around"),
-        ))).alias("x"),
-    ).select("doc_id", "x.*").where("masked <> ''")
-    rows = rows.withColumn("n_tokens", F.size(F.split("masked", " ")))
+    rows = docs.select("doc_id", F.filter(F.transform(raw, one), lambda x: x["masked"] != "").alias("a"))
+    rows = rows.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("a", lambda x: F.md5(x["masked"])))), 1, 2))
+    rows = rows.select("doc_id", "least", F.explode("a").alias("x")).select("doc_id", "least", "x.*")
+    rest = F.when(F.get("least", F.lit(0)) == F.md5("masked"), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
+    rows = rows.withColumns({"n_tokens": F.size(F.split("masked", " ")), "rest": F.xxhash64(rest)}).drop("least")
     return rows.withColumns({"leaf": F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING)), "line": F.xxhash64("masked")})
 
 
@@ -64,26 +64,32 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR)
     agreed = F.size(F.filter(F.split("masked", " "), lambda t, i: F.coalesce(F.try_element_at("shape", i) == t, F.lit(False))))
     template = F.when(F.coalesce(agreed, F.lit(0)) >= similar * F.col("n_tokens"), F.lit(0)).otherwise(F.col("line")).alias("template")
     named = kinds.join(constant, "leaf", "left").select("leaf", "line", template)
-    judged = saved(rows.select("doc_id", "pos", "leaf", "line", "around").join(named, ["leaf", "line"]), "judged")
+    judged = saved(rows.select("doc_id", "pos", "leaf", "line", "rest").join(named, ["leaf", "line"]).drop("line"), "judged")
     key = ["leaf", "template"]
-    recurs = (
-        judged.groupBy(*key, "around").agg(F.min("doc_id").alias("doc")).groupBy(*key).agg(F.count_distinct("doc").alias("docs"))
-        .where(F.col("docs") >= least)
-    )
-    gone = judged.join(recurs, key, "left_semi")
+    held = judged.select(*key, "doc_id", "rest").distinct().groupBy(*key, "rest").agg(F.count("*").alias("n"))
+    recurs = held.groupBy(*key).agg(F.count("*").alias("own"), F.sum("n").alias("docs")).where((F.col("own") >= least) & (F.col("own") >= OWN * F.col("docs")))
+    # the lines of one template may be a third of all: they are dealt to SALTS places
+    recurs = recurs.select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    gone = judged.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(recurs, [*key, "salt"], "left_semi")
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
+def marked(docs: DataFrame, names: list[str], least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
+    """docs with the columns ``names``: text without recurring lines, and the numbers of lines and dropped lines that are not blank."""
+    ours, theirs = unused(docs, "gone", "gone_id")
+    gone = dropped_lines(docs.select("doc_id", "text"), least, similar).select(F.col("gone").alias(ours), F.col("doc_id").alias(theirs))
+    raw = F.split("text", "\n", -1)
+    kept = F.filter(raw, lambda x, i: ~F.array_contains(ours, i))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(theirs)), "left").withColumns({
+        names[0]: F.when(F.col(ours).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+        names[1]: F.coalesce(F.size(F.filter(raw, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"),
+        names[2]: F.coalesce(F.size(ours), F.lit(0)).cast("long"),
+    }).drop(ours, theirs)
+
+
 def dedup(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """The input with text without recurring lines, and n_lines and n_dropped (lines that are not blank)."""
-    gone = dropped_lines(docs, least, similar).withColumnRenamed("doc_id", "gone_id")
-    raw = F.split("text", "\n", -1)
-    kept = F.filter(raw, lambda x, i: ~F.array_contains("gone", i))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").withColumns({
-        "n_lines": F.coalesce(F.size(F.filter(raw, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"),
-        "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    }).drop("gone", "gone_id")
+    return marked(docs.drop("n_lines", "n_dropped"), ["text", "n_lines", "n_dropped"], least, similar)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +97,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; n_chars follows the text, and documents of such lines alone go."""
-    out = dedup(docs)
-    return out.where("n_dropped = 0 or trim(text) <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Documents without recurring lines; n_chars follows the text where a line went, and documents of such lines alone go.
+
+    Null and blank texts stay as they are; a repeated or null id is one document for the counts, and all its rows stay;
+    an empty table stays empty; the columns of docs, whatever their names, are kept.
+    """
+    text, n_lines, n_dropped = unused(docs, "cleaned", "lines", "dropped")
+    out = marked(docs, [text, n_lines, n_dropped]).where((F.col(n_dropped) == 0) | (F.trim(text) != ""))
+    chars = F.when(F.col(n_dropped) > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select([F.col(text).alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -8,8 +8,10 @@ with raw as (
 ), lines as (
   select doc_id, i - 1 as pos, m[i] as masked, len(string_split(m[i], ' ')) as n_tokens,
     array_to_string(string_split(m[i], ' ')[1:2], ' ') as lead,
-    {{'a': case when i > 1 then m[i - 1] end, 'b': case when i < len(m) then m[i + 1] end}} as around
-  from (select doc_id, m, unnest(generate_series(1, len(m))) as i from masked) where m[i] <> ''
+    list_min(list_filter(hashes, lambda x: x <> md5(m[i]))) as rest
+  from (
+    select doc_id, m, list_transform(list_filter(m, lambda x: x <> ''), lambda x: md5(x)) as hashes, unnest(generate_series(1, len(m))) as i from masked
+  ) where m[i] <> ''
 ), kinds as (
   select * from (
     select *, sum(n) over (partition by n_tokens, lead) as in_leaf from (
@@ -32,10 +34,10 @@ with raw as (
   ) k left join constant c on c.n_tokens = k.n_tokens and c.lead = k.lead and c.spot = k.spot and c.token = k.t[k.spot] group by all
 ), judged as (
   select l.*, case when agreed >= 0.8 * l.n_tokens then '' else l.masked end as template from lines l join agreed using (n_tokens, lead, masked)
+), held as (
+  select n_tokens, lead, template, rest, count(*) as n from (select distinct n_tokens, lead, template, doc_id, rest from judged) group by all
 ), recurs as (
-  select n_tokens, lead, template from (
-    select n_tokens, lead, template, around, min(doc_id) as doc from judged group by all
-  ) group by all having count(distinct doc) >= 10
+  select n_tokens, lead, template from held group by all having count(*) >= 10 and count(*) >= 0.25 * sum(n)
 ), gone as (
   select doc_id, list(distinct pos) as gone from judged semi join recurs using (n_tokens, lead, template) group by all
 )

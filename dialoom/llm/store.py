@@ -47,13 +47,25 @@ def unpress(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those of ids (doc_id); a fixed number of hash buckets (2**20 rows at most) spares most texts the shuffle."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("slot")
+    name = unused(docs, "slot")[0]
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias(name)
     sift = F.broadcast(ids.select(slot).distinct())
-    docs = docs.withColumn("slot", slot)
-    clear = docs.join(sift, "slot", "left_anti")
-    return clear.union(docs.join(sift, "slot", "left_semi").join(ids, "doc_id", "left_anti").select(clear.columns)).drop("slot")
+    docs = docs.withColumn(name, slot)
+    clear = docs.join(sift, name, "left_anti")
+    return clear.union(docs.join(sift, name, "left_semi").join(ids, "doc_id", "left_anti").select([f"`{c}`" for c in clear.columns])).drop(name)
 
 
 def packed(docs: DataFrame, limit: int = 1 << 22) -> DataFrame:
