@@ -4,9 +4,10 @@ Labels mark documents, so token labels are derived first: in a bounded sample of
 Spark counts in how many toxic and other documents each word and each four-byte prefix occurs; tokens
 whose word or prefix is far likelier in toxic documents are labelled 1 there, all others 0. The field
 is trained on these labelled sequences by gradient ascent on the exact log-likelihood (forward-backward),
-with features of the word, its prefix and suffix, and its neighbours. A text is tagged in chains of at
-most ``CHAIN`` words; marginals of state 1 give spans, and their evidence gives the document's score by
-a logistic calibration on the same sample.
+with features of the word, its prefix and suffix, and its neighbours. Training sequences are windows of ``CHAIN``
+words of one text. A text is tagged as one chain, however long: pieces of ``CHAIN`` words run side by side, and each
+gets the exact messages of the text before and after it. Marginals of state 1 give spans, and their evidence gives the
+document's score by a logistic calibration on the same sample.
 
 Words are maximal runs of letters, digits and non-ASCII bytes, ASCII-lower-cased. Only text is scored.
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import crc_fold, table
+from .store import crc_fold, saved, table
 from .words import Block, blocks, mix
 
 CHAIN = 64
@@ -54,26 +55,41 @@ def _log_add(a, b):
     return m + np.log1p(np.exp(-np.abs(a - b)))
 
 
-def forward_backward(unary: np.ndarray, used: np.ndarray, trans: np.ndarray):
-    """Marginals of chains. unary: [chain, step] score of state 1 over state 0; used: which steps exist (a prefix of each row).
-
-    Returns p(state 1), the expected counts of the four transitions, and the log-partition of each chain.
-    """
+def forward(unary: np.ndarray, used: np.ndarray, trans: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Log messages [step, chain, state] of chains; start: the message of what comes before each chain."""
     n, m = unary.shape
-    alpha, beta = np.zeros((m, n, 2)), np.zeros((m, n, 2))
-    alpha[0, :, 1] = unary[:, 0]
+    alpha = np.zeros((m, n, 2))
+    if start is None:
+        alpha[0, :, 1] = unary[:, 0]
+    else:
+        alpha[0, :, 0] = _log_add(start[:, 0] + trans[0, 0], start[:, 1] + trans[1, 0])
+        alpha[0, :, 1] = _log_add(start[:, 0] + trans[0, 1], start[:, 1] + trans[1, 1]) + unary[:, 0]
     for t in range(1, m):
         a0 = _log_add(alpha[t - 1, :, 0] + trans[0, 0], alpha[t - 1, :, 1] + trans[1, 0])
         a1 = _log_add(alpha[t - 1, :, 0] + trans[0, 1], alpha[t - 1, :, 1] + trans[1, 1]) + unary[:, t]
         on = used[:, t]
         alpha[t, :, 0] = np.where(on, a0, alpha[t - 1, :, 0])
         alpha[t, :, 1] = np.where(on, a1, alpha[t - 1, :, 1])
+    return alpha
+
+
+def forward_backward(unary: np.ndarray, used: np.ndarray, trans: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None):
+    """Marginals of chains. unary: [chain, step] score of state 1 over state 0; used: which steps exist (a prefix of each row).
+
+    start and end: messages of what comes before and after each chain; nothing if None. Returns p(state 1), the expected
+    counts of the four transitions inside the chains, and the log-partition of each chain.
+    """
+    n, m = unary.shape
+    alpha, beta = forward(unary, used, trans, start), np.zeros((m, n, 2))
+    if end is not None:
+        beta[-1] = end
     for t in range(m - 2, -1, -1):
         x0, x1 = beta[t + 1, :, 0], beta[t + 1, :, 1] + unary[:, t + 1]
         on = used[:, t + 1]
-        beta[t, :, 0] = np.where(on, _log_add(x0 + trans[0, 0], x1 + trans[0, 1]), 0)
-        beta[t, :, 1] = np.where(on, _log_add(x0 + trans[1, 0], x1 + trans[1, 1]), 0)
-    z = _log_add(alpha[-1, :, 0], alpha[-1, :, 1])
+        beta[t, :, 0] = np.where(on, _log_add(x0 + trans[0, 0], x1 + trans[0, 1]), beta[t + 1, :, 0])
+        beta[t, :, 1] = np.where(on, _log_add(x0 + trans[1, 0], x1 + trans[1, 1]), beta[t + 1, :, 1])
+    last = alpha[-1] + beta[-1]
+    z = _log_add(last[:, 0], last[:, 1])
     score = alpha + beta
     p = 1 / (1 + np.exp(np.clip(score[:, :, 0] - score[:, :, 1], -500, 500)))
     p = np.where(used, p.T, 0.0)
@@ -85,10 +101,39 @@ def forward_backward(unary: np.ndarray, used: np.ndarray, trans: np.ndarray):
     return p, counts, z
 
 
-def chains(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lay a value per word out as [chain, step]; chains never cross texts. Also the used cells, and where each word went."""
-    n = len(doc)
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if n else np.zeros(0, np.int64)
+def messages(unary: np.ndarray, used: np.ndarray, trans: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) messages of pieces that follow each other in texts; place: a piece's number in its text."""
+    n = len(unary)
+    start, end = np.zeros((n, 2)), np.zeros((n, 2))
+    inner = np.flatnonzero(place > 0)
+    if len(inner):
+        none = -1e30
+        through = np.zeros((n, 2, 2))  # from the state before a piece to the state at its end
+        for i in (0, 1):
+            before = np.full((len(inner), 2), none)
+            before[:, i] = 0
+            through[inner, i] = forward(unary[inner], used[inner], trans, before)[-1]
+        head = np.flatnonzero((place == 0) & np.r_[place[1:] > 0, False])
+        out = np.zeros((n, 2))
+        out[head] = forward(unary[head], used[head], trans)[-1]
+        order = np.argsort(place, kind="stable")
+        edge = np.searchsorted(place[order], np.arange(place.max() + 2))
+        for k in range(1, len(edge) - 1):
+            at = order[edge[k] : edge[k + 1]]
+            start[at] = out[at - 1] - out[at - 1].max(1, keepdims=True)
+            out[at] = _log_add(start[at, :1] + through[at, 0], start[at, 1:] + through[at, 1])
+        for k in range(len(edge) - 2, 0, -1):
+            at = order[edge[k] : edge[k + 1]]
+            x = through[at] + end[at, None, :]
+            got = _log_add(x[:, :, 0], x[:, :, 1])
+            end[at - 1] = got - got.max(1, keepdims=True)
+    return start, end
+
+
+def chains(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lay a value per word out as [piece, step]; pieces never cross texts. Also the used cells, where each word went, and a piece's number in its text."""
+    n = len(text)
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if n else np.zeros(0, np.int64)
     inside = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
     step = inside % CHAIN
     row = np.cumsum(step == 0) - 1
@@ -96,7 +141,7 @@ def chains(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     out, used = np.zeros(shape), np.zeros(shape, bool)
     at = row * CHAIN + step
     out.flat[at], used.flat[at] = value, True
-    return out, used, at
+    return out, used, at, inside[step == 0] // CHAIN
 
 
 @dataclass
@@ -121,11 +166,16 @@ class Field:
         """Marginal of state 1 of every word."""
         p = np.zeros(len(doc))
         u = self.unary(doc, hashes)
-        laid, used, at = chains(doc, u)
-        for k in range(0, len(laid), 4096):
-            got, _, _ = forward_backward(laid[k : k + 4096], used[k : k + 4096], self.trans)
-            inside = (at >= k * CHAIN) & (at < (k + 4096) * CHAIN)
-            p[inside] = got.flat[at[inside] - k * CHAIN]
+        laid, used, at, place = chains(doc, u)
+        start, end = messages(laid, used, self.trans, place)
+        # first pieces have no text before them
+        opens = place == 0
+        for rows in (np.flatnonzero(opens), np.flatnonzero(~opens)):
+            for k in range(0, len(rows), 4096):
+                own = rows[k : k + 4096]
+                got, _, _ = forward_backward(laid[own], used[own], self.trans, None if opens[own[0]] else start[own], end[own])
+                laid[own] = got
+        p[:] = laid.flat[at]
         return p
 
     def document_score(self, evidence: np.ndarray) -> np.ndarray:
@@ -171,9 +221,13 @@ def evidence_words(rows: DataFrame, least: int, precision: float, sigma: float)
     return [np.sort(got.h[got.kind == k].to_numpy(np.int64).view(np.uint64)) for k in range(KINDS)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1200, least: int = 6, precision: float = 0.85, sigma: float = 7.0, steps: int = 60) -> Field:
-    """Train on at most 5 x ``sample_rows`` documents; windows of one chain around derived tokens, and as many others."""
-    rows = sample(docs, labels, sample_rows)
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1200, least: int = 6, precision: float = 0.85, sigma: float = 7.0, steps: int = 60, clean_share: int = 32) -> Field:
+    """Train on at most 5 x ``sample_rows`` documents, whole texts for the evidence words and the calibration.
+
+    The sequences of the field are their windows of ``CHAIN`` words with a derived token, and one in ``clean_share`` of the others.
+    """
+    # ids pass pandas as text; the sample is read four times
+    rows = saved(sample(docs, labels, sample_rows).select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("toxic").cast("long").alias("toxic")), "sample")
     keys = evidence_words(rows, least, precision, sigma)
     field = Field(keys, [np.zeros((len(k) + 1, 3)) for k in keys], 0.0, np.zeros((2, 2)))
     if not any(map(len, keys)):
@@ -188,25 +242,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1200, least: int
                 toxic = x.toxic.to_numpy()[first : first + len(block)]
                 # a word, or a prefix that is no whole known word, is evidence; suffixes only support it
                 mark = ((at[0] < len(held.value[0])) | (at[1] < len(held.value[1]))) & (toxic[b.doc] == 1)
-                chain = np.arange(len(b.doc)) // CHAIN
-                keep = np.isin(chain, chain[mark]) | (chain % 32 == 0)
+                pos = np.arange(len(b.doc)) - b.word_start[b.doc]
+                window = (b.doc << 32) + pos // CHAIN
+                kept = mix((pos // CHAIN).astype(np.uint64) + b.hash(b.doc_start, b.doc_end)[b.doc]) % np.uint64(clean_share) == 0
+                keep = np.isin(window, window[mark]) | kept
                 yield pd.DataFrame({
-                    "doc": x.doc_id.to_numpy()[first : first + len(block)][b.doc[keep]], "pos": np.flatnonzero(keep),
+                    "doc": x.doc_id.to_numpy()[first : first + len(block)][b.doc[keep]], "window": pos[keep] // CHAIN, "pos": pos[keep],
                     "y": mark[keep].astype(np.int64), "a": at[0][keep], "b": at[1][keep], "c": at[2][keep],
                 })
 
-    data = rows.mapInPandas(derive, "doc long, pos long, y long, a long, b long, c long").toPandas().sort_values(["doc", "pos"], kind="stable")
+    data = rows.mapInPandas(derive, "doc string, window long, pos long, y long, a long, b long, c long").toPandas().sort_values(["doc", "window", "pos"], kind="stable")
     _train(field, data, steps)
-    seen = rows.select("doc_id", "text", "toxic").mapInPandas(_evidence(rows.sparkSession, field), "doc_id long, evidence double, spans string, toxic long").toPandas()
+    seen = rows.select("doc_id", "text", "toxic").mapInPandas(_evidence(rows.sparkSession, field), "doc_id string, evidence double, spans string, toxic long").toPandas()
     field.scale = _logistic(seen.evidence.to_numpy(), seen.toxic.to_numpy(float))
     return field
 
 
 def _train(field: Field, data: pd.DataFrame, steps: int) -> None:
     """Full-batch adaptive gradient ascent on the log-likelihood of the chains."""
-    doc, y, at = data.doc.to_numpy(), data.y.to_numpy(float), [data[c].to_numpy() for c in "abc"]
+    doc = data.groupby(["doc", "window"], sort=False).ngroup().to_numpy()  # a window is a sequence of its own
+    y, at = data.y.to_numpy(float), [data[c].to_numpy() for c in "abc"]
     same = doc[1:] == doc[:-1]
-    truth, used, cell = chains(doc, y)
+    truth, used, cell, _ = chains(doc, y)
     joined = used[:, 1:]
     state = truth.astype(int)
     seen = np.zeros((2, 2))
@@ -259,13 +316,13 @@ def _evidence(spark: SparkSession, field: Field, extra: str | None = "toxic"):
                 # log-odds of "at least one toxic word", bounded; the floor keeps long clean texts from adding up
                 none = np.bincount(b.doc, np.where(p >= 0.2, np.log1p(-np.clip(p, 0, 1 - 1e-6)), 0), b.n)
                 evidence[first : first + b.n] = np.clip(np.log(np.maximum(-np.expm1(none), 1e-6)) - none, -12, 12)
-                for k in np.flatnonzero(p >= 0.5):
-                    d = b.doc[k]
-                    before = block[d][: b.start[k] - b.doc_start[d]]
-                    word = block[d][b.start[k] - b.doc_start[d] : b.end[k] - b.doc_start[d]]
-                    s = len(before.decode("utf-8", "surrogatepass"))
-                    spans[first + d] += f"{s}:{s + len(word.decode('utf-8', 'surrogatepass'))},"
-            out = pd.DataFrame({"doc_id": x.doc_id, "evidence": evidence, "spans": [s.rstrip(",") for s in spans]})
+                points = np.r_[0, np.cumsum((b.buf & 0xC0) != 0x80)]  # code points before each byte
+                hit = np.flatnonzero(p >= 0.5)
+                base = points[b.doc_start[b.doc[hit]]]
+                said = [f"{s}:{e}" for s, e in zip(points[b.start[hit]] - base, points[b.end[hit]] - base, strict=True)]
+                edge = np.searchsorted(b.doc[hit], np.arange(b.n + 1))
+                spans[first : first + b.n] = [",".join(said[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            out = pd.DataFrame({"doc_id": x.doc_id, "evidence": evidence, "spans": spans})
             yield out.assign(toxic=x.toxic.astype("int64")) if extra else out
 
     return run
@@ -273,9 +330,9 @@ def _evidence(spark: SparkSession, field: Field, extra: str | None = "toxic"):
 
 def score(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, n_spans and spans (start:end in code points, comma-joined)."""
-    base = docs.select("doc_id", "text")
-    kind = base.schema["doc_id"].dataType.simpleString()
-    out = base.mapInPandas(_evidence(docs.sparkSession, field, None), f"doc_id {kind}, evidence double, spans string")
+    base = docs.select(F.col("doc_id").cast("string"), "text")
+    out = base.mapInPandas(_evidence(docs.sparkSession, field, None), "doc_id string, evidence double, spans string")
+    out = out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     a, b = field.scale
     value = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence")))) if (a, b) != (0.0, 0.0) else F.lit(0.0)
     return out.select(

@@ -35,11 +35,11 @@ def _bytes(texts) -> list[bytes]:
     return [t.lower().encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def sample(docs: DataFrame, per_language: int = 300, longest: int = 20_000) -> DataFrame:
-    """Training texts: of each language, ``per_language`` with the smallest id hash, none over ``longest`` characters."""
+def sample(docs: DataFrame, per_language: int = 300) -> DataFrame:
+    """Training texts: of each language, ``per_language`` with the smallest id hash, whole."""
     rows = (
         docs.where("lang is not null and text is not null and doc_id is not null").where(crc_fold() != 2)
-        .where(F.length("text") <= longest).select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
+        .select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
     )
     # only ids under a hash that four times the wanted rows of their language fall below compete
     size = rows.groupBy("lang").agg(F.count("*").alias("rows"))
@@ -69,19 +69,20 @@ def count(texts: DataFrame, order: int = ORDER) -> pd.DataFrame:
     def run(batches):
         for x in batches:
             for lang, group in x.groupby("lang", sort=False):
-                out = []
-                data = np.frombuffer(b"\x00".join([b"", *_bytes(group.text), b""]), np.uint8).astype(np.uint64)
-                for k in range(min(order + 1, len(data))):
-                    gram = np.zeros(len(data) - k, np.uint64)
-                    for j in range(k + 1):
-                        gram = gram << np.uint64(8) | data[j : len(data) - k + j]
-                    # a gram that crosses or predicts a text's border is not counted
-                    ok = np.ones(len(gram), bool)
-                    for j in range(k + 1):
-                        ok &= data[j : len(data) - k + j] != 0
-                    v, n = np.unique(gram[ok], return_counts=True)
-                    out.append(pd.DataFrame({"lang": lang, "size": k + 1, "gram": v.astype(np.int64), "n": n}))
-                yield pd.concat(out)
+                for _, block in blocks(_bytes(group.text), 1 << 19):
+                    out = []
+                    data = np.frombuffer(b"\x00".join([b"", *block, b""]), np.uint8).astype(np.uint64)
+                    for k in range(min(order + 1, len(data))):
+                        gram = np.zeros(len(data) - k, np.uint64)
+                        for j in range(k + 1):
+                            gram = gram << np.uint64(8) | data[j : len(data) - k + j]
+                        # a gram that crosses or predicts a text's border is not counted
+                        ok = np.ones(len(gram), bool)
+                        for j in range(k + 1):
+                            ok &= data[j : len(data) - k + j] != 0
+                        v, n = np.unique(gram[ok], return_counts=True)
+                        out.append(pd.DataFrame({"lang": lang, "size": k + 1, "gram": v.astype(np.int64), "n": n}))
+                    yield pd.concat(out)
 
     grams = texts.mapInPandas(run, "lang string, size int, gram long, n long")
     return grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas()
@@ -175,7 +176,8 @@ def _parent(index: dict, c: tuple[int, ...]) -> int:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (posterior of the language under equal priors), bits_per_byte."""
-    base = docs.select("doc_id", "text")
+    # ids pass pandas as text: beside a null, pandas would make floating point of them
+    base = docs.select(F.col("doc_id").cast("string"), "text")
     schema = T.StructType([base.schema["doc_id"], *(T.StructField(n, t) for n, t in (
         ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()), ("lettered", T.BooleanType())))])
     held = base.sparkSession.sparkContext.broadcast(model)  # a table bounded by the sample bound
@@ -196,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             lang[bad], score[bad] = "und", 0.0
             yield pd.DataFrame({"doc_id": x.doc_id, "lang_pred": lang, "score": score, "bits_per_byte": rate, "lettered": lettered})
 
-    out = base.mapInPandas(run, schema)
+    out = base.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     return out.select("doc_id", F.coalesce(crc_fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 

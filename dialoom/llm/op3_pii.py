@@ -1,17 +1,18 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base spans (email, ip, card, phone) are found by fixed patterns in linear scans, and seed the method.
-Every other word that looks like an identifier is a candidate instance. Instances are told by their
-shape (``password=0a9b`` is ``a=w``), and a span's lexical patterns are its neighbours: the word before,
-the two before, the word after, and what stands before a ``=`` or ``:`` inside it. Spark sums the
-pattern-shape graph and scores it iteratively: a pattern is as sure as the shapes it extracts, a shape
-as sure as the patterns that extract it, seeds staying at 1. Patterns with enough seeds and confidence
-then discover unseen identifiers among the candidates, as spans of kind ``id``.
-
-The graph is summed before it is shuffled, so a pattern or shape that holds a third of all spans is a
-few rows; candidates of a hot pattern are split by adaptive skew joins. Offsets are code points.
-
-Defined cases: null is the empty text, without spans; ties in a start are ordered by kind; repeated rows
+Every other word that looks like an identifier (with a digit, an inner ``=`` or ``:``, an inner change to
+upper case, or many letters) is a candidate instance, of any length. Instances are their values, told apart by
+hash, and each has a shape (``password=0a9b`` is ``a=w``). A span's lexical patterns are its neighbours: the word
+before, the two before, the word after, and what stands before a ``=`` or ``:`` inside it. Spark scores the
+pattern-instance graph iteratively: a pattern is as sure as the instances it extracts; an instance as sure as the
+patterns that extract it, by itself and over all of its shape, seeds staying at 1. Patterns with enough seeds and
+confidence then discover unseen identifiers among the sure candidates, as spans of kind ``id``.
+
+The graph is summed before it is shuffled, so a pattern, instance or shape that holds a third of all spans is a
+few rows; neighbours of over 40 characters are told by their beginning and a digest; candidates of a hot pattern are split by adaptive skew joins. Offsets are code points.
+
+Defined cases: null is the empty text, without spans; very long texts and words are scanned whole; ties in a start are ordered by kind; repeated rows
 and ids are scanned one by one; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -33,8 +34,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_BEFORE = re.compile(r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]+([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*\Z")
-_AFTER = re.compile(r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What makes a word a candidate.
+_TRIGGER = re.compile(r"[0-9]|[A-Za-z_][=:](?=[^\x20\x09-\x0D/])|[a-z][A-Z]|[A-Za-z]{20}")
 _INNER = re.compile(r"^([A-Za-z_]{3,24})[=:]")
 _ALNUM = re.compile(r"[^\W_]+")
 
@@ -81,57 +83,90 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> str:
     """Runs of letters, digits or both as a, 0 or w; other characters stand for themselves."""
-    return _ALNUM.sub(lambda m: "a" if m[0].isalpha() else "0" if m[0].isdigit() else "w", word)[:48]
-
-
-def patterns(text: str, start: int, end: int, word: str) -> list[str]:
-    m = _BEFORE.search(text, max(0, start - 120), start)
-    two, one = (m[1], m[2]) if m else ("", text[max(0, start - 60) : start].strip())
-    n = _AFTER.match(text, end, end + 120)
-    clean = lambda w: re.sub("[0-9]+", "0", w.lower())[:40]
-    out = ["L " + clean(one), "LL " + clean(two) + " " + clean(one)]
-    if n:
-        out.append("R " + clean(n[1]))
-    if k := _INNER.match(word):
-        out.append("P " + k[1].lower())
-    return out
+    out = _ALNUM.sub(lambda m: "a" if m[0].isalpha() else "0" if m[0].isdigit() else "w", word)
+    return out if len(out) <= 40 else out[:40] + digest(out)
+
+
+def digest(text: str) -> str:
+    return "#" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def plain(word: str) -> str:
+    """A neighbour as patterns tell it: digits masked, lower-case."""
+    word = re.sub("[0-9]+", "0", word.lower())
+    return word if len(word) <= 40 else word[:40] + digest(word)
+
+
+class Context:
+    """Neighbours of spans that come in order: words of the text, each made plain once."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [m.span() for m in _WORD.finditer(text)]
+        self.at, self.last, self.known = 0, 0, {}
+
+    def word(self, k: int) -> str:
+        if not 0 <= k < len(self.words):
+            return ""
+        if k not in self.known:
+            self.known = {i: w for i, w in self.known.items() if abs(i - k) < 4}
+            self.known[k] = plain(self.text[slice(*self.words[k])])
+        return self.known[k]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        while self.at + 1 < len(self.words) and self.words[self.at][1] <= start:
+            self.at += 1
+        k, begin = self.at, self.words[self.at][0]
+        after = k
+        while after + 1 < len(self.words) and self.words[after][1] < end:
+            after += 1
+        # inside a word, the neighbour is what stands between the span and the one before it
+        inner = self.text[max(begin, min(self.last, start)) : start].strip("([{\"'<")
+        self.last = end
+        one, two = (plain(inner), self.word(k - 1)) if inner else (self.word(k - 1), self.word(k - 2))
+        out = ["L " + one, "LL " + two + " " + one]
+        if n := self.word(after + 1):
+            out.append("R " + n)
+        if m := _INNER.match(self.text[start : min(end, start + 26)]):
+            out.append("P " + m[1].lower())
+        return out
 
 
 def scan(text: str) -> tuple[list, list]:
-    """Base spans, and instances (start, end, shape, seed, patterns)."""
+    """Base spans, and instances (start, end, value hash, shape, seed, patterns)."""
     base = base_spans(text)
-    found, taken = [], []
-    for s, k, e in base:
-        found.append((s, e, shape(text[s:e]), True, patterns(text, s, e, text[s:e])))
-        taken.append((s, e))
-    taken.sort()
-    i = 0
-    if _DIGIT.search(text):
-        at, n = 0, len(text)
-        while m := _DIGIT.search(text, at):
-            s = e = m.start()
-            while s > 0 and not (text[s - 1] == " " or "\t" <= text[s - 1] <= "\r"):
-                s -= 1
-            while e < n and not (text[e] == " " or "\t" <= text[e] <= "\r"):
-                e += 1
-            at = e
-            while s < e and text[s] in "([{\"'<":
-                s += 1
-            word = text[s:e].rstrip(".,;:!?)]}\"'")
-            e = s + len(word)
-            while i < len(taken) and taken[i][1] <= s:
-                i += 1
-            if 6 <= len(word) <= 128 and not (i < len(taken) and taken[i][0] < e):
-                found.append((s, e, shape(word), False, patterns(text, s, e, word)))
+    taken = sorted((s, e, True) for s, _, e in base)
+    spans, i, at, n = list(taken), 0, 0, len(text)
+    while m := _TRIGGER.search(text, at):
+        s = e = m.start()
+        while s > at and not (text[s - 1] == " " or "\t" <= text[s - 1] <= "\r"):
+            s -= 1
+        if w := _WORD.match(text, s):
+            e = w.end()
+        at = max(e, m.end())
+        while s < e and text[s] in "([{\"'<":
+            s += 1
+        while e > s and text[e - 1] in ".,;:!?)]}\"'":
+            e -= 1
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if e - s >= 6 and not (i < len(taken) and taken[i][0] < e):
+            spans.append((s, e, False))
+    found = []
+    if spans:
+        context = Context(text)
+        for s, e, seed in sorted(spans):
+            word = text[s:e]
+            value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            found.append((s, e, value, shape(word), seed, context.patterns(s, e)))
     return base, found
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """One row a document: row, doc_id, counts, base_sha256, base spans and instances."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    # ids pass pandas as text: beside a null, pandas would make floating point of them
     schema = (
-        f"row long, doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-        "base array<struct<start:int,rank:int,end:int>>, instances array<struct<start:int,end:int,shape:string,seed:boolean,patterns:array<string>>>"
+        "row long, doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,rank:int,end:int>>, "
+        "instances array<struct<start:int,end:int,value:long,shape:string,seed:boolean,patterns:array<string>>>"
     )
 
     def run(batches):
@@ -143,35 +178,44 @@ def scanned(docs: DataFrame) -> DataFrame:
                 rows.append((n, i, *[sum(k == j for _, k, _ in base) for j in range(4)], hashlib.sha256(said.encode()).hexdigest(), base, found))
             yield pd.DataFrame(rows, columns=["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "instances"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(run, schema)
+    out = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def bootstrap(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(pattern, confidence, seeds) and (shape, confidence) from the summed graph (pattern, shape, n, seeds)."""
-    seeded = edges.groupBy("shape").agg((F.sum("seeds") / F.sum("n")).alias("seeded"))
-    shapes = seeded.select("shape", F.col("seeded").alias("confidence"))
+    """(pattern, confidence, seeds) and (value, confidence) from the summed graph (pattern, value, shape, n, seeds)."""
+    mean = lambda x: F.sum(F.col("n") * F.col(x)) / F.sum("n")
+    share = F.sum("seeds") / F.sum("n")
+    kinds = edges.groupBy("shape").agg(share.alias("shaped"))
+    seeded = saved(edges.groupBy("value", "shape").agg(share.alias("own")).join(kinds, "shape").select("value", "shape", F.greatest("own", "shaped").alias("seeded")), "instances")
+    instances = seeded.select("value", "shape", F.col("seeded").alias("confidence"))
     for _ in range(rounds):
         known = (
-            edges.join(shapes, "shape").groupBy("pattern")
+            edges.join(instances, ["value", "shape"]).groupBy("pattern")
             # one virtual miss: a pattern seen once proves little
             .agg((F.sum(F.col("n") * F.col("confidence")) / (F.sum("n") + 1)).alias("confidence"), F.sum("seeds").alias("seeds"))
         )
         known = saved(known, "patterns")
-        by_shape = edges.join(known.drop("seeds"), "pattern").groupBy("shape").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("c"))
-        shapes = saved(by_shape.join(seeded, "shape").select("shape", F.greatest("seeded", "c").alias("confidence")), "shapes")
-    return known, shapes
+        told = saved(edges.join(known.select("pattern", "confidence"), "pattern").groupBy("value", "shape").agg(mean("confidence").alias("own"), F.sum("n").alias("n")), "told")
+        kinds = told.groupBy("shape").agg(mean("own").alias("shaped"))
+        both = told.join(kinds, "shape").join(seeded, ["value", "shape"])
+        # an instance met often speaks for itself, a rare one as its shape does
+        weight = F.col("n") / (F.col("n") + 2)
+        own = weight * F.col("own") + (1 - weight) * F.col("shaped")
+        instances = saved(both.select("value", "shape", F.greatest("seeded", own).alias("confidence")), "instances")
+    return known, instances
 
 
 def extract(docs: DataFrame, confidence: float = 0.6, least_seeds: int = 5, rounds: int = 3) -> DataFrame:
     """doc_id, base counts, base_sha256, spans (all), n_id."""
     rows = saved(scanned(docs), "scanned")
     spans = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
-    each = spans.select("row", "start", "end", "shape", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
-    edges = saved(each.groupBy("pattern", "shape").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")), "graph")
-    known, shapes = bootstrap(edges, rounds)
+    each = spans.select("row", "start", "end", "value", "shape", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
+    edges = saved(each.groupBy("pattern", "value", "shape").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")), "graph")
+    known, instances = bootstrap(edges, rounds)
     sure = known.where((F.col("confidence") >= confidence) & (F.col("seeds") >= least_seeds)).select("pattern")
-    likely = shapes.where(F.col("confidence") >= confidence / 2).select("shape")
-    new = each.where("not seed").join(sure, "pattern", "left_semi").join(likely, "shape", "left_semi").select("row", "start", "end").distinct()
+    likely = instances.where(F.col("confidence") >= confidence / 2).select("value", "shape")
+    new = each.where("not seed").join(sure, "pattern", "left_semi").join(likely, ["value", "shape"], "left_semi").select("row", "start", "end").distinct()
     new = new.groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"))).alias("added"))
     name = F.array(*map(F.lit, KINDS))
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))

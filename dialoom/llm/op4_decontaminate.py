@@ -1,42 +1,45 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become templates: numbers, capitalised words inside sentences and units after numbers turn into
-typed placeholders; other words are lower-cased. Windows of ``WINDOW`` template words are hashed, and a
-document's windows are hash-joined with the benchmark's. Matches of one document and item are lined up
-by offset; an alignment counts if its slots are consistent: equal item values map to equal document
-values and different ones to different ones, as in a re-parameterised question. A document is
+Texts become sequences of template tokens: a number with its separators and decimals (``1,200``, ``7.50``), or a run of
+number words, is one number; a run of capitalised words, in any letters, is one name; a unit after a number, also when
+attached to it (``5km``), is one unit; every other word is itself, lower-cased. Windows of ``WINDOW`` tokens are hashed,
+and a document's windows are hash-joined with the benchmark's. Matches of one document and item are lined up by offset
+in tokens, whatever the length of their values; an alignment counts if its slots are consistent: equal item values map to
+equal document values and different ones to different ones, as in a re-parameterised question. A document is
 contaminated by an item if consistent alignments cover ``least`` of the item's windows.
 
 The documents' windows stay in the task that makes them: a sorted array of the benchmark's window hashes
 goes to the tasks when it has at most ``MOST`` entries, and only windows found there reach the join; a
-larger benchmark is joined through a shuffle of all windows. Windows of fewer than ``LITERAL`` literal
+larger benchmark is joined through a shuffle of all windows, with the same result. Windows of fewer than ``LITERAL`` literal
 words are left out, unless an item has no others. Items shorter than a window match as a whole.
 
-Defined cases: null and empty texts match nothing; items without a word are ignored; repeated rows of a
+Defined cases: null and empty texts match nothing; very long texts are read whole; items without a word are ignored; repeated rows of a
 document or an item give one result a pair of ids; null ids match nothing; an empty table gives an empty
 result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import saved, table
 from .words import Block, blocks, mix
 
 WINDOW, LITERAL, MOST = 8, 4, 2_000_000
 _OUT = np.ones(256, bool)
 _OUT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_STOP = np.zeros(256, bool)
-_STOP[[*b".!?\n:;\""]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 #: Words that count as numbers, and units.
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
 UNITS = "kg g mg km m cm mm mi ft in lb oz l ml s ms min h hr hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents cent percent miles mile meters meter metres metre kilometers kilometres kilograms grams liters litres pounds inches feet degrees usd eur".split()
+#: Endings of ordinal numbers.
+ORDINALS = ["st", "nd", "rd", "th"]
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 
 
@@ -50,95 +53,134 @@ def _member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
 
 
-_NUMBER_WORDS, _UNITS = _hashes(NUMBER_WORDS), _hashes(UNITS)
+_NUMBER_WORDS, _UNITS, _ORDINALS = _hashes(NUMBER_WORDS), _hashes(UNITS), _hashes(ORDINALS)
+_IN_NUMBER, _IN_RUN = np.zeros(256, bool), np.zeros(256, bool)
+_IN_NUMBER[[*b".,:/-"]] = True
+_IN_RUN[[*b" -'"]] = True
+
+
+@dataclass
+class Templates:
+    """Template tokens of a block: text in the block, template hash, value hash, whether a placeholder; and each text's tokens."""
+
+    n: int
+    doc: np.ndarray
+    t: np.ndarray
+    value: np.ndarray
+    slot: np.ndarray
 
+    def __post_init__(self):
+        self.begin, self.end = (np.searchsorted(self.doc, np.arange(self.n), side) for side in ("left", "right"))
 
-def templates(block: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray]:
-    """Words of a block, their template hashes and which are placeholders."""
+
+def templates(block: list[bytes]) -> Templates:
     b = Block(block, lower=True, separators=_OUT)
-    if not len(b.h):
-        return b, b.h, np.zeros(0, bool)
-    digits, stops = (np.r_[0, np.cumsum(t[b.buf])] for t in (_DIGIT, _STOP))
-    number = (digits[b.end] - digits[b.start] == b.end - b.start) | _member(_NUMBER_WORDS, b.h)
-    first = np.r_[True, b.doc[1:] != b.doc[:-1]]
-    opens = first | np.r_[True, stops[b.start[1:]] > stops[b.end[:-1]]]
-    head, second = b.buf[b.start], b.buf[np.minimum(b.start + 1, b.end - 1)]
-    name = (head >= 65) & (head <= 90) & (second >= 97) & ~opens & ~number
-    unit = _member(_UNITS, b.h) & np.r_[False, number[:-1]] & ~first
-    t = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, b.h)))
-    return b, t, number | name | unit
-
-
-def windows(b: Block, t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of all windows inside texts."""
-    m = max(0, len(t) - size + 1)
+    start, end = b.start, b.end
+    if not len(start):
+        return Templates(b.n, b.doc, b.h, b.h, np.zeros(0, bool))
+    # a word of leading digits and something else is cut behind the digits
+    other = np.flatnonzero(~_DIGIT[b.buf])
+    cut = other[np.minimum(np.searchsorted(other, start), len(other) - 1)]
+    cut = cut[(cut > start) & (cut < end)]
+    start, end = np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
+    h, doc = b.hash(start, end), np.searchsorted(b.doc_end, start, "right")
+    gap = np.r_[1 << 30, start[1:] - end[:-1]]
+    gap[np.r_[True, doc[1:] != doc[:-1]]] = 1 << 30
+    before = b.buf[np.maximum(start - 1, 0)]
+    digits, said = _DIGIT[b.buf[start]], _member(_NUMBER_WORDS, h)
+    number = digits | said
+    last = lambda x: np.r_[False, x[:-1]]
+    head, second, third = (b.buf[np.minimum(start + k, end - 1)] for k in range(3))
+    lower = lambda c: (c >= 97) & (c <= 122) | (c >= 0xC3)
+    accented = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (end - start > 2) & lower(third)
+    name = ((head >= 65) & (head <= 90) & (end - start > 1) & lower(second) | accented) & ~number
+    ordinal = (gap == 0) & last(digits) & _member(_ORDINALS, h)
+    joined = (gap == 1) & (
+        (digits & last(digits) & _IN_NUMBER[before]) | (number & last(number) & (said | last(said)) & _IN_RUN[before]) | (name & last(name) & _IN_RUN[before])
+    ) | ordinal
+    unit = _member(_UNITS, h) & last(number) & (gap < 1 << 30) & ~number & ~ordinal
+    first = np.flatnonzero(~joined)
+    final = np.r_[first[1:], len(start)] - 1
+    t = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, h)))[first]
+    return Templates(b.n, doc[first], t, b.hash(start[first], end[final]), (number | name | unit)[first])
+
+
+def windows(x: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first token, hash) of all windows inside texts."""
+    m = max(0, len(x.t) - size + 1)
     acc = np.full(m, size, np.uint64)
     for k in range(size):
-        acc = mix(acc + t[k : k + m] + np.uint64(k + 1))
-    at = np.flatnonzero(b.doc[:m] == b.doc[size - 1 : size - 1 + m])
+        acc = mix(acc + x.t[k : k + m] + np.uint64(k + 1))
+    at = np.flatnonzero(x.doc[:m] == x.doc[size - 1 : size - 1 + m])
     return at, acc[at]
 
 
+def _values(x: Templates, at: np.ndarray, size: int) -> list[np.ndarray]:
+    return [x.value[p + np.flatnonzero(x.slot[p : p + size])].view(np.int64) for p in at]
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, h, item_pos, size, n_windows, item_slots: slot values of the window, by word)."""
+    """(item_id, h, item_pos, size, n_windows, item_slots: slot values of the window, in order)."""
+    kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches):
         for x in batches:
             for first, block in blocks(x.text):
-                b, t, slot = templates(block)
-                rows = []
-                for d in range(b.n):
-                    lo, hi = b.word_start[d], b.word_end[d]
-                    if lo == hi:
-                        continue
-                    size = min(window, hi - lo)
-                    for only in (True, False):
-                        at = [p for p in range(lo, hi - size + 1) if not only or size < window or (~slot[p : p + size]).sum() >= LITERAL]
-                        if at:
-                            break
-                    for p in at:
-                        acc = np.full(1, size, np.uint64)
-                        for k in range(size):
-                            acc = mix(acc + t[p + k] + np.uint64(k + 1))
-                        own = np.flatnonzero(slot[p : p + size])
-                        rows.append((x.item_id.iloc[first + d], int(acc.view(np.int64)[0]), p - lo, size, len(at), b.h[p + own].view(np.int64)))
-                yield pd.DataFrame(rows, columns=["item_id", "h", "item_pos", "size", "n_windows", "item_slots"])
+                y = templates(block)
+                many = y.end - y.begin
+                slots = np.r_[0, np.cumsum(y.slot)]
+                for size in np.unique(np.minimum(many[many > 0], window)):
+                    at, h = windows(y, size)
+                    d = y.doc[at]
+                    own = np.minimum(many[d], window) == size
+                    plain = (size < window) | (size - (slots[at + size] - slots[at]) >= LITERAL)
+                    # windows of few literal words count only where an item has no others
+                    use = own & (plain | ~np.isin(d, d[own & plain]))
+                    at, h, d = at[use], h[use], d[use]
+                    n = np.bincount(d, minlength=y.n)
+                    yield pd.DataFrame({
+                        "item_id": x.item_id.to_numpy()[first + d], "h": h.view(np.int64), "item_pos": at - y.begin[d], "size": int(size), "n_windows": n[d],
+                        "item_slots": _values(y, at, size),
+                    })
 
     items = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    return items.mapInPandas(run, "item_id long, h long, item_pos long, size long, n_windows long, item_slots array<long>")
+    return items.mapInPandas(run, f"item_id {kind}, h long, item_pos long, size long, n_windows long, item_slots array<long>")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
     """(doc_id, h, doc_pos, doc_slots) of windows whose hash is wanted; of all windows if wanted is None."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for x in batches:
             for first, block in blocks(x.text):
-                b, t, slot = templates(block)
-                ids = x.doc_id.to_numpy()[first : first + b.n]
+                y = templates(block)
+                ids = x.doc_id.to_numpy()[first : first + y.n]
                 for size in sizes:
-                    at, h = windows(b, t, size)
+                    at, h = windows(y, size)
                     if held.value is not None:
                         hit = _member(held.value, h)
                         at, h = at[hit], h[hit]
-                    if len(at):
-                        d = b.doc[at]
-                        yield pd.DataFrame({"doc_id": ids[d], "h": h.view(np.int64), "doc_pos": at - b.word_start[d], "doc_slots": [b.h[p + np.flatnonzero(slot[p : p + size])].view(np.int64) for p in at]})
+                    for k in range(0, len(at), 1 << 16):
+                        p = at[k : k + (1 << 16)]
+                        d = y.doc[p]
+                        yield pd.DataFrame({"doc_id": ids[d], "h": h[k : k + len(p)].view(np.int64), "doc_pos": p - y.begin[d], "doc_slots": _values(y, p, size)})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, h long, doc_pos long, doc_slots array<long>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, h long, doc_pos long, doc_slots array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: float = 0.8, most: int = MOST) -> DataFrame:
     """(doc_id, item_id, coverage, n_slots, verbatim): pairs whose consistent alignments cover ``least`` of the item."""
-    bench = benchmark_windows(items, window)
+    bench = saved(benchmark_windows(items, window), "benchmark")
     sizes = [r["size"] for r in bench.select("size").distinct().collect()]  # at most WINDOW numbers
     few = bench.select("h").distinct().limit(most + 1)
     wanted = None
     if few.count() <= most:
         wanted = np.sort(few.toPandas().h.to_numpy(np.int64).view(np.uint64))
     met = document_windows(docs, sizes, wanted).join(bench, "h").withColumn("offset", F.col("doc_pos") - F.col("item_pos"))
-    met = met.select("doc_id", "item_id", "offset", "item_pos", "n_windows", F.arrays_zip("item_slots", "doc_slots").alias("slots")).distinct()
+    met = met.select("doc_id", "item_id", "offset", "item_pos", "n_windows", F.arrays_zip("item_slots", "doc_slots").alias("slots"))
+    met = saved(met, "matches").distinct()  # read twice
     # a hot item's matches are aggregated before they meet: one row an alignment, one an alignment and slot pair
     key = ["doc_id", "item_id", "offset"]
     slots = met.select(*key, F.explode("slots").alias("s")).select(*key, "s.item_slots", "s.doc_slots").distinct()
@@ -160,6 +202,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Of a repeated id all rows go if one holds an item; null ids, null and empty texts stay; without benchmark items all
+    documents stay; the columns of docs, whatever their names, are kept.
+    """
     gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])

@@ -37,8 +37,6 @@ from .words import Block, blocks, distinct, mix
 
 #: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
 HASH_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 2_000_000, 64
-#: Rounds that take few pivots; after them the leaders of all groups, after as many again a growing number of each.
-CALM_ROUNDS = 3
 
 
 def _fingerprints(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +79,13 @@ def met_enough(single: DataFrame, total: int, shingle: int, num: int, den: int)
                 h, doc = h[order] >> shift, doc[order]
                 edge = np.searchsorted(h, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
                 full = np.flatnonzero(np.diff(edge))
+                if not len(full):
+                    continue
                 rows = [(int(i), k, b.n, press(np.diff(h[edge[i] : edge[i + 1]], prepend=np.uint64(0)).view(np.int64)), press(doc[edge[i] : edge[i + 1]])) for i in full]
                 out = pd.DataFrame(rows, columns=["bucket", "block", "many", "hashes", "docs"])
                 # one row of a block brings its ids and sizes
-                out["ids"] = [x.doc_id.to_numpy()[first : first + b.n], *[None] * (len(out) - 1)][: len(out)]
-                out["sizes"] = [np.bincount(doc, minlength=b.n), *[None] * (len(out) - 1)][: len(out)]
+                out["ids"] = [x.doc_id.to_numpy()[first : first + b.n], *[None] * (len(out) - 1)]
+                out["sizes"] = [np.bincount(doc, minlength=b.n), *[None] * (len(out) - 1)]
                 yield out
                 k += 1
 
@@ -142,10 +142,11 @@ def pivots(active: DataFrame, turn: int) -> DataFrame:
     short = short.join(group, "h")
     short = short.join(short.groupBy("c").agg(F.sum("many").alias("company")), "c")
     rank = F.struct("company", "c")
-    if turn < CALM_ROUNDS:  # the leaders of all their groups
+    if not turn:  # the leaders of all their groups
         top = short.groupBy("h").agg(F.max(rank).alias("top"))
         return short.join(top, "h").groupBy("c").agg(F.min(F.col("top.c") == F.col("c")).alias("first")).where("first").select("c")
-    salt = F.pmod(F.xxhash64("c"), F.lit(1 << min(30, max(0, turn - 2 * CALM_ROUNDS))))
+    # then the leaders of all groups, and after each round four times as many of each
+    salt = F.pmod(F.xxhash64("c"), F.lit(4 ** min(turn - 1, 15)))
     return short.groupBy("h", salt.alias("salt")).agg(F.max(rank).alias("top")).select(F.col("top.c").alias("c")).distinct()
 
 

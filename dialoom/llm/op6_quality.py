@@ -23,6 +23,8 @@ from .store import crc_fold, table
 from .words import Block, blocks, mix
 
 SYMBOLS = b"#*$%&|<>"
+#: The base rule (least words, most percent of repeated words) and the quality from which a text is kept.
+LEAST_WORDS, MOST_REPEATED, THRESHOLD = 50, 50, 0.3
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = [
     "symbols_per_word", "repeat_share", "dup_line_share", "log_words", "mean_word", "upper_share", "digit_share",
@@ -196,10 +198,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, **options)
     return fit_trees(rows[FEATURES].to_numpy(float), rows["y"].to_numpy(float), sign, **options)
 
 
-def score(docs: DataFrame, model: Trees, threshold: float = 0.3, least_words: int = 50) -> DataFrame:
+def base_failed(n_words, n_repeat_words):
+    """Of columns or arrays alike."""
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+
+
+def score(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, quality (0 to 1), base_failed and kept of every document."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers, whatever the corpus
-    schema = "doc_id {}, {}, quality double".format(docs.schema["doc_id"].dataType.simpleString(), ", ".join(f"{c} long" for c in BASE))
+    schema = "doc_id string, {}, quality double".format(", ".join(f"{c} long" for c in BASE))
 
     def run(batches):
         for x in batches:
@@ -207,11 +214,10 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.3, least_words: in
             quality = held.value.predict(s[FEATURES].to_numpy(float))
             yield pd.concat([x[["doc_id"]].reset_index(drop=True), s[BASE]], axis=1).assign(quality=quality)
 
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        docs.select("doc_id", "text").mapInPandas(run, schema).withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-    )
+    # ids pass pandas as text: beside a null, pandas would make floating point of them
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)
+    out = out.withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words"))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,15 +228,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with all their columns.
 
-    Text rides through the scoring pass, so nothing is joined or shuffled.
+    A null, empty or word-less text goes, as its base rule fails; a very long text is judged whole; repeated rows and
+    null ids are judged one by one; an empty table stays empty. The text alone passes the scoring function, so nothing
+    is joined or shuffled, and other columns may have any name and type.
     """
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(fit(docs, table(spark, sf_dir, "labels")))
 
-    def run(batches):
-        for x in batches:
-            s = text_statistics(x["text"])
-            failed = (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
-            yield x[(~failed & (held.value.predict(s[FEATURES].to_numpy(float)) >= 0.3)).to_numpy()]
+    @F.pandas_udf("boolean")
+    def kept(text: pd.Series) -> pd.Series:
+        s = text_statistics(text)
+        return pd.Series(~base_failed(s.n_words, s.n_repeat_words).to_numpy() & (held.value.predict(s[FEATURES].to_numpy(float)) >= THRESHOLD))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.where(kept("text"))
