@@ -137,6 +137,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                     # windows of few literal words count only where an item has no others
                     use = own & (plain | ~np.isin(d, d[own & plain]))
                     at, h, d = at[use], h[use], d[use]
+                    if not len(at):
+                        continue
                     n = np.bincount(d, minlength=y.n)
                     yield pd.DataFrame({
                         "item_id": x.item_id.to_numpy()[first + d], "h": h.view(np.int64), "item_pos": at - y.begin[d], "size": int(size), "n_windows": n[d],

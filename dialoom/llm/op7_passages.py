@@ -142,7 +142,7 @@ def stretches(parts: DataFrame, total: int) -> DataFrame:
         return pd.DataFrame({"bucket": x.bucket, "block": x.block, "many": np.diff(edge), "met": [np.packbits(met[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]})
 
     def cut(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = {"sid": [], "doc_id": [], "start": [], "text": []}
+        out = {name: pd.Series([], dtype=object) for name in ("sid", "doc_id", "start", "text")}
         if len(texts) and len(told):
             ids, sizes, blob, block = texts[["ids", "sizes", "blob", "block"]].iloc[0]
             b = Block(unpacked(sizes, blob), lower=True)
@@ -155,6 +155,7 @@ def stretches(parts: DataFrame, total: int) -> DataFrame:
             m = max(0, len(h) - LEAST + 1)
             begin = np.flatnonzero((total[LEAST : LEAST + m] - total[:m] >= DENSE * LEAST) & (doc[:m] == doc[LEAST - 1 : LEAST - 1 + m]))
             if len(begin):
+                out = {"doc_id": [], "start": [], "text": []}
                 apart = np.flatnonzero((np.diff(begin) > LEAST + GAP) | (doc[begin[1:]] != doc[begin[:-1]])) + 1
                 low, high = begin[np.r_[0, apart]], begin[np.r_[apart, len(begin)] - 1] + LEAST
                 out["sid"] = mix(mix(np.array([block], np.int64).view(np.uint64)) + np.arange(len(low), dtype=np.uint64)).view(np.int64)
@@ -234,14 +235,26 @@ def chains(runs: np.ndarray, most: int = GAP) -> list[np.ndarray]:
     return out
 
 
+def squeezed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """s with runs of one token cut to ``LEAST``, and where each kept token starts and ends in s; the last of a cut run ends with it."""
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    size = np.diff(np.r_[first, len(s)])
+    inside = np.arange(len(s)) - np.repeat(first, size)
+    keep = np.flatnonzero(inside < LEAST)
+    end = keep + 1
+    end[inside[keep] == LEAST - 1] = (first + size)[size >= LEAST]
+    return s[keep], keep, end
+
+
 def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start, end, similarity) in words of two shingle sequences.
 
-    Every place of a shared shingle counts, by its run; a passage is given if it covers words of either text that none
-    of more shingles covers.
+    Every place of a shared shingle counts, by its run; one word again and again counts as ``LEAST`` shingles. A passage
+    is given if it covers ``GAP`` words at least, of either text, that no passage of more shingles covers.
     """
     if not len(s) or not len(r):
         return []
+    (s, s_start, s_end), (r, r_start, r_end) = squeezed(s), squeezed(r)
     runs = diagonals(s, r)
     if not len(runs):
         return []
@@ -253,14 +266,14 @@ def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIM
             rows = open_chains.pop()
             x = runs[rows]
             i, j, p, q = x[0, 0], x[-1, :].take([0, 2]).sum(), x[0, 1], x[-1, 1:].sum()
-            if min(j - i, q - p) + SHINGLE - 1 < words or (seen[i:j].all() and seen_rep[p:q].all()):
+            if min(j - i, q - p) + SHINGLE - 1 < words or max(j - i - seen[i:j].sum(), q - p - seen_rep[p:q].sum()) < GAP:
                 continue
             one, two = np.unique(s[i:j]), np.unique(r[p:q])
             both = len(np.intersect1d(one, two, assume_unique=True))
             score = both / (len(one) + len(two) - both)
             if score >= similar:
                 seen[i:j] = seen_rep[p:q] = True
-                out.append((int(i), int(j) + SHINGLE - 1, int(p), int(q) + SHINGLE - 1, float(score)))
+                out.append((int(s_start[i]), int(s_end[j - 1]) + SHINGLE - 1, int(r_start[p]), int(r_end[q - 1]) + SHINGLE - 1, float(score)))
             elif len(x) > 1:
                 gap = np.maximum(x[1:, 0] - x[:-1, 0], x[1:, 1] - x[:-1, 1]) - x[:-1, 2]
                 cut = int(gap.argmax()) + 1
