@@ -13,8 +13,9 @@ the pairs at 0.8, and all verbatim ones.
 
 In a group of a key, stretches are compared with a representative (the one of most company in all its groups), not
 with each other. A place of a key is done with where a verified passage with the representative covers it; the others
-stay in the group and meet twice as many representatives each round, until no group has two documents left. So a
-passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
+stay in the group and meet four times as many representatives each round, until no group has two documents left; these
+comparisons are made where the ``LEAST`` tokens before and after the key's places have ``AROUND`` in common at least, as
+a common line alone doesn't make a passage. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
 shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a
 Jaccard similarity of ``SIMILAR``.
 
@@ -38,6 +39,8 @@ LEAST = WORDS - SHINGLE + 1
 PAIRS = 1 << 16
 #: Share of a window's tokens that others must have, with a margin for repeats; the widest gap that a passage bridges.
 DENSE, GAP = 0.7, 4 * SHINGLE
+#: Shortest run of shared shingles that a chain is made of; shared tokens around a key's place that a comparison needs.
+RUN, AROUND = 3, LEAST // 2
 #: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
 HASH_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 2_000_000, 64
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1) for k in range(HASHES)]
@@ -249,16 +252,19 @@ def squeezed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start, end, similarity) in words of two shingle sequences.
 
-    Every place of a shared shingle counts, by its run; one word again and again counts as ``LEAST`` shingles. A passage
+    Every place of a shared shingle counts, by its run of ``RUN`` at least; one word again and again counts as ``LEAST`` shingles. A passage
     is given if it covers ``GAP`` words at least, of either text, that no passage of more shingles covers.
     """
     if not len(s) or not len(r):
         return []
     (s, s_start, s_end), (r, r_start, r_end) = squeezed(s), squeezed(r)
     runs = diagonals(s, r)
+    runs = runs[runs[:, 2] >= RUN]
     if not len(runs):
         return []
     out, seen, seen_rep = [], np.zeros(len(s), bool), np.zeros(len(r), bool)
+    kinds, code = np.unique(np.r_[s, r], return_inverse=True)
+    own, other = code[: len(s)], code[len(s) :]
     # a chain is cut where its gap is widest until it is similar
     for chain in chains(runs):
         open_chains = [chain]
@@ -268,9 +274,9 @@ def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIM
             i, j, p, q = x[0, 0], x[-1, :].take([0, 2]).sum(), x[0, 1], x[-1, 1:].sum()
             if min(j - i, q - p) + SHINGLE - 1 < words or max(j - i - seen[i:j].sum(), q - p - seen_rep[p:q].sum()) < GAP:
                 continue
-            one, two = np.unique(s[i:j]), np.unique(r[p:q])
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            score = both / (len(one) + len(two) - both)
+            in_one, in_two = np.zeros((2, len(kinds)), bool)
+            in_one[own[i:j]], in_two[other[p:q]] = True, True
+            score = np.count_nonzero(in_one & in_two) / np.count_nonzero(in_one | in_two)
             if score >= similar:
                 seen[i:j] = seen_rep[p:q] = True
                 out.append((int(s_start[i]), int(s_end[j - 1]) + SHINGLE - 1, int(r_start[p]), int(r_end[q - 1]) + SHINGLE - 1, float(score)))
@@ -298,16 +304,35 @@ def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
         for x in batches:
             for i in range(0, len(x), 256):
                 part = x.iloc[i : i + 256]
-                found = [
-                    (d, r, *p)
-                    for d, r, s, t in zip(part.sid, part.rep, sequences(part.text), sequences(part.rep_text), strict=True)
-                    for p in align(s, t)
-                ]
+                back, _ = pd.factorize(part["rep"])
+                reps = sequences(part.drop_duplicates("rep").rep_text)
+                found = [(d, r, *p) for d, r, s, k in zip(part.sid, part.rep, sequences(part.text), back, strict=True) for p in align(s, reps[k])]
                 yield pd.DataFrame(found, columns=["sid", "rep", "start", "end", "rep_start", "rep_end", "similarity"])
 
     return rows.mapInPandas(run, "sid long, rep long, start long, end long, rep_start long, rep_end long, similarity double")
 
 
+def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(sid, at, near): 32-bit hashes of the tokens less than ``LEAST`` before and after the places of keys."""
+
+    def run(batches):
+        for x in batches:
+            for first, block in blocks(x.text, 1 << 18):
+                b = Block(block, lower=True)
+                doc, _, h = _tokens(b)
+                edge = np.searchsorted(doc, np.arange(b.n + 1))
+                h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                rows = [
+                    (x.sid.iloc[first + d], at, h[max(edge[d], edge[d] + at - LEAST + 1) : min(edge[d + 1], edge[d] + at + LEAST)])
+                    for d in range(b.n) for at in x.places.iloc[first + d]
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["sid", "at", "near"])
+
+    places = rest.groupBy("sid").agg(F.collect_set("at").alias("places"))  # no more than its tokens
+    return places.join(pieces.select("sid", "text"), "sid").mapInPandas(run, "sid long, at long, near array<int>")
+
+
 def together(rows: DataFrame) -> DataFrame:
     """Rows of keys that two documents have at least."""
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("many")).where("low < high")
@@ -318,14 +343,21 @@ def piece_passages(pieces: DataFrame) -> DataFrame | None:
     """Passages between stretches, as ``verify`` gives them; None if there are none to compare."""
     rest = together(saved(keys(pieces), "windows"))
     company = saved(rest.groupBy("sid").agg(F.sum("many").alias("company")), "company")
-    found = tried = None
+    found = tried = near = None
     turn = 0
     while not rest.isEmpty():
-        rank = rest.join(company, "sid").select("key", "sid", "doc_id", F.struct("company", "sid", "doc_id").alias("rank"))
-        rep = rank.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(1 << min(turn, 30))).alias("salt")).agg(F.max("rank").alias("top"))
+        rank = rest.join(company, "sid").select("key", F.struct("company", "sid", "doc_id").alias("rank"), "sid")
+        rep = rank.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(4 ** min(turn, 15))).alias("salt")).agg(F.max("rank").alias("top"))
         rep = saved(rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc")), "representatives")
         met = saved(rest.join(rep, "key").where("doc_id <> rep_doc").select("key", "sid", "at", "rep"), "met")
-        fresh = met.select(F.greatest("sid", "rep").alias("sid"), F.least("sid", "rep").alias("rep")).distinct()
+        pairs = met
+        if turn:
+            near = near or saved(surroundings(rest, pieces), "surroundings")
+            spots = rest.select("key", F.col("sid").alias("rep"), F.col("at").alias("rep_at"))
+            two = met.join(spots, ["key", "rep"]).select("sid", "at", "rep", "rep_at").distinct()
+            two = two.join(near, ["sid", "at"]).join(near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("near").alias("rep_near")), ["rep", "rep_at"])
+            pairs = two.where(F.size(F.filter("near", lambda t: F.array_contains("rep_near", t))) >= AROUND)
+        fresh = pairs.select(F.greatest("sid", "rep").alias("sid"), F.least("sid", "rep").alias("rep")).distinct()
         fresh = saved(fresh if tried is None else fresh.join(tried, ["sid", "rep"], "left_anti"), "fresh")
         tried = fresh if tried is None else tried.union(fresh)
         new = saved(verify(fresh, pieces), "passages")
