@@ -8,19 +8,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import count_of
 from ..schema import IMAGE_MARK
 
 
+MISSING, FAILED = "[图片文件不存在]", "[图片描述失败]"
+
+
 def describe(images: DataFrame, captioner: Callable[[str], str]) -> DataFrame:
-    """(image, caption): each distinct image is described once; an error becomes its text."""
+    """(image, caption): each distinct image is described once; a missing file or another error becomes a text that says so."""
+
+    def one(image):
+        try:
+            return captioner(image)
+        except FileNotFoundError:
+            return MISSING
+        except Exception as e:  # the contract: a failed caption must not lose the dialogue
+            return f"{FAILED[:-1]}: {e}]"
 
     def run(batches):
         for x in batches:
-            yield pd.DataFrame({"image": x.image, "caption": [captioner(i) for i in x.image]})
+            yield pd.DataFrame({"image": x.image, "caption": [one(i) for i in x.image]})
 
     return images.select("image").distinct().mapInPandas(run, "image string, caption string")
 
 
+def captioned(df: DataFrame, captions: DataFrame, key: str = "id") -> DataFrame:
+    """Dialogues (key, turns, images) with captions in place of their image marks, in order over all turns, and no images left.
+
+    captions: (image, caption) of ``describe``; only dialogues with images are joined.
+    """
+    each = df.select(F.col(key), F.posexplode("images").alias("pos", "image")).join(captions, "image", "left")
+    own = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "caption"))), lambda x: x["caption"]).alias("_captions"))
+    df = df.join(own, key, "left").withColumn("_captions", F.coalesce("_captions", F.array().cast("array<string>")))
+    empty = F.array().cast("array<string>")
+
+    def step(acc, t):
+        first, second = count_of(t["user"], IMAGE_MARK), count_of(t["assistant"], IMAGE_MARK)
+        take = lambda at, n: F.slice("_captions", acc["at"] + at + 1, n)
+        turn = F.struct(t["ord"].alias("ord"), fill(t["user"], take(F.lit(0), first)).alias("user"), fill(t["assistant"], take(first, second)).alias("assistant"), empty.alias("images"))
+        return F.struct((acc["at"] + first + second).alias("at"), F.concat(acc["out"], F.array(turn)).alias("out"))
+
+    kind = df.schema["turns"].dataType
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    turns = F.aggregate("turns", zero, lambda acc, t: F.struct(step(acc, t)["at"].alias("at"), step(acc, t)["out"].cast(kind).alias("out")), lambda acc: acc["out"])
+    return df.withColumns({"turns": turns, "images": empty}).drop("_captions")
+
+
 def fill(text: Column, captions: Column) -> Column:
     """The k-th mark becomes the k-th caption; marks without one say so."""
     pieces = F.split(text, IMAGE_MARK)

@@ -15,7 +15,28 @@ CARD = r"[0-9]([ -]?[0-9]){12,18}"
 PHONE = r"\+[0-9][ ().0-9-]{6,20}[0-9]"
 ID_CARD = r"[0-9]{17}[0-9Xx]"
 IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
-PATTERNS = {"NUMERIC_ID": (0.8, NUMERIC_ID), "EMAIL_ADDRESS": (0.9, EMAIL), "ID_CARD": (0.9, ID_CARD), "IP_ADDRESS": (0.6, IPV4), "PHONE_NUMBER": (0.6, PHONE), "CREDIT_CARD": (0.7, CARD), "IBAN_CODE": (0.7, IBAN)}
+SSN = r"[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}"
+CRYPTO = r"(bc1[0-9a-z]{25,59}|[13][1-9A-HJ-NP-Za-km-z]{25,34})"
+PATTERNS = {
+    "NUMERIC_ID": (0.8, NUMERIC_ID), "EMAIL_ADDRESS": (0.9, EMAIL), "ID_CARD": (0.9, ID_CARD), "IP_ADDRESS": (0.6, IPV4), "PHONE_NUMBER": (0.6, PHONE),
+    "CREDIT_CARD": (0.7, CARD), "IBAN_CODE": (0.75, IBAN), "US_SSN": (0.65, SSN), "CRYPTO": (0.55, CRYPTO),
+}
+#: Languages with a name and place model of their own; country prefixes that Chinese texts leave out.
+MODEL_LANGUAGES, FOREIGN = ("zh", "en", "es", "fr", "de"), ("US_", "UK_", "SG_", "AU_", "IN_")
+
+
+def model_language(language: str) -> str:
+    """The language whose name and place model a provider should take."""
+    return language if language in MODEL_LANGUAGES else "en"
+
+
+def entities(language: str = "en") -> tuple[str, ...]:
+    """The kinds that are looked for in a language; ID_CARD is Chinese. Names and places need a provider."""
+    if language == "zh":
+        return tuple(k for k in PATTERNS if not k.startswith(FOREIGN))
+    return tuple(k for k in PATTERNS if k != "ID_CARD")
+
+
 THRESHOLD = 0.5
 
 
@@ -47,42 +68,77 @@ def card(text: Column) -> Column:
     return text.rlike("[0-9]") & F.exists(found, lambda x: luhn(F.regexp_replace(x, "[^0-9]", "")))
 
 
-def iban(text: Column) -> Column:
-    """Shape and mod-97 check of the moved string, letters as numbers."""
-    found = F.regexp_extract_all(text, F.lit("(" + IBAN + ")"), F.lit(1))
-
-    def valid(x):
-        moved = F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))
-        code = lambda i: F.ascii(F.substring(moved, i, F.lit(1)))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(moved)), F.lit(0),
-            lambda a, i: F.when(code(i) >= 65, a * 100 + code(i) - 55).otherwise(a * 10 + code(i) - 48) % 97,
-        ) == 1
-
-    return text.rlike("[A-Z]{2}[0-9]{2}") & F.exists(found, valid)
-
-
-def has_pii(text: Column, language: str = "zh") -> Column:
-    """Any custom pattern; they all score above the threshold."""
-    out = numeric_id(text)
-    return out | email(text) | text.rlike(bounded(ID_CARD)) if language == "zh" else out
-
-
-def spans(text: Column, kinds: tuple[str, ...] = ("EMAIL_ADDRESS", "IP_ADDRESS")) -> Column:
-    """array of (entity_type, start, end, score, text), each distinct text at its first place."""
-
-    def of(kind):
-        score, pattern = PATTERNS[kind]
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1)))
-        return F.transform(found, lambda x: F.struct(
-            F.lit(kind).alias("entity_type"), (F.position(x, text) - 1).alias("start"),
-            (F.position(x, text) - 1 + F.length(x)).alias("end"), F.lit(score).alias("score"), x.alias("text"),
-        ))
-
-    return F.concat(*map(of, kinds))
-
-
-def anonymize(text: Column, kinds: tuple[str, ...] = ("EMAIL_ADDRESS", "IP_ADDRESS")) -> Column:
-    for kind in kinds:
-        text = F.regexp_replace(text, PATTERNS[kind][1], f"<{kind}>")
-    return text
+def mod97(code: Column) -> Column:
+    """An IBAN's check: the moved string, letters as numbers, is 1 modulo 97."""
+    moved = F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4))
+    at = lambda i: F.ascii(F.substring(moved, i, F.lit(1)))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.length(moved)), F.lit(0),
+        lambda a, i: F.when(at(i) >= 65, a * 100 + at(i) - 55).otherwise(a * 10 + at(i) - 48) % 97,
+    ) == 1
+
+
+def valid(kind: str, found: Column) -> Column:
+    """The check that a match of a kind has to pass beside its form."""
+    if kind == "CREDIT_CARD":
+        return luhn(F.regexp_replace(found, "[^0-9]", ""))
+    return mod97(found) if kind == "IBAN_CODE" else F.lit(True)
+
+
+def occurrences(text: Column, kind: str) -> Column:
+    """array of (entity_type, start, end, score, text): every match of a kind that stands alone and passes its check."""
+    score, pattern = PATTERNS[kind]
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1)).alias("hit"))
+    span = "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>"
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        one = F.struct(F.lit(kind).alias("entity_type"), start.alias("start"), end.alias("end"), F.lit(score).alias("score"), x["hit"].alias("text"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(span)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+    found = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), zero, step, lambda acc: acc["out"])
+    word = r"^[\p{L}\p{N}_]$"
+    alone = lambda x: ~F.substring(text, x["start"], F.lit(1)).rlike(word) | (x["start"] == 0)
+    found = F.filter(found, lambda x: alone(x) & ~F.substring(text, x["end"] + 1, F.lit(1)).rlike(word) & valid(kind, x["text"]))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(span))  # most texts have none
+
+
+def spans(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
+    return F.concat(*[occurrences(text, k) for k in kinds])
+
+
+def has_pii(text: Column, language: str = "zh", kinds: tuple[str, ...] | None = None) -> Column:
+    """Any of the kinds; by default the custom patterns for Chinese texts, and all of a language's kinds for others."""
+    if kinds is None and language == "zh":
+        return numeric_id(text) | email(text) | text.rlike(bounded(ID_CARD))
+    kinds = kinds or entities(language)
+    out = numeric_id(text) if "NUMERIC_ID" in kinds else F.lit(False)
+    for k in kinds:
+        if k != "NUMERIC_ID":
+            out = out | (F.size(occurrences(text, k)) > 0)
+    return out
+
+
+def anonymize(text: Column, kinds: tuple[str, ...] = tuple(PATTERNS)) -> Column:
+    """Spans become ``<KIND>``; spans that overlap are one region, named by the surest (then the first, then by name)."""
+    ordered = F.array_sort(F.transform(spans(text, kinds), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), (-s["score"]).alias("doubt"), s["start"].alias("first"), s["entity_type"].alias("kind"),
+    )))
+    region = "array<struct<start:int,end:int,doubt:double,first:int,kind:string>>"
+
+    def grow(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        better = F.struct(s["doubt"], s["first"], s["kind"]) < F.struct(last["doubt"], last["first"], last["kind"])
+        pick = lambda f: F.when(better, s[f]).otherwise(last[f])
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), pick("doubt").alias("doubt"), pick("first").alias("first"), pick("kind").alias("kind"))
+        joins = (F.size(acc) > 0) & (last["end"] > s["start"])
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both).cast(region))).otherwise(F.concat(acc, F.array(s).cast(region)))
+
+    regions = F.aggregate(ordered, F.array().cast(region), grow)
+    step = lambda acc, r: F.struct(
+        r["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, r["start"] - acc["at"]), F.lit("<"), r["kind"], F.lit(">")).alias("out")
+    )
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(regions, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))

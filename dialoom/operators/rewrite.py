@@ -18,7 +18,7 @@ def non_text(df: DataFrame, images: DataFrame | None, gif_type: str = "动画表
     else:
         df = df.withColumn("_stem", F.when(F.col("src") != "", key)).join(images.select(F.col("stem").alias("_stem"), F.col("image").alias("_hit")), "_stem", "left").drop("_stem")
     rest, gif = ~is_text(), F.lower("src").endswith(".gif")
-    image = F.col("type_name").isin(*IMAGE_TYPES)
+    image = F.lower("type_name").isin(*IMAGE_TYPES)
     shown = image & F.col("_hit").isNotNull() & (F.col("is_sender") == 0)
     sticker = F.col("type_name").isin(*sticker_types)
     return df.withColumns({

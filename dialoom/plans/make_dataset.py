@@ -17,6 +17,11 @@ def load(rows: DataFrame, cfg: Config, images: DataFrame | None = None) -> DataF
     return rewrite.non_text(rows, images, gif)
 
 
+def related(talks: DataFrame, relations: DataFrame, key: str = "talker") -> DataFrame:
+    """Dialogues with the relation (null if unknown) of their talker."""
+    return talks.join(relations.select(F.col("chat").alias(key), "relation"), key, "left")
+
+
 def make_dataset(rows: DataFrame, cfg: Config, images: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
     part = ["chat", "file"] if "file" in rows.columns else ["chat"]
     rows = merge.mark_cuts(load(rows, cfg, images), cfg.cut_types())
@@ -28,7 +33,7 @@ def make_dataset(rows: DataFrame, cfg: Config, images: DataFrame | None = None,
     talks = dialogue.keep(talks, cfg.messages_max_length, cfg.max_image_num)
     relation = None
     if cfg.add_relation and relations is not None:
-        talks = talks.join(relations.select(F.col("chat").alias("talker"), "relation"), "talker", "left")
+        talks = related(talks, relations)
         relation = F.col("relation")
     talks = talks.withColumn("system", dialogue.system_prompt(cfg.system_prompt, F.col("time") if cfg.add_time else None, relation))
     return dialogue.numbered(talks, key)

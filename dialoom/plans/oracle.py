@@ -1,6 +1,7 @@
 """DuckDB SQL for the registered queries."""
 
 from ..operators import pii
+from ..operators.score import TEMPLATE
 from .queries import EN_CUT, EN_SKIP, MATCH, MERGE, WORDS, _pairs
 
 
@@ -14,7 +15,7 @@ C = f"""c as (
     epoch_us(timestamp '2024-01-01') + (conv_id * 86400 + turn * 60) * 1000000 as t from conversations
 )"""
 E = """e as (
-  select user_id % 5 as chat, event_id, epoch_us(ts) as t, event_type || ':' || cast(cast(floor(value) as bigint) as varchar) as msg,
+  select user_id as chat, event_id, epoch_us(ts) as t, event_type || ':' || cast(cast(floor(value) as bigint) as varchar) as msg,
     case event_type when 'error' then 'cut' when 'signup' then 'sticker' else 'text' end as type_name,
     case when event_type = 'click' then 0 else 1 end as is_sender, case when event_type = 'click' then 'peer' else 'me' end as talker,
     event_type = 'purchase' and user_id % 2 = 0 as is_forward from events
@@ -37,7 +38,7 @@ G = f"""r as (
 )"""
 _CLASS = """q0 as (select *, sum(cast(is_cut as int)) over (partition by chat order by ord rows unbounded preceding) as seg from {g}),
 q1 as (
-  select *, lag(is_sender) over v as s1, lag(t) over v as t1, lag(t, 2) over v as t2, lag(msg) over v as m1,
+  select *, lag(is_sender) over v as s1, lag(t) over v as t1, lag(t, 2) over v as t2, lag(msg) over v as m1, lag(ord) over v as o1,
     last_value(case when is_sender = 0 then talker end ignore nulls) over (partition by chat, seg order by ord rows unbounded preceding) as peer
   from q0 where not is_cut window v as (partition by chat, seg order by ord)
 ), q2 as (
@@ -57,6 +58,13 @@ q1 as (
 )"""
 Q = _CLASS.format(g="g", w=MATCH)
 T = f"ct as (select *, false as is_cut from c where type_name not in {_list(EN_SKIP)}), " + _CLASS.format(g="ct", w=300)
+PICTURED = f"""ct as (
+  select * exclude (msg), case when (ord + chat) % 2 = 0 and is_sender = 0 then '<image>' || msg else msg end as msg, false as is_cut from c where type_name not in {_list(EN_SKIP)}
+), """ + _CLASS.format(g="ct", w=300) + """, im as (
+  select chat, seg, conv, count(*) filter (is_turn and question like '<image>%') as n_images,
+    string_agg(replace(question, '<image>', chr(10) || '[图片描述: seen img' || o1 || ']' || chr(10)) || '>' || msg, '|' order by ord) filter (is_turn) as captioned
+  from q group by all
+)"""
 LONE = "not (n_turns = 1 and opener = '<begin_chat>')"
 LUHN = "list_sum(list_transform(range(1, length(x) + 1), lambda i: case when (length(x) - i) % 2 = 1 then case when cast(x[i] as int) * 2 > 9 then cast(x[i] as int) * 2 - 9 else cast(x[i] as int) * 2 end else cast(x[i] as int) end)) % 10 = 0"
 SCORED = "sc as (select d.doc_id as id, cast(coalesce(l.score, 0) as int) as score from d left join (select doc_id, max(quality * 2 + toxic) as score from labels group by doc_id) l using (doc_id))"
@@ -72,7 +80,52 @@ def _where(check):
 
 NUMERIC = f"(regexp_matches(msg, {_m(pii.bounded(pii.NUMERIC_ID))}) or regexp_matches(msg, {_m(chr(92) * 2 + 'u[0-9A-Fa-f]{4}|' + chr(92) * 2 + 'xa0')}))"
 TYPE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in _pairs().items())
-_SPAN = "select doc_id, '{kind}' as entity_type, strpos(msg, x) - 1 as start, strpos(msg, x) - 1 + length(x) as stop, x as text from (select doc_id, msg, unnest(list_distinct(regexp_extract_all(msg, {p}))) as x from d)"
+MOVED = "substr(x, 5) || substr(x, 1, 4)"
+MOD97 = f"list_reduce(list_concat([0], list_transform(range(1, length(x) + 1), lambda i: case when ascii(substr({MOVED}, i, 1)) >= 65 then ascii(substr({MOVED}, i, 1)) - 55 else ascii(substr({MOVED}, i, 1)) - 48 end)), lambda a, c: (case when c >= 10 then a * 100 + c else a * 10 + c end) % 97) = 1"
+CHECK = {"CREDIT_CARD": f"(select {LUHN} from (select regexp_replace(y, '[^0-9]', '', 'g') as x))", "IBAN_CODE": f"(select {MOD97} from (select y as x))"}
+EDGE = _m(r"[\p{L}\p{N}_]")
+
+
+def _spans(kind):
+    score, pattern = pii.PATTERNS[kind]
+    p = _m(pattern)
+    return f"""select doc_id, msg, '{kind}' as entity_type, start, start + length(y) as stop, {score} as score, y as text from (
+      select doc_id, msg, m[i] as y, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) as bigint) as start from (
+        select *, unnest(generate_series(1, len(m))) as i from (select doc_id, msg, regexp_extract_all(msg, {p}) as m, string_split_regex(msg, {p}) as gaps from d where regexp_matches(msg, {p}))
+      )
+    ) where (start = 0 or not regexp_matches(substr(msg, start, 1), {EDGE})) and not regexp_matches(substr(msg, start + length(y) + 1, 1), {EDGE}) and {CHECK.get(kind, 'true')}"""
+
+
+def _sp(kinds):
+    return "sp as (" + " union all ".join(map(_spans, kinds)) + ")"
+
+
+ANON = f"""with {D}, {_sp(pii.PATTERNS)}, o as (
+  select *, max(stop) over (partition by doc_id order by start, stop, -score, entity_type rows between unbounded preceding and 1 preceding) as reach from sp
+), i as (
+  select *, sum(cast(reach is null or reach <= start as int)) over (partition by doc_id order by start, stop, -score, entity_type rows unbounded preceding) as gid from o
+), r as (
+  select doc_id, gid, any_value(msg) as msg, min(start) as start, max(stop) as stop, arg_min(entity_type, {{'a': -score, 'b': start, 'c': entity_type}}) as kind from i group by doc_id, gid
+), z as (
+  select *, coalesce(lag(stop) over (partition by doc_id order by start), 0) as prev from r
+), t as (
+  select doc_id, string_agg(substr(msg, prev + 1, start - prev) || '<' || kind || '>', '' order by start) as head, max(stop) as prev from z group by doc_id
+)
+select d.doc_id, case when head is null then msg else head || substr(msg, prev + 1) end as text from d left join t using (doc_id)"""
+STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\x0b\\x85\\p{{Z}}]+|[\\s\\x0b\\x85\\p{{Z}}]+$', '', 'g')"
+TELEGRAM = f"""with m as (
+  select cast(conv_id as varchar) as chat, turn, role, turn % 6 as k, replace(case when turn % 6 < 4 then coalesce(text, '') else '' end, chr(92) || '"', '') as text from conversations
+), n as (
+  select *, {STRIP("replace(" + STRIP("text") + ", chr(10), ' ')")} as said, ['text', 'image', 'sticker', 'video', 'file', 'location'][k + 1] as type_name,
+    ['', 'p.jpg', 'f.bin', 'f.bin', 'f.bin', 'lat:1.5,lng:2.5'][k + 1] as src, ['', '', '', '', 'notes.txt', 'HereThere'][k + 1] as other from m
+), w as (
+  select *, k <> 0 and said <> '' as caption, 1 + coalesce(sum(1 + cast(k <> 0 and said <> '' as int)) over (partition by chat order by turn rows between unbounded preceding and 1 preceding), 0) as id from n
+), x as (
+  select chat, cast(id as bigint) as id, type_name, role, case when said <> '' then said when other <> '' then other else type_name end as msg, src, k from w where said <> '' or src <> ''
+  union all select chat, cast(id + 1 as bigint), 'text', role, said, '', k from w where caption
+)
+select chat, id, type_name, cast(role = 'assistant' as int) as is_sender, role as talker, msg, src, k = 3 as is_forward, 1704067200250000 as t_us from x"""
+
 
 SQL = {
     "skip_type_filter": f"with {C} select chat, count(*) as n from c where type_name not in {_list(EN_SKIP)} group by chat",
@@ -84,8 +137,8 @@ SQL = {
     "pii_ipv4": _where(f"regexp_matches(msg, {_m(pii.bounded(pii.IPV4))})"),
     "pii_credit_card": f"with {D}, f as (select doc_id, regexp_replace(unnest(regexp_extract_all(msg, {_m(pii.CARD)})), '[^0-9]', '', 'g') as x from d) select distinct doc_id from f where {LUHN}",
     "pii_any_flag": f"with d as (select doc_id, replace(coalesce(text, ''), chr(10), '') as msg from documents) select doc_id, {NUMERIC} or regexp_matches(msg, {_m(pii.EMAIL)}) or regexp_matches(msg, {_m(pii.bounded(pii.ID_CARD))}) as has_pii from d",
-    "pii_span_table": f"with {D} " + _SPAN.format(kind="EMAIL_ADDRESS", p=_m(pii.EMAIL)) + " union all " + _SPAN.format(kind="IP_ADDRESS", p=_m(pii.IPV4)),
-    "pii_anonymize": f"with {D} select doc_id, regexp_replace(regexp_replace(msg, {_m(pii.EMAIL)}, '<EMAIL_ADDRESS>', 'g'), {_m(pii.IPV4)}, '<IP_ADDRESS>', 'g') as text from d",
+    "pii_span_table": f"with {D}, {_sp(pii.PATTERNS)} select doc_id, entity_type, start, stop, text from sp",
+    "pii_anonymize": ANON,
     "cut_collapse": f"with {E}, {G} select chat, cast(sum(cast(is_cut as int)) as bigint) as cuts, count(distinct gid) as items from k group by chat",
     "merge_consecutive": f"with {E}, {G} select chat, first_id, n, is_cut, is_sender, talker, t as last_us, left(msg, 2048) as msg from g",
     "merge_truncate": f"with {E}, {G} select chat, first_id, case when n > 1 then left(msg, 25) else msg end as msg from g",
@@ -97,8 +150,8 @@ SQL = {
     "qa_begin_chat_rewrite": f"with {E}, {G}, {Q}, x as (select dl.chat, first_ord[2] as first_id, q.question, q.msg, row_number() over (partition by dl.chat, dl.seg, dl.conv order by q.ord) - 1 as i from dl join q on q.chat = dl.chat and q.seg = dl.seg and q.conv = dl.conv and q.is_turn) "
     "select chat, first_id, i * 2 as pos, 'user' as role, replace(question, '<begin_chat>', '<begin_chat>你应该说：' || msg || '</begin_chat>') as content from x union all select chat, first_id, i * 2 + 1, 'assistant', msg from x",
     "qa_numbered": f"with {E}, {G}, {Q} select cast(row_number() over (order by chat, first_ord) - 1 as varchar) as id, chat, first_ord[2] as first_id from dl where chars <= 2048 and {LONE}",
-    "image_count_filter": "select event_id, event_id % 4 as n from events where event_id % 4 <= 2",
-    "caption_replace": "select event_id, 'a' || chr(10) || '[图片描述: pic' || event_id || ']' || chr(10) || 'b' || chr(10) || '[图片描述缺失]' || chr(10) || 'b' as text from events where event_id % 5 < 3",
+    "image_count_filter": f"with {C}, {PICTURED} select chat, first_ord as first_turn, n_images as n from dl join im using (chat, seg, conv) where n_images <= 1 and {LONE}",
+    "caption_replace": f"with {E} select event_id, msg || chr(10) || '[图片描述: pic' || chat || ']' || chr(10) || 'b' || chr(10) || '[图片描述缺失]' || chr(10) || 'b' as text from e",
     "prompt_render": f"with {C}, {T} select chat, prompt from dl",
     "judge_parse": "select event_id, case when event_id % 8 between 1 and 5 then cast(event_id % 8 as int) end as score from events",
     "score_join_default0": f"with {D}, {SCORED} select id, score from sc",
@@ -109,7 +162,18 @@ SQL = {
     "length_cdf": f"with {D}, h as (select length(msg) // 512 * 512 as bucket, count(*) as n from d group by all) select '< ' || (bucket + 512) as label, bucket, n, cast(sum(n) over (order by bucket rows unbounded preceding) as bigint) as running, round(100.0 * sum(n) over (order by bucket rows unbounded preceding) / sum(n) over (), 2) as percent from h",
     "type_translate": f"with {E}, v(en, zh) as (values {TYPE_VALUES}) select event_id, v.zh as zh_cn from e left join v on v.en = lower(e.type_name)",
     "translation_pair": f"with {E}, v(en, zh) as (values {TYPE_VALUES}) select n, v.en, v.zh as zh_cn from (select type_name, count(*) as n from e group by all) t left join v on v.en = lower(t.type_name)",
-    "relation_lookup": "select c.chat, coalesce(n_name, '') as relation from (select distinct conv_id as chat from conversations) c left join nation on n_nationkey = c.chat",
-    "image_exists_lookup": "select event_id, 'images/img' || r_regionkey || '.png' as image from events left join region on r_regionkey = event_id % 9",
-    "sharegpt_export": f"with {C}, {T} select chat, strftime(make_timestamp(time_us), '%Y-%m-%dT%H:%M:%S') as time, n_turns * 2 as n_messages, contents from dl where {LONE}",
+    "relation_lookup": f"with {C}, {T} select chat, first_ord as first_turn, 'sys' || case when coalesce(n_name, '') <> '' then chr(10) || ' 对方是你的' || n_name || '，你们正在聊天' else '' end as system from dl left join nation on n_nationkey = chat",
+    "image_exists_lookup": f"""with {E}, x as (
+      select event_id, msg, is_sender, event_id % 2 = 0 as image, 'C:' || chr(92) || 'pics' || chr(92) || 'img' || (event_id % 9) || '.dat' as src, 'images/img' || r_regionkey || '.png' as hit,
+      from e left join region on r_regionkey = event_id % 9
+    ) select event_id, case when not image then 'text' when hit is not null and is_sender = 0 then 'image' else 'Cut' end as type_name, case when image and hit is not null and is_sender = 0 then hit else src end as src,
+      case when image and hit is not null and is_sender = 0 then '<image>' else msg end as msg, case when image and hit is not null and is_sender = 0 then 'image' else '' end as modality from x""",
+    "sharegpt_export": f"with {C}, {T} select chat || ':' || seg || ':' || conv as id, strftime(make_timestamp(time_us), '%Y-%m-%dT%H:%M:%S') as time, 0 as score, n_turns * 2 as n_messages, contents, '' as system from dl where {LONE}",
+    "pii_any_flag_en": f"with {D}, {_sp([k for k in pii.entities('en') if k != 'NUMERIC_ID'])}, h as (select distinct doc_id from sp) select d.doc_id, {NUMERIC} or h.doc_id is not null as has_pii from d left join h using (doc_id)",
+    "captioned_dialogues": f"with {C}, {PICTURED} select chat, first_ord as first_turn, captioned as text from dl join im using (chat, seg, conv)",
+    "judge_flow": f"with {C}, {PICTURED} select chat, first_ord as first_turn, cast(case when n_images > 0 then 6 else 1 + ({len(TEMPLATE.format(id='', chat=''))} + 2 * length(chat || ':' || seg || ':' || conv) + length(prompt)) % 5 end as int) as score from dl join im using (chat, seg, conv)",
+    "telegram_parse": TELEGRAM,
+    "token_length_cdf": f"with {D}, w as (select len(list_filter(string_split_regex(msg, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as n from d), h as (select n // 256 * 256 as bucket, count(*) as n from w group by all) select '< ' || (bucket + 256) as label, bucket, n, cast(sum(n) over (order by bucket rows unbounded preceding) as bigint) as running, round(100.0 * sum(n) over (order by bucket rows unbounded preceding) / sum(n) over (), 2) as percent from h",
+    "conversation_strategy": f"with {E}, l as (select *, lag(t) over w as b, lag(type_name) over w as k from e window w as (partition by chat order by t, event_id)) select chat, 1 + sum(cast(b is not null and not (abs(t - b) <= 86400000000 and type_name = k) as int)) :: bigint as conversations, count(*) as n from l group by chat",
+    "row_counts": f"with {E} select 'cuts' as name, count(*) filter (type_name = 'cut') as n from e union all select 'own', count(*) filter (is_sender = 1) from e union all select 'rows', count(*) from e",
 }

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import count_of
-from ..operators import caption, dialogue, filters, merge, pii, report, score
+from .. import sinks
+from ..operators import caption, dialogue, filters, merge, pii, report, rewrite, score, strategies
+from ..providers import judged, length_judge
 from ..schema import CUT, IMAGE_MARK, SKIP
 from ..sources import adapters as a
+from ..sources import telegram
+from . import make_dataset
 
 MERGE, MATCH = 600, 1800  # seconds
 WORDS = ["tion", "GNU", "ß"]
@@ -70,6 +73,10 @@ def pii_anonymize(spark, d):
     return a.documents(spark, d).select("doc_id", pii.anonymize(F.col("msg")).alias("text"))
 
 
+def pii_any_flag_en(spark, d):
+    return a.documents(spark, d).select("doc_id", pii.has_pii(F.col("msg"), "en").alias("has_pii"))
+
+
 def cut_collapse(spark, d):
     rows = merge.groups(_event_rows(spark, d), ["chat"], MERGE)
     return rows.groupBy("chat").agg(F.sum(F.col("is_cut").cast("long")).alias("cuts"), F.count_distinct("gid").alias("items"))
@@ -116,14 +123,33 @@ def qa_numbered(spark, d):
     return dialogue.numbered(dialogue.keep(_dialogues(spark, d)), ["chat"]).select("id", "chat", F.col("first_ord.event_id").alias("first_id"))
 
 
+def _pictured(spark, d):
+    """Conversations in which every other message of the other side carries an image of its own."""
+    shown = ((F.col("ord") + F.col("chat")) % 2 == 0) & (F.col("is_sender") == 0)
+    rows = filters.skip_types(a.conversations(spark, d), EN_SKIP).withColumn("is_cut", F.lit(False))
+    rows = rows.withColumns({
+        "images": F.when(shown, F.array(F.concat(F.lit("img"), F.col("ord").cast("string")))).otherwise(F.array().cast("array<string>")),
+        "msg": F.when(shown, F.concat(F.lit(IMAGE_MARK), "msg")).otherwise(F.col("msg")),
+    })
+    return dialogue.dialogues(dialogue.classify(rows, ["chat"], 300), ["chat"])
+
+
 def image_count_filter(spark, d):
-    e = a.events(spark, d).withColumn("msg", F.concat(F.repeat(F.lit(IMAGE_MARK), F.floor(F.col("event_id") % 4).cast("int")), "msg"))
-    return e.withColumn("n", count_of("msg", IMAGE_MARK)).where("n <= 2").select("event_id", F.col("n").cast("long").alias("n"))
+    """The image filter of the dialogues; the opener and length filters are wide open."""
+    return dialogue.keep(_pictured(spark, d), 1 << 30, 1).select("chat", F.col("first_ord").alias("first_turn"), F.size("images").cast("long").alias("n"))
 
 
 def caption_replace(spark, d):
-    e = a.events(spark, d).where("event_id % 5 < 3").select("event_id", F.concat(F.lit("a"), F.repeat(F.lit(IMAGE_MARK + "b"), 2)).alias("msg"))
-    return e.select("event_id", caption.fill(F.col("msg"), F.array(F.concat(F.lit("pic"), F.col("event_id").cast("string")))).alias("text"))
+    e = a.events(spark, d).select("event_id", F.concat("msg", F.repeat(F.lit(IMAGE_MARK + "b"), 2)).alias("msg"), "chat")
+    return e.select("event_id", caption.fill(F.col("msg"), F.array(F.concat(F.lit("pic"), F.col("chat").cast("string")))).alias("text"))
+
+
+def captioned_dialogues(spark, d):
+    """Images described once each and joined back into their dialogues."""
+    talks = _pictured(spark, d).withColumn("id", F.concat_ws(":", "chat", "seg", "conv"))
+    images = talks.select(F.explode("images").alias("image"))
+    out = caption.captioned(talks, caption.describe(images, lambda i: "seen " + i))
+    return out.select("chat", F.col("first_ord").alias("first_turn"), F.array_join(F.transform("turns", lambda t: F.concat(t["user"], F.lit(">"), t["assistant"])), "|").alias("text"))
 
 
 def prompt_render(spark, d):
@@ -137,6 +163,13 @@ def judge_parse(spark, d):
     return e.select("event_id", score.parse_reply(reply).alias("score"))
 
 
+def judge_flow(spark, d):
+    """Prompts with ids, a judge's replies, scores keyed by the id that a reply names; images score 6, a lost reply 0."""
+    talks = _pictured(spark, d).withColumn("id", F.concat_ws(":", "chat", "seg", "conv"))
+    asked = talks.where(F.size("images") == 0).select("id", score.judge_prompt(F.col("id"), F.col("turns")).alias("prompt"))
+    return score.judged_scores(talks, judged(asked, length_judge)).select("chat", F.col("first_ord").alias("first_turn"), F.col("score").cast("int").alias("score"))
+
+
 def _scored(spark, d):
     scores = a.read(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 2 + F.col("toxic")).alias("score"), F.lit(0).alias("arrival"))
     return score.join_scores(a.documents(spark, d).withColumnRenamed("doc_id", "id"), scores)
@@ -166,6 +199,24 @@ def length_cdf(spark, d):
     return report.cdf(a.documents(spark, d), F.length("msg"))
 
 
+def token_length_cdf(spark, d):
+    return report.cdf(a.documents(spark, d), report.token_length(F.col("msg")), 256)
+
+
+def conversation_strategy(spark, d):
+    """Sessions by a composite strategy: near in time and of one type."""
+    both = strategies.Composite((strategies.TimeWindow(86400), strategies.SameField("type_name")))
+    out = strategies.conversations(a.events(spark, d), both, ["chat"])
+    return out.groupBy("chat").agg((F.max("conversation") + 1).cast("long").alias("conversations"), F.count("*").alias("n"))
+
+
+def row_counts(spark, d):
+    """Counts observed on the way of another job."""
+    rows, seen = report.observed(a.events(spark, d), cuts=F.col("type_name") == "cut", own=F.col("is_sender") == 1)
+    filters.own_forwards(rows).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, int(v)) for k, v in sorted(seen.get.items())], "name string, n long")
+
+
 def _pairs():
     zh = CUT["zh"] + SKIP["zh"]
     en = CUT["en"] + SKIP["en"]
@@ -184,33 +235,41 @@ def translation_pair(spark, d):
 
 
 def relation_lookup(spark, d):
+    """The relation of a chat in its system prompt, looked up as the dataset plan does."""
     people = a.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("chat"), F.col("n_name").alias("relation"))
-    c = a.conversations(spark, d).select("chat").distinct()
-    return c.join(people, "chat", "left").select("chat", F.coalesce("relation", F.lit("")).alias("relation"))
+    talks = make_dataset.related(_talks(spark, d), people, "chat")
+    return talks.select("chat", F.col("first_ord").alias("first_turn"), dialogue.system_prompt("sys", None, F.col("relation")).alias("system"))
 
 
 def image_exists_lookup(spark, d):
-    from ..functions.text import stem
-
+    """Rows of images through the rewriting of types: those of known stems show their image, the others become cuts."""
     files = a.read(spark, d, "region").select(F.concat(F.lit("img"), F.col("r_regionkey").cast("string")).alias("stem"), F.concat(F.lit("images/img"), F.col("r_regionkey").cast("string"), F.lit(".png")).alias("image"))
-    e = a.events(spark, d).select("event_id", stem(F.concat(F.lit("C:\\pics\\img"), (F.col("event_id") % 9).cast("string"), F.lit(".dat"))).alias("stem"))
-    return e.join(files, "stem", "left").select("event_id", "image")
+    rows = a.events(spark, d).withColumns({
+        "type_name": F.when(F.col("event_id") % 2 == 0, "image").otherwise("text"), "src": F.concat(F.lit("C:\\pics\\img"), (F.col("event_id") % 9).cast("string"), F.lit(".dat")),
+    })
+    return rewrite.non_text(rows, files).select("event_id", "type_name", "src", "msg", F.coalesce("modality", F.lit("")).alias("modality"))
 
 
 def sharegpt_export(spark, d):
-    rows = dialogue.keep(_talks(spark, d), 1 << 30)
-    return rows.select("chat", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.size(dialogue.messages()).cast("long").alias("n_messages"), F.array_join(F.transform(dialogue.messages(), lambda m: m["content"]), "\x1f").alias("contents"))
+    rows = sinks.sharegpt(dialogue.keep(_talks(spark, d), 1 << 30).withColumn("id", F.concat_ws(":", "chat", "seg", "conv")))
+    return rows.select("id", "time", "score", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["content"]), "\x1f").alias("contents"), "system")
 
 
 def telegram_parse(spark, d):
-    """Exports built from the conversations table, parsed as JSON."""
-    from ..sources import telegram
-
-    c = a.read(spark, d, "conversations")
-    m = F.struct(F.col("turn").alias("id"), F.lit("message").alias("type"), F.col("role").alias("from"), F.col("role").alias("from_id"), F.lit("2024-01-01T00:00:00").alias("date"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("turn") % 3 == 1, "p.jpg").alias("photo"))
+    """Exports built from the conversations table, parsed as JSON: texts, photos with captions, stickers, files and places."""
+    c, kind = a.read(spark, d, "conversations"), F.col("turn") % 6
+    place = F.struct(F.lit("1.5").alias("latitude"), F.lit("2.5").alias("longitude"))
+    m = F.struct(
+        F.col("turn").alias("id"), F.lit("message").alias("type"), F.col("role").alias("from"), F.col("role").alias("from_id"),
+        F.lit("2024-01-01T00:00:00.250").alias("date"), F.when(kind < 4, F.coalesce("text", F.lit(""))).otherwise("").alias("text"),
+        F.when(kind == 1, "p.jpg").alias("photo"), F.when(kind == 2, "sticker").when(kind == 3, "video_file").alias("media_type"),
+        F.when(kind.isin(2, 3, 4), "f.bin").alias("file"), F.when(kind == 4, "notes.txt").when(kind == 3, "v.mp4").alias("file_name"),
+        F.when(kind == 5, place).alias("location_information"), F.when(kind == 5, "Here").alias("place_name"), F.when(kind == 5, "There").alias("address"),
+        F.when(kind == 3, "x").alias("forwarded_from"),
+    )
     x = c.groupBy(F.col("conv_id").cast("string").alias("chat")).agg(F.array_sort(F.collect_list(m)).alias("messages"))
     x = x.select("chat", F.to_json(F.struct(F.col("chat").alias("name"), "messages")).alias("value"))
-    return telegram.messages(x, "assistant").select("chat", F.col("id").cast("long").alias("id"), "type_name", "is_sender", "talker", "msg", "src")
+    return telegram.messages(x, "assistant").select("chat", F.col("id").cast("long").alias("id"), "type_name", "is_sender", "talker", "msg", "src", "is_forward", F.unix_micros("t").alias("t_us"))
 
 
 QUERIES = {
@@ -220,7 +279,7 @@ QUERIES = {
         merge_consecutive, merge_truncate, qa_turns, qa_dialogues, qa_dropped_replies, qa_filters, qa_system_prompt, qa_begin_chat_rewrite,
         qa_numbered, image_count_filter, caption_replace, prompt_render, judge_parse, score_join_default0, score_distribution, accept_score,
         accept_fallback, length_histogram, length_cdf, type_translate, translation_pair, relation_lookup, image_exists_lookup, sharegpt_export,
-        telegram_parse,
+        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts,
     )
 } | {
     "pii_numeric_id": _flagged(pii.numeric_id), "pii_email": _flagged(pii.email), "pii_ipv4": _flagged(pii.ipv4), "pii_credit_card": _flagged(pii.card),

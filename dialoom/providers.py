@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -22,31 +24,45 @@ class Responder(Protocol):
 
 @dataclass(frozen=True)
 class Retry:
-    tries: int = 5
+    """Calls with growing pauses; tries are the calls after the first. Only lost connections, time-outs and HTTP statuses of the list are tried again, or everything."""
+
+    tries: int = 3
     base: float = 1.0
     factor: float = 2.0
     longest: float = 60.0
     jitter: float = 0.2
+    status: tuple[int, ...] = (429, 500, 502, 503, 504)
+    everything: bool = False
 
     def delays(self) -> Iterator[float]:
-        for k in range(self.tries - 1):
+        for k in range(self.tries):
             d = min(self.base * self.factor**k, self.longest)
-            yield d * (1 + random.uniform(-self.jitter, self.jitter))
+            yield max(0.0, d * (1 + random.uniform(-self.jitter, self.jitter)))
+
+    def again(self, e: Exception) -> bool:
+        code = getattr(e, "status_code", getattr(e, "code", None))
+        return self.everything or code in self.status or code is None and isinstance(e, (ConnectionError, TimeoutError))
 
     def call(self, f: Callable, *args, sleep=time.sleep):
         for d in self.delays():
             try:
                 return f(*args)
-            except Exception:
+            except Exception as e:
+                if not self.again(e):
+                    raise
                 sleep(d)
         return f(*args)
 
 
-AGGRESSIVE, CONSERVATIVE, API = Retry(10, 0.5, 1.5, 30), Retry(3, 2, 2, 60), Retry(200, 30, 2, 180)
+#: Retry presets, and those of the online judge and of captions.
+AGGRESSIVE, CONSERVATIVE, API = Retry(5, 0.5, 1.5, 30), Retry(2, 2, 2, 10), Retry(3, 1, 2, 60)
+ONLINE, VISION = Retry(200, 30, 2, 180, everything=True), Retry(5, 15, 2, 300)
 
 
 def length_judge(prompts: list[str]) -> list[str]:
-    return [f'{{"score": {1 + min(4, len(p) // 40)}}}' for p in prompts]
+    """A stand-in that names the prompt's id and scores by its length."""
+    ids = [re.search(r"^id: (.*)$", p, re.M) for p in prompts]
+    return [json.dumps({"id": m[1] if m else None, "score": 1 + len(p) % 5}) for m, p in zip(ids, prompts, strict=True)]
 
 
 def judged(df: DataFrame, judge: Judge, batch: int = 10, retry: Retry = AGGRESSIVE) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import os
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.dialogue import messages
+from .operators.score import accept
 
 CSV_COLUMNS = ["id", "MsgSvrID", "type_name", "is_sender", "talker", "room_name", "msg", "src", "CreateTime", "is_forward"]
 
 
 def chat_csv(df: DataFrame, path: str) -> None:
+    """Folders ``chat=<name>``, which the chat CSV source reads back as the chats that they were."""
     df.select("chat", *CSV_COLUMNS).write.partitionBy("chat").option("header", True).option("escape", '"').csv(path)
 
 
@@ -27,6 +33,49 @@ def json_lines(df: DataFrame, path: str) -> None:
     sharegpt(df).write.json(path)
 
 
+def json_array(df: DataFrame, path: str) -> None:
+    """One file of one JSON array, for readers that want that; a compatibility form that a single task writes, line by line."""
+    item = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    rows = sharegpt(df).select(F.col("id").cast("long").alias("at"), item.alias("item"))
+    rows = rows.repartitionByRange(1, "at").sortWithinPartitions("at").select("item")
+
+    def run(batches):
+        opened = False
+        for x in batches:
+            yield pd.DataFrame({"value": [("," if opened or i else "[") + t for i, t in enumerate(x["item"])]})
+            opened = opened or len(x) > 0
+        yield pd.DataFrame({"value": ["]" if opened else "[]"]})
+
+    rows.mapInPandas(run, "value string").write.text(path)
+
+
+def registry(path: str) -> dict[str, str]:
+    """Dataset name to file, from a registry of datasets (name to {file_name}) beside the files."""
+    with open(path, encoding="utf-8") as f:
+        return {name: os.path.join(os.path.dirname(path), entry["file_name"]) for name, entry in json.load(f).items()}
+
+
+def dataset(spark: SparkSession, registry_path: str, name: str) -> DataFrame:
+    """A registered dataset: a JSON array or JSON lines."""
+    files = registry(registry_path)
+    if name not in files:
+        raise KeyError(f"{name} is none of {sorted(files)}")
+    return spark.read.option("multiLine", True).json(files[name])
+
+
+def cleaned_path(registry_path: str, name: str) -> str:
+    """Where the cleaned form of a dataset goes: its file's name with -cleaned."""
+    stem, suffix = os.path.splitext(registry(registry_path)[name])
+    return f"{stem}-cleaned{suffix}"
+
+
+def cleaned(df: DataFrame, registry_path: str, name: str, least: int) -> str:
+    """Write the dialogues of at least this score (all if none has it) as the cleaned form of a dataset."""
+    path = cleaned_path(registry_path, name)
+    json_array(accept(df, least), path)
+    return path
+
+
 def transcript(df: DataFrame, path: str) -> None:
     """One content a line, a blank line after each dialogue; df: (dialogue, pos, content)."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")

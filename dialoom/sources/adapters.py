@@ -25,7 +25,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     t = F.col("ts").cast("timestamp")
     return d.select(
-        (F.col("user_id") % 5).alias("chat"), F.struct(t.alias("t"), "event_id").alias("ord"),
+        F.col("user_id").alias("chat"), F.struct(t.alias("t"), "event_id").alias("ord"),
         F.when(kind == "error", "cut").when(kind == "signup", "sticker").otherwise("text").alias("type_name"),
         F.when(kind == "click", 0).otherwise(1).alias("is_sender"), F.when(kind == "click", "peer").otherwise("me").alias("talker"),
         F.concat(kind, F.lit(":"), F.floor("value").cast("string")).alias("msg"), F.lit("").alias("src"), t.alias("t"), "event_id", "props",

@@ -1,14 +1,22 @@
-"""Nested JSON exports of a messenger, read with VARIANT: one row a message, captions split off."""
+"""Nested JSON exports of a messenger, read with VARIANT: one row a message, captions split off, received images copied."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_time, strip
+from ..functions.text import basename, folder, parse_time, safe_name, strip
 
 #: Media type to message type.
-MEDIA = {"video_file": "video", "animation": "video", "voice_message": "voice", "audio_file": "file", "sticker": "sticker"}
+MEDIA = {
+    "photo": "image", "video_file": "video", "animation": "video", "voice_message": "voice", "audio_file": "file", "sticker": "sticker",
+    "file": "file", "location": "location", "poll": "(share) card link", "contact_information": "(share) card link",
+}
 
 
 def _text(v: str, path: str) -> Column:
@@ -23,13 +31,21 @@ def message_text(field: Column) -> Column:
     return F.replace(F.when(plain, one).otherwise(F.coalesce(F.try_variant_get(field, "$", "string"), F.lit(""))), F.lit('\\"'), F.lit(""))
 
 
-def messages(exports: DataFrame, my_id: str) -> DataFrame:
-    """exports: (chat, value: JSON text). Rows as in a chat CSV, ids running per chat, a caption after its medium."""
+def export_name(name: Column, kind: Column, id: Column) -> Column:
+    """The folder of a chat: safe(name)-safe(type)-safe(id)."""
+    return F.concat_ws("-", safe_name(F.coalesce(name, F.lit("Unknown"))), safe_name(F.coalesce(kind, F.lit("unknown"))), safe_name(F.coalesce(id, F.lit(""))))
+
+
+def messages(exports: DataFrame, my_id: str, include_type: tuple[str, ...] = ("text",)) -> DataFrame:
+    """exports: (chat, value: JSON text). Rows as in a chat CSV, ids running per chat; a medium with a caption gives two.
+
+    The medium's own row says its caption, else what stands for it (a file's name, a place, a sticker's emoji if stickers are
+    included), else its type. Each kept message takes the next id, also one without text and source, which gives no row.
+    A media type out of the list is type unknown (where the reference fails).
+    """
     v = exports.select("chat", F.parse_json("value").alias("v"))
-    v.createOrReplaceTempView("_exports")
-    rows = v.sparkSession.sql(
-        "select chat, variant_get(v, '$.name', 'string') as room_name, pos, value as m from _exports, lateral variant_explode(variant_get(v, '$.messages', 'variant'))"
-    ).where(_text("m", "$.type") == "message")
+    rows = v.select("chat", F.coalesce(_text("v", "$.name"), F.lit("Unknown Chat")).alias("room_name"), F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("pos", "m"))
+    rows = rows.where(_text("m", "$.type") == "message")
     media, photo, file, place = _text("m", "$.media_type"), _text("m", "$.photo"), _text("m", "$.file"), F.try_variant_get("m", "$.location_information", "variant")
     listed = F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])
     kind = (
@@ -37,25 +53,57 @@ def messages(exports: DataFrame, my_id: str) -> DataFrame:
         .when(place.isNotNull(), "location").otherwise("text")
     )
     number = lambda path: F.coalesce(_text("m", path), F.lit("0"))
-    src = F.when(F.col("kind") == "image", photo).when(F.col("kind") == "location", F.concat(F.lit("lat:"), number("$.location_information.latitude"), F.lit(",lng:"), number("$.location_information.longitude"))).otherwise(file)
-    address = strip(F.concat_ws(" ", _text("m", "$.place_name"), _text("m", "$.address")))
-    fallback = F.when(F.col("kind") == "sticker", _text("m", "$.sticker_emoji")).when(F.col("kind") == "location", address).otherwise(_text("m", "$.file_name"))
-    rows = rows.withColumn("kind", kind).withColumns({"text": message_text(F.try_variant_get("m", "$.text", "variant")), "src": F.coalesce(src, F.lit("")), "other": F.coalesce(fallback, F.lit(""))})
-    caption = (F.col("kind") != "text") & (strip(F.replace("text", F.lit("\n"), F.lit(" "))) != "")
+    said = lambda path: F.coalesce(_text("m", path), F.lit(""))
+    src = (
+        F.when(media == "photo", photo).when(media.isNotNull(), file).when(photo.isNotNull(), photo).when(file.isNotNull(), file)
+        .when(place.isNotNull(), F.concat(F.lit("lat:"), number("$.location_information.latitude"), F.lit(",lng:"), number("$.location_information.longitude")))
+    )
+    other = (
+        F.when(media.isNotNull(), F.when((media == "sticker") & F.lit("sticker" in include_type), said("$.sticker_emoji"))).when(photo.isNotNull(), "")
+        .when(file.isNotNull(), said("$.file_name")).when(place.isNotNull(), F.concat(said("$.place_name"), said("$.address")))
+    )
+    rows = rows.withColumns({"kind": kind, "text": message_text(F.try_variant_get("m", "$.text", "variant")), "src": F.coalesce(src, F.lit("")), "other": F.coalesce(other, F.lit(""))})
+    caption = (F.col("kind") != "text") & (strip("text") != "")
     before = Window.partitionBy("chat").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("first_id", 1 + F.coalesce(F.sum(1 + caption.cast("int")).over(before), F.lit(0)))
-    clean = lambda c: strip(F.replace(c, F.lit("\n"), F.lit(" ")))
-    body = F.when(F.col("kind") == "text", clean(F.col("text"))).otherwise(clean(F.col("other")))
-    main = F.struct(F.col("first_id").alias("id"), F.col("kind").alias("type_name"), F.when(body == "", F.col("kind")).otherwise(body).alias("msg"), "src", (body != "").alias("said"))
-    second = F.when(caption, F.struct((F.col("first_id") + 1).alias("id"), F.lit("text").alias("type_name"), clean(F.col("text")).alias("msg"), F.lit("").alias("src"), F.lit(True).alias("said")))
-    out = rows.select(
-        "chat", "room_name", _text("m", "$.id").alias("MsgSvrID"), _text("m", "$.from").alias("talker"),
-        F.coalesce(_text("m", "$.from_id") == my_id, F.lit(False)).cast("int").alias("is_sender"), F.regexp_replace(_text("m", "$.date"), "Z$", "").alias("CreateTime"),
+    clean = lambda c: strip(F.replace(strip(c), F.lit("\n"), F.lit(" ")))
+    body = clean(F.when(strip("text") != "", F.col("text")).otherwise(F.col("other")))
+    main = F.when((body != "") | (strip("src") != ""), F.struct(F.col("first_id").alias("id"), F.col("kind").alias("type_name"), F.when(body == "", F.col("kind")).otherwise(body).alias("msg"), "src"))
+    second = F.when(caption, F.struct((F.col("first_id") + 1).alias("id"), F.lit("text").alias("type_name"), clean(F.col("text")).alias("msg"), F.lit("").alias("src")))
+    return rows.select(
+        "chat", "room_name", _text("m", "$.id").alias("MsgSvrID"), said("$.from").alias("talker"),
+        F.coalesce(_text("m", "$.from_id") == my_id, F.lit(False)).cast("int").alias("is_sender"), F.replace(_text("m", "$.date"), F.lit("Z"), F.lit("")).alias("CreateTime"),
         F.try_variant_get("m", "$.forwarded_from", "variant").isNotNull().alias("is_forward"), F.explode(F.filter(F.array(main, second), lambda x: x.isNotNull())).alias("x"),
-    ).select("*", "x.*").drop("x")
-    return out.where(F.col("said") | (strip("src") != "")).drop("said").withColumns({"t": parse_time("CreateTime"), "ord": F.col("id")})
+    ).select("*", "x.*").drop("x").withColumns({"t": parse_time("CreateTime"), "ord": F.col("id")})
+
+
+def read(spark: SparkSession, path: str, my_id: str, include_type: tuple[str, ...] = ("text",)) -> DataFrame:
+    """All ``<root>/<folder>/result.json``; a chat is named as ``export_name`` says, by its folder if the export has no id."""
+    raw = spark.read.option("wholetext", True).text(path).select(folder("_metadata.file_path").alias("folder"), "value")
+    v = raw.withColumn("v", F.parse_json("value"))
+    named = F.when(_text("v", "$.id").isNull(), F.col("folder")).otherwise(export_name(_text("v", "$.name"), _text("v", "$.type"), _text("v", "$.id")))
+    return messages(v.select(named.alias("chat"), "value"), my_id, include_type)
+
+
+def received_images(df: DataFrame) -> DataFrame:
+    """(src, name): files of images that the other side sent; the name each is kept under."""
+    return df.where("is_sender = 0 and type_name = 'image' and src <> ''").select("src", basename("src").alias("name")).distinct()
+
+
+def copy_images(df: DataFrame, base: str, target: str) -> DataFrame:
+    """Copy the received images of df from ``base`` to ``target``, both folders that all executors see; (src, copied)."""
 
+    def run(batches):
+        os.makedirs(target, exist_ok=True)
+        for x in batches:
+            done = []
+            for src, name in zip(x.src, x.name, strict=True):
+                path = os.path.join(base, src.replace("\\", "/"))
+                done.append(os.path.exists(path))
+                if done[-1]:  # under a name of its own first, so that a repeated task leaves no half file
+                    part = os.path.join(target, f".{uuid.uuid4().hex}")
+                    shutil.copy2(path, part)
+                    os.replace(part, os.path.join(target, name))
+            yield pd.DataFrame({"src": x.src, "copied": done})
 
-def read(spark: SparkSession, path: str, my_id: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("chat"), "value")
-    return messages(raw, my_id)
+    return received_images(df).mapInPandas(run, "src string, copied boolean")
