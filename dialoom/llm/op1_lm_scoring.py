@@ -33,7 +33,7 @@ _OUT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fals
 START = np.uint64(0)
 WORD, BEGIN, PAIR = range(3)
 #: At least 2**LEAST_BITS buckets, and one for each BLOCKS_A_BUCKET blocks.
-LEAST_BITS, BLOCKS_A_BUCKET = 6, 2
+LEAST_BITS, BLOCKS_A_BUCKET = 6, 4
 
 
 def keys(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

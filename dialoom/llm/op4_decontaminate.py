@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import saved, table
+from .store import saved, table, without
 from .words import Block, blocks, mix
 
 WINDOW, LITERAL, MOST = 8, 4, 2_000_000
@@ -209,5 +209,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of a repeated id all rows go if one holds an item; null ids, null and empty texts stay; without benchmark items all
     documents stay; the columns of docs, whatever their names, are kept.
     """
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
+    gone = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "gone")
+    return without(docs, gone).select([f"`{c}`" for c in docs.columns])

@@ -9,7 +9,7 @@ Each round of the join takes pivots (of a group of documents that share a rare s
 most company). All distances of at most 2r to a pivot are computed. A document within r of a pivot belongs to the
 Voronoi region of its nearest one; by the triangle inequality all that it links with lies within 2r of that pivot, so
 documents in this window are replicated into the region. Documents without a pivot within r go on, among themselves,
-to the next round, with new pivots, until none share a prefix shingle.
+to the next round, with new pivots, if they have t of their shingles in common with each other, until none are left.
 
 In a region every document is its symmetric difference from the centre (the pivot, moved to what most of the region
 holds). Where two differences together are small enough for a link by the triangle inequality, links are counted by a
@@ -72,7 +72,7 @@ def met_enough(single: DataFrame, total: int, shingle: int, num: int, den: int)
     def send(batches):
         k = TaskContext.get().partitionId() << 32
         for x in batches:
-            for first, block in blocks(x.text, 1 << 22):
+            for first, block in blocks(x.text):
                 b = Block(block, lower=True)
                 doc, h = distinct(*b.shingles(shingle)[::2])
                 order = np.argsort(h, kind="stable")
@@ -135,6 +135,14 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.withColumn("pos", pos).where(reach(2 * num - den, den)).select("h", "c", "n", F.col("pos").cast("long").alias("pos"), reach(num, den).alias("short"))
 
 
+def still_met(active: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the rows of ``prefixes``, those of documents that have num/den of their shingles in common with others of these documents."""
+    left = sets.join(active.select("c").distinct(), "c", "left_semi").select("c", "n", F.explode("items").alias("h"))
+    often = left.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+    enough = left.join(often, "h").groupBy("c", "n").agg(F.count("*").alias("met")).where(F.col("met") * den >= F.col("n") * num)
+    return active.join(enough.select("c"), "c", "left_semi")
+
+
 def pivots(active: DataFrame, turn: int) -> DataFrame:
     """(c) of new pivots among the rows of ``prefixes``; empty if no two documents share a short prefix's shingle."""
     short = active.where("short").select("h", "c")
@@ -145,8 +153,8 @@ def pivots(active: DataFrame, turn: int) -> DataFrame:
     if not turn:  # the leaders of all their groups
         top = short.groupBy("h").agg(F.max(rank).alias("top"))
         return short.join(top, "h").groupBy("c").agg(F.min(F.col("top.c") == F.col("c")).alias("first")).where("first").select("c")
-    # then the leaders of all groups, and after each round four times as many of each
-    salt = F.pmod(F.xxhash64("c"), F.lit(4 ** min(turn - 1, 15)))
+    # then the leaders of all groups, and after each round sixteen times as many of each
+    salt = F.pmod(F.xxhash64("c"), F.lit(16 ** min(turn - 1, 7)))
     return short.groupBy("h", salt.alias("salt")).agg(F.max(rank).alias("top")).select(F.col("top.c").alias("c")).distinct()
 
 
@@ -244,6 +252,7 @@ def class_links(sets: DataFrame, weight: DataFrame, num: int, den: int) -> tuple
         edges.append(saved(chain, "edges"))
         numbers.append(saved(many, "numbers"))
         active = saved(active.join(home.select(F.col("x").alias("c")), "c", "left_anti"), "active")
+        active = saved(still_met(active, sets, num, den), "active")
         turn += 1
     if not edges:
         return spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "c long, links long")
@@ -289,4 +298,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty; the columns of docs, whatever their names, are kept.
     """
     gone = join(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
+    return without(docs, saved(gone.distinct(), "gone")).select([f"`{c}`" for c in docs.columns])

@@ -26,6 +26,8 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -191,18 +193,49 @@ def keys(pieces: DataFrame) -> DataFrame:
     return pieces.select("sid", "doc_id", "text").mapInPandas(run, f"key long, sid long, doc_id {kind}, at long")
 
 
-def diagonals(s: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """(start in s, start in r, length) of all longest runs of equal tokens, ordered by the first."""
-    order = np.argsort(r, kind="stable")
-    low, high = np.searchsorted(r, s, sorter=order), np.searchsorted(r, s, "right", sorter=order)
-    many = high - low
-    first, last = [], []
+@dataclass
+class Sequence:
+    """Tokens with runs of one token cut to ``LEAST``; where each kept token starts and ends in the whole (the last of a cut run ends with it).
+
+    Also the distinct tokens, each token's number among them, and the places of each distinct token.
+    """
+
+    tokens: np.ndarray
+
+    def __post_init__(self):
+        whole = self.tokens
+        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(whole)])
+        if len(size) and size.max() > LEAST:
+            inside = np.arange(len(whole)) - np.repeat(first, size)
+            self.start = np.flatnonzero(inside < LEAST)
+            self.end = self.start + 1
+            self.end[inside[self.start] == LEAST - 1] = (first + size)[size >= LEAST]
+            self.tokens = whole[self.start]
+        else:
+            self.start = np.arange(len(whole))
+            self.end = self.start + 1
+        self.kinds, self.code = np.unique(self.tokens, return_inverse=True)
+        self.order = np.argsort(self.code, kind="stable")
+        self.edge = np.r_[0, np.cumsum(np.bincount(self.code, minlength=len(self.kinds)))]
+
+    def __len__(self):
+        return len(self.tokens)
+
+
+def diagonals(one: Sequence, two: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """(start in one, start in two, length) of all longest runs of equal tokens, ordered by the first; and the number in two of each distinct token of one, -1 without."""
+    at = np.minimum(np.searchsorted(two.kinds, one.kinds), max(0, len(two.kinds) - 1))
+    met = np.where(two.kinds[at] == one.kinds, at, -1)
+    s, r, known = one.tokens, two.tokens, met[one.code]
     # so many matches at a time, that memory holds no more than the runs
+    low, many = two.edge[known], np.where(known >= 0, two.edge[known + 1] - two.edge[known], 0)
+    first, last = [], []
     edges = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(many) // PAIRS]))
     for lo, hi in zip(edges, [*edges[1:], len(s)], strict=True):
         n = many[lo:hi]
         i = np.repeat(np.arange(lo, hi), n)
-        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[lo:hi], n)]
+        j = two.order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[lo:hi], n)]
         opens = (i == 0) | (j == 0) | (s[i - 1] != r[j - 1])
         closes = (i == len(s) - 1) | (j == len(r) - 1) | (s[np.minimum(i + 1, len(s) - 1)] != r[np.minimum(j + 1, len(r) - 1)])
         first.append(np.stack([i[opens], j[opens]], 1))
@@ -211,21 +244,23 @@ def diagonals(s: np.ndarray, r: np.ndarray) -> np.ndarray:
     # on a diagonal the k-th start belongs to the k-th end
     first, last = (x[np.lexsort((x[:, 0], x[:, 1] - x[:, 0]))] for x in (first, last))
     runs = np.c_[first, last[:, 0] - first[:, 0] + 1]
-    return runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    return runs[np.lexsort((runs[:, 1], runs[:, 0]))], met
 
 
 def chains(runs: np.ndarray, most: int = GAP) -> list[np.ndarray]:
     """Runs that follow each other in both sequences within ``most`` tokens, as lists of row numbers; each run is in one, the heaviest it has."""
     i, j, n = runs.T
     weight, before, used = n.copy(), np.full(len(n), -1), np.zeros(len(n), bool)
+    low = np.searchsorted(np.maximum.accumulate(i + n), i - most)  # the runs before end too early
     for k in range(1, len(n)):
-        ok = (i[k] - i[:k] - n[:k] <= most) & (np.abs(j[k] - j[:k] - n[:k]) <= most) & (i[:k] + n[:k] < i[k] + n[k]) & (j[:k] < j[k]) & (j[:k] + n[:k] < j[k] + n[k])
+        x, y, z = i[low[k] : k], j[low[k] : k], n[low[k] : k]
+        ok = (np.abs(j[k] - y - z) <= most) & (i[k] - x - z <= most) & (x + z < i[k] + n[k]) & (y < j[k]) & (y + z < j[k] + n[k])
         at = np.flatnonzero(ok)
         if len(at):
-            gain = weight[at] + np.minimum(n[k], np.minimum(i[k] + n[k] - i[at] - n[at], j[k] + n[k] - j[at] - n[at]))
+            gain = weight[low[k] + at] + np.minimum(n[k], np.minimum(i[k] + n[k] - x[at] - z[at], j[k] + n[k] - y[at] - z[at]))
             best = gain.argmax()
             if gain[best] > n[k]:
-                weight[k], before[k] = gain[best], at[best]
+                weight[k], before[k] = gain[best], low[k] + at[best]
     out = []
     for k in np.argsort(-weight, kind="stable"):
         chain = []
@@ -238,33 +273,20 @@ def chains(runs: np.ndarray, most: int = GAP) -> list[np.ndarray]:
     return out
 
 
-def squeezed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """s with runs of one token cut to ``LEAST``, and where each kept token starts and ends in s; the last of a cut run ends with it."""
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    size = np.diff(np.r_[first, len(s)])
-    inside = np.arange(len(s)) - np.repeat(first, size)
-    keep = np.flatnonzero(inside < LEAST)
-    end = keep + 1
-    end[inside[keep] == LEAST - 1] = (first + size)[size >= LEAST]
-    return s[keep], keep, end
-
-
-def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
+def align(s: np.ndarray | Sequence, r: np.ndarray | Sequence, words: int = WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start, end, similarity) in words of two shingle sequences.
 
-    Every place of a shared shingle counts, by its run of ``RUN`` at least; one word again and again counts as ``LEAST`` shingles. A passage
-    is given if it covers ``GAP`` words at least, of either text, that no passage of more shingles covers.
+    Every place of a shared shingle counts, by its run of ``RUN`` at least; one word again and again counts as ``LEAST``
+    shingles. A passage is given if it covers ``GAP`` words at least, of either text, that no passage of more shingles covers.
     """
+    s, r = (x if isinstance(x, Sequence) else Sequence(x) for x in (s, r))
     if not len(s) or not len(r):
         return []
-    (s, s_start, s_end), (r, r_start, r_end) = squeezed(s), squeezed(r)
-    runs = diagonals(s, r)
+    runs, met = diagonals(s, r)
     runs = runs[runs[:, 2] >= RUN]
     if not len(runs):
         return []
     out, seen, seen_rep = [], np.zeros(len(s), bool), np.zeros(len(r), bool)
-    kinds, code = np.unique(np.r_[s, r], return_inverse=True)
-    own, other = code[: len(s)], code[len(s) :]
     # a chain is cut where its gap is widest until it is similar
     for chain in chains(runs):
         open_chains = [chain]
@@ -274,12 +296,14 @@ def align(s: np.ndarray, r: np.ndarray, words: int = WORDS, similar: float = SIM
             i, j, p, q = x[0, 0], x[-1, :].take([0, 2]).sum(), x[0, 1], x[-1, 1:].sum()
             if min(j - i, q - p) + SHINGLE - 1 < words or max(j - i - seen[i:j].sum(), q - p - seen_rep[p:q].sum()) < GAP:
                 continue
-            in_one, in_two = np.zeros((2, len(kinds)), bool)
-            in_one[own[i:j]], in_two[other[p:q]] = True, True
-            score = np.count_nonzero(in_one & in_two) / np.count_nonzero(in_one | in_two)
+            in_one, in_two = np.zeros(len(s.kinds), bool), np.zeros(len(r.kinds), bool)
+            in_one[s.code[i:j]], in_two[r.code[p:q]] = True, True
+            both = met[in_one]
+            both = np.count_nonzero(in_two[both[both >= 0]])
+            score = both / (np.count_nonzero(in_one) + np.count_nonzero(in_two) - both)
             if score >= similar:
                 seen[i:j] = seen_rep[p:q] = True
-                out.append((int(s_start[i]), int(s_end[j - 1]) + SHINGLE - 1, int(r_start[p]), int(r_end[q - 1]) + SHINGLE - 1, float(score)))
+                out.append((int(s.start[i]), int(s.end[j - 1]) + SHINGLE - 1, int(r.start[p]), int(r.end[q - 1]) + SHINGLE - 1, float(score)))
             elif len(x) > 1:
                 gap = np.maximum(x[1:, 0] - x[:-1, 0], x[1:, 1] - x[:-1, 1]) - x[:-1, 2]
                 cut = int(gap.argmax()) + 1
@@ -305,7 +329,7 @@ def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
             for i in range(0, len(x), 256):
                 part = x.iloc[i : i + 256]
                 back, _ = pd.factorize(part["rep"])
-                reps = sequences(part.drop_duplicates("rep").rep_text)
+                reps = [Sequence(h) for h in sequences(part.drop_duplicates("rep").rep_text)]
                 found = [(d, r, *p) for d, r, s, k in zip(part.sid, part.rep, sequences(part.text), back, strict=True) for p in align(s, reps[k])]
                 yield pd.DataFrame(found, columns=["sid", "rep", "start", "end", "rep_start", "rep_end", "similarity"])
 

@@ -76,15 +76,21 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR)
 
 def marked(docs: DataFrame, names: list[str], least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """docs with the columns ``names``: text without recurring lines, and the numbers of lines and dropped lines that are not blank."""
-    ours, theirs = unused(docs, "gone", "gone_id")
-    gone = dropped_lines(docs.select("doc_id", "text"), least, similar).select(F.col("gone").alias(ours), F.col("doc_id").alias(theirs))
+    ours, theirs, name = unused(docs, "gone", "gone_id", "slot")
+    gone = saved(dropped_lines(docs.select("doc_id", "text"), least, similar).select(F.col("gone").alias(ours), F.col("doc_id").alias(theirs)), "gone")
     raw = F.split("text", "\n", -1)
+    n_lines = F.coalesce(F.size(F.filter(raw, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
     kept = F.filter(raw, lambda x, i: ~F.array_contains(ours, i))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(theirs)), "left").withColumns({
-        names[0]: F.when(F.col(ours).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        names[1]: F.coalesce(F.size(F.filter(raw, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"),
+    # a fixed number of hash buckets (2**20 rows at most): only texts that may lose lines are shuffled
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).alias(name)
+    sift = F.broadcast(gone.select(slot(theirs)).distinct())
+    docs = docs.withColumn(name, slot("doc_id"))
+    whole = docs.join(sift, name, "left_anti").drop(name).withColumns({names[0]: F.col("text"), names[1]: n_lines, names[2]: F.lit(0).cast("long")})
+    some = docs.join(sift, name, "left_semi").drop(name).join(gone, F.col("doc_id").eqNullSafe(F.col(theirs)), "left").withColumns({
+        names[0]: F.when(F.col(ours).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), names[1]: n_lines,
         names[2]: F.coalesce(F.size(ours), F.lit(0)).cast("long"),
     }).drop(ours, theirs)
+    return whole.union(some)
 
 
 def dedup(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:

@@ -68,7 +68,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return clear.union(docs.join(sift, name, "left_semi").join(ids, "doc_id", "left_anti").select([f"`{c}`" for c in clear.columns])).drop(name)
 
 
-def packed(docs: DataFrame, limit: int = 1 << 22) -> DataFrame:
+def packed(docs: DataFrame, limit: int = 1 << 21) -> DataFrame:
     """(block, ids: as text, sizes, blob): the documents in compressed blocks of about ``limit`` bytes."""
 
     def run(batches):
