@@ -14,8 +14,8 @@ the pairs at 0.8, and all verbatim ones.
 In a group of a key, stretches are compared with a representative (the one of most company in all its groups), not
 with each other. A place of a key is done with where a verified passage with the representative covers it; the others
 stay in the group and meet four times as many representatives each round, until no group has two documents left; these
-comparisons are made where the ``LEAST`` tokens before and after the key's places have ``AROUND`` in common at least, as
-a common line alone doesn't make a passage. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
+comparisons are made where the ``LEAST`` tokens before and after the key's places are as similar as a passage, as
+a common line alone doesn't make one. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
 shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a
 Jaccard similarity of ``SIMILAR``.
 
@@ -27,6 +27,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,8 @@ LEAST = WORDS - SHINGLE + 1
 PAIRS = 1 << 16
 #: Share of a window's tokens that others must have, with a margin for repeats; the widest gap that a passage bridges.
 DENSE, GAP = 0.7, 4 * SHINGLE
-#: Shortest run of shared shingles that a chain is made of; shared tokens around a key's place that a comparison needs.
-RUN, AROUND = 3, LEAST // 2
+#: Shortest run of shared shingles that a chain is made of.
+RUN = 3
 #: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
 HASH_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 2_000_000, 64
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1) for k in range(HASHES)]
@@ -247,29 +248,29 @@ def diagonals(one: Sequence, two: Sequence) -> tuple[np.ndarray, np.ndarray]:
     return runs[np.lexsort((runs[:, 1], runs[:, 0]))], met
 
 
-def chains(runs: np.ndarray, most: int = GAP) -> list[np.ndarray]:
+def chains(runs: np.ndarray, most: int = GAP) -> list[list[int]]:
     """Runs that follow each other in both sequences within ``most`` tokens, as lists of row numbers; each run is in one, the heaviest it has."""
-    i, j, n = runs.T
-    weight, before, used = n.copy(), np.full(len(n), -1), np.zeros(len(n), bool)
-    low = np.searchsorted(np.maximum.accumulate(i + n), i - most)  # the runs before end too early
-    for k in range(1, len(n)):
-        x, y, z = i[low[k] : k], j[low[k] : k], n[low[k] : k]
-        ok = (np.abs(j[k] - y - z) <= most) & (i[k] - x - z <= most) & (x + z < i[k] + n[k]) & (y < j[k]) & (y + z < j[k] + n[k])
-        at = np.flatnonzero(ok)
-        if len(at):
-            gain = weight[low[k] + at] + np.minimum(n[k], np.minimum(i[k] + n[k] - x[at] - z[at], j[k] + n[k] - y[at] - z[at]))
-            best = gain.argmax()
-            if gain[best] > n[k]:
-                weight[k], before[k] = gain[best], low[k] + at[best]
+    low = np.searchsorted(np.maximum.accumulate(runs[:, 0] + runs[:, 2]), runs[:, 0] - most).tolist()  # the runs before end too early
+    i, j, n = runs.T.tolist()
+    weight, before, used = list(n), [-1] * len(n), [False] * len(n)
+    for k, (a, b, c) in enumerate(zip(i, j, n, strict=True)):
+        best, end_a, end_b = c, a + c, b + c
+        for m in range(low[k], k):
+            x, y = i[m] + n[m], j[m] + n[m]
+            if x < end_a and y < end_b and j[m] < b and a - x <= most and -most <= b - y <= most:
+                gain = weight[m] + min(c, end_a - x, end_b - y)
+                if gain > best:
+                    best, before[k] = gain, m
+        weight[k] = best
     out = []
-    for k in np.argsort(-weight, kind="stable"):
+    for k in sorted(range(len(n)), key=lambda k: -weight[k]):
         chain = []
         while k >= 0 and not used[k]:
             used[k] = True
             chain.append(k)
             k = before[k]
         if chain:
-            out.append(np.array(chain[::-1]))
+            out.append(chain[::-1])
     return out
 
 
@@ -288,13 +289,14 @@ def align(s: np.ndarray | Sequence, r: np.ndarray | Sequence, words: int = WORDS
         return []
     out, seen, seen_rep = [], np.zeros(len(s), bool), np.zeros(len(r), bool)
     # a chain is cut where its gap is widest until it is similar
+    x, y, n = runs.T.tolist()
     for chain in chains(runs):
         open_chains = [chain]
         while open_chains:
             rows = open_chains.pop()
-            x = runs[rows]
-            i, j, p, q = x[0, 0], x[-1, :].take([0, 2]).sum(), x[0, 1], x[-1, 1:].sum()
-            if min(j - i, q - p) + SHINGLE - 1 < words or max(j - i - seen[i:j].sum(), q - p - seen_rep[p:q].sum()) < GAP:
+            head, last = rows[0], rows[-1]
+            i, j, p, q = x[head], x[last] + n[last], y[head], y[last] + n[last]
+            if min(j - i, q - p) + SHINGLE - 1 < words or max(j - i - np.count_nonzero(seen[i:j]), q - p - np.count_nonzero(seen_rep[p:q])) < GAP:
                 continue
             in_one, in_two = np.zeros(len(s.kinds), bool), np.zeros(len(r.kinds), bool)
             in_one[s.code[i:j]], in_two[r.code[p:q]] = True, True
@@ -304,10 +306,10 @@ def align(s: np.ndarray | Sequence, r: np.ndarray | Sequence, words: int = WORDS
             if score >= similar:
                 seen[i:j] = seen_rep[p:q] = True
                 out.append((int(s.start[i]), int(s.end[j - 1]) + SHINGLE - 1, int(r.start[p]), int(r.end[q - 1]) + SHINGLE - 1, float(score)))
-            elif len(x) > 1:
-                gap = np.maximum(x[1:, 0] - x[:-1, 0], x[1:, 1] - x[:-1, 1]) - x[:-1, 2]
-                cut = int(gap.argmax()) + 1
-                open_chains += [rows[:cut], rows[cut:]]
+            elif len(rows) > 1:
+                gap = [max(x[k] - x[m], y[k] - y[m]) - n[m] for m, k in pairwise(rows)]
+                at = gap.index(max(gap)) + 1
+                open_chains += [rows[:at], rows[at:]]
     return sorted(out)
 
 
@@ -337,7 +339,7 @@ def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(sid, at, near): 32-bit hashes of the tokens less than ``LEAST`` before and after the places of keys."""
+    """(sid, at, kinds, near): 32-bit hashes of the tokens less than ``LEAST`` before and after the places of keys, and how many differ."""
 
     def run(batches):
         for x in batches:
@@ -347,14 +349,15 @@ def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
                 edge = np.searchsorted(doc, np.arange(b.n + 1))
                 h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 rows = [
-                    (x.sid.iloc[first + d], at, h[max(edge[d], edge[d] + at - LEAST + 1) : min(edge[d + 1], edge[d] + at + LEAST)])
+                    (x.sid.iloc[first + d], at, len(np.unique(near)), near)
                     for d in range(b.n) for at in x.places.iloc[first + d]
+                    for near in [h[max(edge[d], edge[d] + at - LEAST + 1) : min(edge[d + 1], edge[d] + at + LEAST)]]
                 ]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["sid", "at", "near"])
+                    yield pd.DataFrame(rows, columns=["sid", "at", "kinds", "near"])
 
     places = rest.groupBy("sid").agg(F.collect_set("at").alias("places"))  # no more than its tokens
-    return places.join(pieces.select("sid", "text"), "sid").mapInPandas(run, "sid long, at long, near array<int>")
+    return places.join(pieces.select("sid", "text"), "sid").mapInPandas(run, "sid long, at long, kinds int, near array<int>")
 
 
 def together(rows: DataFrame) -> DataFrame:
@@ -374,15 +377,17 @@ def piece_passages(pieces: DataFrame) -> DataFrame | None:
         rep = rank.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(4 ** min(turn, 15))).alias("salt")).agg(F.max("rank").alias("top"))
         rep = saved(rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc")), "representatives")
         met = saved(rest.join(rep, "key").where("doc_id <> rep_doc").select("key", "sid", "at", "rep"), "met")
-        pairs = met
+        ordered = lambda df: df.withColumns({"a": F.greatest("sid", "rep"), "b": F.least("sid", "rep")})
+        pairs = ordered(met)
         if turn:
+            pairs = pairs.join(tried.select(F.col("sid").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
             near = near or saved(surroundings(rest, pieces), "surroundings")
             spots = rest.select("key", F.col("sid").alias("rep"), F.col("at").alias("rep_at"))
-            two = met.join(spots, ["key", "rep"]).select("sid", "at", "rep", "rep_at").distinct()
-            two = two.join(near, ["sid", "at"]).join(near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("near").alias("rep_near")), ["rep", "rep_at"])
-            pairs = two.where(F.size(F.filter("near", lambda t: F.array_contains("rep_near", t))) >= AROUND)
-        fresh = pairs.select(F.greatest("sid", "rep").alias("sid"), F.least("sid", "rep").alias("rep")).distinct()
-        fresh = saved(fresh if tried is None else fresh.join(tried, ["sid", "rep"], "left_anti"), "fresh")
+            two = pairs.join(spots, ["key", "rep"]).select("sid", "at", "rep", "rep_at", "a", "b").distinct()
+            other = near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("kinds").alias("rep_kinds"), F.col("near").alias("rep_near"))
+            kinds = F.least("kinds", "rep_kinds", F.lit(LEAST))  # of a text that repeats itself, few differ
+            pairs = two.join(near, ["sid", "at"]).join(other, ["rep", "rep_at"]).where(F.size(F.array_intersect("near", "rep_near")) >= F.floor(SIMILAR * kinds))
+        fresh = saved(pairs.select(F.col("a").alias("sid"), F.col("b").alias("rep")).distinct(), "fresh")
         tried = fresh if tried is None else tried.union(fresh)
         new = saved(verify(fresh, pieces), "passages")
         found = new if found is None else found.union(new)
