@@ -37,14 +37,17 @@ def json_array(df: DataFrame, path: str) -> None:
     """One file of one JSON array, for readers that want that; a compatibility form that a single task writes, line by line."""
     item = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
     rows = sharegpt(df).select(F.col("id").cast("long").alias("at"), item.alias("item"))
-    rows = rows.repartitionByRange(1, "at").sortWithinPartitions("at").select("item")
+    end = df.sparkSession.range(1).select(F.lit((1 << 63) - 1).alias("at"), F.lit(None).cast("string").alias("item"))  # closes the array, also of no rows
+    rows = rows.union(end).repartitionByRange(1, "at").sortWithinPartitions("at").select("item")
 
     def run(batches):
         opened = False
         for x in batches:
-            yield pd.DataFrame({"value": [("," if opened or i else "[") + t for i, t in enumerate(x["item"])]})
-            opened = opened or len(x) > 0
-        yield pd.DataFrame({"value": ["]" if opened else "[]"]})
+            out = []
+            for t in x["item"]:
+                out.append((("," if opened else "[") + t) if t is not None else "]" if opened else "[]")
+                opened = True
+            yield pd.DataFrame({"value": out})
 
     rows.mapInPandas(run, "value string").write.text(path)
 
