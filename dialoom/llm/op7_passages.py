@@ -13,7 +13,8 @@ the pairs at 0.8, and all verbatim ones.
 
 In a group of a key, stretches are compared with a representative (the one of most company in all its groups), not
 with each other. A place of a key is done with where a verified passage with the representative covers it; the others
-stay in the group and meet four times as many representatives each round, until no group has two documents left; these
+part by the tokens around the place that the representative hasn't there, as what they share with each other alone are
+such tokens, and meet four times as many representatives each round, until no group has two documents left; these
 comparisons are made where the ``LEAST`` tokens before and after the key's places are as similar as a passage, as
 a common line alone doesn't make one. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
 shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a
@@ -366,6 +367,19 @@ def together(rows: DataFrame) -> DataFrame:
     return saved(rows.join(shared.select("key", "many"), "key"), "groups")
 
 
+def parted(rest: DataFrame, rep: DataFrame, spots: DataFrame, near: DataFrame) -> DataFrame:
+    """Groups by key and one token near the key's place that the representative (key, rep) has not near its places (spots).
+
+    Documents that have no more in common than what all have with the representative part here, so a short passage
+    that many texts hold leaves no large group. Those with a passage of their own agree in many such tokens.
+    """
+    of_rep = spots.join(rep.select("key", F.col("rep").alias("sid")), ["key", "sid"]).join(near, ["sid", "at"])
+    known = of_rep.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("known"))  # of one text
+    own = rest.join(near.select("sid", "at", "near"), ["sid", "at"]).join(known, "key", "left")
+    token = F.explode(F.when(F.col("known").isNull(), F.array_distinct("near")).otherwise(F.array_except("near", "known")))
+    return own.select("key", "sid", "doc_id", "at", token.alias("token")).select(F.xxhash64("key", "token").alias("key"), "sid", "doc_id", "at")
+
+
 def piece_passages(pieces: DataFrame) -> DataFrame | None:
     """Passages between stretches, as ``verify`` gives them; None if there are none to compare."""
     rest = together(saved(keys(pieces), "windows"))
@@ -377,13 +391,11 @@ def piece_passages(pieces: DataFrame) -> DataFrame | None:
         rep = rank.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(4 ** min(turn, 15))).alias("salt")).agg(F.max("rank").alias("top"))
         rep = saved(rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc")), "representatives")
         met = saved(rest.join(rep, "key").where("doc_id <> rep_doc").select("key", "sid", "at", "rep"), "met")
-        ordered = lambda df: df.withColumns({"a": F.greatest("sid", "rep"), "b": F.least("sid", "rep")})
-        pairs = ordered(met)
+        pairs = met.withColumns({"a": F.greatest("sid", "rep"), "b": F.least("sid", "rep")})
         if turn:
             pairs = pairs.join(tried.select(F.col("sid").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-            near = near or saved(surroundings(rest, pieces), "surroundings")
-            spots = rest.select("key", F.col("sid").alias("rep"), F.col("at").alias("rep_at"))
-            two = pairs.join(spots, ["key", "rep"]).select("sid", "at", "rep", "rep_at", "a", "b").distinct()
+            places = rest.select("key", F.col("sid").alias("rep"), F.col("at").alias("rep_at"))
+            two = pairs.join(places, ["key", "rep"]).select("sid", "at", "rep", "rep_at", "a", "b").distinct()
             other = near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("kinds").alias("rep_kinds"), F.col("near").alias("rep_near"))
             kinds = F.least("kinds", "rep_kinds", F.lit(LEAST))  # of a text that repeats itself, few differ
             pairs = two.join(near, ["sid", "at"]).join(other, ["rep", "rep_at"]).where(F.size(F.array_intersect("near", "rep_near")) >= F.floor(SIMILAR * kinds))
@@ -394,8 +406,14 @@ def piece_passages(pieces: DataFrame) -> DataFrame | None:
         spans = found.select("sid", "rep", "start", "end").union(found.select("rep", "sid", "rep_start", "rep_end"))
         # a place in a passage with a representative of its group is done with; so is a representative, which has met all
         covered = met.join(spans, ["sid", "rep"]).where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)).select("key", "sid", "at").distinct()
-        rest = rest.select("key", "sid", "doc_id", "at").join(covered, ["key", "sid", "at"], "left_anti")
-        rest = together(rest.join(rep.select("key", F.col("rep").alias("sid")).distinct(), ["key", "sid"], "left_anti"))
+        left = rest.select("key", "sid", "doc_id", "at").join(covered, ["key", "sid", "at"], "left_anti")
+        left = together(left.join(rep.select("key", F.col("rep").alias("sid")).distinct(), ["key", "sid"], "left_anti"))
+        if not turn and not left.isEmpty():
+            # places of the groups that are left, and of their representatives
+            spots = saved(rest.join(left.select("key").distinct(), "key", "left_semi").join(rep.select("key", F.col("rep").alias("sid")), ["key", "sid"], "left_semi").select("key", "sid", "at"), "spots")
+            near = saved(surroundings(left.select("sid", "at").union(spots.select("sid", "at")), pieces), "surroundings")
+            left = together(parted(left, rep, spots, near))
+        rest = left
         turn += 1
     return found
 
