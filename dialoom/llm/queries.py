@@ -2,7 +2,7 @@
 
 from . import (
     op1_lm_scoring, op2_language, op3_pii, op4_decontaminate, op5_jaccard, op6_quality, op7_passages, op8_lines, op8_sql,
-    op9_bpe, op10_toxicity,
+    op9_bpe, op10_toxicity, op12_negatives,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_lines": op8_lines.query,
     "op9_bpe": op9_bpe.query,
     "op10_toxicity": op10_toxicity.query,
+    "op12_negatives": op12_negatives.query,
 }
 
-ORACLE_SQL = {"op8_lines": op8_sql.line_dedup()}
+ORACLE_SQL = {"op8_lines": op8_sql.line_dedup(), "op12_negatives": op12_negatives.ORACLE_SQL}
