@@ -2,7 +2,7 @@
 
 from . import (
     op1_lm_scoring, op2_language, op3_pii, op4_decontaminate, op5_jaccard, op6_quality, op7_passages, op8_lines, op8_sql,
-    op9_bpe, op10_toxicity, op12_negatives,
+    op9_bpe, op10_toxicity, op12_negatives, op13_divergence,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bpe": op9_bpe.query,
     "op10_toxicity": op10_toxicity.query,
     "op12_negatives": op12_negatives.query,
+    "op13_divergence": op13_divergence.query,
 }
 
-ORACLE_SQL = {"op8_lines": op8_sql.line_dedup(), "op12_negatives": op12_negatives.ORACLE_SQL}
+ORACLE_SQL = {"op8_lines": op8_sql.line_dedup(), "op12_negatives": op12_negatives.ORACLE_SQL, "op13_divergence": op13_divergence.ORACLE_SQL}
