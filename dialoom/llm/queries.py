@@ -2,7 +2,7 @@
 
 from . import (
     op1_lm_scoring, op2_language, op3_pii, op4_decontaminate, op5_jaccard, op6_quality, op7_passages, op8_lines, op8_sql,
-    op9_bpe, op10_toxicity, op12_negatives, op13_divergence,
+    op9_bpe, op10_toxicity, op11_html, op12_negatives, op13_divergence,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_lines": op8_lines.query,
     "op9_bpe": op9_bpe.query,
     "op10_toxicity": op10_toxicity.query,
+    "op11_html": op11_html.query,
     "op12_negatives": op12_negatives.query,
     "op13_divergence": op13_divergence.query,
 }
