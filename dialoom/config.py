@@ -31,6 +31,7 @@ class Config:
     telegram_my_id: str = ""
     system_prompt: str = ""
     scope: str = "chat"
+    slices: int = 0  # slices of the order for long chats; 0: a chat is one task
     strict_types: bool = False
     relations: dict[str, str] = field(default_factory=dict)
 

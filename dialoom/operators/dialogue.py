@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scan
+from ..functions.stage import staged
 from ..functions.text import within
 from ..schema import BEGIN
 
@@ -12,8 +14,10 @@ from ..schema import BEGIN
 def classify(df: DataFrame, part: list[str], window_seconds: float, order: str = "ord") -> DataFrame:
     """Non-cut rows with seg, paired, dropped, boundary, conv, question and its images, last talker.
 
-    All windows share the hash partitioning of ``part``: one exchange.
+    All windows share the hash partitioning of ``part``: one exchange. Rows with slices are scanned by them instead.
     """
+    if scan.SLICE in df.columns:
+        return _by_slices(df, part, window_seconds, order)
     w = Window.partitionBy(*part).orderBy(order)
     df = df.withColumn("seg", F.coalesce(F.sum(F.col("is_cut").cast("int")).over(w), F.lit(0))).where("not is_cut")
     s = Window.partitionBy(*part, "seg").orderBy(order)
@@ -34,6 +38,24 @@ def classify(df: DataFrame, part: list[str], window_seconds: float, order: str =
     return df.drop("_s1", "_t1", "_t2", "_m1", "_i1", "_ref")
 
 
+def _by_slices(df: DataFrame, part: list[str], window_seconds: float, order: str) -> DataFrame:
+    """``classify`` with what it needs of earlier rows carried from slice to slice: two rows, the number of cuts, the
+    number of boundaries since the last cut, the other side's last talker."""
+    df = scan.running(staged(df, "groups"), part, order, {"seg": F.col("is_cut").cast("int")}).where("not is_cut")
+    part = [*part, "seg"]
+    df = scan.previous(df, part, order, ["is_sender", "t", "msg", "images"], 2)
+    one, two, no = F.col("_prev")[0], F.col("_prev")[1], F.lit(False)
+    late = lambda a, b: F.coalesce(~within(a, b, window_seconds), no)
+    pair = lambda x, y: F.coalesce((x == 1) & (y == 0), no)
+    df = df.withColumn("paired", pair(F.col("is_sender"), one["is_sender"])).withColumn("dropped", F.col("paired") & late(F.col("t"), one["t"]))
+    ref = F.when(pair(one["is_sender"], two["is_sender"]) & late(one["t"], two["t"]), two["t"]).otherwise(one["t"])
+    df = df.withColumns({
+        "boundary": ~F.col("paired") & late(F.col("t"), ref), "is_turn": (F.col("is_sender") == 1) & ~F.col("dropped"),
+        "question": F.when(F.col("paired"), one["msg"]).otherwise(BEGIN), "question_images": F.when(F.col("paired"), one["images"]),
+    }).drop("_prev")
+    return scan.running(staged(df, "pairs"), part, order, {"conv": F.col("boundary").cast("int")}, {"peer": F.when(F.col("is_sender") == 0, F.col("talker"))})
+
+
 def turns(classified: DataFrame) -> DataFrame:
     return classified.where("is_turn")
 
@@ -80,9 +102,5 @@ def messages() -> Column:
 
 
 def numbered(df: DataFrame, part: list[str]) -> DataFrame:
-    """Sequential ids from 0 in the order of part, first_ord; chats are counted, so no window holds all dialogues."""
-    chats = df.groupBy(*part).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)  # one small row a chat
-    start = chats.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("first_ord"))
-    return df.withColumn("_rank", rank).join(start, part).withColumn("id", (F.col("_start") + F.col("_rank") - 1).cast("string")).drop("_start", "_rank")
+    """Ids from 0 in the order of part and first_ord, by the sizes of ranges; no task counts all dialogues or all chats."""
+    return scan.numbered(df, [*part, "first_ord"], "id").withColumn("id", F.col("id").cast("string"))

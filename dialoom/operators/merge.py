@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.text import count_of, within
 from ..schema import IMAGE_MARK, NO_BREAK_AFTER
 
@@ -14,26 +15,23 @@ def mark_cuts(df: DataFrame, cut_types: list[str]) -> DataFrame:
     return df.withColumn("is_cut", F.col("type_name").isin(cut_types) | own_image)
 
 
-def collapse_cuts(df: DataFrame, part: list[str], order: str = "ord") -> DataFrame:
-    """Runs of cuts become one, leading cuts vanish; adds group number gid."""
-    w = Window.partitionBy(*part).orderBy(order)
-    before = F.lag("is_cut").over(w)
-    df = df.withColumns({"_before": before, "_sender": F.lag("is_sender").over(w), "_talker": F.lag("talker").over(w), "_t": F.lag("t").over(w)})
-    return df
-
-
 def groups(df: DataFrame, part: list[str], window_seconds: float, order: str = "ord") -> DataFrame:
-    df = collapse_cuts(df, part, order)
+    """Rows with their group's number gid; runs of cuts become one, leading cuts vanish. Rows with slices are scanned by them."""
+    by = ["is_cut", "is_sender", "talker", "t"]
+    if scan.SLICE in df.columns:
+        df = scan.previous(df, part, order, by).withColumn("_prev", F.get("_prev", F.lit(0)))
+    else:
+        df = df.withColumn("_prev", F.lag(F.struct(*by)).over(Window.partitionBy(*part).orderBy(order)))
+    prev = F.col("_prev")
     fresh = (
-        F.col("is_cut") | F.col("_before").isNull() | F.col("_before") | (F.col("is_sender") != F.col("_sender"))
-        | ~F.col("talker").eqNullSafe(F.col("_talker")) | ~within(F.col("t"), F.col("_t"), window_seconds)
-    )
-    w = Window.partitionBy(*part).orderBy(order)
-    return (
-        df.withColumn("gid", F.sum(fresh.cast("int")).over(w))
-        .where(~F.col("is_cut") | (F.col("_before") == F.lit(False)))
-        .drop("_before", "_sender", "_talker", "_t")
-    )
+        F.col("is_cut") | prev.isNull() | prev["is_cut"] | (F.col("is_sender") != prev["is_sender"])
+        | ~F.col("talker").eqNullSafe(prev["talker"]) | ~within(F.col("t"), prev["t"], window_seconds)
+    ).cast("int")
+    if scan.SLICE in df.columns:
+        df = scan.running(df, part, order, {"gid": fresh})
+    else:
+        df = df.withColumn("gid", F.sum(fresh).over(Window.partitionBy(*part).orderBy(order)))
+    return df.where(~F.col("is_cut") | (prev["is_cut"] == F.lit(False))).drop("_prev")
 
 
 def joined(fragments: Column) -> Column:
@@ -46,12 +44,14 @@ def joined(fragments: Column) -> Column:
 
 
 def merge(df: DataFrame, part: list[str], window_seconds: float, max_length: int = 2048, order: str = "ord") -> DataFrame:
-    """One row a group or kept cut: first row's fields, last time, merged text and images."""
+    """One row a group or kept cut: first row's fields, last time, merged text and images; in its first row's slice, if there are slices."""
     has_image = "modality" in df.columns
     modality = F.col("modality") if has_image else F.lit(None).cast("string")
     rows = groups(df.withColumn("modality", modality), part, window_seconds, order)
     ordered = F.array_sort(F.collect_list(F.struct(order, "msg", "src", "modality")))
+    kept = [F.min(scan.SLICE).alias(scan.SLICE)] if scan.SLICE in df.columns else []
     out = rows.groupBy(*part, "gid").agg(
+        *kept,
         F.min(order).alias(order), F.count("*").alias("n_rows"), F.first("is_cut").alias("is_cut"), F.first("is_sender").alias("is_sender"),
         F.first("talker").alias("talker"), F.min_by("type_name", order).alias("type_name"), F.min_by("t", order).alias("t_first"),
         F.max_by("t", order).alias("t"), ordered.alias("_rows"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import scan
 from ..operators import dialogue, filters, merge, rewrite
 
 
@@ -25,10 +26,12 @@ def related(talks: DataFrame, relations: DataFrame, key: str = "talker") -> Data
 def make_dataset(rows: DataFrame, cfg: Config, images: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
     part = ["chat", "file"] if "file" in rows.columns else ["chat"]
     rows = merge.mark_cuts(load(rows, cfg, images), cfg.cut_types())
+    if cfg.slices:  # long chats: each is cut into slices of its order
+        rows = scan.sliced(rows, part, "ord", cfg.slices)
     groups = merge.merge(rows, part, cfg.single_combine_time_window * 60, cfg.combine_msg_max_length)
     key = ["chat"]
-    if cfg.scope == "global":  # faithful to a run over one concatenated list; one task by nature
-        groups, key = groups.withColumns({"_all": F.lit(0), "ord": F.struct("ord", "chat")}), ["_all"]
+    if cfg.scope == "global":  # as over one concatenated list, in slices of it
+        groups, key = scan.sliced(groups.drop(scan.SLICE).withColumns({"_all": F.lit(0), "ord": F.struct("ord", "chat")}), ["_all"], "ord", cfg.slices or None), ["_all"]
     talks = dialogue.dialogues(dialogue.classify(groups, key, cfg.qa_match_time_window * 60), key)
     talks = dialogue.keep(talks, cfg.messages_max_length, cfg.max_image_num)
     relation = None

@@ -144,6 +144,8 @@ SQL = {
     "merge_truncate": f"with {E}, {G} select chat, first_id, case when n > 1 then left(msg, 25) else msg end as msg from g",
     "qa_turns": f"with {E}, {G}, {Q} select chat, first_id as reply_id, question, msg as answer from q where is_turn",
     "qa_dialogues": f"with {E}, {G}, {Q} select chat, first_ord[2] as first_id, n_turns, time_us, talker, text from dl",
+    "qa_sliced": f"with {E}, {G}, {Q} select chat, first_ord[2] as first_id, n_turns, time_us, talker, text from dl",
+    "qa_global": f"with {E}, {G}, gg as (select * replace (0 as chat) from g), {_CLASS.format(g='gg', w=MATCH)} select first_ord[2] as first_id, n_turns, time_us, talker, text, cast(row_number() over (order by first_ord) - 1 as varchar) as id from dl",
     "qa_dropped_replies": f"with {E}, {G}, {Q} select chat, first_id as reply_id from q where dropped",
     "qa_filters": f"with {E}, {G}, {Q} select chat, first_ord[2] as first_id, cast(chars as bigint) as chars from dl where chars <= 120 and {LONE}",
     "qa_system_prompt": f"with {C}, {T} select chat, 'sys' || chr(10) || ' 现在时间是' || strftime(make_timestamp(time_us), '%m-%d %H:%M') || case when chat % 3 = 0 then chr(10) || ' 对方是你的friend，你们正在聊天' else '' end as system from dl",

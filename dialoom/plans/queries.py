@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..functions import scan
 from ..operators import caption, dialogue, filters, merge, pii, report, rewrite, score, strategies
 from ..providers import judged, length_judge
 from ..schema import CUT, IMAGE_MARK, SKIP
@@ -95,13 +96,30 @@ def qa_turns(spark, d):
     return dialogue.turns(_classified(spark, d)).select("chat", F.col("ord.event_id").alias("reply_id"), "question", F.col("msg").alias("answer"))
 
 
-def qa_dialogues(spark, d):
-    return _dialogues(spark, d).select(
+def _dialogue_rows(talks, *more):
+    return talks.select(
         "chat", F.col("first_ord.event_id").alias("first_id"), F.size("turns").cast("long").alias("n_turns"), F.unix_micros("time").alias("time_us"), "talker",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["user"], F.lit(">"), t["assistant"])), "|").alias("text"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["user"], F.lit(">"), t["assistant"])), "|").alias("text"), *more,
     )
 
 
+def qa_dialogues(spark, d):
+    return _dialogue_rows(_dialogues(spark, d))
+
+
+def qa_sliced(spark, d):
+    """The dialogues again, with each chat cut into slices of its order: what a chat of any length takes."""
+    rows = scan.sliced(_event_rows(spark, d), ["chat"], "ord")
+    return _dialogue_rows(dialogue.dialogues(dialogue.classify(merge.merge(rows, ["chat"], MERGE), ["chat"], MATCH), ["chat"]))
+
+
+def qa_global(spark, d):
+    """One list of all chats in time order, paired and numbered in slices."""
+    groups = scan.sliced(_event_groups(spark, d).withColumns({"_all": F.lit(0), "ord": F.struct("ord", "chat")}), ["_all"], "ord")
+    talks = dialogue.numbered(dialogue.dialogues(dialogue.classify(groups, ["_all"], MATCH), ["_all"]), ["_all"])
+    return _dialogue_rows(talks.withColumns({"chat": F.lit(0).cast("long"), "first_ord": F.col("first_ord.ord")}), "id").drop("chat")
+
+
 def qa_dropped_replies(spark, d):
     return _classified(spark, d).where("dropped").select("chat", F.col("ord.event_id").alias("reply_id"))
 
@@ -279,7 +297,7 @@ QUERIES = {
         merge_consecutive, merge_truncate, qa_turns, qa_dialogues, qa_dropped_replies, qa_filters, qa_system_prompt, qa_begin_chat_rewrite,
         qa_numbered, image_count_filter, caption_replace, prompt_render, judge_parse, score_join_default0, score_distribution, accept_score,
         accept_fallback, length_histogram, length_cdf, type_translate, translation_pair, relation_lookup, image_exists_lookup, sharegpt_export,
-        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts,
+        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global,
     )
 } | {
     "pii_numeric_id": _flagged(pii.numeric_id), "pii_email": _flagged(pii.email), "pii_ipv4": _flagged(pii.ipv4), "pii_credit_card": _flagged(pii.card),
