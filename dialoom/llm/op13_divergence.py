@@ -25,6 +25,8 @@ from .store import saved, table
 
 #: Smoothing of a count, the whole that shares add up to (about), ranks of part ``term``; rows a bucket and sources a tile.
 SMOOTH, WHOLE, TOP, ROWS, TILE = 5, 1_000_000_000, 50, 50_000, 400
+#: Bytes of texts whose pointers are sorted at once (one text at least).
+SHARD = 16 << 20
 #: Bytes of terms: ASCII letters and everything beyond ASCII.
 TERM = np.zeros(256, bool)
 TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
@@ -102,14 +104,22 @@ def shard(text: pa.Array, group: np.ndarray) -> tuple[list[str], np.ndarray, np.
     return [word[r] for r in run[heads].tolist()], of[heads], counts, documents
 
 
+def shards(batch: pa.RecordBatch):
+    """Slices of a batch, of whole texts of about SHARD bytes together: what a task holds pointers of at once."""
+    size = np.cumsum([0, *(len(t.as_buffer()) for t in batch.column("text"))])
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + SHARD, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, documents) of docs (text, lang, source), added up over all tasks."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
     def run(batches):
-        for x in batches:
-            if not len(x):
-                continue
+        for x in (part for batch in batches for part in shards(batch)):
             both = pd.MultiIndex.from_arrays([x.column("lang").to_pandas(), x.column("source").to_pandas()])
             group, names = pd.factorize(both, sort=False)
             terms, of, n, d = shard(x.column("text"), group.astype(np.int64))

@@ -144,6 +144,7 @@ def test_runs_of_equal_terms():
 def test_divergence_of_odd_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op13_divergence, "ROWS", 40)  # several buckets
     monkeypatch.setattr(op13_divergence, "TILE", 2)  # and tiles
+    monkeypatch.setattr(op13_divergence, "SHARD", 100)  # and shards
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(["alpha", "BETA", "gamma", "épsilon", "longer" * 3, "x1y"], 6)), str(rng.choice(["a", "b"])), f"s{rng.integers(7)}", 1) for i in range(150)]
     rows += [(1, None, None, None, 0), (None, "alpha", "c", None, 0), (2, "alpha beta", "c", "s1", 0), rows[0]]
