@@ -113,13 +113,14 @@ ANON = f"""with {D}, {_sp(pii.PATTERNS)}, o as (
 )
 select d.doc_id, case when head is null then msg else head || substr(msg, prev + 1) end as text from d left join t using (doc_id)"""
 STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\x0b\\x85\\p{{Z}}]+|[\\s\\x0b\\x85\\p{{Z}}]+$', '', 'g')"
-TELEGRAM = f"""with m as (
-  select cast(conv_id as varchar) as chat, turn, role, turn % 6 as k, replace(case when turn % 6 < 4 then coalesce(text, '') else '' end, chr(92) || '"', '') as text from conversations
+def _telegram(chat, order):
+    return f"""with m as (
+  select {chat} as chat, {order} as seq, turn, role, turn % 6 as k, replace(case when turn % 6 < 4 then coalesce(text, '') else '' end, chr(92) || '"', '') as text from conversations
 ), n as (
   select *, {STRIP("replace(" + STRIP("text") + ", chr(10), ' ')")} as said, ['text', 'image', 'sticker', 'video', 'file', 'location'][k + 1] as type_name,
     ['', 'p.jpg', 'f.bin', 'f.bin', 'f.bin', 'lat:1.5,lng:2.5'][k + 1] as src, ['', '', '', '', 'notes.txt', 'HereThere'][k + 1] as other from m
 ), w as (
-  select *, k <> 0 and said <> '' as caption, 1 + coalesce(sum(1 + cast(k <> 0 and said <> '' as int)) over (partition by chat order by turn rows between unbounded preceding and 1 preceding), 0) as id from n
+  select *, k <> 0 and said <> '' as caption, 1 + coalesce(sum(1 + cast(k <> 0 and said <> '' as int)) over (partition by chat order by seq rows between unbounded preceding and 1 preceding), 0) as id from n
 ), x as (
   select chat, cast(id as bigint) as id, type_name, role, case when said <> '' then said when other <> '' then other else type_name end as msg, src, k from w where said <> '' or src <> ''
   union all select chat, cast(id + 1 as bigint), 'text', role, said, '', k from w where caption
@@ -174,7 +175,8 @@ SQL = {
     "pii_any_flag_en": f"with {D}, {_sp([k for k in pii.entities('en') if k != 'NUMERIC_ID'])}, h as (select distinct doc_id from sp) select d.doc_id, {NUMERIC} or h.doc_id is not null as has_pii from d left join h using (doc_id)",
     "captioned_dialogues": f"with {C}, {PICTURED} select chat, first_ord as first_turn, captioned as text from dl join im using (chat, seg, conv)",
     "judge_flow": f"with {C}, {PICTURED} select chat, first_ord as first_turn, cast(case when n_images > 0 then 6 else 1 + ({len(TEMPLATE.format(id='', chat=''))} + 2 * length(chat || ':' || seg || ':' || conv) + length(prompt)) % 5 end as int) as score from dl join im using (chat, seg, conv)",
-    "telegram_parse": TELEGRAM,
+    "telegram_parse": _telegram("cast(conv_id as varchar)", "turn"),
+    "telegram_files": _telegram("'part ' || (conv_id % 8)", "(conv_id, turn)"),
     "token_length_cdf": f"with {D}, w as (select len(list_filter(string_split_regex(msg, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as n from d), h as (select n // 256 * 256 as bucket, count(*) as n from w group by all) select '< ' || (bucket + 256) as label, bucket, n, cast(sum(n) over (order by bucket rows unbounded preceding) as bigint) as running, round(100.0 * sum(n) over (order by bucket rows unbounded preceding) / sum(n) over (), 2) as percent from h",
     "conversation_strategy": f"with {E}, l as (select *, lag(t) over w as b, lag(type_name) over w as k from e window w as (partition by chat order by t, event_id)) select chat, 1 + sum(cast(b is not null and not (abs(t - b) <= 86400000000 and type_name = k) as int)) :: bigint as conversations, count(*) as n from l group by chat",
     "row_counts": f"with {E} select 'cuts' as name, count(*) filter (type_name = 'cut') as n from e union all select 'own', count(*) filter (is_sender = 1) from e union all select 'rows', count(*) from e",

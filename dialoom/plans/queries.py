@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..functions import scan
+from ..functions import scan, stage
 from ..operators import caption, dialogue, filters, merge, pii, report, rewrite, score, strategies
 from ..providers import judged, length_judge
 from ..schema import CUT, IMAGE_MARK, SKIP
@@ -273,11 +273,11 @@ def sharegpt_export(spark, d):
     return rows.select("id", "time", "score", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["content"]), "\x1f").alias("contents"), "system")
 
 
-def telegram_parse(spark, d):
-    """Exports built from the conversations table, parsed as JSON: texts, photos with captions, stickers, files and places."""
-    c, kind = a.read(spark, d, "conversations"), F.col("turn") % 6
+def _export_messages(c):
+    """Messages of an export from the conversations table: texts, photos with captions, stickers, files and places."""
+    kind = F.col("turn") % 6
     place = F.struct(F.lit("1.5").alias("latitude"), F.lit("2.5").alias("longitude"))
-    m = F.struct(
+    return F.struct(
         F.col("turn").alias("id"), F.lit("message").alias("type"), F.col("role").alias("from"), F.col("role").alias("from_id"),
         F.lit("2024-01-01T00:00:00.250").alias("date"), F.when(kind < 4, F.coalesce("text", F.lit(""))).otherwise("").alias("text"),
         F.when(kind == 1, "p.jpg").alias("photo"), F.when(kind == 2, "sticker").when(kind == 3, "video_file").alias("media_type"),
@@ -285,9 +285,33 @@ def telegram_parse(spark, d):
         F.when(kind == 5, place).alias("location_information"), F.when(kind == 5, "Here").alias("place_name"), F.when(kind == 5, "There").alias("address"),
         F.when(kind == 3, "x").alias("forwarded_from"),
     )
-    x = c.groupBy(F.col("conv_id").cast("string").alias("chat")).agg(F.array_sort(F.collect_list(m)).alias("messages"))
+
+
+def _export_rows(rows):
+    return rows.select("chat", F.col("id").cast("long").alias("id"), "type_name", "is_sender", "talker", "msg", "src", "is_forward", F.unix_micros("t").alias("t_us"))
+
+
+def telegram_parse(spark, d):
+    """Exports built from the conversations table, one text a conversation, parsed as JSON."""
+    c = a.read(spark, d, "conversations")
+    x = c.groupBy(F.col("conv_id").cast("string").alias("chat")).agg(F.array_sort(F.collect_list(_export_messages(c))).alias("messages"))
     x = x.select("chat", F.to_json(F.struct(F.col("chat").alias("name"), "messages")).alias("value"))
-    return telegram.messages(x, "assistant").select("chat", F.col("id").cast("long").alias("id"), "type_name", "is_sender", "talker", "msg", "src", "is_forward", F.unix_micros("t").alias("t_us"))
+    return _export_rows(telegram.messages(x, "assistant"))
+
+
+def telegram_files(spark, d):
+    """The conversations table as eight export files, written by Spark line by line and read back by pieces."""
+    c = a.read(spark, d, "conversations")
+    line = F.to_json(_export_messages(c))
+    rows = c.select(F.concat(F.lit("part "), (F.col("conv_id") % 8).cast("string")).alias("chat"), F.struct("conv_id", "turn").alias("at"), line.alias("line"))
+    chats, none = rows.select("chat").distinct(), F.lit(None).cast("struct<conv_id:bigint,turn:bigint>")
+    head = chats.select("chat", none.alias("at"), F.concat(F.lit('{"name": "'), F.col("chat"), F.lit('", "messages": [')).alias("line"))
+    nth = F.row_number().over(Window.partitionBy("chat").orderBy("at"))  # the comma before all messages but the first
+    rows = rows.withColumn("line", F.concat(F.when(nth > 1, ",").otherwise(""), "line"))
+    tail = chats.select("chat", F.struct(F.lit((1 << 63) - 1).alias("conv_id"), F.lit(0).cast("long").alias("turn")).alias("at"), F.lit("]}").alias("line"))
+    path = stage.place(spark, "export-files")
+    (head.union(rows).union(tail).repartition(8, "chat").sortWithinPartitions("chat", F.asc_nulls_first("at")).select("chat", "line").write.partitionBy("chat").text(path))
+    return _export_rows(telegram.read(spark, f"{path}/*/part-*", "assistant"))
 
 
 QUERIES = {
@@ -297,7 +321,7 @@ QUERIES = {
         merge_consecutive, merge_truncate, qa_turns, qa_dialogues, qa_dropped_replies, qa_filters, qa_system_prompt, qa_begin_chat_rewrite,
         qa_numbered, image_count_filter, caption_replace, prompt_render, judge_parse, score_join_default0, score_distribution, accept_score,
         accept_fallback, length_histogram, length_cdf, type_translate, translation_pair, relation_lookup, image_exists_lookup, sharegpt_export,
-        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global,
+        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global, telegram_files,
     )
 } | {
     "pii_numeric_id": _flagged(pii.numeric_id), "pii_email": _flagged(pii.email), "pii_ipv4": _flagged(pii.ipv4), "pii_credit_card": _flagged(pii.card),

@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scan
+from ..functions.stage import staged
 from ..functions.text import basename, folder, parse_time, safe_name, strip
+from . import json_parts
 
 #: Media type to message type.
 MEDIA = {
@@ -37,14 +40,19 @@ def export_name(name: Column, kind: Column, id: Column) -> Column:
 
 
 def messages(exports: DataFrame, my_id: str, include_type: tuple[str, ...] = ("text",)) -> DataFrame:
-    """exports: (chat, value: JSON text). Rows as in a chat CSV, ids running per chat; a medium with a caption gives two.
+    """exports: (chat, value: JSON text of a whole export). Rows as in a chat CSV; an export that is no JSON gives none."""
+    v = exports.select("chat", F.try_parse_json("value").alias("v"))
+    rows = v.select("chat", F.coalesce(_text("v", "$.name"), F.lit("Unknown Chat")).alias("room_name"), F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("pos", "m"))
+    return chat_rows(rows, ["chat"], my_id, include_type)
+
+
+def chat_rows(rows: DataFrame, part: list[str], my_id: str, include_type: tuple[str, ...] = ("text",)) -> DataFrame:
+    """rows: (chat, room_name, pos, m: a message as VARIANT), pos in the order of a part; by slices if there are any.
 
-    The medium's own row says its caption, else what stands for it (a file's name, a place, a sticker's emoji if stickers are
-    included), else its type. Each kept message takes the next id, also one without text and source, which gives no row.
-    A media type out of the list is type unknown (where the reference fails).
+    Ids run per part; a medium with a caption gives two rows. The medium's own row says its caption, else what stands for it
+    (a file's name, a place, a sticker's emoji if stickers are included), else its type. Each kept message takes the next id,
+    also one without text and source, which gives no row. A media type out of the list is type unknown.
     """
-    v = exports.select("chat", F.parse_json("value").alias("v"))
-    rows = v.select("chat", F.coalesce(_text("v", "$.name"), F.lit("Unknown Chat")).alias("room_name"), F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("pos", "m"))
     rows = rows.where(_text("m", "$.type") == "message")
     media, photo, file, place = _text("m", "$.media_type"), _text("m", "$.photo"), _text("m", "$.file"), F.try_variant_get("m", "$.location_information", "variant")
     listed = F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])
@@ -64,8 +72,12 @@ def messages(exports: DataFrame, my_id: str, include_type: tuple[str, ...] = ("t
     )
     rows = rows.withColumns({"kind": kind, "text": message_text(F.try_variant_get("m", "$.text", "variant")), "src": F.coalesce(src, F.lit("")), "other": F.coalesce(other, F.lit(""))})
     caption = (F.col("kind") != "text") & (strip("text") != "")
-    before = Window.partitionBy("chat").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("first_id", 1 + F.coalesce(F.sum(1 + caption.cast("int")).over(before), F.lit(0)))
+    takes = 1 + caption.cast("int")
+    if scan.SLICE in rows.columns:
+        rows = scan.running(rows, part, "pos", {"first_id": takes}).withColumn("first_id", F.col("first_id") + 1 - takes)
+    else:
+        before = Window.partitionBy(*part).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("first_id", 1 + F.coalesce(F.sum(takes).over(before), F.lit(0)))
     clean = lambda c: strip(F.replace(strip(c), F.lit("\n"), F.lit(" ")))
     body = clean(F.when(strip("text") != "", F.col("text")).otherwise(F.col("other")))
     main = F.when((body != "") | (strip("src") != ""), F.struct(F.col("first_id").alias("id"), F.col("kind").alias("type_name"), F.when(body == "", F.col("kind")).otherwise(body).alias("msg"), "src"))
@@ -78,11 +90,26 @@ def messages(exports: DataFrame, my_id: str, include_type: tuple[str, ...] = ("t
 
 
 def read(spark: SparkSession, path: str, my_id: str, include_type: tuple[str, ...] = ("text",)) -> DataFrame:
-    """All ``<root>/<folder>/result.json``; a chat is named as ``export_name`` says, by its folder if the export has no id."""
-    raw = spark.read.option("wholetext", True).text(path).select(folder("_metadata.file_path").alias("folder"), "value")
-    v = raw.withColumn("v", F.parse_json("value"))
-    named = F.when(_text("v", "$.id").isNull(), F.col("folder")).otherwise(export_name(_text("v", "$.name"), _text("v", "$.type"), _text("v", "$.id")))
-    return messages(v.select(named.alias("chat"), "value"), my_id, include_type)
+    """All ``<root>/<folder>/result.json`` of any size, in parallel also inside a file; a broken export gives no row.
+
+    A chat is named as ``export_name`` says, by its folder if the export has no id.
+    """
+    rows, reports = exports(spark, path)
+    good = reports.where("error is null").drop("error", "messages")
+    rows = rows.join(good, "file").select("file", scan.SLICE, "chat", "room_name", "pos", F.try_parse_json("value").alias("m"))
+    return chat_rows(rows, ["file"], my_id, include_type)
+
+
+def exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, pos, value) of the messages; (file, chat, room_name, messages, error) of the exports, good or broken."""
+    items, heads = json_parts.elements(spark, path, "messages")
+    items = staged(items, "messages")
+    counts = items.groupBy("file").agg(F.count("*").alias("messages"), F.count_if(F.try_parse_json("value").isNull()).alias("bad"))
+    v = scan.attach(heads, counts, ["file"]).withColumn("v", F.try_parse_json("head"))
+    named = F.when(_text("v", "$.id").isNull(), folder("file")).otherwise(export_name(_text("v", "$.name"), _text("v", "$.type"), _text("v", "$.id")))
+    error = F.coalesce("error", F.when(F.col("bad") > 0, F.concat(F.col("bad").cast("string"), F.lit(" messages are no JSON"))))
+    reports = v.select("file", named.alias("chat"), F.coalesce(_text("v", "$.name"), F.lit("Unknown Chat")).alias("room_name"), F.coalesce("messages", F.lit(0)).alias("messages"), error.alias("error"))
+    return items, staged(reports, "exports")
 
 
 def received_images(df: DataFrame) -> DataFrame:
