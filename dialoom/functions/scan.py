@@ -73,7 +73,7 @@ def running(df: DataFrame, part: list[str], order: str, sums: dict[str, Column]
 def numbered(df: DataFrame, order: list[str], name: str = "nth", n: int | None = None) -> DataFrame:
     """df with its rows' positions from 0 in the order of the columns: ranges, their sizes, and the sizes before each added."""
     *part, end = order
-    rows = sliced(df, part, end, n)
+    rows = sliced(staged(df, "rows"), part, end, n)  # ranges look at the rows twice
     sizes = rows.groupBy(SLICE).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct(SLICE, "n")).alias("all"))  # one row, a size a range
     before = lambda x: F.aggregate(F.filter("all", lambda y: y[SLICE] < x[SLICE]), F.lit(0).cast("long"), lambda a, y: a + y["n"])
     starts = sizes.select(F.explode(F.transform("all", lambda x: F.struct(x[SLICE].alias(SLICE), before(x).alias("_start")))).alias("x")).select("x.*")

@@ -15,13 +15,6 @@ def count_of(text: str | Column, mark: str) -> Column:
     return ((F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
 
 
-def replace_first(text: str | Column, old: str, new: str | Column) -> Column:
-    t = col(text)
-    at = F.locate(old, t)
-    value = new if isinstance(new, Column) else F.lit(new)
-    return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), value, F.substring(t, at + len(old), F.length(t)))).otherwise(t)
-
-
 def strip(text: str | Column) -> Column:
     return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
 

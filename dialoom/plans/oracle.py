@@ -83,17 +83,23 @@ TYPE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in _pairs().items())
 MOVED = "substr(x, 5) || substr(x, 1, 4)"
 MOD97 = f"list_reduce(list_concat([0], list_transform(range(1, length(x) + 1), lambda i: case when ascii(substr({MOVED}, i, 1)) >= 65 then ascii(substr({MOVED}, i, 1)) - 55 else ascii(substr({MOVED}, i, 1)) - 48 end)), lambda a, c: (case when c >= 10 then a * 100 + c else a * 10 + c end) % 97) = 1"
 CHECK = {"CREDIT_CARD": f"(select {LUHN} from (select regexp_replace(y, '[^0-9]', '', 'g') as x))", "IBAN_CODE": f"(select {MOD97} from (select y as x))"}
-EDGE = _m(r"[\p{L}\p{N}_]")
 
 
 def _spans(kind):
+    """Matches between edges, one after the other: the next is looked for from the edge behind the last."""
     score, pattern = pii.PATTERNS[kind]
-    p = _m(pattern)
-    return f"""select doc_id, msg, '{kind}' as entity_type, start, start + length(y) as stop, {score} as score, y as text from (
-      select doc_id, msg, m[i] as y, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) as bigint) as start from (
-        select *, unnest(generate_series(1, len(m))) as i from (select doc_id, msg, regexp_extract_all(msg, {p}) as m, string_split_regex(msg, {p}) as gaps from d where regexp_matches(msg, {p}))
-      )
-    ) where (start = 0 or not regexp_matches(substr(msg, start, 1), {EDGE})) and not regexp_matches(substr(msg, start + length(y) + 1, 1), {EDGE}) and {CHECK.get(kind, 'true')}"""
+    edge = r"[^\p{L}\p{N}_]"
+    whole, first = _m(edge + "(" + pattern + ")" + edge), _m("(?s)^(.*?)" + edge + "(" + pattern + ")" + edge)
+    surer = f"case when contains(string_split(y, '@')[1], '+') then {pii.PLUS} else {score} end" if kind == "EMAIL_ADDRESS" else score
+    return f"""select doc_id, msg, '{kind}' as entity_type, start, start + length(y) as stop, {surer} as score, y as text from (
+      with recursive x as (
+        select doc_id, msg, cast(null as varchar) as y, cast(null as bigint) as start, cast(-1 as bigint) as base, ' ' || msg || ' ' as rest from d
+        union all
+        select doc_id, msg, m.hit, base + length(m.pre) + 1, base + length(m.pre) + 1 + length(m.hit), substr(rest, length(m.pre) + length(m.hit) + 2) from (
+          select *, regexp_extract(rest, {first}, ['pre', 'hit']) as m from x where regexp_matches(rest, {whole})
+        )
+      ) select * from x where y is not null
+    ) where {CHECK.get(kind, 'true')}"""
 
 
 def _sp(kinds):
@@ -133,11 +139,12 @@ SQL = {
     "own_forward_filter": f"with {E} select chat, type_name, count(*) as n from e where not (is_sender = 1 and is_forward) group by all",
     "text_predicate": f"with {E} select event_id, lower(type_name) in ('文本', 'text') as is_text from e",
     "blocked_word_filter": _where(" and ".join(f"not contains(replace(msg, chr(10), ''), '{w}')" for w in WORDS)),
+    "blocked_word_list": f"with {D}, w as (select distinct unnest(string_split(coalesce(text, ''), ' ')) as w from benchmark) select doc_id from d where not exists (select 1 from w where length(w) >= 9 and contains(replace(msg, chr(10), ''), w))",
     "pii_numeric_id": _where(NUMERIC),
     "pii_email": _where(f"regexp_matches(msg, {_m(pii.EMAIL)})"),
     "pii_ipv4": _where(f"regexp_matches(msg, {_m(pii.bounded(pii.IPV4))})"),
     "pii_credit_card": f"with {D}, f as (select doc_id, regexp_replace(unnest(regexp_extract_all(msg, {_m(pii.CARD)})), '[^0-9]', '', 'g') as x from d) select distinct doc_id from f where {LUHN}",
-    "pii_any_flag": f"with d as (select doc_id, replace(coalesce(text, ''), chr(10), '') as msg from documents) select doc_id, {NUMERIC} or regexp_matches(msg, {_m(pii.EMAIL)}) or regexp_matches(msg, {_m(pii.bounded(pii.ID_CARD))}) as has_pii from d",
+    "pii_any_flag": f"with d as (select doc_id, replace(coalesce(text, ''), chr(10), '') as msg from documents), {_sp([k for k in pii.entities('zh') if k not in ('NUMERIC_ID', 'EMAIL_ADDRESS')])}, h as (select distinct doc_id from sp) select d.doc_id, {NUMERIC} or regexp_matches(msg, {_m(pii.EMAIL)}) or h.doc_id is not null as has_pii from d left join h using (doc_id)",
     "pii_span_table": f"with {D}, {_sp(pii.PATTERNS)} select doc_id, entity_type, start, stop, text from sp",
     "pii_anonymize": ANON,
     "cut_collapse": f"with {E}, {G} select chat, cast(sum(cast(is_cut as int)) as bigint) as cuts, count(distinct gid) as items from k group by chat",

@@ -56,6 +56,13 @@ def blocked_word_filter(spark, d):
     return filters.blocked_words(a.documents(spark, d), WORDS).select("doc_id")
 
 
+def blocked_word_list(spark, d):
+    """Documents without a long word of the benchmark: a list of hundreds of words in one pass."""
+    word = F.explode(F.split(F.coalesce("text", F.lit("")), " "))
+    words = a.read(spark, d, "benchmark").select(word.alias("w")).where("length(w) >= 9").distinct()
+    return filters.blocked_words(a.documents(spark, d), [r.w for r in words.collect()]).select("doc_id")
+
+
 def _flagged(check):
     return lambda spark, d: a.documents(spark, d).where(check(F.col("msg"))).select("doc_id")
 
@@ -321,7 +328,7 @@ QUERIES = {
         merge_consecutive, merge_truncate, qa_turns, qa_dialogues, qa_dropped_replies, qa_filters, qa_system_prompt, qa_begin_chat_rewrite,
         qa_numbered, image_count_filter, caption_replace, prompt_render, judge_parse, score_join_default0, score_distribution, accept_score,
         accept_fallback, length_histogram, length_cdf, type_translate, translation_pair, relation_lookup, image_exists_lookup, sharegpt_export,
-        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global, telegram_files,
+        telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global, telegram_files, blocked_word_list,
     )
 } | {
     "pii_numeric_id": _flagged(pii.numeric_id), "pii_email": _flagged(pii.email), "pii_ipv4": _flagged(pii.ipv4), "pii_credit_card": _flagged(pii.card),

@@ -269,3 +269,65 @@ def test_many_random_chats(spark):
     assert {c: w for c, w in want.items() if w} == got
 
 
+
+
+def test_many_blocked_words(spark, monkeypatch):
+    """The automata of any number of parts find what the words find one by one; 100,000 words take one pass."""
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("ab好\nc") for _ in range(n))
+    words = list({text(r.randrange(3, 8)) for _ in range(300)}) + [f"word{k}" for k in range(100_000)]
+    df = spark.createDataFrame([(k, text(r.randrange(40)) + (f"word{k}x" if k % 50 == 0 else "")) for k in range(400)] + [(400, None), (401, "")], "id long, msg string").repartition(3)
+    want = {x.id for x in df.collect() if any(w in (x.msg or "").replace("\n", "") for w in words)}
+    assert 20 < len(want) < 380
+    monkeypatch.setattr(filters, "PART", 300_000)
+    assert len(filters.word_parts(words)) == 3
+    rows = df.withColumn("type_name", F.lit("text"))
+    assert {x.id for x in df.where(filters.blocked_by_automaton(F.col("msg"), words)).collect()} == want
+    assert {x.id for x in rows.collect()} - {x.id for x in filters.blocked_words(rows, words).collect()} == want
+    assert {x.id for x in df.where(filters.blocked(F.col("msg"), words[:30])).collect()} == {x.id for x in df.where(filters.blocked_by_automaton(F.col("msg"), words[:30])).collect()}
+    assert filters.blocked_words(rows, ["x"] * 50 + [""]).count() == 0
+    monkeypatch.setattr(filters, "MOST", 10)
+    with pytest.raises(ValueError, match="bytes"):
+        filters.word_parts(words)
+
+
+def test_spans_share_edges_and_agree_with_flags(spark):
+    """What is found in one scan is what the native patterns flag, on texts of all sorts of edges."""
+    r = random.Random(11)
+    bits = ["999.1.1.1.1", "1.2.3.4", "+49 (30) 123-456", "4111 1111 1111 1111", "4111111111111112", "a.b+c@d.co", "x@y.zz", "GB82WEST12345698765432", "123-45-6789", "12345", "110101199003074530", "11010119900307453X", "1BoatSLRHtKNngkdXEeobR76b53LETtpyT"]
+    texts = ["".join(r.choice(bits + [" ", " ", "_", "é", "我", ".", "-", "(", "+", "\n", "x", "²", ", "]) for _ in range(r.randrange(9))) for _ in range(1500)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string").repartition(4)
+    got = df.select("id", "t", pii.spans(F.col("t")).alias("s"), *[pii.stands(F.col("t"), k).alias(k) for k in pii.PATTERNS]).collect()
+    for x in got:
+        assert {s.entity_type for s in x.s} == {k for k in pii.PATTERNS if x[k]}, x.t
+        assert all(x.t[s.start : s.end] == s.text for s in x.s)
+    assert [(s[0], s[4]) for s in pii.found("999.1.1.1.1", ("IP_ADDRESS",))] == [("IP_ADDRESS", "1.1.1.1")]
+    assert [s[4] for s in pii.found("12345 12346", ("NUMERIC_ID",))] == ["12345", "12346"]
+
+
+def test_scores_of_context_and_plus_addresses(spark):
+    df = spark.createDataFrame([("my code is now 12345, a+b@c.org a@c.org",)], "t string")
+    score = lambda **kw: {s.text: s.score for s in df.select(pii.spans(F.col("t"), ("NUMERIC_ID", "EMAIL_ADDRESS"), **kw).alias("s")).first().s}
+    assert score() == {"12345": 0.8, "a+b@c.org": 0.95, "a@c.org": 0.9}
+    assert score(context=True)["12345"] == 1.0 and score(threshold=0.92) == {"a+b@c.org": 0.95}
+    assert pii._score("NUMERIC_ID", "code a b c d e 12345", 15, 20, True) == 0.8  # six words before
+
+
+def test_providers_and_chinese_kinds(spark):
+    def names(texts):  # knows two names
+        return [[("PERSON", t.find(n), t.find(n) + len(n), 0.85) for n in ("王伟", "Ada") if n in t] + [("PERSON", 0, 1, 0.2)] * bool(t) for t in texts]
+
+    rows = ["我是王伟", "Ada 12345", "10.1.2.3 ok", "你好", "", None, "card 4111 1111 1111 1111", "+86 138 0013 8000", "GB82WEST12345698765432"]
+    df = spark.createDataFrame([(k, t, "text") for k, t in enumerate(rows)], "id long, msg string, type_name string")
+    left = lambda **kw: {r.id for r in filters.personal_data(df, "zh", **kw).collect()}
+    assert left() == {0, 3, 4, 5} and left(providers=(names,)) == {3, 4, 5}
+    s = df.select("id", pii.spans(F.col("msg"), ("NUMERIC_ID",), (names,)).alias("s"), pii.anonymize(F.col("msg"), ("NUMERIC_ID",), (names,)).alias("a")).orderBy("id").collect()
+    assert [(x.entity_type, x.start, x.text) for x in s[1].s] == [("NUMERIC_ID", 4, "12345"), ("PERSON", 0, "Ada")]
+    assert s[0].a == "我是<PERSON>" and s[1].a == "<PERSON> <NUMERIC_ID>" and s[5].a is None and s[3].a == "你好"
+    with pytest.raises(Exception, match="a provider gave spans"):
+        df.select(pii.spans(F.col("msg"), (), (lambda texts: [],))).collect()
+
+
+def test_swept_regions():
+    assert pii.swept("abcdefgh", [("X", 1, 3, 0.5), ("Y", 2, 5, 0.9), ("Z", 5, 6, 0.1)]) == "a<Y><Z>gh"
+    assert pii.swept("abc", []) == "abc"
