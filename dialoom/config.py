@@ -31,8 +31,8 @@ class Config:
     telegram_my_id: str = ""
     system_prompt: str = ""
     scope: str = "chat"
+    strict_types: bool = False  # rows of types that the vocabulary doesn't name are left out
     slices: int = 0  # slices of the order for long chats; 0: a chat is one task
-    strict_types: bool = False
     relations: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -57,6 +57,9 @@ class Config:
         gone = {"sticker"} if self.platform == "telegram" and "sticker" in self.include_type else set()
         return [t for t in schema.SKIP[self.vocabulary] if t not in gone]
 
+    def known_types(self) -> list[str]:
+        return [*schema.CUT[self.vocabulary], *schema.SKIP[self.vocabulary], *schema.TEXT_TYPES, *schema.IMAGE_TYPES]
+
     def dataset_name(self, name: str) -> str:
         return name + "-vl" if "image" in self.include_type else name
 

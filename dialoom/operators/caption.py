@@ -9,28 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of
+from ..providers import VISION, Calls
 from ..schema import IMAGE_MARK
 
 
 MISSING, FAILED = "[图片文件不存在]", "[图片描述失败]"
 
 
-def describe(images: DataFrame, captioner: Callable[[str], str]) -> DataFrame:
-    """(image, caption): each distinct image is described once; a missing file or another error becomes a text that says so."""
+def describe(images: DataFrame, captioner: Callable[[str], str], calls: Calls = Calls(retry=VISION)) -> DataFrame:
+    """(image, caption): each distinct image is described once; a missing file or another error becomes a text that says so.
 
-    def one(image):
-        try:
-            return captioner(image)
-        except FileNotFoundError:
-            return MISSING
-        except Exception as e:  # the contract: a failed caption must not lose the dialogue
-            return f"{FAILED[:-1]}: {e}]"
+    Lost connections and busy servers are tried again, calls run beside each other, and captions are logged as ``calls`` says.
+    """
+
+    def lost(e: Exception) -> str:
+        return MISSING if isinstance(e, FileNotFoundError) else f"{FAILED[:-1]}: {e}]"
 
     def run(batches):
         for x in batches:
-            yield pd.DataFrame({"image": x.image, "caption": [one(i) for i in x.image]})
+            yield pd.DataFrame({"image": x.image, "caption": [c for g in calls.each([[i] for i in x.image], lambda g: [captioner(g[0])], lost) for c in g]})
 
-    return images.select("image").distinct().mapInPandas(run, "image string, caption string")
+    return calls.dealt(images.select("image").distinct()).mapInPandas(run, "image string, caption string")
 
 
 def captioned(df: DataFrame, captions: DataFrame, key: str = "id") -> DataFrame:

@@ -182,6 +182,9 @@ SQL = {
     "pii_any_flag_en": f"with {D}, {_sp([k for k in pii.entities('en') if k != 'NUMERIC_ID'])}, h as (select distinct doc_id from sp) select d.doc_id, {NUMERIC} or h.doc_id is not null as has_pii from d left join h using (doc_id)",
     "captioned_dialogues": f"with {C}, {PICTURED} select chat, first_ord as first_turn, captioned as text from dl join im using (chat, seg, conv)",
     "judge_flow": f"with {C}, {PICTURED} select chat, first_ord as first_turn, cast(case when n_images > 0 then 6 else 1 + ({len(TEMPLATE.format(id='', chat=''))} + 2 * length(chat || ':' || seg || ':' || conv) + length(prompt)) % 5 end as int) as score from dl join im using (chat, seg, conv)",
+    "dataset_cleaned": f"with {C}, {PICTURED}, sc as (select chat || ':' || seg || ':' || conv as id, n_turns * 2 as n_messages, contents, cast(case when n_images > 0 then 6 else 1 + ({len(TEMPLATE.format(id='', chat=''))} + 2 * length(chat || ':' || seg || ':' || conv) + length(prompt)) % 5 end as int) as score from dl join im using (chat, seg, conv)) select id, score, n_messages, contents from sc where score >= 4 or not exists (select 1 from sc where score >= 4)",
+    "array_export": f"with {C}, {T} select chat || ':' || seg || ':' || conv as id, strftime(make_timestamp(time_us), '%Y-%m-%dT%H:%M:%S') as time, 0 as score, n_turns * 2 as n_messages, contents, '' as system from dl where {LONE}",
+    "capped_conversations": f"with {E}, r as (select chat, event_id, (row_number() over (partition by chat order by t, event_id) - 1) // 6 as conversation from e) select chat, conversation, count(*) as n, min(event_id) as least_id from r group by all",
     "telegram_parse": _telegram("cast(conv_id as varchar)", "turn"),
     "telegram_files": _telegram("'part ' || (conv_id % 8)", "(conv_id, turn)"),
     "token_length_cdf": f"with {D}, w as (select len(list_filter(string_split_regex(msg, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) as n from d), h as (select n // 256 * 256 as bucket, count(*) as n from w group by all) select '< ' || (bucket + 256) as label, bucket, n, cast(sum(n) over (order by bucket rows unbounded preceding) as bigint) as running, round(100.0 * sum(n) over (order by bucket rows unbounded preceding) / sum(n) over (), 2) as percent from h",

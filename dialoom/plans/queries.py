@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..config import Config
 from ..functions import scan, stage
 from ..operators import caption, dialogue, filters, merge, pii, report, rewrite, score, strategies
 from ..providers import judged, length_judge
@@ -195,6 +196,30 @@ def judge_flow(spark, d):
     return score.judged_scores(talks, judged(asked, length_judge)).select("chat", F.col("first_ord").alias("first_turn"), F.col("score").cast("int").alias("score"))
 
 
+def dataset_cleaned(spark, d):
+    """The run to its end: dialogues are judged, stored as a dataset, read back, and those of score 4 and more stored and read again."""
+    cfg = Config(language="en", enable_clean=True, accept_score=4)
+    talks = _pictured(spark, d).withColumn("id", F.concat_ws(":", "chat", "seg", "conv"))
+    names = {"talks": f"{stage.place(spark, 'datasets')}/talks.json"}
+    names["talks-cleaned"] = names["talks"].replace("talks.json", "talks-cleaned.json")
+    used = make_dataset.stored(make_dataset.finished(talks, cfg, judge=length_judge), cfg, names, "talks")
+    return sinks.dataset(spark, names, used).select("id", "score", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["content"]), "\x1f").alias("contents"))
+
+
+def array_export(spark, d):
+    """The dialogues as one JSON array that many tasks write, read back item by item."""
+    rows = dialogue.keep(_talks(spark, d), 1 << 30).withColumn("id", F.concat_ws(":", "chat", "seg", "conv"))
+    names = {"talks": stage.place(spark, "array")}
+    sinks.json_array(rows, names["talks"])
+    return sinks.dataset(spark, names, "talks").select("id", "time", "score", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: m["content"]), "\x1f").alias("contents"), "system")
+
+
+def capped_conversations(spark, d):
+    """Conversations of at most six messages, by the history of each."""
+    out = strategies.conversations(a.events(spark, d).select("chat", "ord"), strategies.MostMessages(6), ["chat"])
+    return out.groupBy("chat", "conversation").agg(F.count("*").alias("n"), F.min("ord.event_id").alias("least_id"))
+
+
 def _scored(spark, d):
     scores = a.read(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 2 + F.col("toxic")).alias("score"), F.lit(0).alias("arrival"))
     return score.join_scores(a.documents(spark, d).withColumnRenamed("doc_id", "id"), scores)
@@ -329,6 +354,7 @@ QUERIES = {
         qa_numbered, image_count_filter, caption_replace, prompt_render, judge_parse, score_join_default0, score_distribution, accept_score,
         accept_fallback, length_histogram, length_cdf, type_translate, translation_pair, relation_lookup, image_exists_lookup, sharegpt_export,
         telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global, telegram_files, blocked_word_list,
+        dataset_cleaned, array_export, capped_conversations,
     )
 } | {
     "pii_numeric_id": _flagged(pii.numeric_id), "pii_email": _flagged(pii.email), "pii_ipv4": _flagged(pii.ipv4), "pii_credit_card": _flagged(pii.card),

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import random
 import re
+import threading
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -65,21 +71,101 @@ def length_judge(prompts: list[str]) -> list[str]:
     return [json.dumps({"id": m[1] if m else None, "score": 1 + len(p) % 5}) for m, p in zip(ids, prompts, strict=True)]
 
 
-def judged(df: DataFrame, judge: Judge, batch: int = 10, retry: Retry = AGGRESSIVE) -> DataFrame:
-    """df (id, prompt) with reply; a batch that fails for good has null replies."""
+class Log:
+    """Replies by the hash of what was asked, a file each, in a folder that all executors see; a task that is run again reads them first."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def place(self, asked: str) -> str:
+        key = hashlib.sha256(asked.encode("utf-8", "surrogatepass")).hexdigest()
+        return os.path.join(self.folder, key[:2], key)
+
+    def get(self, asked: str) -> str | None:
+        try:
+            with open(self.place(asked), encoding="utf-8", errors="surrogatepass") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    def put(self, asked: str, reply: str) -> None:
+        path = self.place(asked)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        own = f"{path}.{uuid.uuid4().hex}"  # whole before it has its name
+        with open(own, "w", encoding="utf-8", errors="surrogatepass") as f:
+            f.write(reply)
+        os.replace(own, path)
+
+
+class Pace:
+    """At most so many calls a second, over all threads of a task."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                now = time.monotonic()
+                at = self.next = max(now, self.next + self.gap)
+            time.sleep(at - now)
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How a model is called: threads a task, tasks, calls a second over all tasks, retries, and the folder of the log.
+
+    With a rate, the rows are dealt to ``tasks`` tasks, and each keeps its share of it.
+    """
+
+    workers: int = 1
+    tasks: int = 8
+    per_second: float | None = None
+    retry: Retry = AGGRESSIVE
+    log: str | None = None
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.tasks) if self.per_second else df
+
+    def each(self, groups: Iterable[list[str]], call: Callable[[list[str]], list[str]], lost: Callable[[Exception], str | None]) -> Iterator[list[str | None]]:
+        """Replies of groups of prompts, in order; calls run beside each other. A group that fails for good has ``lost`` for each."""
+        pace, log = Pace(self.per_second and self.per_second / self.tasks), Log(self.log) if self.log else None
+
+        def one(asked: list[str]) -> list[str | None]:
+            known = {a: log.get(a) for a in asked} if log else {}
+            open_ = [a for a in asked if known.get(a) is None]
+            if open_:
+                try:
+                    replies = self.retry.call(lambda: (pace.wait(), call(open_))[1])
+                    if len(replies) != len(open_):
+                        raise ValueError(f"{len(replies)} replies to {len(open_)} prompts")
+                    known |= dict(zip(open_, replies, strict=True))
+                    for a in open_ if log else ():
+                        log.put(a, known[a])
+                except Exception as e:  # the contract: what is lost says so, and the others stay
+                    known |= {a: lost(e) for a in open_}
+            return [known[a] for a in asked]
+
+        with ThreadPoolExecutor(self.workers) as pool:
+            waiting: deque = deque()
+            for g in groups:
+                waiting.append(pool.submit(one, g))
+                if len(waiting) > 2 * self.workers:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+
+
+def judged(df: DataFrame, judge: Judge, batch: int = 10, retry: Retry = AGGRESSIVE, calls: Calls | None = None) -> DataFrame:
+    """df (id, prompt) with reply; a batch that fails for good, or has too few or too many replies, has null replies."""
+    calls = calls or Calls(retry=retry)
 
     def run(batches):
         for x in batches:
-            replies: list[str | None] = []
-            for i in range(0, len(x), batch):
-                part = list(x.prompt[i : i + batch])
-                try:
-                    replies += retry.call(judge, part)
-                except Exception:  # the contract: a lost batch scores nothing
-                    replies += [None] * len(part)
-            yield pd.DataFrame({"id": x.id, "reply": replies})
+            parts = [list(x.prompt[i : i + batch]) for i in range(0, len(x), batch)]
+            yield pd.DataFrame({"id": x.id, "reply": [r for g in calls.each(parts, judge, lambda e: None) for r in g]})
 
-    return df.select("id", "prompt").mapInPandas(run, "id string, reply string")
+    return calls.dealt(df.select("id", "prompt")).mapInPandas(run, "id string, reply string")
 
 
 def scripted(questions: DataFrame, responder: Responder) -> DataFrame:

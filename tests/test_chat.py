@@ -1,7 +1,9 @@
 """Sources, sinks and operators of the chat engine on small files of our own."""
 
 import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from dialoom import sinks
 from dialoom.config import Config
 from dialoom.operators import caption, dialogue, filters, merge, pii, report, score, strategies
 from dialoom.plans import make_dataset
-from dialoom.providers import AGGRESSIVE, API, CONSERVATIVE, Retry, judged, length_judge
+from dialoom.providers import AGGRESSIVE, API, CONSERVATIVE, Calls, Retry, judged, length_judge
 from dialoom.schema import CUT
 from dialoom.sources import csv_chat, telegram
 
@@ -196,15 +198,114 @@ def test_datasets(spark, tmp_path):
         F.array().cast("array<string>").alias("images"), F.lit("").alias("system"),
     )
     (tmp_path / "info.json").write_text(json.dumps({"mine": {"file_name": "mine.json"}}))
-    sinks.json_array(talks, str(tmp_path / "mine.json"))
-    part = next(p for p in (tmp_path / "mine.json").iterdir() if p.name.startswith("part"))
-    got = json.loads(part.read_text())
+    folder, file, registry = str(tmp_path / "mine.json"), tmp_path / "one.json", str(tmp_path / "info.json")
+    sinks.json_array(talks.repartition(3), folder)
+    sinks.joined(spark, folder, str(file))
+    got = json.loads(file.read_text())
     assert [(r["id"], r["time"], [m["content"] for m in r["messages"]]) for r in got] == [(str(k), "2024-01-01T10:00:00", [f"q{k}", f"a{k}"]) for k in range(3)]
-    assert sinks.dataset(spark, str(tmp_path / "info.json"), "mine").count() == 3
-    path = sinks.cleaned(talks, str(tmp_path / "info.json"), "mine", 3)
-    assert path == str(tmp_path / "mine-cleaned.json") and sorted(r.id for r in spark.read.option("multiLine", True).json(path).collect()) == ["0", "2"]
-    sinks.json_array(talks.limit(0), str(tmp_path / "none.json"))
-    assert json.loads(next(p for p in (tmp_path / "none.json").iterdir() if p.name.startswith("part")).read_text()) == []
+    stored = sinks.dataset(spark, registry, "mine")
+    assert sorted((r.id, r.score, r.messages[1].content) for r in stored.collect()) == [("0", 5, "a0"), ("1", 1, "a1"), ("2", 3, "a2")]
+    # a stored dataset is cleaned; with nothing left it keeps its name and no file is written
+    assert sinks.cleaned(stored, registry, "mine", 9) == "mine" and not (tmp_path / "mine-cleaned.json").exists()
+    assert sinks.cleaned(stored, registry, "mine", 3) == "mine-cleaned"
+    again = sinks.dataset(spark, {"c": str(tmp_path / "mine-cleaned.json")}, "c")
+    assert sorted(r.id for r in again.collect()) == ["0", "2"]
+    pretty = tmp_path / "pretty.json"
+    pretty.write_text(json.dumps(got, indent=4))
+    assert sorted(r.id for r in sinks.dataset(spark, {"p": str(pretty)}, "p").collect()) == ["0", "1", "2"]
+    pretty.write_text(json.dumps(got))
+    assert sinks.dataset(spark, {"p": str(pretty)}, "p").count() == 3
+    # ids that are no numbers, many of them, and none
+    many = talks.crossJoin(spark.range(40).withColumnRenamed("id", "n")).withColumn("id", F.concat_ws(":", "n", "id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay
+    sinks.json_array(many, str(tmp_path / "many"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sinks.joined(spark, str(tmp_path / "many"), str(file))
+    ids = [r["id"] for r in json.loads(file.read_text())]
+    assert ids == sorted(ids) and len(ids) == 120 and len([p for p in (tmp_path / "many").iterdir() if p.name.startswith("part")]) > 1
+    sinks.json_array(talks.limit(0), str(tmp_path / "none"))
+    sinks.joined(spark, str(tmp_path / "none"), str(file))
+    assert json.loads(file.read_text()) == [] and sinks.dataset(spark, {"n": str(tmp_path / "none")}, "n").count() == 0
+
+
+def test_run_to_its_end(spark, export, tmp_path):
+    """Chat rows to a stored dataset and its cleaned form, by the settings."""
+    rows = csv_chat.chat_csv(spark, f"{export}/*/*.csv").withColumn("src", F.lit(""))  # a text's source would count as an image
+    cfg = Config(blocked_words=("hh",), enable_clean=True, accept_score=4, clean_batch_size=2)
+    names = {"sft": str(tmp_path / "sft.json")}
+    with pytest.raises(ValueError, match="judge"):
+        make_dataset.run(rows, cfg, names, "sft")
+    grade = lambda prompts: [json.dumps({"score": 5 if "later" in p else 1}) for p in prompts]
+    assert make_dataset.run(rows, cfg, names, "sft", judge=grade) == "sft-cleaned"
+    assert sorted((r.id, r.score) for r in sinks.dataset(spark, names, "sft").collect()) == [("0", 1), ("1", 1), ("2", 5)]
+    assert [r.messages[0].content for r in sinks.dataset(spark, {"c": sinks.cleaned_path(names, "sft")}, "c").collect()] == ["later"]
+    none = {"sft": str(tmp_path / "other.json")}
+    assert make_dataset.run(rows, Config(), none, "sft") == "sft" and sinks.dataset(spark, none, "sft").first().score == 0
+    odd = rows.withColumn("type_name", F.when(F.col("id") == 0, "odd").otherwise(F.col("type_name")))
+    assert make_dataset.load(odd, Config(strict_types=True)).count() == make_dataset.load(odd, Config()).count() - 1
+
+
+def test_no_finished_prompt_is_asked_twice(spark, tmp_path):
+    """A worker dies in the middle; the next run asks only what has no reply in the log. Calls overlap, order stays."""
+    asked, log = str(tmp_path / "asked"), str(tmp_path / "log")
+    df = spark.range(24).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("prompt "), "id").alias("prompt")).coalesce(1)
+
+    def judge(die):
+        def call(prompts):
+            if die and "prompt 13" in prompts:
+                time.sleep(0.5)
+                os._exit(1)
+            with open(asked, "a") as f:
+                f.write("".join(p + "\n" for p in prompts))
+            return [p.upper() for p in prompts]
+
+        return call
+
+    calls = Calls(workers=3, log=log, retry=Retry(0))
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        judged(df, judge(True), 2, calls=calls).collect()
+    first = open(asked).read().split("\n")[:-1]
+    assert 6 <= len(first) < 24
+    got = judged(df, judge(False), 2, calls=calls).collect()
+    assert [(r.id, r.reply) for r in got] == [(str(k), f"PROMPT {k}") for k in range(24)]
+    every = open(asked).read().split("\n")[:-1]
+    assert sorted(every) == sorted(f"prompt {k}" for k in range(24))
+
+
+def test_calls_of_a_model(spark):
+    df = spark.range(6).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("p"), "id").alias("prompt")).coalesce(1)
+    got = judged(df, lambda prompts: prompts[1:] if "p2" in prompts else prompts, 2, Retry(0)).collect()  # too few replies
+    assert [r.reply for r in got] == ["p0", "p1", None, None, "p4", "p5"]
+    began = time.monotonic()
+    paced = judged(df, lambda prompts: prompts, 1, calls=Calls(workers=4, tasks=1, per_second=10)).collect()
+    assert sorted(r.reply for r in paced) == [f"p{k}" for k in range(6)] and time.monotonic() - began >= 0.5
+    images = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "image string")
+
+    def see(image):
+        if image != "a":
+            raise FileNotFoundError if image == "b" else ValueError("dark")
+        return "seen"
+
+    assert {r.image: r.caption for r in caption.describe(images, see).collect()} == {"a": "seen", "b": caption.MISSING, "c": "[图片描述失败: dark]"}
+
+
+def test_strategies_over_the_history(spark):
+    r = random.Random(3)
+    rows = [(str(c) if c else None, k, 0, r.randrange(0, 5000)) for c in range(8) for k in range(r.choice([1, 30, 200]))]
+    df = spark.createDataFrame(rows, "chat string, ord long, conversation_ int, s int").withColumn("t", F.timestamp_seconds(F.col("ord") * 60 + F.col("s") % 50)).repartition(3)
+    want = {}
+    for c, k, _, s in sorted(rows, key=lambda x: (str(x[0]), x[1])):
+        t = k * 60 + s % 50
+        n, first = want.get(c, [None])[-1] or (0, t) if c in want else (0, t)
+        if abs(t - first) > 600:
+            n, first = n + 1, t
+        want.setdefault(c, []).append((n, first))
+    got = {}
+    for x in strategies.conversations(df, strategies.TotalSpan(600), ["chat"]).orderBy("ord").collect():
+        got.setdefault(x.chat, []).append(x.conversation)
+    assert got == {c: [n for n, _ in v] for c, v in want.items()}
+    most = strategies.conversations(df, strategies.MostMessages(7), ["chat"]).groupBy("chat", "conversation").count()
+    assert most.agg(F.max("count")).first()[0] == 7 and strategies.conversations(df.where("false"), strategies.MostMessages(2), ["chat"]).count() == 0
 
 
 def test_lengths_and_counts(spark):
