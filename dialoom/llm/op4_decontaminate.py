@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of template tokens: a number with its separators and decimals (``1,200``, ``7.50``), or a run of
-number words, is one number; a run of capitalised words, in any letters, is one name; a unit after a number, also when
+number words, is one number; a run of capitalised words, in letters of any script that has capitals, is one name; a unit after a number, also when
 attached to it (``5km``), is one unit; every other word is itself, lower-cased. Windows of ``WINDOW`` tokens are hashed,
 and a document's windows are hash-joined with the benchmark's. Matches of one document and item are lined up by offset
 in tokens, whatever the length of their values; an alignment counts if its slots are consistent: equal item values map to
@@ -11,7 +11,9 @@ contaminated by an item if consistent alignments cover ``least`` of the item's w
 The documents' windows stay in the task that makes them: a sorted array of the benchmark's window hashes
 goes to the tasks when it has at most ``MOST`` entries, and only windows found there reach the join; a
 larger benchmark is joined through a shuffle of all windows, with the same result. Windows of fewer than ``LITERAL`` literal
-words are left out, unless an item has no others. Items shorter than a window match as a whole.
+words are left out, unless an item has no others. Items shorter than a window match as a whole. Where an item's windows
+have too few literal words, its values must be the document's own, as a list of names or a lone number is like many others;
+and an item of fewer than ``LITERAL`` tokens matches only a document that is nothing else.
 
 Defined cases: null and empty texts match nothing; very long texts are read whole; items without a word are ignored; repeated rows of a
 document or an item give one result a pair of ids; null ids match nothing; an empty table gives an empty
@@ -59,6 +61,18 @@ _IN_NUMBER[[*b".,:/-"]] = True
 _IN_RUN[[*b" -'"]] = True
 
 
+#: Code points of capitals; those of four bytes have none that text uses.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
+
+
+def _first_letter(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point (0 past 16 bits or where the word is cut) and bytes of the first letter of each word."""
+    a, b, c = (buf[np.minimum(start + k, end - 1)].astype(np.int64) for k in range(3))
+    size = np.select([a < 0xC0, a < 0xE0, a < 0xF0], [1, 2, 3], 4)
+    point = np.select([size == 1, size == 2, size == 3], [a, (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63], 0)
+    return np.where(start + size <= end, point, 0), size
+
+
 @dataclass
 class Templates:
     """Template tokens of a block: text in the block, template hash, value hash, whether a placeholder; and each text's tokens."""
@@ -90,10 +104,9 @@ def templates(block: list[bytes]) -> Templates:
     digits, said = _DIGIT[b.buf[start]], _member(_NUMBER_WORDS, h)
     number = digits | said
     last = lambda x: np.r_[False, x[:-1]]
-    head, second, third = (b.buf[np.minimum(start + k, end - 1)] for k in range(3))
-    lower = lambda c: (c >= 97) & (c <= 122) | (c >= 0xC3)
-    accented = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (end - start > 2) & lower(third)
-    name = ((head >= 65) & (head <= 90) & (end - start > 1) & lower(second) | accented) & ~number
+    head, size = _first_letter(b.buf, start, end)
+    after = b.buf[np.minimum(start + size, end - 1)]
+    name = _CAPITAL[head] & (end - start > size) & ((after >= 97) & (after <= 122) | (after >= 0xC3)) & ~number
     ordinal = (gap == 0) & last(digits) & _member(_ORDINALS, h)
     joined = (gap == 1) & (
         (digits & last(digits) & _IN_NUMBER[before]) | (number & last(number) & (said | last(said)) & _IN_RUN[before]) | (name & last(name) & _IN_RUN[before])
@@ -120,7 +133,10 @@ def _values(x: Templates, at: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, h, item_pos, size, n_windows, item_slots: slot values of the window, in order)."""
+    """(item_id, h, item_pos, size, n_windows, strict, item_slots: slot values of the window, in order).
+
+    strict: the item's windows have too few literal words, so its values must be met as they are.
+    """
     kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches):
@@ -133,24 +149,24 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                     at, h = windows(y, size)
                     d = y.doc[at]
                     own = np.minimum(many[d], window) == size
-                    plain = (size < window) | (size - (slots[at + size] - slots[at]) >= LITERAL)
+                    plain = size - (slots[at + size] - slots[at]) >= LITERAL
                     # windows of few literal words count only where an item has no others
                     use = own & (plain | ~np.isin(d, d[own & plain]))
-                    at, h, d = at[use], h[use], d[use]
+                    at, h, d, strict = at[use], h[use], d[use], ~plain[use]
                     if not len(at):
                         continue
                     n = np.bincount(d, minlength=y.n)
                     yield pd.DataFrame({
-                        "item_id": x.item_id.to_numpy()[first + d], "h": h.view(np.int64), "item_pos": at - y.begin[d], "size": int(size), "n_windows": n[d],
+                        "item_id": x.item_id.to_numpy()[first + d], "h": h.view(np.int64), "item_pos": at - y.begin[d], "size": int(size), "n_windows": n[d], "strict": strict,
                         "item_slots": _values(y, at, size),
                     })
 
     items = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    return items.mapInPandas(run, f"item_id {kind}, h long, item_pos long, size long, n_windows long, item_slots array<long>")
+    return items.mapInPandas(run, f"item_id {kind}, h long, item_pos long, size long, n_windows long, strict boolean, item_slots array<long>")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, h, doc_pos, doc_slots) of windows whose hash is wanted; of all windows if wanted is None."""
+    """(doc_id, h, doc_pos, whole, doc_slots) of windows whose hash is wanted; of all windows if wanted is None. whole: the text has nothing else."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -167,9 +183,9 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
                     for k in range(0, len(at), 1 << 16):
                         p = at[k : k + (1 << 16)]
                         d = y.doc[p]
-                        yield pd.DataFrame({"doc_id": ids[d], "h": h[k : k + len(p)].view(np.int64), "doc_pos": p - y.begin[d], "doc_slots": _values(y, p, size)})
+                        yield pd.DataFrame({"doc_id": ids[d], "h": h[k : k + len(p)].view(np.int64), "doc_pos": p - y.begin[d], "whole": (y.end - y.begin)[d] == size, "doc_slots": _values(y, p, size)})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, h long, doc_pos long, doc_slots array<long>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, h long, doc_pos long, whole boolean, doc_slots array<long>")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: float = 0.8, most: int = MOST) -> DataFrame:
@@ -181,7 +197,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
     if few.count() <= most:
         wanted = np.sort(few.toPandas().h.to_numpy(np.int64).view(np.uint64))
     met = document_windows(docs, sizes, wanted).join(bench, "h").withColumn("offset", F.col("doc_pos") - F.col("item_pos"))
-    met = met.select("doc_id", "item_id", "offset", "item_pos", "n_windows", F.arrays_zip("item_slots", "doc_slots").alias("slots"))
+    met = met.where((F.col("size") >= LITERAL) | F.col("whole"))
+    met = met.select("doc_id", "item_id", "offset", "item_pos", "n_windows", "strict", F.arrays_zip("item_slots", "doc_slots").alias("slots"))
     met = saved(met, "matches").distinct()  # read twice
     # a hot item's matches are aggregated before they meet: one row an alignment, one an alignment and slot pair
     key = ["doc_id", "item_id", "offset"]
@@ -190,7 +207,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
         F.count("*").alias("n_slots"), F.count_distinct("item_slots").alias("a"), F.count_distinct("doc_slots").alias("b"),
         F.sum((F.col("item_slots") != F.col("doc_slots")).cast("int")).alias("changed"),
     )
-    lines = met.join(broken, key, "left").where("n_slots is null or (n_slots = a and n_slots = b)")
+    lines = met.join(broken, key, "left").where("n_slots is null or (n_slots = a and n_slots = b and (not strict or changed = 0))")
     return (
         lines.groupBy("doc_id", "item_id").agg(
             (F.count_distinct("item_pos") / F.max("n_windows")).alias("coverage"),

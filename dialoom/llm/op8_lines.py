@@ -10,12 +10,12 @@ nearly, don't count as boilerplate, and blocks of several recurring lines do. Li
 
 All groups are pre-aggregated before they are shuffled: counts by leaf, by leaf, position and token, and
 by template and fingerprint; the last join is salted. Leaves of fewer than ``LEAST`` lines can't recur, so only lines of the others
-go on, as 64-bit hashes; tokens are exploded for their distinct masked lines. The dropped positions
-return to the documents.
+go on, as 64-bit hashes; tokens are exploded for their distinct masked lines. The hashes of dropped lines
+return to the rows that have them, whatever their ids.
 
 Defined cases: null text counts as no line and stays null; blank lines are kept and never counted; an
-empty text stays empty; equal lines within a document are judged alike; null ids are one document;
-repeated ids are judged line by line as one document and all returned; a very long text is split whole, in
+empty text stays empty; equal lines within a document are judged alike; null ids are one document,
+and so are repeated ids, for the counts alone: each row keeps and loses its own lines, and all are returned; a very long text is split whole, in
 its row; of equally frequent tokens at a position the greatest is the constant one; extra columns are kept, whatever
 their names, but for n_lines and n_dropped, which ``dedup`` replaces.
 """
@@ -35,20 +35,24 @@ def mask(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[0-9]+", "0")).otherwise(line)
 
 
+def row() -> Column:
+    """A row of documents: rows that agree in it lose the same lines, as a line is judged by what it says."""
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, masked, n_tokens, leaf, line, rest): the lines that are not blank; leaf and line are hashes, rest tells of the other lines."""
+    """(doc_id, row, masked, n_tokens, leaf, line, rest): the lines that are not blank; row, leaf and line are hashes, rest tells of the other lines."""
     raw = F.split("text", "\n", -1)
-    one = lambda x, i: F.struct(i.alias("pos"), mask(F.trim(x)).alias("masked"))
-    rows = docs.select("doc_id", F.filter(F.transform(raw, one), lambda x: x["masked"] != "").alias("a"))
-    rows = rows.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("a", lambda x: F.md5(x["masked"])))), 1, 2))
-    rows = rows.select("doc_id", "least", F.explode("a").alias("x")).select("doc_id", "least", "x.*")
+    rows = docs.select("doc_id", row(), F.filter(F.transform(raw, lambda x: mask(F.trim(x))), lambda x: x != "").alias("a"))
+    rows = rows.withColumn("least", F.slice(F.array_sort(F.array_distinct(F.transform("a", lambda x: F.md5(x)))), 1, 2))
+    rows = rows.select("doc_id", "row", "least", F.explode("a").alias("masked"))
     rest = F.when(F.get("least", F.lit(0)) == F.md5("masked"), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
     rows = rows.withColumns({"n_tokens": F.size(F.split("masked", " ")), "rest": F.xxhash64(rest)}).drop("least")
     return rows.withColumns({"leaf": F.xxhash64("n_tokens", F.substring_index("masked", " ", LEADING)), "line": F.xxhash64("masked")})
 
 
 def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, gone: positions of the lines to drop, n_gone)."""
+    """(row, gone: hashes of the lines to drop)."""
     rows = lines(docs)
     leaves = saved(rows.select("leaf").groupBy("leaf").agg(F.count("*").alias("total")).where(F.col("total") >= least), "leaves")
     # a fixed number of hash buckets (2**20 rows at most) sifts the lines before their texts are shuffled
@@ -64,32 +68,33 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR)
     agreed = F.size(F.filter(F.split("masked", " "), lambda t, i: F.coalesce(F.try_element_at("shape", i) == t, F.lit(False))))
     template = F.when(F.coalesce(agreed, F.lit(0)) >= similar * F.col("n_tokens"), F.lit(0)).otherwise(F.col("line")).alias("template")
     named = kinds.join(constant, "leaf", "left").select("leaf", "line", template)
-    judged = saved(rows.select("doc_id", "pos", "leaf", "line", "rest").join(named, ["leaf", "line"]).drop("line"), "judged")
+    judged = saved(rows.select("doc_id", "row", "leaf", "line", "rest").join(named, ["leaf", "line"]), "judged")
     key = ["leaf", "template"]
     held = judged.select(*key, "doc_id", "rest").distinct().groupBy(*key, "rest").agg(F.count("*").alias("n"))
     recurs = held.groupBy(*key).agg(F.count("*").alias("own"), F.sum("n").alias("docs")).where((F.col("own") >= least) & (F.col("own") >= OWN * F.col("docs")))
     # the lines of one template may be a third of all: they are dealt to SALTS places
     recurs = recurs.select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    gone = judged.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(recurs, [*key, "salt"], "left_semi")
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    gone = judged.withColumn("salt", F.pmod(F.xxhash64("row", "line"), F.lit(SALTS)).cast("int")).join(recurs, [*key, "salt"], "left_semi")
+    return gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
 
 
 def marked(docs: DataFrame, names: list[str], least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """docs with the columns ``names``: text without recurring lines, and the numbers of lines and dropped lines that are not blank."""
-    ours, theirs, name = unused(docs, "gone", "gone_id", "slot")
-    gone = saved(dropped_lines(docs.select("doc_id", "text"), least, similar).select(F.col("gone").alias(ours), F.col("doc_id").alias(theirs)), "gone")
+    ours, theirs, mine, name = unused(docs, "gone", "gone_row", "row", "slot")
+    gone = saved(dropped_lines(docs.select("doc_id", "text"), least, similar).select(F.col("gone").alias(ours), F.col("row").alias(theirs)), "gone")
     raw = F.split("text", "\n", -1)
-    n_lines = F.coalesce(F.size(F.filter(raw, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
-    kept = F.filter(raw, lambda x, i: ~F.array_contains(ours, i))
+    count = lambda x: F.size(F.filter(x, lambda y: F.trim(y) != "")).cast("long")
+    n_lines = F.coalesce(count(raw), F.lit(0).cast("long"))
+    kept = F.filter(raw, lambda x: ~F.array_contains(ours, F.xxhash64(mask(F.trim(x)))))
     # a fixed number of hash buckets (2**20 rows at most): only texts that may lose lines are shuffled
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).alias(name)
+    slot = lambda c: F.pmod(c, F.lit(1 << 20)).alias(name)
     sift = F.broadcast(gone.select(slot(theirs)).distinct())
-    docs = docs.withColumn(name, slot("doc_id"))
-    whole = docs.join(sift, name, "left_anti").drop(name).withColumns({names[0]: F.col("text"), names[1]: n_lines, names[2]: F.lit(0).cast("long")})
-    some = docs.join(sift, name, "left_semi").drop(name).join(gone, F.col("doc_id").eqNullSafe(F.col(theirs)), "left").withColumns({
+    docs = docs.withColumn(mine, row()).withColumn(name, slot(mine))
+    whole = docs.join(sift, name, "left_anti").drop(name, mine).withColumns({names[0]: F.col("text"), names[1]: n_lines, names[2]: F.lit(0).cast("long")})
+    some = docs.join(sift, name, "left_semi").drop(name).join(gone, F.col(mine) == F.col(theirs), "left").withColumns({
         names[0]: F.when(F.col(ours).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), names[1]: n_lines,
-        names[2]: F.coalesce(F.size(ours), F.lit(0)).cast("long"),
-    }).drop(ours, theirs)
+        names[2]: F.when(F.col(ours).isNull(), 0).otherwise(n_lines - count(kept)).cast("long"),
+    }).drop(ours, theirs, mine)
     return whole.union(some)
 
 

@@ -2,15 +2,15 @@
 
 SQL = r"""
 with raw as (
-  select doc_id, text, case when text is null then [] else string_split(text, chr(10)) end as a from {docs}
+  select row_number() over () as r, doc_id, text, case when text is null then [] else string_split(text, chr(10)) end as a from {docs}
 ), masked as (
-  select doc_id, list_transform(a, lambda x: regexp_replace(trim(x, ' '), '[0-9]+', '0', 'g')) as m from raw
+  select r, doc_id, list_transform(a, lambda x: regexp_replace(trim(x, ' '), '[0-9]+', '0', 'g')) as m from raw
 ), lines as (
-  select doc_id, i - 1 as pos, m[i] as masked, len(string_split(m[i], ' ')) as n_tokens,
+  select r, doc_id, i - 1 as pos, m[i] as masked, len(string_split(m[i], ' ')) as n_tokens,
     array_to_string(string_split(m[i], ' ')[1:2], ' ') as lead,
     list_min(list_filter(hashes, lambda x: x <> md5(m[i]))) as rest
   from (
-    select doc_id, m, list_transform(list_filter(m, lambda x: x <> ''), lambda x: md5(x)) as hashes, unnest(generate_series(1, len(m))) as i from masked
+    select r, doc_id, m, list_transform(list_filter(m, lambda x: x <> ''), lambda x: md5(x)) as hashes, unnest(generate_series(1, len(m))) as i from masked
   ) where m[i] <> ''
 ), kinds as (
   select * from (
@@ -39,11 +39,11 @@ with raw as (
 ), recurs as (
   select n_tokens, lead, template from held group by all having count(*) >= 10 and count(*) >= 0.25 * sum(n)
 ), gone as (
-  select doc_id, list(distinct pos) as gone from judged semi join recurs using (n_tokens, lead, template) group by all
+  select r, list(distinct pos) as gone from judged semi join recurs using (n_tokens, lead, template) group by all
 )
-select r.doc_id, len(list_filter(a, lambda x: trim(x, ' ') <> '')) as n_lines, coalesce(len(gone), 0) as n_dropped,
+select doc_id, len(list_filter(a, lambda x: trim(x, ' ') <> '')) as n_lines, coalesce(len(gone), 0) as n_dropped,
   case when gone is null then text else array_to_string(list_transform(list_filter(generate_series(1, len(a)), lambda i: not list_contains(gone, i - 1)), lambda i: a[i]), chr(10)) end as text
-from raw r left join gone g on r.doc_id is not distinct from g.doc_id
+from raw r left join gone g using (r)
 """
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import table
-from .words import mix, powers
+from .words import mix, powers, with_long
 
 #: Characters of a block; blocks whose words meet in one bucket; the least number of buckets.
 BLOCK_CHARS, BLOCKS_A_BUCKET, LEAST_BUCKETS = 4 << 20, 32, 64
@@ -102,7 +102,7 @@ class Words:
                 prefix = np.zeros(len(points) + 1, np.uint64)
                 np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=prefix[1:])
                 end = np.r_[start[1:], len(points)]
-                hashes.append(mix((prefix[end] - prefix[start]) * inverse[start]))
+                hashes.append(with_long(mix((prefix[end] - prefix[start]) * inverse[start]), points, start, end))
                 if not sequence:
                     where.append(np.stack([np.full(len(start), i), start, end], 1).astype(np.int32))
             self.sizes.append(len(start))

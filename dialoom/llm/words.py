@@ -2,7 +2,9 @@
 
 Texts are UTF-8 bytes. A block is a run of whole texts joined by newlines; words are maximal runs of
 bytes other than space and 0x09-0x0D. A word's hash is a polynomial over its bytes modulo 2**64, read
-off prefix sums, so a block costs a few numpy passes and no Python loop over words.
+off prefix sums, so a block costs a few numpy passes and no Python loop over words. Such a polynomial is weak on long
+texts (Thue-Morse words of 1,024 letters have one value whatever the base), so what is longer than ``LONG`` bytes is
+hashed by its bytes instead: at most one call for each ``LONG`` bytes of a block.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
-BLOCK = 1 << 20
+BLOCK, LONG = 1 << 20, 256
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -35,6 +38,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def with_long(h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """h, with the hashes of long stretches of data by their bytes; data: of bytes or code points."""
+    for i in np.flatnonzero(end - start > LONG):
+        h[i] = xxhash.xxh64_intdigest(np.ascontiguousarray(data[start[i] : end[i]]).view(np.uint8))
+    return h
+
+
 def blocks(texts: Iterable[str | bytes | None], limit: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, encoded texts) of consecutive blocks of about ``limit`` bytes; null is empty."""
     got: list[bytes] = []
@@ -60,6 +70,7 @@ class Block:
         self.doc_end = np.cumsum(sizes)
         self.doc_start = self.doc_end - sizes
         data = LOWER[self.buf] if lower else self.buf
+        self.data = data
         out = separators[self.buf]
         edge = np.flatnonzero(np.diff(np.r_[True, out].astype(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
@@ -72,7 +83,7 @@ class Block:
         self.word_start = np.searchsorted(self.doc, np.arange(self.n), "left")
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self._inverse[start])
+        return with_long(mix((self.prefix[end] - self.prefix[start]) * self._inverse[start]), self.data, start, end)
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value per byte over each text."""

@@ -7,13 +7,14 @@ import re
 import zlib
 from math import log2
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dialoom.llm import op1_lm_scoring, op2_language, op3_pii, op4_decontaminate, op5_jaccard, op6_quality, op7_passages, op8_lines, op9_bpe, op10_toxicity
+from dialoom.llm import op1_lm_scoring, op2_language, op3_pii, op4_decontaminate, op5_jaccard, op6_quality, op7_passages, op8_lines, op8_sql, op9_bpe, op10_toxicity, words
 
 BIG = 2**53 + 1
 WORDS = "the of and to in is it for on with as was by at from that this have not are".split()
@@ -89,15 +90,15 @@ def test_stages_on_empty_tables(spark, corpus):
 
 
 def brute_line_dedup(rows):
-    """Leaves, shapes, templates and documents by dictionaries."""
+    """(row, position) of dropped lines: leaves, shapes, templates and documents by dictionaries."""
     lines = []
-    for d, t in rows:
+    for r, (d, t) in enumerate(rows):
         m = [(k, re.sub("[0-9]+", "0", x.strip(" "))) for k, x in enumerate((t or "").split("\n"))]
         m = [(k, x) for k, x in m if x]
         hashes = sorted({hashlib.md5(x.encode()).hexdigest() for _, x in m})
         for k, x in m:
             h = hashlib.md5(x.encode()).hexdigest()
-            lines.append((d, k, x, (len(x.split(" ")), tuple(x.split(" ")[:2])), next((y for y in hashes if y != h), None)))
+            lines.append((d, (r, k), x, (len(x.split(" ")), tuple(x.split(" ")[:2])), next((y for y in hashes if y != h), None)))
     leaf = {}
     for _, _, x, key, _ in lines:
         leaf.setdefault(key, []).append(x.split(" "))
@@ -118,14 +119,107 @@ def brute_line_dedup(rows):
             held.setdefault((key, None if same else x), set()).add((d, rest))
     bad = {k for k, v in held.items() if len({r for _, r in v}) >= op8_lines.LEAST and len({r for _, r in v}) >= op8_lines.OWN * len(v)}
     gone = set()
-    for d, k, x, key, _ in lines:
+    for _, at, x, key, _ in lines:
         w = x.split(" ")
         same = sum(shape.get((key, p)) == w[p] for p in range(key[0])) >= op8_lines.SIMILAR * key[0]
         if (key, None if same else x) in bad:
-            gone.add((d, k))
+            gone.add(at)
     return gone
 
 
+def test_lines_of_other_rows_stay(spark, tmp_path):
+    """Rows of one id, and rows without an id, lose their own boilerplate and nothing of each other."""
+    notice = "all rights reserved by the owner 2011"
+    rows = [(k, f"{notice}\nown text of row {chr(97 + k)} {k}x") for k in range(14)]
+    rows += [(3, "precious first line of other text\nsecond"), (None, f"{notice}\nline beside a notice"), (None, "precious null line\nmore"), (None, f"{notice}\n{notice}"), (None, None), (4, ""), (5, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, str(r.text)) for r in op8_lines.dedup(df).collect())
+    gone = brute_line_dedup(rows)
+    want = []
+    for r, (d, t) in enumerate(rows):
+        lines = (t or "").split("\n")
+        kept = [x for k, x in enumerate(lines) if (r, k) not in gone]
+        want.append((str(d), sum(bool(x.strip(" ")) for x in lines), len(lines) - len(kept), str(None if t is None else "\n".join(kept))))
+    assert got == sorted(want) and sum(w[2] for w in want) == 17
+    df.withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((str(a), b, c_, str(t)) for a, b, c_, t in c.sql(f"select doc_id, n_lines, n_dropped, text from ({op8_sql.line_dedup()})").fetchall()) == got
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_long_words_differ():
+    """A word and its complement, which a polynomial modulo 2**64 can't tell apart."""
+    for n in (1024, 4096, 65536):
+        a = thue_morse(n)
+        b = a.translate(str.maketrans("ab", "ba"))
+        assert len(set(words.Block([a.encode(), b.encode(), a.encode()]).h)) == 2
+        assert len(op9_bpe.Words([f"{a} x", f"{b} x"], 1, False).where) == 3  # both words, and " x"
+        doc, _, h = words.Block([f"{x} one two".encode() for x in (a, b)]).shingles(3)
+        assert len(set(h)) == 2
+
+
+def test_short_benchmark_items(spark):
+    docs = {1: "the dog met Peter in the park", 2: "it cost 17 apples", 3: "42", 4: "Maria Silva", 5: "they said that Maria Silva came", 6: "it cost 42 apples",
+            7: "Ana Lima, Rui Costa, Eva Melo, Ivo Reis met", 8: "Ana Pires, Rui Costa, Eva Melo, Ivo Reis met", 9: "how far is 12 km away", 10: "how far is 15 km away"}
+    items = {1: "Maria Silva", 2: "42", 3: "Ana Lima, Rui Costa, Eva Melo, Ivo Reis", 4: "how far is 12 km away"}
+    df = lambda x, n: spark.createDataFrame(list(x.items()), f"{n} long, text string")
+    got = {(r.doc_id, r.item_id) for r in op4_decontaminate.contaminated(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert got == {(3, 2), (4, 1), (7, 3), (9, 4), (10, 4)}
+
+
+def plain_windows(text):
+    """Template tokens of a text without numbers that run on, by words: enough for the fixture of the next test."""
+    out = []
+    for w in re.findall(r"[0-9A-Za-zÀ-ɏͰ-ӿ]+", text):
+        kind = "NUM" if w.isdigit() else "NAME" if w[0].isupper() and len(w) > 1 and not w[1].isupper() else w.lower()
+        if kind == "NAME" and out and out[-1][0] == "NAME":  # a run of names is one
+            out[-1] = (kind, f"{out[-1][1]} {w}")
+        else:
+            out.append((kind, w))
+    return out
+
+
+def test_contamination_by_brute_force(spark):
+    """All windows of all documents against all items, one by one; names of several scripts."""
+    rnd = random.Random(8)
+    name = lambda: rnd.choice(["Maria", "Ωμέγα", "Жанна", "Élise", "Łukasz", "Peter"])
+    word = lambda: rnd.choice("when does the train leave for town and who pays what they owe".split())
+    text = lambda n: " ".join(rnd.choice([word, word, word, name, lambda: str(rnd.randrange(3))])() for _ in range(n))
+    items = {k: text(rnd.randrange(9, 16)) for k in range(12)}
+    docs = {}
+    for d in range(120):
+        item = items[rnd.randrange(12)]
+        swap = dict(zip(["Maria", "Жанна", "0", "1", "2"], rnd.choice([["Peter", "Maria", "5", "6", "7"], ["Peter", "Peter", "5", "5", "7"], ["Maria", "Жанна", "0", "1", "2"]]), strict=True))
+        docs[d] = text(rnd.randrange(8)) + " so " + " ".join(swap.get(w, w) for w in item.split(" ")[rnd.randrange(3) :]) + " so " + text(rnd.randrange(8))
+    least, want = 0.8, set()
+    for i, item in items.items():
+        y = plain_windows(item)
+        size = min(len(y), op4_decontaminate.WINDOW)
+        at = range(len(y) - size + 1)
+        plain = [p for p in at if sum(k not in ("NUM", "NAME") for k, _ in y[p : p + size]) >= op4_decontaminate.LITERAL]
+        use, strict = plain or list(at), not plain
+        for d, t in docs.items():
+            x, lines = plain_windows(t), {}
+            for p in use:
+                for q in range(len(x) - size + 1):
+                    if [k for k, _ in x[q : q + size]] == [k for k, _ in y[p : p + size]]:
+                        lines.setdefault(q - p, []).append((p, {(a[1], b[1]) for a, b in zip(y[p : p + size], x[q : q + size]) if a[0] in ("NUM", "NAME")}))
+            met = set()
+            for own in lines.values():
+                pairs = set().union(*(s for _, s in own))
+                if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs) and (not strict or all(a == b for a, b in pairs)):
+                    met |= {p for p, _ in own}
+            if len(met) >= least * len(use):
+                want.add((d, i))
+    df = lambda x, n: spark.createDataFrame(list(x.items()), f"{n} long, text string")
+    got = {(r.doc_id, r.item_id) for r in op4_decontaminate.contaminated(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert got == want and 20 < len(want)
+
+
 def brute_components(rows, n, num, den):
     sets = {}
     for d, t in rows:
@@ -162,7 +256,7 @@ def test_pipeline_against_brute_force(spark, corpus):
     rows = [(d, t) for d, t in rows if (len((t or "").split()), True) in verdict[d]]
     gone = brute_line_dedup(rows)
     assert len({d for d, _ in gone}) == 14
-    cut = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)) for d, t in rows]
+    cut = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if (r, k) not in gone)) for r, (d, t) in enumerate(rows)]
     rows = [(d, t) for (d, t), (_, old) in zip(cut, rows, strict=True) if t == old or t.strip(" ")]
     component, _ = brute_components(rows, 5, 8, 10)
     rows = [(d, t) for d, t in rows if component.get(d, d) == d]
