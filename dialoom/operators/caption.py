@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions.text import count_of
 from ..providers import VISION, Calls
 from ..schema import IMAGE_MARK
@@ -39,7 +40,30 @@ def captioned(df: DataFrame, captions: DataFrame, key: str = "id") -> DataFrame:
     """
     each = df.select(F.col(key), F.posexplode("images").alias("pos", "image")).join(captions, "image", "left")
     own = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "caption"))), lambda x: x["caption"]).alias("_captions"))
-    df = df.join(own, key, "left").withColumn("_captions", F.coalesce("_captions", F.array().cast("array<string>")))
+    return _filled(df.join(own, key, "left").withColumn("_captions", F.coalesce("_captions", F.array().cast("array<string>"))))
+
+
+def captioned_in_sequence(df: DataFrame, captions: DataFrame, order: list[str]) -> DataFrame:
+    """``captioned`` by one count over all dialogues in an order: the k-th mark of all takes the k-th image of all.
+
+    So what a dialogue has too many or too few is made up by those that follow. Marks and images before a dialogue are sums
+    over ranges of the order; marks meet images by their number.
+    """
+    *part, end = order
+    rows = scan.sliced(scan.staged(df, "talks"), part, end)  # one list: all dialogues are one part
+    marks = F.aggregate("turns", F.lit(0), lambda a, t: a + count_of(t["user"], IMAGE_MARK) + count_of(t["assistant"], IMAGE_MARK))
+    rows = rows.withColumns({"_at": F.struct(*order), "_marks": marks, "_pics": F.size("images")})
+    rows = scan.running(rows, [], "_at", {"_mark": F.col("_marks"), "_pic": F.col("_pics")})
+    rows = scan.staged(rows.withColumns({"_mark": F.col("_mark") - F.col("_marks"), "_pic": F.col("_pic") - F.col("_pics"), "_row": F.monotonically_increasing_id()}), "marks")
+    pics = rows.select(F.posexplode("images").alias("pos", "image"), "_pic").select((F.col("_pic") + F.col("pos")).alias("_nth"), "image").join(captions, "image", "left").drop("image")
+    asked = rows.where("_marks > 0").select("_row", F.col("_mark").alias("_first"), F.explode(F.sequence(F.col("_mark"), F.col("_mark") + F.col("_marks") - 1)).alias("_nth"))
+    found = asked.join(pics, "_nth", "left").groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "caption"))), lambda x: x["caption"]).alias("_captions"))
+    rows = rows.join(found, "_row", "left").withColumn("_captions", F.coalesce("_captions", F.array().cast("array<string>")))
+    return _filled(rows.drop("_at", "_marks", "_pics", "_mark", "_pic", "_row", scan.SLICE))
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """Turns with _captions in place of their marks."""
     empty = F.array().cast("array<string>")
 
     def step(acc, t):

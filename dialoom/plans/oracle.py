@@ -181,6 +181,15 @@ SQL = {
     "sharegpt_export": f"with {C}, {T} select chat || ':' || seg || ':' || conv as id, strftime(make_timestamp(time_us), '%Y-%m-%dT%H:%M:%S') as time, 0 as score, n_turns * 2 as n_messages, contents, '' as system from dl where {LONE}",
     "pii_any_flag_en": f"with {D}, {_sp([k for k in pii.entities('en') if k != 'NUMERIC_ID'])}, h as (select distinct doc_id from sp) select d.doc_id, {NUMERIC} or h.doc_id is not null as has_pii from d left join h using (doc_id)",
     "captioned_dialogues": f"with {C}, {PICTURED} select chat, first_ord as first_turn, captioned as text from dl join im using (chat, seg, conv)",
+    "captioned_sequence": f"""with {C}, {PICTURED}, o as (
+      select *, question like '<image>%' as pic, question like '<image>%' and chat % 5 <> 0 as mark from q where is_turn
+    ), p as (select row_number() over (order by chat, seg, conv, ord) as k, 'seen img' || o1 as caption from o where pic),
+    m as (select chat, seg, conv, ord, row_number() over (order by chat, seg, conv, ord) as k from o where mark),
+    f as (
+      select o.*, case when mark then replace(question, '<image>', case when caption is null then chr(10) || '[图片描述缺失]' || chr(10) else chr(10) || '[图片描述: ' || caption || ']' || chr(10) end) else replace(question, '<image>', '') end as said
+      from o left join m using (chat, seg, conv, ord) left join p using (k)
+    )
+    select chat, dl.first_ord as first_turn, x.text from dl join (select chat, seg, conv, string_agg(said || '>' || msg, '|' order by ord) as text from f group by all) x using (chat, seg, conv)""",
     "judge_flow": f"with {C}, {PICTURED} select chat, first_ord as first_turn, cast(case when n_images > 0 then 6 else 1 + ({len(TEMPLATE.format(id='', chat=''))} + 2 * length(chat || ':' || seg || ':' || conv) + length(prompt)) % 5 end as int) as score from dl join im using (chat, seg, conv)",
     "dataset_cleaned": f"with {C}, {PICTURED}, sc as (select chat || ':' || seg || ':' || conv as id, n_turns * 2 as n_messages, contents, cast(case when n_images > 0 then 6 else 1 + ({len(TEMPLATE.format(id='', chat=''))} + 2 * length(chat || ':' || seg || ':' || conv) + length(prompt)) % 5 end as int) as score from dl join im using (chat, seg, conv)) select id, score, n_messages, contents from sc where score >= 4 or not exists (select 1 from sc where score >= 4)",
     "array_export": f"with {C}, {T} select chat || ':' || seg || ':' || conv as id, strftime(make_timestamp(time_us), '%Y-%m-%dT%H:%M:%S') as time, 0 as score, n_turns * 2 as n_messages, contents, '' as system from dl where {LONE}",

@@ -178,6 +178,15 @@ def captioned_dialogues(spark, d):
     return out.select("chat", F.col("first_ord").alias("first_turn"), F.array_join(F.transform("turns", lambda t: F.concat(t["user"], F.lit(">"), t["assistant"])), "|").alias("text"))
 
 
+def captioned_sequence(spark, d):
+    """Captions by one count over all dialogues; every fifth chat has lost its marks, so its images go to those that follow."""
+    talks = _pictured(spark, d)
+    unmarked = F.transform("turns", lambda t: F.struct(t["ord"].alias("ord"), F.replace(t["user"], F.lit(IMAGE_MARK), F.lit("")).alias("user"), t["assistant"].alias("assistant"), t["images"].alias("images")))
+    talks = talks.withColumn("turns", F.when(F.col("chat") % 5 == 0, unmarked).otherwise(F.col("turns")))
+    out = caption.captioned_in_sequence(talks, caption.describe(talks.select(F.explode("images").alias("image")), lambda i: "seen " + i), ["chat", "seg", "conv"])
+    return out.select("chat", F.col("first_ord").alias("first_turn"), F.array_join(F.transform("turns", lambda t: F.concat(t["user"], F.lit(">"), t["assistant"])), "|").alias("text"))
+
+
 def prompt_render(spark, d):
     return _talks(spark, d).select("chat", score.prompt(F.col("turns")).alias("prompt"))
 
@@ -354,7 +363,7 @@ QUERIES = {
         qa_numbered, image_count_filter, caption_replace, prompt_render, judge_parse, score_join_default0, score_distribution, accept_score,
         accept_fallback, length_histogram, length_cdf, type_translate, translation_pair, relation_lookup, image_exists_lookup, sharegpt_export,
         telegram_parse, pii_any_flag_en, captioned_dialogues, judge_flow, token_length_cdf, conversation_strategy, row_counts, qa_sliced, qa_global, telegram_files, blocked_word_list,
-        dataset_cleaned, array_export, capped_conversations,
+        dataset_cleaned, array_export, capped_conversations, captioned_sequence,
     )
 } | {
     "pii_numeric_id": _flagged(pii.numeric_id), "pii_email": _flagged(pii.email), "pii_ipv4": _flagged(pii.ipv4), "pii_credit_card": _flagged(pii.card),
