@@ -1,13 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base spans (email, ip, card, phone) are found by fixed patterns in linear scans, and seed the method.
-Every other word that looks like an identifier (with a digit, an inner ``=`` or ``:``, an inner change to
-upper case, or many letters) is a candidate instance, of any length. Instances are their values, told apart by
-hash, and each has a shape (``password=0a9b`` is ``a=w``). A span's lexical patterns are its neighbours: the word
-before, the two before, the word after, and what stands before a ``=`` or ``:`` inside it. Spark scores the
+Base spans (email, ip, card, phone) are found by fixed patterns in linear scans, and seed the method; so do secrets, long
+words of letters and digits mixed at random. Every other word of six characters or more that looks like an identifier
+(with a digit, an inner ``=`` or ``:``, an inner change to upper case, or twenty letters) is a candidate instance, of any
+length; of ``key=value`` the value is. A number of a card's or phone's length that the base rules turned down is refuted:
+it is never found and speaks against the patterns that extract it. Instances are their values, told apart by hash, and each
+has a shape (``0a9b-12`` is ``w-0``). A span's lexical patterns are its neighbours: the word before, the two before, the
+word after, and the key of an assignment, also over blanks and quotes (``token = "..."``). Spark scores the
 pattern-instance graph iteratively: a pattern is as sure as the instances it extracts; an instance as sure as the
-patterns that extract it, by itself and over all of its shape, seeds staying at 1. Patterns with enough seeds and
-confidence then discover unseen identifiers among the sure candidates, as spans of kind ``id``.
+patterns that extract it, by itself and over all of its shape, seeds staying at 1 and refuted numbers at 0. Patterns with
+enough seeds and confidence then discover unseen identifiers among the sure candidates, as spans of kind ``id``.
 
 The graph is summed before it is shuffled, so a pattern, instance or shape that holds a third of all spans is a
 few rows; neighbours of over 40 characters are told by their beginning and a digest; candidates of a hot pattern are split by adaptive skew joins. Offsets are code points.
@@ -37,7 +39,10 @@ _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What makes a word a candidate.
 _TRIGGER = re.compile(r"[0-9]|[A-Za-z_][=:](?=[^\x20\x09-\x0D/])|[a-z][A-Z]|[A-Za-z]{20}")
-_INNER = re.compile(r"^([A-Za-z_]{3,24})[=:]")
+_KEY = re.compile(r"[A-Za-z_][\w-]*[=:](?!/)[\"'(\[{<]*")
+_KEY_BEFORE = re.compile(r"([A-Za-z_][\w-]*+)\s*$")
+_SECRET = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/=-]{16,}")
+_NUMBER = re.compile(r"\+?[0-9][0-9 ().-]*")
 _ALNUM = re.compile(r"[^\W_]+")
 
 
@@ -66,6 +71,16 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def secret(word: str) -> bool:
+    """Letters and digits mixed at length, of so many different ones that no word or count looks like it."""
+    return len(set(word)) >= 10 and _SECRET.fullmatch(word) is not None
+
+
+def refuted(word: str) -> bool:
+    """A number of a card's or a phone's length that the base rules have seen and turned down."""
+    return _NUMBER.fullmatch(word) is not None and 10 <= len(_DIGIT.findall(word)) <= 19
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end), sorted."""
     out = [(s, 0, e) for s, e in emails(text)]
@@ -126,13 +141,14 @@ class Context:
         out = ["L " + one, "LL " + two + " " + one]
         if n := self.word(after + 1):
             out.append("R " + n)
-        if m := _INNER.match(self.text[start : min(end, start + 26)]):
-            out.append("P " + m[1].lower())
+        left = self.text[self.words[max(0, k - 2)][0] : start].rstrip(" \t\r\n\"'([{<")
+        if left[-1:] in ("=", ":") and (m := _KEY_BEFORE.search(left, 0, len(left) - 1)):
+            out.append("P " + plain(m[1]))
         return out
 
 
 def scan(text: str) -> tuple[list, list]:
-    """Base spans, and instances (start, end, value hash, shape, seed, patterns)."""
+    """Base spans, and instances (start, end, value hash, shape, base, evidence: 1 seed, 0 open, -1 refuted, patterns)."""
     base = base_spans(text)
     taken = sorted((s, e, True) for s, _, e in base)
     spans, i, at, n = list(taken), 0, 0, len(text)
@@ -147,6 +163,10 @@ def scan(text: str) -> tuple[list, list]:
             s += 1
         while e > s and text[e - 1] in ".,;:!?)]}\"'":
             e -= 1
+        if (k := _KEY.match(text, s, e)) and k.end() < e:
+            s = k.end()
+        if s and text[s - 1] in "\"'" and 0 < (k := text.find(text[s - 1], s, e)):  # what is quoted ends with the quote
+            e = k
         while i < len(taken) and taken[i][1] <= s:
             i += 1
         if e - s >= 6 and not (i < len(taken) and taken[i][0] < e):
@@ -157,7 +177,8 @@ def scan(text: str) -> tuple[list, list]:
         for s, e, seed in sorted(spans):
             word = text[s:e]
             value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            found.append((s, e, value, shape(word), seed, context.patterns(s, e)))
+            kind = 1 if seed or secret(word) else -1 if refuted(word) else 0
+            found.append((s, e, value, shape(word), seed, kind, context.patterns(s, e)))
     return base, found
 
 
@@ -166,7 +187,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     # ids pass pandas as text: beside a null, pandas would make floating point of them
     schema = (
         "row long, doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,rank:int,end:int>>, "
-        "instances array<struct<start:int,end:int,value:long,shape:string,seed:boolean,patterns:array<string>>>"
+        "instances array<struct<start:int,end:int,value:long,shape:string,known:boolean,evidence:int,patterns:array<string>>>"
     )
 
     def run(batches):
@@ -187,7 +208,7 @@ def bootstrap(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     mean = lambda x: F.sum(F.col("n") * F.col(x)) / F.sum("n")
     share = F.sum("seeds") / F.sum("n")
     kinds = edges.groupBy("shape").agg(share.alias("shaped"))
-    seeded = saved(edges.groupBy("value", "shape").agg(share.alias("own")).join(kinds, "shape").select("value", "shape", F.greatest("own", "shaped").alias("seeded")), "instances")
+    seeded = saved(edges.groupBy("value", "shape").agg(share.alias("own"), F.max("refuted").alias("refuted")).join(kinds, "shape").select("value", "shape", "refuted", F.when(F.col("refuted") == 1, 0.0).otherwise(F.greatest("own", "shaped")).alias("seeded")), "instances")
     instances = seeded.select("value", "shape", F.col("seeded").alias("confidence"))
     for _ in range(rounds):
         known = (
@@ -202,7 +223,7 @@ def bootstrap(edges: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
         # an instance met often speaks for itself, a rare one as its shape does
         weight = F.col("n") / (F.col("n") + 2)
         own = weight * F.col("own") + (1 - weight) * F.col("shaped")
-        instances = saved(both.select("value", "shape", F.greatest("seeded", own).alias("confidence")), "instances")
+        instances = saved(both.select("value", "shape", F.when(F.col("refuted") == 1, 0.0).otherwise(F.greatest("seeded", own)).alias("confidence")), "instances")
     return known, instances
 
 
@@ -210,12 +231,12 @@ def extract(docs: DataFrame, confidence: float = 0.6, least_seeds: int = 5, roun
     """doc_id, base counts, base_sha256, spans (all), n_id."""
     rows = saved(scanned(docs), "scanned")
     spans = rows.select("row", F.explode("instances").alias("i")).select("row", "i.*")
-    each = spans.select("row", "start", "end", "value", "shape", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
-    edges = saved(each.groupBy("pattern", "value", "shape").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")), "graph")
+    each = spans.select("row", "start", "end", "value", "shape", "known", "evidence", F.explode(F.array_distinct("patterns")).alias("pattern"))
+    edges = saved(each.groupBy("pattern", "value", "shape").agg(F.count("*").alias("n"), F.sum((F.col("evidence") > 0).cast("int")).alias("seeds"), F.max((F.col("evidence") < 0).cast("int")).alias("refuted")), "graph")
     known, instances = bootstrap(edges, rounds)
     sure = known.where((F.col("confidence") >= confidence) & (F.col("seeds") >= least_seeds)).select("pattern")
     likely = instances.where(F.col("confidence") >= confidence / 2).select("value", "shape")
-    new = each.where("not seed").join(sure, "pattern", "left_semi").join(likely, ["value", "shape"], "left_semi").select("row", "start", "end").distinct()
+    new = each.where("not known and evidence >= 0").join(sure, "pattern", "left_semi").join(likely, ["value", "shape"], "left_semi").select("row", "start", "end").distinct()
     new = new.groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"))).alias("added"))
     name = F.array(*map(F.lit, KINDS))
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
