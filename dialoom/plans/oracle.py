@@ -2,7 +2,8 @@
 
 from ..operators import pii
 from ..operators.score import TEMPLATE
-from .queries import EN_CUT, EN_SKIP, MATCH, MERGE, WORDS, _pairs
+from ..operators.types import pairs
+from .queries import EN_CUT, EN_SKIP, MATCH, MERGE, WORDS
 
 
 def _list(names):
@@ -79,7 +80,7 @@ def _where(check):
 
 
 NUMERIC = f"(regexp_matches(msg, {_m(pii.bounded(pii.NUMERIC_ID))}) or regexp_matches(msg, {_m(chr(92) * 2 + 'u[0-9A-Fa-f]{4}|' + chr(92) * 2 + 'xa0')}))"
-TYPE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in _pairs().items())
+TYPE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in pairs().items())
 MOVED = "substr(x, 5) || substr(x, 1, 4)"
 MOD97 = f"list_reduce(list_concat([0], list_transform(range(1, length(x) + 1), lambda i: case when ascii(substr({MOVED}, i, 1)) >= 65 then ascii(substr({MOVED}, i, 1)) - 55 else ascii(substr({MOVED}, i, 1)) - 48 end)), lambda a, c: (case when c >= 10 then a * 100 + c else a * 10 + c end) % 97) = 1"
 CHECK = {"CREDIT_CARD": f"(select {LUHN} from (select regexp_replace(y, '[^0-9]', '', 'g') as x))", "IBAN_CODE": f"(select {MOD97} from (select y as x))"}

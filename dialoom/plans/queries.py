@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..config import Config
 from ..functions import scan, stage
-from ..operators import caption, dialogue, filters, merge, pii, report, rewrite, score, strategies
+from ..operators import caption, dialogue, filters, merge, pii, report, rewrite, score, strategies, types
 from ..providers import judged, length_judge
 from ..schema import CUT, IMAGE_MARK, SKIP
 from ..sources import adapters as a
@@ -276,21 +276,12 @@ def row_counts(spark, d):
     return spark.createDataFrame([(k, int(v)) for k, v in sorted(seen.get.items())], "name string, n long")
 
 
-def _pairs():
-    zh = CUT["zh"] + SKIP["zh"]
-    en = CUT["en"] + SKIP["en"]
-    return dict(zip((x.lower() for x in en), zh, strict=True))
-
-
 def type_translate(spark, d):
-    m = F.create_map(*[F.lit(x) for kv in _pairs().items() for x in kv])
-    return a.events(spark, d).select("event_id", F.try_element_at(m, F.lower("type_name")).alias("zh_cn"))
+    return a.events(spark, d).select("event_id", types.chinese("type_name").alias("zh_cn"))
 
 
 def translation_pair(spark, d):
-    m = F.create_map(*[F.lit(x) for kv in _pairs().items() for x in kv])
-    other = F.try_element_at(m, F.lower("type_name"))
-    return a.events(spark, d).groupBy("type_name").agg(F.count("*").alias("n")).select("n", F.when(other.isNotNull(), F.lower("type_name")).alias("en"), other.alias("zh_cn"))
+    return types.translated(a.events(spark, d).groupBy("type_name").agg(F.count("*").alias("n"))).select("n", "en", "zh_cn")
 
 
 def relation_lookup(spark, d):

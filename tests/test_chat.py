@@ -1,5 +1,6 @@
 """Sources, sinks and operators of the chat engine on small files of our own."""
 
+import base64
 import json
 import os
 import random
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from dialoom import sinks
 from dialoom.config import Config
-from dialoom.operators import caption, dialogue, filters, merge, pii, report, score, strategies
+from dialoom.operators import caption, dialogue, filters, merge, pii, report, score, strategies, types
 from dialoom.plans import make_dataset
-from dialoom.providers import AGGRESSIVE, API, CONSERVATIVE, Calls, Retry, judged, length_judge
+from dialoom.providers import AGGRESSIVE, API, CONSERVATIVE, Calls, Retry, judged, length_judge, scripted
 from dialoom.schema import CUT
-from dialoom.sources import csv_chat, telegram
+from dialoom.sources import csv_chat, media, telegram
 
 HEAD = "id,MsgSvrID,type_name,is_sender,talker,room_name,msg,src,CreateTime"
 
@@ -308,6 +309,42 @@ def test_strategies_over_the_history(spark):
     assert most.agg(F.max("count")).first()[0] == 7 and strategies.conversations(df.where("false"), strategies.MostMessages(2), ["chat"]).count() == 0
 
 
+def test_type_names(spark):
+    df = spark.createDataFrame([("Video",), ("视频",), ("odd",), (None,)], "type_name string")
+    assert [(r.en, r.zh_cn) for r in types.translated(df).collect()] == [("video", "视频"), ("video", "视频"), (None, None), (None, None)]
+
+
+def test_scripts_and_transcripts(spark, tmp_path):
+    """Questions of a script, asked with their history; a failed one leaves it; a transcript of each dialogue."""
+    (tmp_path / "script.json").write_text(json.dumps({"questions": [["one", "two", "bad", "three"], ["only"]]}))
+    questions = csv_chat.questions(spark, str(tmp_path / "script.json"))
+    assert questions.count() == 5
+
+    def answer(history):
+        if history[-1]["content"] == "bad":
+            raise ValueError
+        return f"{len(history)}:{history[-1]['content']}"
+
+    got = {}
+    said = scripted(questions, answer)
+    for r in said.orderBy("dialogue", "pos").collect():
+        got.setdefault(r.dialogue, []).append((r.role[0], r.content))
+    asked = [m for r in got[0] for m in [r[1]]]
+    assert got[1] == [("u", "only"), ("a", "1:only")]
+    assert asked[:4] == ["one", "1:one", "two", "3:two"] and asked[-1].endswith(":three") and "5:bad" not in asked
+    sinks.transcript(said, str(tmp_path / "out"))
+    lines = sorted("".join(p.read_text() for p in (tmp_path / "out").iterdir() if p.name.startswith("part")).split("\n\n"))
+    assert "only\n1:only" in [x.strip("\n") for x in lines]
+
+
+def test_images_and_their_bytes(spark, tmp_path):
+    for name, body in (("a.jpg", b"1"), ("a.png", b"2"), ("b.PNG", b"\x00\xff")):
+        (tmp_path / name).write_bytes(body)
+    assert {(r.stem, r.image) for r in media.listing(spark, str(tmp_path)).collect()} == {("a", "images/a.jpg"), ("b", "images/b.PNG")}
+    got = {r.path.rsplit("/", 1)[1]: (r.mime, base64.b64decode(r.base64)) for r in media.encoded(spark, str(tmp_path)).collect()}
+    assert got == {"a.jpg": ("image/jpeg", b"1"), "a.png": ("image/png", b"2"), "b.PNG": ("image/png", b"\x00\xff")}
+
+
 def test_lengths_and_counts(spark):
     df = spark.createDataFrame([("one two  three",), ("",), ("x" * 10,)], "t string")
     assert [r[0] for r in df.select(report.token_length(F.col("t"))).collect()] == [3, 0, 1]
