@@ -15,8 +15,7 @@ STAGES = [
     ("bpe_encode", op9_bpe.stage),
 ]
 
-#: The trees, the exact join and the encoder can't be told in SQL. Open: a test of run() against brute force; so far only
-#: the join and the encoder are tested so.
+#: The trees, the exact join and the encoder can't be told in SQL; run() is tested against a plain version of its rules.
 ORACLE_SQL = None
 
 

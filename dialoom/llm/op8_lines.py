@@ -68,7 +68,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, similar: float = SIMILAR)
     agreed = F.size(F.filter(F.split("masked", " "), lambda t, i: F.coalesce(F.try_element_at("shape", i) == t, F.lit(False))))
     template = F.when(F.coalesce(agreed, F.lit(0)) >= similar * F.col("n_tokens"), F.lit(0)).otherwise(F.col("line")).alias("template")
     named = kinds.join(constant, "leaf", "left").select("leaf", "line", template)
-    judged = saved(rows.select("doc_id", "row", "leaf", "line", "rest").join(named, ["leaf", "line"]), "judged")
+    judged = saved(rows.select("doc_id", "row", "leaf", "line", "rest").join(named.hint("merge"), ["leaf", "line"]), "judged")
     key = ["leaf", "template"]
     held = judged.select(*key, "doc_id", "rest").distinct().groupBy(*key, "rest").agg(F.count("*").alias("n"))
     recurs = held.groupBy(*key).agg(F.count("*").alias("own"), F.sum("n").alias("docs")).where((F.col("own") >= least) & (F.col("own") >= OWN * F.col("docs")))
@@ -86,12 +86,12 @@ def marked(docs: DataFrame, names: list[str], least: int = LEAST, similar: float
     count = lambda x: F.size(F.filter(x, lambda y: F.trim(y) != "")).cast("long")
     n_lines = F.coalesce(count(raw), F.lit(0).cast("long"))
     kept = F.filter(raw, lambda x: ~F.array_contains(ours, F.xxhash64(mask(F.trim(x)))))
-    # a fixed number of hash buckets (2**20 rows at most): only texts that may lose lines are shuffled
+    # a fixed number of hash buckets (2**20 rows at most): only texts that may lose lines are shuffled, at every size
     slot = lambda c: F.pmod(c, F.lit(1 << 20)).alias(name)
     sift = F.broadcast(gone.select(slot(theirs)).distinct())
     docs = docs.withColumn(mine, row()).withColumn(name, slot(mine))
     whole = docs.join(sift, name, "left_anti").drop(name, mine).withColumns({names[0]: F.col("text"), names[1]: n_lines, names[2]: F.lit(0).cast("long")})
-    some = docs.join(sift, name, "left_semi").drop(name).join(gone, F.col(mine) == F.col(theirs), "left").withColumns({
+    some = docs.join(sift, name, "left_semi").drop(name).join(gone.hint("merge"), F.col(mine) == F.col(theirs), "left").withColumns({
         names[0]: F.when(F.col(ours).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")), names[1]: n_lines,
         names[2]: F.when(F.col(ours).isNull(), 0).otherwise(n_lines - count(kept)).cast("long"),
     }).drop(ours, theirs, mine)
