@@ -13,10 +13,10 @@ the pairs at 0.8, and all verbatim ones.
 
 In a group of a key, stretches are compared with a representative (the one of most company in all its groups), not
 with each other. A place of a key is done with where a verified passage with the representative covers it; the others
-part by the tokens around the place that the representative hasn't there, as what they share with each other alone are
-such tokens, and meet four times as many representatives each round, until no group has two documents left; these
-comparisons are made where the ``LEAST`` tokens before and after the key's places are as similar as a passage, as
-a common line alone doesn't make one. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
+are compared where the ``LEAST`` tokens before and after their places are as similar as a passage, as a common line
+alone doesn't make one. These places part by their token and one near it: of the near tokens the rarest, as many as
+places so similar must share one of. A group meets one representative, then four, and four times as many each round,
+until none has two documents left. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
 shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a
 Jaccard similarity of ``SIMILAR``.
 
@@ -127,6 +127,18 @@ def _tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b.shingles(SHINGLE, whole_if_short=False)
 
 
+def in_documents(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of ``HASH_BITS`` bits, in order, and in how many documents of a block each one is."""
+    low = np.uint64(64 - HASH_BITS)
+    if not len(doc) or doc[-1] >> int(low):
+        return np.unique(distinct(doc, key)[1], return_counts=True)
+    # both in one number, as a plain sort is several times faster
+    both = np.sort(key << low | doc.astype(np.uint64))
+    key = both[np.r_[True, both[1:] != both[:-1]]] >> low
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.diff(np.r_[first, len(key)])
+
+
 def stretches(parts: DataFrame, total: int) -> DataFrame:
     """(sid, doc_id: as text, start, text): parts of texts, by words, that may hold a similar passage; parts is a written table of blocks."""
     shift, bits = np.uint64(64 - HASH_BITS), max(LEAST_BUCKETS, total // BUCKET_SHINGLES).bit_length()
@@ -135,7 +147,7 @@ def stretches(parts: DataFrame, total: int) -> DataFrame:
         for x in batches:
             for r in x.itertuples(index=False):
                 doc, _, h = _tokens(Block(unpacked(r.sizes, r.blob), lower=True))
-                key, n = np.unique(distinct(doc, h)[1] >> shift, return_counts=True)
+                key, n = in_documents(doc, h >> shift)
                 edge = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
                 full = np.flatnonzero(np.diff(edge))
                 rows = [(int(i), r.block, press(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0)).view(np.int64)), press(n[edge[i] : edge[i + 1]])) for i in full]
@@ -157,7 +169,7 @@ def stretches(parts: DataFrame, total: int) -> DataFrame:
             doc, first, h = _tokens(b)
             told = told.sort_values("bucket")
             met = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(told.met, told.many, strict=True)])
-            met = met[np.unique(h >> shift, return_inverse=True)[1]]
+            met = met[np.searchsorted(np.unique(h >> shift), h >> shift)]
             total = np.r_[0, np.cumsum(met, dtype=np.int64)]
             m = max(0, len(h) - LEAST + 1)
             begin = np.flatnonzero((total[LEAST : LEAST + m] - total[:m] >= DENSE * LEAST) & (doc[:m] == doc[LEAST - 1 : LEAST - 1 + m]))
@@ -340,7 +352,8 @@ def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(sid, at, kinds, near): 32-bit hashes of the tokens less than ``LEAST`` before and after the places of keys, and how many differ."""
+    """(sid, doc_id, at, anchor, kinds, near): the token at the places of keys, the different tokens less than ``LEAST`` before and after it (32-bit hashes), and their number."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for x in batches:
@@ -350,15 +363,15 @@ def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
                 edge = np.searchsorted(doc, np.arange(b.n + 1))
                 h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 rows = [
-                    (x.sid.iloc[first + d], at, len(np.unique(near)), near)
+                    (x.sid.iloc[first + d], x.doc_id.iloc[first + d], at, h[edge[d] + at], len(near), near)
                     for d in range(b.n) for at in x.places.iloc[first + d]
-                    for near in [h[max(edge[d], edge[d] + at - LEAST + 1) : min(edge[d + 1], edge[d] + at + LEAST)]]
+                    for near in [np.unique(h[max(edge[d], edge[d] + at - LEAST + 1) : min(edge[d + 1], edge[d] + at + LEAST)])]
                 ]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["sid", "at", "kinds", "near"])
+                    yield pd.DataFrame(rows, columns=["sid", "doc_id", "at", "anchor", "kinds", "near"])
 
     places = rest.groupBy("sid").agg(F.collect_set("at").alias("places"))  # no more than its tokens
-    return places.join(pieces.select("sid", "text"), "sid").mapInPandas(run, "sid long, at long, kinds int, near array<int>")
+    return places.join(pieces.select("sid", "doc_id", "text"), "sid").mapInPandas(run, f"sid long, doc_id {kind}, at long, anchor int, kinds int, near array<int>")
 
 
 def together(rows: DataFrame) -> DataFrame:
@@ -367,17 +380,30 @@ def together(rows: DataFrame) -> DataFrame:
     return saved(rows.join(shared.select("key", "many"), "key"), "groups")
 
 
-def parted(rest: DataFrame, rep: DataFrame, spots: DataFrame, near: DataFrame) -> DataFrame:
-    """Groups by key and one token near the key's place that the representative (key, rep) has not near its places (spots).
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows of keys that two documents have at least; of keys with the same places one, as the comparisons are the same."""
+    marks = [F.bit_xor(F.xxhash64("sid", "at")).alias("x"), F.bit_xor(F.xxhash64("at", "sid")).alias("y")]
+    shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("many"), *marks).where("low < high")
+    return saved(rows.join(shared.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key"), "key"), "groups")
+
+
+def needed(kinds) -> object:
+    """Tokens that two places with so many different ones near (the fewer of the two) must share; of a text that repeats itself, few differ."""
+    return F.floor(SIMILAR * F.least(kinds, F.lit(LEAST)))
 
-    Documents that have no more in common than what all have with the representative part here, so a short passage
-    that many texts hold leaves no large group. Those with a passage of their own agree in many such tokens.
+
+def parted(near: DataFrame) -> DataFrame:
+    """Places grouped by their token and one near it, rare ones first, as far as places that share ``needed`` tokens must share one.
+
+    So a short passage that many texts hold leaves no large group, and no two places that are to be compared part.
     """
-    of_rep = spots.join(rep.select("key", F.col("rep").alias("sid")), ["key", "sid"]).join(near, ["sid", "at"])
-    known = of_rep.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("known"))  # of one text
-    own = rest.join(near.select("sid", "at", "near"), ["sid", "at"]).join(known, "key", "left")
-    token = F.explode(F.when(F.col("known").isNull(), F.array_distinct("near")).otherwise(F.array_except("near", "known")))
-    return own.select("key", "sid", "doc_id", "at", token.alias("token")).select(F.xxhash64("key", "token").alias("key"), "sid", "doc_id", "at")
+    rows = near.select("sid", "doc_id", "at", "anchor", "kinds", F.explode("near").alias("token"))
+    often = rows.groupBy("anchor", "token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("df"), F.min("kinds").alias("fewest")).where("low < high")
+    rows = rows.join(often.select("anchor", "token", "df", "fewest"), ["anchor", "token"])
+    # tokens of one document alone come first in the order and need no row
+    own = rows.groupBy("sid", "doc_id", "at", "anchor").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"), F.min("fewest").alias("fewest"))
+    own = own.withColumn("first", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - needed("fewest").cast("int") + 1)))
+    return own.select("sid", "doc_id", "at", "anchor", F.explode("first.token").alias("token")).select(F.xxhash64("anchor", "token").alias("key"), "sid", "doc_id", "at")
 
 
 def piece_passages(pieces: DataFrame) -> DataFrame | None:
@@ -387,33 +413,37 @@ def piece_passages(pieces: DataFrame) -> DataFrame | None:
     found = tried = near = None
     turn = 0
     while not rest.isEmpty():
-        rank = rest.join(company, "sid").select("key", F.struct("company", "sid", "doc_id").alias("rank"), "sid")
-        rep = rank.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(4 ** min(turn, 15))).alias("salt")).agg(F.max("rank").alias("top"))
-        rep = saved(rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc")), "representatives")
-        met = saved(rest.join(rep, "key").where("doc_id <> rep_doc").select("key", "sid", "at", "rep"), "met")
-        pairs = met.withColumns({"a": F.greatest("sid", "rep"), "b": F.least("sid", "rep")})
+        rank = rest.join(company, "sid").select("key", "at", F.struct("company", "sid", "doc_id", "at").alias("rank"), "sid")
+        salt = F.pmod(F.xxhash64("sid", "at"), F.lit(4 ** max(0, min(turn - 1, 15)))).alias("salt")
+        rep = rank.groupBy("key", salt).agg(F.max("rank").alias("top"))
+        rep = rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc"), F.col("top.at").alias("rep_at"))
+        met = saved(rest.select("key", "sid", "doc_id", "at").join(rep, "key"), "met")
+        pairs = met.where("doc_id <> rep_doc").select("sid", "at", "rep", "rep_at", F.greatest("sid", "rep").alias("a"), F.least("sid", "rep").alias("b"))
         if turn:
-            pairs = pairs.join(tried.select(F.col("sid").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-            places = rest.select("key", F.col("sid").alias("rep"), F.col("at").alias("rep_at"))
-            two = pairs.join(places, ["key", "rep"]).select("sid", "at", "rep", "rep_at", "a", "b").distinct()
+            pairs = pairs.distinct().join(tried.select(F.col("sid").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
             other = near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("kinds").alias("rep_kinds"), F.col("near").alias("rep_near"))
-            kinds = F.least("kinds", "rep_kinds", F.lit(LEAST))  # of a text that repeats itself, few differ
-            pairs = two.join(near, ["sid", "at"]).join(other, ["rep", "rep_at"]).where(F.size(F.array_intersect("near", "rep_near")) >= F.floor(SIMILAR * kinds))
+            pairs = pairs.join(near.select("sid", "at", "kinds", "near"), ["sid", "at"]).join(other, ["rep", "rep_at"])
+            pairs = pairs.where(F.size(F.array_intersect("near", "rep_near")) >= needed(F.least("kinds", "rep_kinds")))
         fresh = saved(pairs.select(F.col("a").alias("sid"), F.col("b").alias("rep")).distinct(), "fresh")
         tried = fresh if tried is None else tried.union(fresh)
         new = saved(verify(fresh, pieces), "passages")
         found = new if found is None else found.union(new)
         spans = found.select("sid", "rep", "start", "end").union(found.select("rep", "sid", "rep_start", "rep_end"))
         # a place in a passage with a representative of its group is done with; so is a representative, which has met all
-        covered = met.join(spans, ["sid", "rep"]).where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)).select("key", "sid", "at").distinct()
-        left = rest.select("key", "sid", "doc_id", "at").join(covered, ["key", "sid", "at"], "left_anti")
-        left = together(left.join(rep.select("key", F.col("rep").alias("sid")).distinct(), ["key", "sid"], "left_anti"))
-        if not turn and not left.isEmpty():
-            # places of the groups that are left, and of their representatives
-            spots = saved(rest.join(left.select("key").distinct(), "key", "left_semi").join(rep.select("key", F.col("rep").alias("sid")), ["key", "sid"], "left_semi").select("key", "sid", "at"), "spots")
-            near = saved(surroundings(left.select("sid", "at").union(spots.select("sid", "at")), pieces), "surroundings")
-            left = together(parted(left, rep, spots, near))
-        rest = left
+        inside = (F.col("sid") == F.col("s")) & (F.col("rep") == F.col("r")) & (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)
+        spans = spans.toDF("s", "r", "start", "end")
+        itself = (F.col("sid") == F.col("rep")) & (F.lit(not turn) | (F.col("at") == F.col("rep_at")))
+        if turn > 1:  # there are several representatives
+            done = met.join(spans, inside).select("key", "sid", "at").union(met.where(itself).select("key", "sid", "at"))
+            left = rest.select("key", "sid", "doc_id", "at").join(done, ["key", "sid", "at"], "left_anti")
+        else:
+            left = met.where(~itself).join(spans, inside, "left_anti").select("key", "sid", "doc_id", "at")
+        left = saved(left, "left")
+        if turn:
+            rest = apart(left)
+        else:
+            near = saved(surroundings(together(left), pieces), "surroundings")
+            rest = apart(saved(parted(near), "parted"))
         turn += 1
     return found
 

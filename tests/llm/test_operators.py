@@ -160,6 +160,42 @@ def test_passages_among_short_lines(spark):
     assert all(r.end - r.start == 86 and r.similarity == 1.0 for r in got)
 
 
+def test_similar_places_stay_together(spark):
+    """No two places that are to be compared part; near copies and a common line cost few rows, whatever their number."""
+    rng = np.random.default_rng(5)
+    line, text, near = list(range(6)), list(range(100, 190)), []
+    for sid in range(240):
+        own = 1000 * (sid + 1) + np.arange(90)
+        if sid < 80:  # near copies
+            tokens = np.where(rng.random(90) < rng.choice([0.1, 0.3, 0.6]), own, text)
+        elif sid < 90:  # of a text that repeats itself
+            tokens = np.r_[7, 8, 9, own[:1]]
+        else:
+            tokens = own
+        tokens = np.unique(np.r_[line, tokens])
+        near.append((sid, sid, 3, 0, len(tokens), [int(x) for x in tokens]))
+    got = op7_passages.parted(spark.createDataFrame(near, "sid long, doc_id long, at long, anchor int, kinds int, near array<int>").repartition(3)).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.sid, set()).add(r.key)
+    many = 0
+    for i, a in enumerate(near):
+        for b in near[:i]:
+            if len(set(a[5]) & set(b[5])) >= int(0.8 * min(a[4], b[4], op7_passages.LEAST)):
+                many += 1
+                assert held[a[0]] & held[b[0]]
+    assert many > 1000 and len(got) < 80 * 90
+    assert all(sid not in held or sum(r.sid == sid for r in got) <= 6 for sid in range(90, 240))
+
+
+def test_documents_of_keys():
+    rng = np.random.default_rng(6)
+    for documents in (1, 50, 70_000):
+        doc, key = np.sort(rng.integers(0, documents, 3000)), rng.integers(0, 900, 3000).astype(np.uint64) << np.uint64(30)
+        for got, want in zip(op7_passages.in_documents(doc, key), np.unique(np.array(sorted(set(zip(doc, key))))[:, 1].astype(np.uint64), return_counts=True), strict=True):  # noqa: B905
+            assert got.tolist() == want.tolist()
+
+
 def test_scores_against_counts_of_all_words(spark):
     import random
     from collections import Counter
