@@ -12,13 +12,16 @@ the band's key. A passage of similarity s meets its copy in a band with about s*
 the pairs at 0.8, and all verbatim ones.
 
 In a group of a key, stretches are compared with a representative (the one of most company in all its groups), not
-with each other. A place of a key is done with where a verified passage with the representative covers it; the others
-are compared where the ``LEAST`` tokens before and after their places are as similar as a passage, as a common line
-alone doesn't make one. These places part by their token and one near it: of the near tokens the rarest, as many as
-places so similar must share one of. A group meets one representative, then four, and four times as many each round,
-until none has two documents left. So a passage shared by a third of all documents costs a few rows each, and none is skipped. Verification chains the runs of
-shared shingles, at every place they have, and takes passages of at least ``WORDS`` words whose shingle sets have a
-Jaccard similarity of ``SIMILAR``.
+with each other. A place of a key is done with where a verified passage with the representative covers it; the
+others are compared where the ``LEAST`` tokens around their places are as similar as a passage, as a common line alone
+doesn't make one. These places meet by their token and ``SHARED`` tokens in a row near it, as one substituted word
+leaves so many. A group meets one representative, then 32, and 32 times as many each round, until none has two documents
+left. Places that passages link, by however many steps, have one label and aren't compared again; those that have a
+representative's label leave its group. After the first of these rounds large groups part by the tokens near: of them
+the rarest, as many as places so similar must share one of.
+
+Verification chains the runs of shared shingles, at every place they have, and takes passages of at least ``WORDS`` words
+whose shingle sets have a Jaccard similarity of ``SIMILAR``.
 
 Defined cases: null, empty and short texts have no passages; very long texts are cut to stretches like others; null ids
 are ignored; rows of a repeated id count as one document, so no passage between them is given; an empty table gives an
@@ -45,8 +48,12 @@ PAIRS = 1 << 16
 DENSE, GAP = 0.7, 4 * SHINGLE
 #: Shortest run of shared shingles that a chain is made of.
 RUN = 3
-#: Bits of a shingle's hash that are counted, and shingles a bucket of the count.
-HASH_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 2_000_000, 64
+#: Tokens in a row that places to be compared share somewhere near, and those that a key is made of.
+SHARED, PART = 20, 12
+#: Places a group, from which on it parts by their other tokens.
+LARGE = 128
+#: Bits of a shingle's hash that are counted, at most and at least, and shingles a bucket of the count.
+HASH_BITS, LEAST_BITS, BUCKET_SHINGLES, LEAST_BUCKETS = 48, 32, 2_000_000, 64
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1) for k in range(HASHES)]
 
 
@@ -139,24 +146,44 @@ def in_documents(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key[first], np.diff(np.r_[first, len(key)])
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, each value's number among them, the places in order of value and where each number begins there (and the end)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    edge = np.append(np.flatnonzero(new), len(values))
+    return ordered[edge[:-1]], number, order, edge
+
+
 def stretches(parts: DataFrame, total: int) -> DataFrame:
     """(sid, doc_id: as text, start, text): parts of texts, by words, that may hold a similar passage; parts is a written table of blocks."""
-    shift, bits = np.uint64(64 - HASH_BITS), max(LEAST_BUCKETS, total // BUCKET_SHINGLES).bit_length()
+    # ten bits more than the corpus has shingles: about one in a thousand is taken for another's
+    size = min(HASH_BITS, max(LEAST_BITS, int(total).bit_length() + 10))
+    shift, bits = np.uint64(64 - size), max(LEAST_BUCKETS, total // BUCKET_SHINGLES).bit_length()
 
     def send(batches):
         for x in batches:
             for r in x.itertuples(index=False):
                 doc, _, h = _tokens(Block(unpacked(r.sizes, r.blob), lower=True))
                 key, n = in_documents(doc, h >> shift)
-                edge = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(HASH_BITS - bits))
+                edge = np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(size - bits))
                 full = np.flatnonzero(np.diff(edge))
-                rows = [(int(i), r.block, press(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0)).view(np.int64)), press(n[edge[i] : edge[i + 1]])) for i in full]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "hashes", "counts"])
+                rows = [(int(i), r.block, press(np.diff(key[edge[i] : edge[i + 1]], prepend=np.uint64(0)).view(np.int64)), np.packbits(n[edge[i] : edge[i + 1]] > 1).tobytes()) for i in full]
+                yield pd.DataFrame(rows, columns=["bucket", "block", "hashes", "several"])
 
     def count(x: pd.DataFrame) -> pd.DataFrame:
         own = [np.cumsum(unpress(v).view(np.uint64)) for v in x.hashes]
-        _, back = np.unique(np.concatenate(own), return_inverse=True)
-        met = np.bincount(back, np.concatenate([unpress(v) for v in x.counts]))[back] > 1
+        several = np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8), count=len(k)) for v, k in zip(x.several, own, strict=True)]).view(bool)
+        both = np.concatenate(own)
+        order = np.argsort(both, kind="stable")  # the parts are in order, so this merges them
+        both = both[order]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        many = np.diff(np.r_[first, len(both)])
+        met = np.empty(len(both), bool)
+        met[order] = np.repeat(np.logical_or.reduceat(several[order], first) | (many > 1), many)
         edge = np.cumsum([0, *map(len, own)])
         return pd.DataFrame({"bucket": x.bucket, "block": x.block, "many": np.diff(edge), "met": [np.packbits(met[i:j]).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]})
 
@@ -169,7 +196,7 @@ def stretches(parts: DataFrame, total: int) -> DataFrame:
             doc, first, h = _tokens(b)
             told = told.sort_values("bucket")
             met = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(told.met, told.many, strict=True)])
-            met = met[np.searchsorted(np.unique(h >> shift), h >> shift)]
+            met = met[numbered(h >> shift)[1]]
             total = np.r_[0, np.cumsum(met, dtype=np.int64)]
             m = max(0, len(h) - LEAST + 1)
             begin = np.flatnonzero((total[LEAST : LEAST + m] - total[:m] >= DENSE * LEAST) & (doc[:m] == doc[LEAST - 1 : LEAST - 1 + m]))
@@ -185,7 +212,7 @@ def stretches(parts: DataFrame, total: int) -> DataFrame:
                     out["text"].append(raw[b.start[w] : b.end[z]].decode("utf-8", "surrogatepass"))
         return pd.DataFrame(out)
 
-    told = parts.select("block", "sizes", "blob").mapInPandas(send, "bucket int, block long, hashes binary, counts binary")
+    told = parts.select("block", "sizes", "blob").mapInPandas(send, "bucket int, block long, hashes binary, several binary")
     told = told.groupBy("bucket").applyInPandas(count, "bucket int, block long, many int, met binary")
     return parts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(cut, "sid long, doc_id string, start long, text string")
 
@@ -218,9 +245,10 @@ class Sequence:
 
     def __post_init__(self):
         whole = self.tokens
-        first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]]) if len(whole) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(whole)])
-        if len(size) and size.max() > LEAST:
+        # a run is longer than LEAST if tokens so far apart are equal and all between them, too
+        if len(whole) > LEAST and (whole[LEAST:] == whole[:-LEAST]).any():
+            first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+            size = np.diff(np.r_[first, len(whole)])
             inside = np.arange(len(whole)) - np.repeat(first, size)
             self.start = np.flatnonzero(inside < LEAST)
             self.end = self.start + 1
@@ -229,36 +257,38 @@ class Sequence:
         else:
             self.start = np.arange(len(whole))
             self.end = self.start + 1
-        self.kinds, self.code = np.unique(self.tokens, return_inverse=True)
-        self.order = np.argsort(self.code, kind="stable")
-        self.edge = np.r_[0, np.cumsum(np.bincount(self.code, minlength=len(self.kinds)))]
+        self.kinds, self.code, self.order, self.edge = numbered(self.tokens)
 
     def __len__(self):
         return len(self.tokens)
 
 
-def diagonals(one: Sequence, two: Sequence) -> tuple[np.ndarray, np.ndarray]:
-    """(start in one, start in two, length) of all longest runs of equal tokens, ordered by the first; and the number in two of each distinct token of one, -1 without."""
+def diagonals(one: Sequence, two: Sequence, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(start in one, start in two, length) of all longest runs of ``least`` equal tokens or more, ordered by the first; and the number in two of each distinct token of one, -1 without."""
     at = np.minimum(np.searchsorted(two.kinds, one.kinds), max(0, len(two.kinds) - 1))
     met = np.where(two.kinds[at] == one.kinds, at, -1)
     s, r, known = one.tokens, two.tokens, met[one.code]
     # so many matches at a time, that memory holds no more than the runs
     low, many = two.edge[known], np.where(known >= 0, two.edge[known + 1] - two.edge[known], 0)
+    s, r, wide = np.append(s, np.uint64(1)), np.append(r, np.uint64(2)), len(s) + 1  # what is before and after differs
     first, last = [], []
     edges = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(many) // PAIRS]))
-    for lo, hi in zip(edges, [*edges[1:], len(s)], strict=True):
+    for lo, hi in zip(edges, [*edges[1:], len(many)], strict=True):
         n = many[lo:hi]
         i = np.repeat(np.arange(lo, hi), n)
         j = two.order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[lo:hi], n)]
-        opens = (i == 0) | (j == 0) | (s[i - 1] != r[j - 1])
-        closes = (i == len(s) - 1) | (j == len(r) - 1) | (s[np.minimum(i + 1, len(s) - 1)] != r[np.minimum(j + 1, len(r) - 1)])
-        first.append(np.stack([i[opens], j[opens]], 1))
-        last.append(np.stack([i[closes], j[closes]], 1))
-    first, last = np.concatenate(first), np.concatenate(last)
+        # by diagonal, then place
+        both = (j - i + wide) * wide + i
+        first.append(both[s[i - 1] != r[j - 1]])
+        last.append(both[s[i + 1] != r[j + 1]])
     # on a diagonal the k-th start belongs to the k-th end
-    first, last = (x[np.lexsort((x[:, 0], x[:, 1] - x[:, 0]))] for x in (first, last))
-    runs = np.c_[first, last[:, 0] - first[:, 0] + 1]
-    return runs[np.lexsort((runs[:, 1], runs[:, 0]))], met
+    first, last = (np.sort(np.concatenate(x)) for x in (first, last))
+    long = last - first + 1 >= least
+    first, size = first[long], (last - first + 1)[long]
+    i = first % wide
+    j = first // wide - wide + i
+    order = np.argsort(i * (len(r) + 1) + j)
+    return np.stack([i, j, size], 1)[order], met
 
 
 def chains(runs: np.ndarray, most: int = GAP) -> list[list[int]]:
@@ -297,7 +327,6 @@ def align(s: np.ndarray | Sequence, r: np.ndarray | Sequence, words: int = WORDS
     if not len(s) or not len(r):
         return []
     runs, met = diagonals(s, r)
-    runs = runs[runs[:, 2] >= RUN]
     if not len(runs):
         return []
     out, seen, seen_rep = [], np.zeros(len(s), bool), np.zeros(len(r), bool)
@@ -352,7 +381,11 @@ def verify(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(sid, doc_id, at, anchor, kinds, near): the token at the places of keys, the different tokens less than ``LEAST`` before and after it (32-bit hashes), and their number."""
+    """(sid, doc_id, at, kinds, near, before, keys) of the places of keys.
+
+    near: the tokens less than ``LEAST`` before and after the place (32-bit hashes), kinds: the number of different ones,
+    before: of those before the place. keys: of any ``SHARED`` tokens in a row there one run of ``PART`` tokens at least, told by its hash and the place's own token.
+    """
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -361,17 +394,28 @@ def surroundings(rest: DataFrame, pieces: DataFrame) -> DataFrame:
                 b = Block(block, lower=True)
                 doc, _, h = _tokens(b)
                 edge = np.searchsorted(doc, np.arange(b.n + 1))
-                h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows = [
-                    (x.sid.iloc[first + d], x.doc_id.iloc[first + d], at, h[edge[d] + at], len(near), near)
-                    for d in range(b.n) for at in x.places.iloc[first + d]
-                    for near in [np.unique(h[max(edge[d], edge[d] + at - LEAST + 1) : min(edge[d + 1], edge[d] + at + LEAST)])]
-                ]
+                short, least = (h >> np.uint64(32)).astype(np.uint32).view(np.int32), least_runs(h)
+                rows = []
+                for d in range(b.n):
+                    for at in x.places.iloc[first + d]:
+                        lo, hi = max(edge[d], edge[d] + at - LEAST + 1), min(edge[d + 1], edge[d] + at + LEAST)
+                        near, keys = short[lo:hi], mix(np.unique(least[lo : hi - SHARED + 1]) + mix(h[edge[d] + at : edge[d] + at + 1]))
+                        rows.append((x.sid.iloc[first + d], x.doc_id.iloc[first + d], at, len(np.unique(near)), near, edge[d] + at - lo, keys.view(np.int64)))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["sid", "doc_id", "at", "anchor", "kinds", "near"])
+                    yield pd.DataFrame(rows, columns=["sid", "doc_id", "at", "kinds", "near", "before", "keys"])
 
     places = rest.groupBy("sid").agg(F.collect_set("at").alias("places"))  # no more than its tokens
-    return places.join(pieces.select("sid", "doc_id", "text"), "sid").mapInPandas(run, f"sid long, doc_id {kind}, at long, anchor int, kinds int, near array<int>")
+    return places.join(pieces.select("sid", "doc_id", "text"), "sid").mapInPandas(run, f"sid long, doc_id {kind}, at long, kinds int, near array<int>, before int, keys array<long>")
+
+
+def least_runs(h: np.ndarray) -> np.ndarray:
+    """The smallest hash of the runs of ``PART`` tokens in each ``SHARED`` tokens in a row."""
+    m = max(0, len(h) - PART + 1)
+    acc = np.zeros(m, np.uint64)
+    for k in range(PART):
+        acc = mix(acc + h[k : k + m] + np.uint64(k + 1))
+    wide = SHARED - PART + 1
+    return np.lib.stride_tricks.sliding_window_view(acc, wide).min(1) if m >= wide else acc[:0]
 
 
 def together(rows: DataFrame) -> DataFrame:
@@ -381,10 +425,11 @@ def together(rows: DataFrame) -> DataFrame:
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """Rows of keys that two documents have at least; of keys with the same places one, as the comparisons are the same."""
+    """Rows of keys that two documents and two labels have at least; of keys with the same places one, as the comparisons are the same."""
     marks = [F.bit_xor(F.xxhash64("sid", "at")).alias("x"), F.bit_xor(F.xxhash64("at", "sid")).alias("y")]
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("many"), *marks).where("low < high")
-    return saved(rows.join(shared.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key"), "key"), "groups")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "label") for n, f in (("low", F.min), ("high", F.max))]
+    shared = rows.groupBy("key").agg(F.count("*").alias("many"), *ends, *marks).where("low_doc_id < high_doc_id and low_label < high_label")
+    return saved(rows.join(shared.groupBy("x", "y", "many").agg(F.min("key").alias("key")).select("key", "many"), "key"), "groups")
 
 
 def needed(kinds) -> object:
@@ -406,44 +451,112 @@ def parted(near: DataFrame) -> DataFrame:
     return own.select("sid", "doc_id", "at", "anchor", F.explode("first.token").alias("token")).select(F.xxhash64("anchor", "token").alias("key"), "sid", "doc_id", "at")
 
 
+def shared_around(one: list[np.ndarray], at: np.ndarray, two: list[np.ndarray]) -> np.ndarray:
+    """For each pair of token sequences, if some ``LEAST`` tokens of one with its place ``at`` are as similar to two as a passage of that length.
+
+    Of these tokens, or of the different ones among them, two must have ``SIMILAR``. Two substituted words cost ten
+    tokens, so what is told here is told of passages with no more than two near the place.
+    """
+    size, other = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    pair, token = np.repeat(np.arange(len(one)), size), np.concatenate(one).view(np.uint32)
+    key = pair.astype(np.uint64) << np.uint64(32) | token
+    theirs = np.sort(np.repeat(np.arange(len(two)), other).astype(np.uint64) << np.uint64(32) | np.concatenate(two).view(np.uint32))
+    k = np.minimum(np.searchsorted(theirs, key), len(theirs) - 1)
+    met = theirs[k] == key
+    # the first places of windows of LEAST tokens inside one that hold its place
+    end = np.cumsum(size)
+    low, high = end - size + np.maximum(0, at - LEAST + 1), np.minimum(end - LEAST, end - size + at) + 1
+    many = np.maximum(0, high - low)
+    begin = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - low, many)
+    # a token that was there less than LEAST before counts once
+    order = np.lexsort((np.arange(len(key)), key))
+    again = np.zeros(len(key), np.int64)
+    again[order[1:]] = np.where(key[order[1:]] == key[order[:-1]], order[:-1] + 1, 0)
+    total = np.r_[0, np.cumsum(met)]
+    ok = total[begin + LEAST] - total[begin] >= int(SIMILAR * LEAST)
+    out = np.zeros(len(one), bool)
+    out[pair[begin[ok]]] = True
+    # of texts that repeat themselves, by different tokens
+    for i in np.flatnonzero(~out & (np.bincount(pair, again > 0, minlength=len(one)) > 0)):
+        for b in range(low[i], high[i]):
+            new = again[b : b + LEAST] <= b
+            if np.count_nonzero(met[b : b + LEAST] & new) >= int(SIMILAR * np.count_nonzero(new)):
+                out[i] = True
+                break
+    return out
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose places are in as many tokens, each of the other's, as a passage has."""
+
+    def run(batches):
+        for x in batches:
+            for i in range(0, len(x), 4096):
+                y = x.iloc[i : i + 4096]
+                y = y[shared_around(list(y.near), y.before.to_numpy(), list(y.rep_near))]
+                if len(y):
+                    y = y[shared_around(list(y.rep_near), y.rep_before.to_numpy(), list(y.near))]
+                yield y[["a", "b"]].drop_duplicates()
+
+    return pairs.select("a", "b", "near", "before", "rep_near", "rep_before").mapInPandas(run, "a long, b long")
+
+
+def linked(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(sid, at, label) with the largest label of all that a passage covers, on either side; places of one label are linked by passages."""
+    found = found.withColumn("passage", F.xxhash64("sid", "rep", "start", "end", "rep_start", "rep_end"))
+    sides = found.select("passage", "sid", "start", "end").union(found.select("passage", "rep", "rep_start", "rep_end"))
+    hit = labels.join(sides, "sid").where((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)).select("passage", "label").distinct()
+    top = hit.groupBy("passage").agg(F.max("label").alias("top"))
+    to = saved(hit.join(top, "passage").where("label < top").groupBy("label").agg(F.max("top").alias("top")), "larger")
+    for _ in range(2):  # what it leads to leads further
+        to = to.alias("x").join(to.toDF("y", "further").alias("y"), F.col("top") == F.col("y"), "left").select("label", F.coalesce("further", "top").alias("top"))
+    return saved(labels.join(to, "label", "left").select("sid", "at", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def piece_passages(pieces: DataFrame) -> DataFrame | None:
     """Passages between stretches, as ``verify`` gives them; None if there are none to compare."""
     rest = together(saved(keys(pieces), "windows"))
+    if rest.isEmpty():
+        return None
     company = saved(rest.groupBy("sid").agg(F.sum("many").alias("company")), "company")
-    found = tried = near = None
+    rank = rest.join(company, "sid").select("key", F.struct("company", "sid", "doc_id", "at").alias("rank"))
+    rep = rank.groupBy("key").agg(F.max("rank").alias("top"))
+    rep = rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc"))
+    met = saved(rest.select("key", "sid", "doc_id", "at").join(rep, "key"), "met")
+    tried = saved(met.where("doc_id <> rep_doc").select(F.greatest("sid", "rep").alias("sid"), F.least("sid", "rep").alias("rep")).distinct(), "fresh")
+    found = new = saved(verify(tried, pieces), "passages")
+    # a place in a passage with the representative of its group is done with; so is the representative, which has met all
+    spans = new.select("sid", "rep", "start", "end").union(new.select("rep", "sid", "rep_start", "rep_end")).toDF("s", "r", "start", "end")
+    inside = (F.col("sid") == F.col("s")) & (F.col("rep") == F.col("r")) & (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)
+    left = saved(met.where("sid <> rep").join(spans, inside, "left_anti").select("key", "sid", "doc_id", "at"), "left")
+    near = saved(surroundings(together(left), pieces), "surroundings")
+    own = near.select("sid", "at").join(company, "sid").select("sid", "at", F.struct("company", F.xxhash64("sid", "at").alias("place")).alias("label"))
+    labels = linked(linked(own, new), new)
+    rest = near.select("sid", "doc_id", "at", F.explode("keys").alias("key")).join(company, "sid")
+    rest = apart(rest.join(labels, ["sid", "at"]))
     turn = 0
     while not rest.isEmpty():
-        rank = rest.join(company, "sid").select("key", "at", F.struct("company", "sid", "doc_id", "at").alias("rank"), "sid")
-        salt = F.pmod(F.xxhash64("sid", "at"), F.lit(4 ** max(0, min(turn - 1, 15)))).alias("salt")
-        rep = rank.groupBy("key", salt).agg(F.max("rank").alias("top"))
-        rep = rep.select("key", F.col("top.sid").alias("rep"), F.col("top.doc_id").alias("rep_doc"), F.col("top.at").alias("rep_at"))
-        met = saved(rest.select("key", "sid", "doc_id", "at").join(rep, "key"), "met")
-        pairs = met.where("doc_id <> rep_doc").select("sid", "at", "rep", "rep_at", F.greatest("sid", "rep").alias("a"), F.least("sid", "rep").alias("b"))
-        if turn:
-            pairs = pairs.distinct().join(tried.select(F.col("sid").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
-            other = near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("kinds").alias("rep_kinds"), F.col("near").alias("rep_near"))
-            pairs = pairs.join(near.select("sid", "at", "kinds", "near"), ["sid", "at"]).join(other, ["rep", "rep_at"])
-            pairs = pairs.where(F.size(F.array_intersect("near", "rep_near")) >= needed(F.least("kinds", "rep_kinds")))
-        fresh = saved(pairs.select(F.col("a").alias("sid"), F.col("b").alias("rep")).distinct(), "fresh")
-        tried = fresh if tried is None else tried.union(fresh)
+        salt = F.pmod(F.xxhash64("sid", "at"), F.lit(32 ** min(turn, 6))).alias("salt")
+        rep = rest.groupBy("key", salt).agg(F.max(F.struct("company", "sid", "at", "doc_id", "label")).alias("top"))
+        rep = saved(rep.select("key", F.col("top.sid").alias("rep"), F.col("top.at").alias("rep_at"), F.col("top.doc_id").alias("rep_doc"), F.col("top.label").alias("rep_label")), "representatives")
+        pairs = rest.join(rep, (rest.key == rep.key) & (F.col("label") != F.col("rep_label")) & (F.col("doc_id") != F.col("rep_doc")))
+        pairs = pairs.select("sid", "at", "rep", "rep_at", F.greatest("sid", "rep").alias("a"), F.least("sid", "rep").alias("b")).distinct()
+        pairs = pairs.join(tried.select(F.col("sid").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
+        other = near.select(F.col("sid").alias("rep"), F.col("at").alias("rep_at"), F.col("kinds").alias("rep_kinds"), F.col("near").alias("rep_near"), F.col("before").alias("rep_before"))
+        pairs = pairs.join(near.select("sid", "at", "kinds", "near", "before"), ["sid", "at"]).join(other, ["rep", "rep_at"])
+        pairs = pairs.where(F.size(F.array_intersect("near", "rep_near")) >= needed(F.least("kinds", "rep_kinds")))
+        fresh = saved(alike(pairs).distinct().toDF("sid", "rep"), "fresh")
         new = saved(verify(fresh, pieces), "passages")
-        found = new if found is None else found.union(new)
-        spans = found.select("sid", "rep", "start", "end").union(found.select("rep", "sid", "rep_start", "rep_end"))
-        # a place in a passage with a representative of its group is done with; so is a representative, which has met all
-        inside = (F.col("sid") == F.col("s")) & (F.col("rep") == F.col("r")) & (F.col("at") >= F.col("start")) & (F.col("at") <= F.col("end") - SHINGLE)
-        spans = spans.toDF("s", "r", "start", "end")
-        itself = (F.col("sid") == F.col("rep")) & (F.lit(not turn) | (F.col("at") == F.col("rep_at")))
-        if turn > 1:  # there are several representatives
-            done = met.join(spans, inside).select("key", "sid", "at").union(met.where(itself).select("key", "sid", "at"))
-            left = rest.select("key", "sid", "doc_id", "at").join(done, ["key", "sid", "at"], "left_anti")
-        else:
-            left = met.where(~itself).join(spans, inside, "left_anti").select("key", "sid", "doc_id", "at")
-        left = saved(left, "left")
-        if turn:
-            rest = apart(left)
-        else:
-            near = saved(surroundings(together(left), pieces), "surroundings")
-            rest = apart(saved(parted(near), "parted"))
+        tried, found = tried.union(fresh), found.union(new)
+        labels = linked(labels, new)
+        # places that passages link with a representative of their group are done with; so is the representative
+        done = rep.join(labels.toDF("rep", "rep_at", "label"), ["rep", "rep_at"]).select("key", "label").distinct()
+        rest = apart(rest.drop("label", "many").join(labels, ["sid", "at"]).join(done, ["key", "label"], "left_anti"))
+        if not turn:  # what is left in large groups often has no more in common than a line, and parts by other tokens
+            large = near.withColumn("anchor", F.col("near")[F.col("before")]).withColumn("near", F.array_distinct("near"))
+            large = parted(large.join(rest.where(F.col("many") > LARGE).select("sid", "at").distinct(), ["sid", "at"]))
+            large = large.join(company, "sid").join(labels, ["sid", "at"]).select("key", "sid", "doc_id", "at", "company", "label")
+            rest = apart(rest.where(F.col("many") <= LARGE).select(large.columns).union(large))
         turn += 1
     return found
 

@@ -188,6 +188,63 @@ def test_similar_places_stay_together(spark):
     assert all(sid not in held or sum(r.sid == sid for r in got) <= 6 for sid in range(90, 240))
 
 
+def test_places_as_similar_as_a_passage():
+    """The places told in one pass are those found window by window; a common line alone is none, one substituted word costs none."""
+    r, least = np.random.default_rng(2), op7_passages.LEAST
+    one, two, at = [], [], []
+    for _ in range(600):
+        kinds = r.choice([5, 30, 10**9])
+        a = r.integers(-kinds, kinds, r.integers(least, 2 * least)).astype(np.int32)
+        b = np.where(r.random(len(a)) < r.choice([0, 0.1, 0.2, 0.25, 0.3, 0.5]), 7, a).astype(np.int32)
+        one.append(a)
+        two.append(b[r.integers(0, 40) if r.random() < 0.3 else 0 :])
+        at.append(int(r.integers(max(0, len(a) - least), min(least, len(a)))))
+
+    def plain(a, p, b):
+        for k in range(max(0, p - least + 1), min(len(a) - least, p) + 1):
+            w = a[k : k + least].tolist()
+            if sum(x in b for x in w) >= int(0.8 * least) or len({*w}) < least and sum(x in b for x in {*w}) >= int(0.8 * len({*w})):
+                return True
+        return False
+
+    got = op7_passages.shared_around(one, np.array(at), two)
+    assert got.tolist() == [plain(a, p, set(b.tolist())) for a, p, b in zip(one, at, two)]  # noqa: B905
+    assert 50 < got.sum() < 550
+    text = np.arange(91, dtype=np.int32)
+    line, word = np.where((text >= 30) & (text < 60), text, text + 500).astype(np.int32), np.where((text >= 48) & (text < 53), text + 500, text).astype(np.int32)
+    assert op7_passages.shared_around([text, text], np.array([45, 45]), [line, word]).tolist() == [False, True]
+
+
+def test_runs_that_similar_places_share():
+    """Any twenty tokens in a row give the same key, wherever they stand."""
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        shared = r.integers(0, 1 << 62, op7_passages.SHARED).astype(np.uint64)
+        a, b = (op7_passages.least_runs(np.r_[r.integers(0, 1 << 62, n).astype(np.uint64), shared, r.integers(0, 1 << 62, 30).astype(np.uint64)]) for n in r.integers(0, 40, 2))
+        assert len(np.intersect1d(a, b)) >= 1
+    assert not len(op7_passages.least_runs(shared[1:]))
+
+
+def test_linked_places_have_one_label(spark):
+    """Places that a chain of passages links get one label, whichever side it covers; the others keep theirs."""
+    places = spark.createDataFrame([(s, 10) for s in range(1, 8)] + [(1, 200)], "sid long, at long")
+    labels = places.selectExpr("sid", "at", "struct(sid, at) as label")
+    found = [(5, 1, 0, 60, 5, 60), (5, 2, 0, 60, 0, 60), (3, 2, 8, 70, 8, 70), (7, 6, 11, 80, 10, 80)]
+    found = spark.createDataFrame([(*x, 1.0) for x in found], "sid long, rep long, start long, end long, rep_start long, rep_end long, similarity double")
+    got = {(x.sid, x.at): tuple(x.label) for x in op7_passages.linked(op7_passages.linked(labels, found), found).collect()}
+    assert got == {(1, 10): (5, 10), (2, 10): (5, 10), (3, 10): (5, 10), (5, 10): (5, 10), (1, 200): (1, 200), (4, 10): (4, 10), (6, 10): (6, 10), (7, 10): (7, 10)}
+
+
+def test_numbers_of_values():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 600):
+        v = r.integers(0, max(1, n // 2), n).astype(np.uint64)
+        kinds, number, order, edge = op7_passages.numbered(v)
+        want, back = np.unique(v, return_inverse=True)
+        assert kinds.tolist() == want.tolist() and number.tolist() == back.tolist() and v[order].tolist() == np.sort(v).tolist()
+        assert edge.tolist() == [0, *np.cumsum(np.bincount(back, minlength=len(want)))][: len(want) + 1]
+
+
 def test_documents_of_keys():
     rng = np.random.default_rng(6)
     for documents in (1, 50, 70_000):
